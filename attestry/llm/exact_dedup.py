@@ -69,7 +69,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = spark.read.schema("doc_id long, n_points long, digest string").parquet(fed)
     if rows.isEmpty():
         return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))
-    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true", spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256", spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true"):
+    with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true", spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256", spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false"):
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_batch).parquet(fed)
         state = keyed_state(spark, stream, state_dir, out_dir)
         hits = state.filter("group_size > 1")
