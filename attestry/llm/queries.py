@@ -3,23 +3,70 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .licenses import BLOCK_WORDS, PHRASES, TEMPLATES, scan_licenses
+from .packing import pack
+from .secrets import scan_secrets
 from .shared import table
 from .sharding import assign_shards
+from .topk import top_k
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_sharding)}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_license_scan, op5_top_k, op6_sharding, op7_packing, op10_secret_scan)}
+
+_PLACES = " union all ".join(f"select doc_id, k, i, '{label}' as label from w, range(len(ws)) r(i) where " + " and ".join(f"ws[i + {j + 1}] = '{x}'" for j, x in enumerate(phrase.split())) for phrase, label in PHRASES)
+_TEMPLATES = ", ".join(f"('{name}', list_distinct(string_split('{text}', ' ')))" for name, text in TEMPLATES)
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_LICENSES = rf"""
+    with t as (select row_number() over () as k, doc_id, translate(coalesce(text, ''), '{_LETTERS.upper()}', '{_LETTERS}') as t from documents),
+    w as (select k, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from t),
+    places as ({_PLACES}),
+    base as (select k, count(*) as n, min(i) as lo, max(i) as hi, list(distinct label) as labels from places group by k),
+    lines as (select k, regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from (select k, unnest(string_split(t, chr(10))) as line from t)),
+    blocks as (select k, list_distinct(ws) as b from lines where len(ws) <= {BLOCK_WORDS}
+        union all select k, list_distinct(list_slice(ws, p + 1, p + {BLOCK_WORDS})) from lines, range(0, greatest(len(ws) - {BLOCK_WORDS // 2}, 0), {BLOCK_WORDS // 2}) r(p) where len(ws) > {BLOCK_WORDS}),
+    met as (select k, name, len(list_intersect(b, tw)) / len(tw) as share from blocks, (values {_TEMPLATES}) v(name, tw) where len(list_intersect(b, tw)) >= ceil(0.8 * len(tw) - 1e-9)),
+    more as (select k, list(distinct name) as labels, max(share) as best from met group by k)
+    select w.doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_base, lo::bigint as first_word, hi::bigint as last_word,
+        coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') as labels,
+        case when n > 0 then 1.0 else coalesce(best, 0) end::double as score
+    from w left join base using (k) left join more using (k)
+"""
 
 ORACLE_SQL = {
+    "op4_license_scan": _LICENSES,
+    "op5_top_k": """
+        with v as (select distinct vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+            where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 100 = 0)
+        select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10
+    """,
     "op2_exact_dedup": r"""
         with t as (select doc_id, coalesce(text, '') as txt, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as bare from documents),
         g as (select *, first_value(doc_id) over (partition by bare order by length(txt) desc, doc_id) as keep_id, count(*) over (partition by bare) as group_size from t)
