@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .licenses import BLOCK_WORDS, PHRASES, TEMPLATES, scan_licenses
+from .mixing import DOMAINS, mix
 from .packing import pack
+from .quality import classify_quality
 from .secrets import scan_secrets
 from .shared import table
 from .sharding import assign_shards
@@ -34,11 +36,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{name}") for k, name in enumerate(DOMAINS)], "rate", "copies")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_license_scan, op5_top_k, op6_sharding, op7_packing, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_license_scan, op5_top_k, op6_sharding, op7_packing, op8_mixing, op9_quality, op10_secret_scan)}
 
 _PLACES = " union all ".join(f"select doc_id, k, i, '{label}' as label from w, range(len(ws)) r(i) where " + " and ".join(f"ws[i + {j + 1}] = '{x}'" for j, x in enumerate(phrase.split())) for phrase, label in PHRASES)
 _TEMPLATES = ", ".join(f"('{name}', list_distinct(string_split('{text}', ' ')))" for name, text in TEMPLATES)
