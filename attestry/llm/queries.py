@@ -13,6 +13,7 @@ from .quality import classify_quality
 from .secrets import scan_secrets
 from .shared import table
 from .sharding import assign_shards
+from .substrings import remove_repeats
 from .topk import top_k
 
 
@@ -20,6 +21,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_license_scan, op5_top_k, op6_sharding, op7_packing, op8_mixing, op9_quality, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_substring_dedup, op4_license_scan, op5_top_k, op6_sharding, op7_packing, op8_mixing, op9_quality, op10_secret_scan)}
 
 _PLACES = " union all ".join(f"select doc_id, k, i, '{label}' as label from w, range(len(ws)) r(i) where " + " and ".join(f"ws[i + {j + 1}] = '{x}'" for j, x in enumerate(phrase.split())) for phrase, label in PHRASES)
 _TEMPLATES = ", ".join(f"('{name}', list_distinct(string_split('{text}', ' ')))" for name, text in TEMPLATES)
@@ -71,6 +76,16 @@ _LICENSES = rf"""
 """
 
 ORACLE_SQL = {
+    "op3_substring_dedup": r"""
+        with t as (select row_number() over () as k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+        w as (select k, i, list_slice(ws, i + 1, i + 35) as win from t, range(0, greatest(len(ws) - 34, 0)) r(i)),
+        rep as (select k, i from (select k, i, count(*) over (partition by win) as n from w) where n > 1),
+        gone as (select distinct k, i + j as p from rep, range(35) r(j)),
+        g as (select k, list(p) as gone from gone group by k)
+        select doc_id, len(ws)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+            sha256(array_to_string(case when gone is null then ws else list_filter(ws, lambda x, i: not list_contains(gone, i - 1)) end, ' ')) as kept_sha256
+        from t left join g using (k)
+    """,
     "op4_license_scan": _LICENSES,
     "op5_top_k": """
         with v as (select distinct vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
