@@ -13,7 +13,7 @@ null id included; ties are ordered by a row's place in the written pieces. An em
 
 from __future__ import annotations
 
-import re
+import base64
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,79 +32,39 @@ CLOSING = 1
 TIERS = (256, 512, 1024, 2048)
 #: Sequences per step group; sequences are numbered from the fullest patterns down and dealt to the groups in turn.
 GROUP = 64
-#: Words whose ids a worker keeps (about 150 bytes each).
-KEPT_WORDS = 300_000
 #: Pieces of one length that are ranked in one part.
 PART_ROWS, MOST_PARTS = 200_000, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-class Encoder:
-    """Ids of whole texts by a byte-level BPE tokenizer, remembering the ids of words.
-
-    The tokenizer never joins across a space that a visible character follows, so a text can be cut there.
-    """
-
-    CUT = re.compile(r" (?=\S)")
-    AFTER_SPACE = re.compile(r" (?:\s|$)")
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > KEPT_WORDS:
-            self.known.clear()
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        for text in texts:
-            parts = self.CUT.split(text) if self.AFTER_SPACE.search(text) else text.split(" ")
-            words = [parts[0], *[" " + p for p in parts[1:]]] if parts[0] or len(parts) == 1 else [" " + p for p in parts[1:]]
-            known = self.known
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:
-                new = list(dict.fromkeys(w for w in words if w not in known))
-                if len(known) + len(new) > KEPT_WORDS:
-                    self.known.clear()
-                    new = list(dict.fromkeys(words))
-                self.learn(new)
-                yield b"".join([self.known[w] for w in words])
-
-
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str):
+    """The byte-level BPE tokenizer of a ranks file, kept by the worker."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def tokenizer_path() -> str:
+    """The ranks of byte_bpe_50k.json: the same vocabulary and ids, in a form that is encoded about three times as fast."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def cut_pieces(docs: DataFrame, path: str, window: int, id_col: str, text_col: str) -> DataFrame:
     """One row per piece; each id of a document, the closing one included, lies in exactly one."""
-    closing = np.array([CLOSING], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encode = encoder(path).encode_ordinary
         names = PIECES.replace(" long", "").split(", ")
         for batch in batches:
             out: dict[str, list] = {k: [] for k in names}
-            texts = (t or "" for t in batch.column("text").to_pylist())
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path).ids(texts)):
-                ids += closing
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                ids = np.array([*encode(text or ""), CLOSING], "<u4").tobytes()
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     part = ids[4 * start : 4 * (start + window)]
