@@ -27,16 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import Words, mix, ngrams, slices, words
-from .shared import spool
+from .shared import settings, spool
 
 WINDOW = 35
 #: Bytes of text that a row of packed hashes covers at most; a longer text has rows of its own.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 #: Bytes of text for which there is one bucket.
 BUCKET_BYTES = 12_000_000
 MOST_BUCKETS = 1 << 16
 #: Broadcast the keys of the texts to be read again only up to so many (8 bytes each).
 BROADCAST_KEYS = 300_000
+#: Rows of a batch of texts, so that a worker holds a few MB of them.
+BATCH_ROWS = "2000"
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 #: A packed row: the bucket, keys of a slice's texts, each text's first word, codes, places among the slice's words
 #: (rising). Rows without codes hold what the slice has settled: key and place in the text of each.
@@ -79,7 +81,8 @@ def packed_rows(keys: np.ndarray, w: Words, at: np.ndarray, code: np.ndarray, bu
     columns = [bucket[cut].astype(np.int32).tolist(), [ids] * len(spans), [firsts] * len(spans), [high[a:b].tobytes() for a, b in spans], [low[a:b].tobytes() for a, b in spans], [pack_rising(at[a:b]) for a, b in spans]]
     if len(settled):
         own = np.searchsorted(w.first, settled, "right") - 1
-        for column, value in zip(columns, (slot, keys[own].astype("<i8").tobytes(), b"", None, None, (settled - w.first[own]).astype("<u4").tobytes())):
+        key, place = distinct_pairs(keys[own], settled - w.first[own])
+        for column, value in zip(columns, (slot, key.tobytes(), b"", None, None, place.tobytes())):
             column.append(value)
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "keys", "firsts", "high", "low", "place"])
 
@@ -116,13 +119,12 @@ def window_rows(docs: DataFrame, block: int, window: int, buckets: int) -> DataF
                 w = words(data, offsets)
                 flags = np.zeros(len(w.hash) + window + 2, np.int32)
                 for k in range(lo, hi):
-                    for part in places[k].as_py():
-                        p = np.frombuffer(part, "<u4").astype(np.int64)
-                        first, n = w.first[k - lo], w.first[k - lo + 1] - w.first[k - lo]
-                        a, b = np.maximum(p - (window - block), 0), np.minimum(p, n - window)
-                        ok = a <= b
-                        np.add.at(flags, first + a[ok], 1)
-                        np.add.at(flags, first + b[ok] + 1, -1)
+                    p = np.frombuffer(places[k].as_py(), "<u4").astype(np.int64)
+                    first, n = w.first[k - lo], w.first[k - lo + 1] - w.first[k - lo]
+                    a, b = np.maximum(p - (window - block), 0), np.minimum(p, n - window)
+                    ok = a <= b
+                    np.add.at(flags, first + a[ok], 1)
+                    np.add.at(flags, first + b[ok] + 1, -1)
                 at = np.flatnonzero(np.cumsum(flags) > 0)
                 if not len(at):
                     continue
@@ -136,14 +138,17 @@ def window_rows(docs: DataFrame, block: int, window: int, buckets: int) -> DataF
 
 
 def meet(packed: DataFrame, buckets: int, block: int | None, wide: bool) -> DataFrame:
-    """Reduce side of both steps: (key, places) of codes that occur twice, with block only those that equal a block."""
+    """Reduce side of both steps: (key, places) of codes that occur twice, with block only those that equal a block.
+
+    The places go back packed too, dealt by key, so that each text gets one row however many buckets it met in.
+    """
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bucket: dict[int, list] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 if row["low"] is None:
-                    yield by_key(np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["place"], "<u4").astype(np.int64))
+                    yield dealt_by_key(np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["place"], "<u4"), buckets)
                 else:
                     by_bucket.setdefault(row["bucket"], []).append(row)
         while by_bucket:
@@ -153,7 +158,7 @@ def meet(packed: DataFrame, buckets: int, block: int | None, wide: bool) -> Data
             for r in rows:
                 at, first = unpack_rising(r["place"]), np.frombuffer(r["firsts"], "<u4").astype(np.int64)
                 own = np.searchsorted(first, at, "right") - 1
-                place.append((at - first[own]).astype(np.uint32))
+                place.append((at - first[own]).astype("<u4"))
                 key.append(np.frombuffer(r["keys"], "<i8")[own])
             del rows
             place, key = np.concatenate(place), np.concatenate(key)
@@ -169,38 +174,58 @@ def meet(packed: DataFrame, buckets: int, block: int | None, wide: bool) -> Data
             twice[1:] |= same
             twice[:-1] |= same
             if twice.any():
-                yield by_key(key[order[twice]], place[order[twice]].astype(np.int64))
+                yield dealt_by_key(key[order[twice]], place[order[twice]], buckets)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, places = [np.empty(0, "<i8")], [np.empty(0, "<u4")]
+        for batch in batches:
+            keys += [np.frombuffer(x, "<i8") for x in batch.column("keys").to_pylist()]
+            places += [np.frombuffer(x, "<u4") for x in batch.column("places").to_pylist()]
+        key, place = distinct_pairs(np.concatenate(keys), np.concatenate(places))
+        if len(key):
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key[cut], pa.int64()), "places": pa.array([place[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(key)])], pa.binary())})
 
-    return packed.repartition(buckets, "bucket").mapInArrow(hits, "key long, places binary")
+    found = packed.repartition(buckets, "bucket").mapInArrow(hits, "target int, keys binary, places binary")
+    return found.repartition(buckets, "target").mapInArrow(together, "key long, places binary")
 
 
-def by_key(key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+def distinct_pairs(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, place), in order of both."""
     order = np.lexsort((place, key))
-    key, place = key[order], place[order].astype("<u4")
-    cut = np.flatnonzero(np.diff(key, prepend=key[0] ^ 1) != 0)
-    return pa.RecordBatch.from_pydict({"key": pa.array(key[cut], pa.int64()), "places": pa.array([place[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(key)])], pa.binary())})
+    key, place = key[order].astype("<i8"), place[order].astype("<u4")
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
+    return key[new], place[new]
+
+
+def dealt_by_key(key: np.ndarray, place: np.ndarray, targets: int) -> pa.RecordBatch:
+    target = (key.astype(np.uint64) % np.uint64(targets)).astype(np.int32)
+    order = np.argsort(target, kind="stable")
+    target, key, place = target[order], key[order].astype("<i8"), place[order].astype("<u4")
+    cut = np.flatnonzero(np.diff(target, prepend=-1))
+    spans = list(zip(cut.tolist(), [*cut[1:].tolist(), len(key)]))
+    return pa.RecordBatch.from_pydict({"target": pa.array(target[cut], pa.int32()), "keys": pa.array([key[a:b].tobytes() for a, b in spans], pa.binary()), "places": pa.array([place[a:b].tobytes() for a, b in spans], pa.binary())})
 
 
 def with_places(texts: DataFrame, places: DataFrame) -> DataFrame:
     """The texts that have places, with these; only such texts are shuffled where their keys are few."""
     found = spool(places, "places")
-    grouped = found.groupBy("key").agg(F.collect_list("places").alias("places"))
-    if found.select("key").distinct().count() <= BROADCAST_KEYS:
-        texts = texts.join(F.broadcast(found.select("key").distinct()), "key", "left_semi")
-    return texts.join(grouped, "key")
+    if found.count() <= BROADCAST_KEYS:
+        texts = texts.join(F.broadcast(found.select("key")), "key", "left_semi")
+    return texts.join(found, "key")
 
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": []}
-        marked = batch.column("places").to_pylist() if "places" in batch.schema.names else [[]] * batch.num_rows
+        marked = batch.column("places").to_pylist() if "places" in batch.schema.names else [b""] * batch.num_rows
         for text, places in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), marked):
             ws = (text or b"").split()  # splits at the same six characters
             gone = np.zeros(len(ws) + window + 1, np.int32)
-            for part in places:
-                at = np.frombuffer(part, "<u4").astype(np.int64)
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + window, -1)
+            at = np.frombuffer(places, "<u4").astype(np.int64)
+            np.add.at(gone, at, 1)
+            np.add.at(gone, at + window, -1)
             keep = np.cumsum(gone)[: len(ws)] == 0 if places else None
             left = ws if keep is None else [x for x, k in zip(ws, keep.tolist()) if k]
             out["n_words"].append(len(ws))
@@ -218,6 +243,11 @@ def repeat_marks(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1))
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS):
+        return _marks(rows, block, window, buckets)
+
+
+def _marks(rows: DataFrame, block: int, window: int, buckets: int) -> tuple[DataFrame, DataFrame]:
     hits = meet(run_rows(rows.select("key", "text"), block, buckets), buckets, block, wide=False)
     windows = window_rows(with_places(rows.select("key", "text"), hits), block, window, buckets)
     return rows, with_places(rows, meet(windows, buckets, None, wide=True))
