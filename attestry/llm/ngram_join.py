@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 
 from .arrow_text import mix, ngrams, slices, words
 from .components import components
-from .shared import spool
-from .substrings import BROADCAST_KEYS, BUCKET_BYTES, MOST_BUCKETS, pack_rising, unpack_rising
+from .shared import settings, spool
+from .substrings import BATCH_ROWS, BROADCAST_KEYS, BUCKET_BYTES, MOST_BUCKETS, pack_rising, unpack_rising
 
 N = 5
 #: The threshold 0.8 as a fraction: the overlap i of sets of a and b n-grams must have (TOP + DOWN) * i >= TOP * (a + b).
 TOP, DOWN = 4, 5
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 #: Min-hash rounds in which a class meets a central one.
 ROUNDS = 2
 #: Sets in one trie at most (about).
@@ -82,19 +82,24 @@ def sets_of(batches: Iterator[pa.RecordBatch], n: int):
 
 
 def class_rows(rows: DataFrame, n: int) -> DataFrame:
-    """(doc_id, key, n, cls) of each row; cls is null for an empty set."""
+    """(doc_id, key, n, cls, short) of each row; cls is null for an empty set."""
 
     def compute(batches):
         for batch, lo, hi, cut, h in sets_of(batches, n):
             names = [digest(h[a:b]) if b > a else None for a, b in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "key": batch.column("key").slice(lo, hi - lo), "n": pa.array(np.diff(cut), pa.int64()), "cls": pa.array(names, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "key": batch.column("key").slice(lo, hi - lo), "n": pa.array(np.diff(cut), pa.int64()), "cls": pa.array(names, pa.binary()), "short": pa.array([short_name(x) if x else None for x in names], pa.int64())})
 
-    return rows.mapInArrow(compute, "doc_id long, key long, n long, cls binary")
+    return rows.mapInArrow(compute, "doc_id long, key long, n long, cls binary, short long")
+
+
+def short_name(name: bytes) -> int:
+    """64 bits of a class's digest: enough to count, since one class is only taken for another where both share an n-gram."""
+    return int.from_bytes(name[:8], "little", signed=True)
 
 
 def smallest_rows(rows: DataFrame, n: int, buckets: int) -> DataFrame:
-    """Packed rows (bucket, classes, owner, code) of each distinct set's smallest hashes; codes within several sets of a
-    slice are settled (bucket rows without codes: class and how many of its codes) and sent once.
+    """Packed rows (bucket, classes, owner, code) of each distinct set's smallest hashes. Codes within several sets of a
+    slice are settled (rows without codes: class and how many of its codes) and sent once, for no class.
     """
 
     def compute(batches):
@@ -105,11 +110,11 @@ def smallest_rows(rows: DataFrame, n: int, buckets: int) -> DataFrame:
                     sets[digest(h[a:b])] = h[a : a + int(sample_size(b - a))]
             if not sets:
                 continue
+            names = np.array([short_name(x) for x in sets], "<i8")
             owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets.values()])
             code = np.concatenate(list(sets.values()))
             _, first, inverse, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
             settled = np.bincount(owner[count[inverse] > 1], minlength=len(sets))
-            # a code that is settled here goes out under no owner: it only has to be known elsewhere
             owner = np.where(count[inverse] > 1, len(sets), owner)[first]
             code = code[first]
             order = np.lexsort((owner, code % np.uint64(buckets)))
@@ -117,12 +122,10 @@ def smallest_rows(rows: DataFrame, n: int, buckets: int) -> DataFrame:
             bucket = (code % np.uint64(buckets)).astype(np.int32)
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
             spans = list(zip(at.tolist(), [*at[1:].tolist(), len(code)]))
-            names = b"".join(sets)
-            columns = [bucket[at].tolist(), [names] * len(spans), [pack_rising(owner[a:b]) for a, b in spans], [code[a:b].astype("<u8").tobytes() for a, b in spans]]
+            columns = [bucket[at].tolist(), [names.tobytes()] * len(spans), [pack_rising(owner[a:b]) for a, b in spans], [code[a:b].astype("<u8").tobytes() for a, b in spans]]
             some = np.flatnonzero(settled)
             if len(some):
-                every = list(sets)
-                for column, value in zip(columns, (int(code[0] % np.uint64(buckets)), b"".join(every[k] for k in some), settled[some].astype("<u4").tobytes(), None)):
+                for column, value in zip(columns, (int(code[0] % np.uint64(buckets)), names[some].tobytes(), settled[some].astype("<u4").tobytes(), None)):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "classes", "owner", "code"])
 
@@ -135,44 +138,59 @@ def sample_size(n):
 
 
 def shared_counts(packed: DataFrame, buckets: int) -> DataFrame:
-    """(cls, shared): how many of each class's smallest hashes occur in another class."""
+    """(short, shared): how many of each class's smallest hashes occur in another class."""
 
-    def tally(names: list[bytes], number: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"cls": pa.array(names, pa.binary()), "shared": pa.array(number, pa.int64())})
+    def tally(name: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+        """Packed again, dealt by class."""
+        target = (name.astype(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(target, kind="stable")
+        target, name, number = target[order], name[order].astype("<i8"), number[order].astype("<u4")
+        at = np.flatnonzero(np.diff(target, prepend=-1))
+        spans = list(zip(at.tolist(), [*at[1:].tolist(), len(name)]))
+        return pa.RecordBatch.from_pydict({"target": pa.array(target[at], pa.int32()), "names": pa.array([name[a:b].tobytes() for a, b in spans], pa.binary()), "numbers": pa.array([number[a:b].tobytes() for a, b in spans], pa.binary())})
 
     def compute(batches):
         by_bucket: dict[int, list] = {}
         for batch in batches:
             for r in batch.to_pylist():
                 if r["code"] is None:
-                    yield tally([r["classes"][k : k + DIGEST] for k in range(0, len(r["classes"]), DIGEST)], np.frombuffer(r["owner"], "<u4"))
+                    yield tally(np.frombuffer(r["classes"], "<i8"), np.frombuffer(r["owner"], "<u4"))
                 else:
                     by_bucket.setdefault(r["bucket"], []).append(r)
         while by_bucket:
             _, rows = by_bucket.popitem()
             code = np.concatenate([np.frombuffer(r["code"], "<u8") for r in rows])
-            lengths = [len(r["classes"]) // DIGEST + 1 for r in rows]  # the last one stands for settled codes
-            every: dict[bytes, int] = {b"": 0}
-            number = np.array([every.setdefault(x, len(every)) for r in rows for x in (*(r["classes"][k : k + DIGEST] for k in range(0, len(r["classes"]), DIGEST)), b"")])
-            owner = number[np.concatenate([unpack_rising(r["owner"]) + base for r, base in zip(rows, np.cumsum([0, *lengths[:-1]]))])]
-            names, nobody = list(every), 0
+            name, nobody = [], []
+            for r in rows:
+                names, owner = np.frombuffer(r["classes"], "<i8"), unpack_rising(r["owner"])
+                nobody.append(owner == len(names))
+                name.append(np.append(names, 0)[owner])
             del rows
-            order = np.lexsort((owner, code))
-            code, owner = code[order], owner[order]
+            name, nobody = np.concatenate(name), np.concatenate(nobody)
+            order = np.lexsort((name, code))
+            code, name, nobody = code[order], name[order], nobody[order]
             start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
             group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(code))))
             last = np.append(start[1:], len(code)) - 1
-            many = (owner[start] != owner[last])[group] | (np.bincount(group, owner == nobody) > 0)[group]
-            mine = owner[many & (owner != nobody)]
-            new = np.ones(len(mine), bool)  # one class may have come in several slices: count its code once
-            codes = code[many & (owner != nobody)]
+            many = (name[start] != name[last])[group] | (np.bincount(group, nobody) > 0)[group]
+            keep = many & ~nobody
+            mine, codes = name[keep], code[keep]
+            new = np.ones(len(mine), bool)  # a class that came in several slices counts its code once
             new[1:] = (mine[1:] != mine[:-1]) | (codes[1:] != codes[:-1])
-            total = np.bincount(mine[new], minlength=len(names))
-            some = np.flatnonzero(total)
-            if len(some):
-                yield tally([names[k] for k in some], total[some])
+            if len(mine):
+                yield tally(*np.unique(mine[new], return_counts=True))
+
+    def add_up(batches):
+        names, numbers = [np.empty(0, "<i8")], [np.empty(0, "<u4")]
+        for batch in batches:
+            names += [np.frombuffer(x, "<i8") for x in batch.column("names").to_pylist()]
+            numbers += [np.frombuffer(x, "<u4") for x in batch.column("numbers").to_pylist()]
+        every, inverse = np.unique(np.concatenate(names), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate(numbers), len(every)).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"short": pa.array(every, pa.int64()), "shared": pa.array(total, pa.int64())})
 
-    return packed.repartition(buckets, "bucket").mapInArrow(compute, "cls binary, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
+    met = packed.repartition(buckets, "bucket").mapInArrow(compute, "target int, names binary, numbers binary")
+    return met.repartition(buckets, "target").mapInArrow(add_up, "short long, shared long")
 
 
 def chunk_rows(texts: DataFrame, n: int) -> DataFrame:
@@ -388,14 +406,19 @@ def read_again(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS):
+        return _near_duplicates(docs, n, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1))
     every = spool(class_rows(rows, n), "classes")
-    classes = spool(every.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min("n").alias("n")), "class")
+    classes = spool(every.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min("n").alias("n"), F.min("short").alias("short")), "class")
     shared = shared_counts(smallest_rows(rows.select("text"), n, buckets), buckets)
-    able = spool(classes.join(shared, "cls").filter(F.col("shared") >= F.greatest(F.lit(1), F.floor((F.col("n") + 9) / 10))).select("key"), "able")
+    able = spool(classes.join(shared, "short").filter(F.col("shared") >= F.greatest(F.lit(1), F.floor((F.col("n") + 9) / 10))).select("key"), "able")
     links = None
     if not able.isEmpty():
         chunks = spool(chunk_rows(read_again(rows.select("key", "text"), able).select("text"), n), "chunks")
