@@ -282,7 +282,7 @@ def validate_resolved_events(spark, sf_dir):
     return _shown(V.validate_resolved_events(rows))
 
 
-@query(f"select run_id, count(*) as n, min(seq) as first from (select *, len({_rules(*_RELATION)}) as bad from ({_CHECKED})) where bad > 0 group by run_id")
+@query(f"select run_id, count(*) as n, min(seq) as first from (select * exclude (seq), seq % 700 as record, min(seq) as seq from (select *, len({_rules(*_RELATION)}) as bad from ({_CHECKED})) where bad > 0 group by all) group by run_id")
 def rejected_candidates(spark, sf_dir):
     return V.rejections(_relations(spark, sf_dir), "RELATIONSHIP").groupBy("run_id").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
 
@@ -306,8 +306,8 @@ _NAMED = f"(select *, case when s1 in ({_SCHEMES}) then s1 when s2 in ({_SCHEMES
 _KEPT = f"(select * from {_NAMED} qualify row_number() over (partition by run_id, k order by seq) = 1)"
 _OWNED = f"(select scheme, value, min(seq) as holder from (select s1 as scheme, v1 as value, seq from {_KEPT} where s1 is not null union all select s2, v2, seq from {_KEPT} where s2 is not null) group by all)"
 _FOREST = f"(select q.*, coalesce(holder, seq) as parent from {_KEPT} q left join {_OWNED} o on o.scheme = ascheme and o.value = avalue)"
-_ROOTS = f"""with recursive forest as materialized (select * from {_FOREST}), up as (select seq, parent as at from forest union all select up.seq, f.parent from up join forest f on f.seq = up.at where f.parent <> f.seq),
-    roots as (select seq, min(at) as root from up group by seq),
+_ROOTS = f"""with recursive forest as materialized (select * from {_FOREST}), up as (select seq, parent as here from forest union all select up.seq, f.parent from up join forest f on f.seq = up.here where f.parent <> f.seq),
+    roots as (select seq, min(here) as root from up group by seq),
     ids as (select f.seq, f.run_id, f.k, f.seq <> f.parent as resolved, f.ascheme, coalesce({sid('entity', "t.ascheme || ':' || t.avalue")}, {sid('entity-unresolved', "t.run_id || ':' || t.k")}) as entity_id from roots join forest f using (seq) join forest t on t.seq = root)"""
 
 
@@ -353,8 +353,9 @@ def resolution_log(spark, sf_dir):
 _REFS = "select o_orderkey as ref_id, 'r' || (o_orderkey % 3) as run_id, o_orderkey as seq, 'agent' as source_agent, case when o_orderkey % 4 = 0 then 'C' || o_custkey when o_orderkey % 4 = 1 then 'gone' end as entity_id, case when o_orderkey % 4 = 2 then 'k' || o_custkey end as candidate_key, case when o_orderkey % 4 <> 3 then 'INTERNAL' end as scheme, 'c' || (o_custkey + o_orderkey % 7 * 1000000 * (o_orderkey % 2)) as value, case when o_orderkey % 5 = 0 then 'Stub ' || o_custkey end as name from {orders}"
 
 
-@query(f"""select ref_id, coalesce(case when entity_id like 'C%' then entity_id end, case when candidate_key is not null and run_id = 'r0' then 'C' || substr(candidate_key, 2) end, case when scheme is not null and cast(substr(value, 2) as bigint) < 1000000 then 'C' || substr(value, 2) end,
-    case when name is not null then case when scheme is not null then {sid('entity', "scheme || ':' || value")} else {sid('entity-unresolved', "run_id || ':' || coalesce(candidate_key, 'agent:COMPANY:' || name)")} end end) as entity_id from ({_REFS})""")
+@query(f"""with r as (select *, coalesce(candidate_key, 'agent:COMPANY:' || name) as k, coalesce(case when entity_id like 'C%' then entity_id end, case when candidate_key is not null and run_id = 'r0' then 'C' || substr(candidate_key, 2) end, case when scheme is not null and cast(substr(value, 2) as bigint) < 1000000 then 'C' || substr(value, 2) end) as found from ({_REFS})),
+    s as (select *, first_value(case when scheme is not null then {sid('entity', "scheme || ':' || value")} else {sid('entity-unresolved', "run_id || ':' || k")} end) over (partition by run_id, k order by ref_id) as stub from r where found is null and name is not null)
+    select r.ref_id, coalesce(r.found, s.stub) as entity_id from r left join s using (ref_id)""")
 def resolve_entity_refs(spark, sf_dir):
     customers = read(spark, sf_dir, "customer")
     ids = F.when(F.col("scheme").isNotNull(), F.array(F.struct("scheme", "value", F.lit(None).cast("string").alias("jurisdiction")))).otherwise(F.array().cast(f"array<{B.ID}>"))
@@ -517,7 +518,7 @@ def _ref(value):
     return F.struct(null.alias("entity_id"), null.alias("candidate_key"), F.array(F.struct(F.lit("INTERNAL").alias("scheme"), value.alias("value"), null.alias("jurisdiction"))).alias("identifiers"), null.alias("canonical_name"), null.alias("entity_type"))
 
 
-_HELD = "select l_orderkey * 10000000 + l_partkey * 1000 + l_suppkey % 1000 as seq, l_orderkey, case when l_linenumber = 7 then 'C-none' else 'C' || o_custkey end as c, 'P' || l_partkey as p, cast(cast(o_orderdate as date) as string) as d, case when l_linenumber = 2 then '' else 'line of order ' || l_orderkey end as excerpt, l_linenumber, l_suppkey from {lineitem} join {orders} on l_orderkey = o_orderkey"
+_HELD = "select l_orderkey * 10000000000 + l_partkey * 10000 + l_suppkey % 1000 * 10 + l_linenumber as seq, l_orderkey, case when l_linenumber = 7 then 'C-none' else 'C' || o_custkey end as c, 'P' || l_partkey as p, cast(cast(o_orderdate as date) as string) as d, case when l_linenumber = 2 then '' else 'line of order ' || l_orderkey end as excerpt, l_linenumber, l_suppkey from {lineitem} join {orders} on l_orderkey = o_orderkey"
 
 
 def _proof(df: DataFrame) -> DataFrame:
@@ -575,7 +576,7 @@ def event_participants(spark, sf_dir):
 
 
 def _order_claims(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("C"), "o_custkey").alias("c"), F.concat(F.lit("status "), "o_orderstatus").alias("statement"), F.col("o_totalprice").cast("long").alias("total"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("C"), "o_custkey").alias("c"), F.concat(F.lit("status "), "o_orderstatus").alias("statement"), F.floor("o_totalprice").alias("total"))
     rows = rows.withColumns({"l_orderkey": F.col("l_orderkey") % 100, "excerpt": F.col("statement"), "p": F.lit("claim"), "l_suppkey": F.col("l_orderkey") % 700})
     fact = F.to_json(F.struct(F.lit("t").alias("taxonomy"), F.lit("Total").alias("concept"), F.lit("USD").alias("unit"), F.col("total").cast("double").alias("value"), F.lit("2024-12-31").alias("period_end")))
     known = F.col("seq") % 6 != 0
@@ -583,7 +584,7 @@ def _order_claims(spark, sf_dir):
     return I.ingest_claims(rows.drop("c", "p", "excerpt", "l_suppkey", "l_orderkey", "total"), *_context(spark, sf_dir))
 
 
-_CLAIMS = "(select o_orderkey as seq, case when o_orderkey % 6 <> 0 then 'C' || o_custkey end as subject, case when o_orderkey % 2 = 0 then 'FINANCIAL_FACT' else 'REPORT' end as claim_type, 'O' || (o_orderkey % 100) as source, 'claim:' || (o_orderkey % 700) as record, 'status ' || o_orderstatus as statement, cast(o_totalprice as bigint) as total from {orders})"
+_CLAIMS = "(select o_orderkey as seq, case when o_orderkey % 6 <> 0 then 'C' || o_custkey end as subject, case when o_orderkey % 2 = 0 then 'FINANCIAL_FACT' else 'REPORT' end as claim_type, 'O' || (o_orderkey % 100) as source, 'claim:' || (o_orderkey % 700) as record, 'status ' || o_orderstatus as statement, cast(floor(o_totalprice) as bigint) as total from {orders})"
 _CLAIM_ID = sid("claim", "coalesce(subject, '') || ':' || claim_type || ':' || source || ':' || record")
 
 
@@ -627,7 +628,7 @@ def upsert_first(spark, sf_dir):
     return both.groupBy(F.when(F.col("seq") % 2 == 0, "old").otherwise("new").alias("side")).agg(F.count("*").alias("n"))
 
 
-@query(f"""with e as ({B.EDGES}), v as ({B.EVENTS}) select subject_type, count(*) as n from (select distinct 'RELATIONSHIP' as subject_type, id, source_document_id from e where extraction_method <> 'TABLE' union all select distinct 'EVENT', id, source_document_id from v) group by all""")
+@query(f"""with e as ({B.EDGES}), v as ({B.EVENTS}) select subject_type, count(*) as n from (select distinct 'RELATIONSHIP' as subject_type, id, source_document_id from e where extraction_method <> 'TABLE' and id not in (select id from e where extraction_method = 'TABLE') union all select distinct 'EVENT', id, source_document_id from v) group by all""")
 def backfill_evidence(spark, sf_dir):
     null = F.lit(None).cast("string")
     more = {"evidence_class": F.lit("DERIVED"), "assertion_type": F.lit("REPORTED"), "evidence": F.lit("text"), "confidence": F.lit(1.0), "seq": F.lit(0).cast("long")}
@@ -698,8 +699,8 @@ def neighbors(spark, sf_dir):
 
 _HOPS = f"""with recursive n as materialized (select id from ({B.SMALL_NODES})), k as (select id, row_number() over (order by observed_at desc nulls last, id) as rank from ({B.SMALL_EDGES})),
     w as materialized (select src, dst, id, rank from {_WALK} join k using (id) where dst in (select id from n)), q as (select 'N' || n_nationkey as source, 'S' || (n_nationkey * 3 % c) as target from {{nation}} cross join (select count(*) as c from {{supplier}})),
-    p as (select source, target, source as at, 0 as depth, []::bigint[] as ranks, []::varchar[] as ids from q union all select source, target, dst, depth + 1, list_append(ranks, rank), list_append(ids, w.id) from p join w on src = at where depth < 4 and at <> target),
-    b as (select source, target, arg_min(ids, ranks) as ids, min(ranks) as ranks from (select * from p where at = target qualify depth = min(depth) over (partition by source, target)) group by all)"""
+    p as (select source, target, source as here, 0 as depth, []::bigint[] as ranks, []::varchar[] as ids from q union all select source, target, dst, depth + 1, list_append(ranks, rank), list_append(ids, w.id) from p join w on src = here where depth < 4 and here <> target),
+    b as (select source, target, arg_min(ids, ranks) as ids, min(ranks) as ranks from (select * from p where here = target qualify depth = min(depth) over (partition by source, target)) group by all)"""
 
 
 @query(_HOPS + " select source, target, case when ids is null then null else len(ids) end::int as depth, array_to_string(ids, ',') as edges from q left join b using (source, target)")
@@ -739,12 +740,12 @@ def search_entities(spark, sf_dir):
     return G.search_entities(nodes, B.bind(spark, sf_dir, _SOUGHT))
 
 
-_VISITS = "select user_id, ts as at, event_type as place from {events}"
+_VISITS = "select user_id, ts as t, event_type as place from {events}"
 
 
-@query(f"select user_id, string_agg(place, ',' order by at) as trail from (select *, row_number() over (partition by user_id order by at desc) as r from (select *, lag(place) over (partition by user_id order by at) as before from ({_VISITS})) where before is distinct from place) where r <= 12 group by user_id")
+@query(f"select user_id, string_agg(place, ',' order by t) as trail from (select *, row_number() over (partition by user_id order by t desc) as r from (select *, lag(place) over (partition by user_id order by t) as before from ({_VISITS})) where before is distinct from place) where r <= 12 group by user_id")
 def traversal_trail(spark, sf_dir):
-    return G.traversal_trail(B.bind(spark, sf_dir, _VISITS)).select("user_id", F.array_join("trail", ",").alias("trail"))
+    return G.traversal_trail(B.bind(spark, sf_dir, _VISITS).withColumnRenamed("t", "at")).select("user_id", F.array_join("trail", ",").alias("trail"))
 
 
 @query(f"""with n as ({B.NODES}), e as ({B.EDGES}), v as ({B.EVENTS}), s as ({B.SOURCES}) select 'entities' as statistic, '' as value, count(*) as n from n union all select 'relationships', '', count(*) from e union all select 'events', '', count(*) from v union all select 'facts', '', 0 union all select 'rejected', '', 0
@@ -852,3 +853,34 @@ def parse_subsidiaries(spark, sf_dir):
 @query(f"select doc_id, pos::int as pos, name, jurisdiction from {_ROWS} qualify row_number() over (partition by doc_id, lower(name) order by pos) = 1")
 def unique_subsidiaries(spark, sf_dir):
     return X.unique_subsidiaries(X.parse_subsidiaries(_filings(spark, sf_dir))).select("doc_id", "pos", "name", "jurisdiction")
+
+
+# Streams ------------------------------------------------------------------------------------------------------------
+
+def _stream(spark, sf_dir, table: str) -> DataFrame:
+    """The table as a file stream; the pattern makes a single file and a folder alike."""
+    return spark.readStream.schema(read(spark, sf_dir, table).schema).parquet(f"{sf_dir}/{table}.parque[t]")
+
+
+@query("select o_custkey as id, min(o_orderkey) as seq, arg_min(o_orderstatus, o_orderkey) as status from {orders} group by o_custkey")
+def stream_ingest(spark, sf_dir):
+    from .sources.staging import new_folder
+    from .streaming import streams
+
+    folder = new_folder(spark, "ingest")
+    rows = _stream(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"))
+    streams.stream_ingest(rows, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return streams.canonical_state(spark.read.option("basePath", f"{folder}/table").parquet(f"{folder}/table/batch=*"))
+
+
+@query(ORACLE_SQL["traversal_trail"])
+def stream_trail(spark, sf_dir):
+    from .sources.staging import new_folder
+    from .streaming import streams
+
+    folder = new_folder(spark, "trail")
+    trails = streams.stream_trail(_stream(spark, sf_dir, "events").select("user_id", F.col("ts").alias("at"), F.col("event_type").alias("place")))
+    keep = lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/table/batch={k}")
+    trails.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    rows = spark.read.option("basePath", f"{folder}/table").parquet(f"{folder}/table/batch=*")
+    return rows.groupBy("user_id").agg(F.max_by("trail", "batch").alias("trail")).select("user_id", F.array_join("trail", ",").alias("trail"))

@@ -5,18 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir and read it back: a short lineage that outlives lost executors.
-
-    Where the setting is missing, local sessions use a temporary folder and others the warehouse.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; where that is missing, under a temporary folder in local sessions and the warehouse in others."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.gettempdir() if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master else spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{root.rstrip('/')}/attestry/{name}-{uuid.uuid4().hex}"
+        master = spark.sparkContext.master
+        root = tempfile.gettempdir() if master == "local" or master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/attestry/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write df to a folder that all executors share and read it back: a short lineage that outlives lost executors."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
