@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, settings, spool_path
+from .shared import carried, discard, settings, spool_path
 
 #: Deleted before texts are compared: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -102,8 +102,7 @@ def _by_text(docs: DataFrame, id_col: str, text_col: str, digests: DataFrame) ->
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of repeated rows of one id, one stays."""
-    spark = docs.sparkSession
-    marks = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    here = docs.withColumn("_sha2", F.sha2(normalised(F.col(text_col)), 256))
-    joined = here.join(marks, here[id_col].cast("long").eqNullSafe(marks["_keep"]) & (F.col("_sha2") == F.col("_sha")), "left_semi").drop("_sha2")
-    return joined.dropDuplicates([id_col, text_col])
+    marks = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("keep_sha")).distinct()
+    here = carried(docs, id_col, text_col).withColumn("sha", F.sha2(normalised(F.col("text")), 256))
+    joined = here.join(marks, F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("keep_sha")), "left_semi")
+    return joined.dropDuplicates(["doc_id", "text"]).select("row.*")

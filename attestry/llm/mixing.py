@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import slices, words
-from .shared import spool
+from .shared import carried, spool
 
 MOST_LABELS = 6_000
 BUCKETS = 1 << 12
@@ -144,7 +144,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS
     """
     known = labels.select(F.col(id_col).cast("long").alias("_id"), (label_domain() if domain is None else domain).cast("int").alias("domain")).filter("_id is not null and domain is not null")
     known = known.groupBy("_id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELS)
-    chosen = docs.join(F.broadcast(known), docs[id_col].cast("long") == F.col("_id")).select("domain", F.col(text_col).alias("text"))
+    chosen = carried(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("domain", "text")
     model = fit_softmax(*training_rows(chosen), len(weights))
     rows = spool(posteriors(docs, *model, id_col, text_col), "posteriors")
     rated = rows.withColumn("rate", rate_after(fit_rates(rows, weights)))
@@ -154,6 +154,6 @@ def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS
 
 def mixed_docs(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, each as often as its copies say."""
-    marks = mix(docs, labels, weights, id_col=id_col, text_col=text_col).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(marks, docs[id_col].cast("long").eqNullSafe(marks["_id"]))
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_k", "_id", "_copies")
+    marks = mix(docs, labels, weights, id_col=id_col, text_col=text_col).groupBy("doc_id").agg(F.max("copies").alias("copies")).withColumnRenamed("doc_id", "id").filter("copies > 0")
+    joined = carried(docs, id_col, text_col).join(marks, F.col("doc_id").eqNullSafe(F.col("id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("k")).select("row.*")

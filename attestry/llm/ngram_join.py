@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import mix, ngrams, slices, words
 from .components import components
-from .shared import settings, spool
+from .shared import carried, settings, spool
 from .substrings import BATCH_ROWS, BROADCAST_KEYS, BUCKET_BYTES, MOST_BUCKETS, pack_rising, unpack_rising
 
 N = 5
@@ -441,5 +441,5 @@ def _near_duplicates(docs: DataFrame, n: int, id_col: str, text_col: str) -> Dat
 
 def keep_representatives(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose id is the smallest of its component."""
-    kept = near_duplicates(docs, n, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    kept = near_duplicates(docs, n, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    return carried(docs, id_col, text_col).join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select("row.*")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import slices, words
-from .shared import spool
+from .shared import carried, spool
 
 #: Labelled rows that the fit uses at most.
 MOST_LABELS = 20_000
@@ -146,5 +146,5 @@ def classify_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quali
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose text is not rejected."""
-    marks = classify_quality(docs, labels, id_col=id_col, text_col=text_col).filter("predicted = 0").select(F.col("doc_id").alias("_bad"))
-    return docs.join(marks, docs[id_col].cast("long").eqNullSafe(marks["_bad"]), "left_anti")
+    marks = classify_quality(docs, labels, id_col=id_col, text_col=text_col).filter("predicted = 0").select(F.col("doc_id").alias("bad")).distinct()
+    return carried(docs, id_col, text_col).join(marks, F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti").select("row.*")
