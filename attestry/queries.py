@@ -855,6 +855,15 @@ def unique_subsidiaries(spark, sf_dir):
     return X.unique_subsidiaries(X.parse_subsidiaries(_filings(spark, sf_dir))).select("doc_id", "pos", "name", "jurisdiction")
 
 
+@query(f"""select {sid('entity', "'INTERNAL:filing:' || doc_id || ':' || pos")} as subject_entity_id, {sid('entity', "'INTERNAL:filing:' || doc_id")} as object_entity_id, 'SUBSIDIARY_OF' as predicate, concat_ws(' — ', name, jurisdiction) as evidence
+    from {_ROWS} qualify row_number() over (partition by doc_id, lower(name) order by pos) = 1""")
+def filings_to_graph(spark, sf_dir):
+    from .operators.batch import ingest_batch
+
+    tables = ingest_batch(X.filing_candidates(_filings(spark, sf_dir), "filings"), as_of="2024-01-01T00:00:00Z")
+    return tables["relationships"].select("subject_entity_id", "object_entity_id", "predicate", "evidence")
+
+
 # Streams ------------------------------------------------------------------------------------------------------------
 
 def _stream(spark, sf_dir, table: str) -> DataFrame:
