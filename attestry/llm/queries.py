@@ -80,7 +80,20 @@ _LICENSES = rf"""
     from w left join base using (k) left join more using (k)
 """
 
+_SHINGLES = rf"""
+    with recursive t as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS.upper()}', '{_LETTERS}'), '[^\x20\x09-\x0D]+') as ws from documents),
+    s as materialized (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) end) as gs from t),
+    g as materialized (select doc_id, len(gs) as n, unnest(gs) as g from s),
+    pairs as (select a.doc_id as x, b.doc_id as y, any_value(a.n) as nx, any_value(b.n) as ny, count(*) as k from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all),
+    links as materialized (select x, y from pairs where 100 * k >= 80 * (nx + ny - k)),
+    edges as materialized (select x, y from links union select y, x from links),
+    reach as (select x, y from edges union select r.x, e.y from reach r join edges e on r.y = e.x),
+    least_of as (select x as doc_id, min(y) as y from reach group by x)
+    select doc_id, len(gs)::bigint as n_shingles, coalesce(least(doc_id, y), doc_id) as component_id from s left join least_of using (doc_id)
+"""
+
 ORACLE_SQL = {
+    "op1_ngram_join": _SHINGLES,
     "op3_substring_dedup": r"""
         with t as (select row_number() over () as k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
         w as (select k, i, list_slice(ws, i + 1, i + 35) as win from t, range(0, greatest(len(ws) - 34, 0)) r(i)),
