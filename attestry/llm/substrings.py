@@ -40,8 +40,8 @@ BROADCAST_KEYS = 300_000
 #: Rows of a batch of texts, so that a worker holds a few MB of them.
 BATCH_ROWS = "2000"
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
-#: A packed row: the bucket, keys of a slice's texts, each text's first word, codes, places among the slice's words
-#: (rising). Rows without codes hold what the slice has settled: key and place in the text of each.
+#: A packed row: the bucket, keys of the texts that have codes here, each text's first word, codes, places among the
+#: slice's words (rising). Rows without codes hold what the slice has settled: key and place in the text of each.
 PACKED = "bucket int, keys binary, firsts binary, high binary, low binary, place binary"
 
 
@@ -77,8 +77,11 @@ def packed_rows(keys: np.ndarray, w: Words, at: np.ndarray, code: np.ndarray, bu
     spans = list(zip(cut.tolist(), [*cut[1:].tolist(), len(at)]))
     high = (code >> np.uint64(32)).astype("<u4" if wide else np.uint8)
     low = code.astype("<u4")
-    ids, firsts = keys.astype("<i8").tobytes(), w.first[:-1].astype("<u4").tobytes()
-    columns = [bucket[cut].astype(np.int32).tolist(), [ids] * len(spans), [firsts] * len(spans), [high[a:b].tobytes() for a, b in spans], [low[a:b].tobytes() for a, b in spans], [pack_rising(at[a:b]) for a, b in spans]]
+    columns = [bucket[cut].astype(np.int32).tolist(), [], [], [high[a:b].tobytes() for a, b in spans], [low[a:b].tobytes() for a, b in spans], [pack_rising(at[a:b]) for a, b in spans]]
+    for a, b in spans:  # only the texts that have codes here, so a row is no longer than its codes ask for
+        used = np.unique(np.searchsorted(w.first, at[a:b], "right") - 1)
+        columns[1].append(keys[used].astype("<i8").tobytes())
+        columns[2].append(w.first[used].astype("<u4").tobytes())
     if len(settled):
         own = np.searchsorted(w.first, settled, "right") - 1
         key, place = distinct_pairs(keys[own], settled - w.first[own])
@@ -186,8 +189,8 @@ def meet(packed: DataFrame, buckets: int, block: int | None, wide: bool) -> Data
             cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             yield pa.RecordBatch.from_pydict({"key": pa.array(key[cut], pa.int64()), "places": pa.array([place[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(key)])], pa.binary())})
 
-    found = packed.repartition(buckets, "bucket").mapInArrow(hits, "target int, keys binary, places binary")
-    return found.repartition(buckets, "target").mapInArrow(together, "key long, places binary")
+    found = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(hits, "target int, keys binary, places binary")
+    return found.repartitionById(buckets, F.col("target")).mapInArrow(together, "key long, places binary")
 
 
 def distinct_pairs(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
