@@ -122,7 +122,11 @@ def smallest_rows(rows: DataFrame, n: int, buckets: int) -> DataFrame:
             bucket = (code % np.uint64(buckets)).astype(np.int32)
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
             spans = list(zip(at.tolist(), [*at[1:].tolist(), len(code)]))
-            columns = [bucket[at].tolist(), [names.tobytes()] * len(spans), [pack_rising(owner[a:b]) for a, b in spans], [code[a:b].astype("<u8").tobytes() for a, b in spans]]
+            columns = [bucket[at].tolist(), [], [], [code[a:b].astype("<u8").tobytes() for a, b in spans]]
+            for a, b in spans:  # only the classes that have codes here, so a row is no longer than its codes ask for
+                used, local = np.unique(owner[a:b], return_inverse=True)
+                columns[1].append(names[used[used < len(names)]].tobytes())
+                columns[2].append(pack_rising(local))
             some = np.flatnonzero(settled)
             if len(some):
                 for column, value in zip(columns, (int(code[0] % np.uint64(buckets)), names[some].tobytes(), settled[some].astype("<u4").tobytes(), None)):
@@ -189,8 +193,8 @@ def shared_counts(packed: DataFrame, buckets: int) -> DataFrame:
         total = np.bincount(inverse, np.concatenate(numbers), len(every)).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"short": pa.array(every, pa.int64()), "shared": pa.array(total, pa.int64())})
 
-    met = packed.repartition(buckets, "bucket").mapInArrow(compute, "target int, names binary, numbers binary")
-    return met.repartition(buckets, "target").mapInArrow(add_up, "short long, shared long")
+    met = packed.repartitionById(buckets, F.col("bucket")).mapInArrow(compute, "target int, names binary, numbers binary")
+    return met.repartitionById(buckets, F.col("target")).mapInArrow(add_up, "short long, shared long")
 
 
 def chunk_rows(texts: DataFrame, n: int) -> DataFrame:
@@ -239,7 +243,7 @@ def chunk_counts(chunks: DataFrame, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"chunk": pa.array([r["chunk"]], pa.binary()), "codes": pa.array([code[keep].tobytes()], pa.binary()), "counts": pa.array([mine[keep].astype("<u4").tobytes()], pa.binary())})
 
     sent = chunks.select("chunk", "codes").mapInArrow(send, "bucket int, chunk binary, codes binary, counts binary")
-    return sent.repartition(buckets, "bucket").mapInArrow(add_up, "chunk binary, codes binary, counts binary")
+    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(add_up, "chunk binary, codes binary, counts binary")
 
 
 ORDERED = "cls binary, n long, alone long, codes binary, counts binary, weight double"
@@ -323,8 +327,9 @@ def walk_trie(probe: np.ndarray, n: int, sets: list[np.ndarray], sizes: list[int
 
 def trie_join(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of the given distinct pairs that link. a's set probes tries of its b's, TRIE_SETS or so at a time."""
-    counted = pairs.groupBy("a").agg(F.ceil(F.count("*") / TRIE_SETS).cast("int").alias("parts"))
-    dealt = spool(pairs.join(counted, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")), "pairs")
+    counted = spool(pairs.groupBy("a").agg(F.ceil(F.count("*") / TRIE_SETS).cast("int").alias("parts")).filter("parts > 1"), "large")
+    large = F.broadcast(counted) if counted.count() <= BROADCAST_KEYS else counted  # a probe of few sets is not among them
+    dealt = spool(pairs.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")), "pairs")
     slim = sets.select("cls", "n", "codes")
     probes = dealt.select("a", "part").distinct().join(slim.withColumnRenamed("cls", "a"), "a").select("a", "part", F.lit(None).cast("binary").alias("b"), "n", "codes")
     members = dealt.join(slim.withColumnRenamed("cls", "b"), "b").select("a", "part", "b", "n", "codes")
