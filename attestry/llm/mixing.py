@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import slices, words
-from .shared import carried, spool
+from .shared import carried, spool, text_key
 
 MOST_LABELS = 6_000
 BUCKETS = 1 << 12
@@ -82,8 +82,9 @@ def fit_softmax(rows: list[np.ndarray], domain: np.ndarray, domains: int, rounds
     return weights * idf[:, None], bias
 
 
-def posteriors(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_tokens, p): words per document and its domain posteriors."""
+def posteriors(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, id_col: str, text_col: str, keyed: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, p): words per document and its domain posteriors; keyed adds the text's digest as text_key."""
+    extra = ["text_key"] if keyed else []
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,10 +98,10 @@ def posteriors(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, id_col: s
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 flat = pa.ListArray.from_arrays(np.arange(0, p.size + 1, len(bias), dtype=np.int32), p.ravel())
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(lo, hi - lo), "n_tokens": pa.array(count, pa.int64()), "p": flat})
+                yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(lo, hi - lo), **{k: batch.column(k).slice(lo, hi - lo) for k in extra}, "n_tokens": pa.array(count, pa.int64()), "p": flat})
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, n_tokens long, p array<double>")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[text_key(docs[text_col]).alias(k) for k in extra])
+    return rows.mapInArrow(compute, "doc_id long, " + "".join(f"{k} string, " for k in extra) + "n_tokens long, p array<double>")
 
 
 def rate_after(residuals: list[list[float]]) -> Column:
@@ -142,11 +143,15 @@ def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS
 
     copies rounds the rate up or down by a hash of the id and the rate's own fraction, so its mean is the rate.
     """
+    return _mixed(docs, labels, weights, domain, id_col, text_col, False)
+
+
+def _mixed(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...], domain: Column | None, id_col: str, text_col: str, keyed: bool) -> DataFrame:
     known = labels.select(F.col(id_col).cast("long").alias("_id"), (label_domain() if domain is None else domain).cast("int").alias("domain")).filter("_id is not null and domain is not null")
     known = known.groupBy("_id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELS)
     chosen = carried(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("domain", "text")
     model = fit_softmax(*training_rows(chosen), len(weights))
-    rows = spool(posteriors(docs, *model, id_col, text_col), "posteriors")
+    rows = spool(posteriors(docs, *model, id_col, text_col, keyed), "posteriors")
     rated = rows.withColumn("rate", rate_after(fit_rates(rows, weights)))
     chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "n_tokens"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
@@ -154,6 +159,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS
 
 def mixed_docs(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, each as often as its copies say."""
-    marks = mix(docs, labels, weights, id_col=id_col, text_col=text_col).groupBy("doc_id").agg(F.max("copies").alias("copies")).withColumnRenamed("doc_id", "id").filter("copies > 0")
-    joined = carried(docs, id_col, text_col).join(marks, F.col("doc_id").eqNullSafe(F.col("id")))
+    marks = _mixed(docs, labels, weights, None, id_col, text_col, True).groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.max("copies").alias("copies")).filter("copies > 0")
+    rows = carried(docs, id_col, text_col).select("row", "doc_id", text_key(F.col("text")).alias("text_key"))
+    joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("k")).select("row.*")

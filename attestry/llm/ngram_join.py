@@ -412,16 +412,29 @@ def read_again(rows: DataFrame, keys: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
     with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS):
-        return _near_duplicates(docs, n, id_col, text_col)
+        every, classes, member = _components(docs, n, id_col, text_col, False)
+        if member is None:
+            merged = classes.select("cls", F.col("least").alias("component_id"))
+        else:
+            best = spool(member.groupBy("label").agg(F.min("least").alias("component_id")), "best")
+            named = member.join(best, "label").select(F.col("v").alias("cls"), "component_id")
+            merged = classes.join(named, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
+        merged = spool(merged, "component")
+        return every.join(merged, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _near_duplicates(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+def _components(docs: DataFrame, n: int, id_col: str, text_col: str, named: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows with their class, classes, classes v that have links with their component's label, if any).
+
+    named adds each class's first row (by id, nulls last) as first.
+    """
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")] * named
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1))
     every = spool(class_rows(rows, n), "classes")
-    classes = spool(every.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.min("n").alias("n"), F.min("short").alias("short")), "class")
+    classes = spool(every.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), *first, F.min("n").alias("n"), F.min("short").alias("short")), "class")
     shared = shared_counts(smallest_rows(rows.select("text"), n, buckets), buckets)
     able = spool(classes.join(shared, "short").filter(F.col("shared") >= F.greatest(F.lit(1), F.floor((F.col("n") + 9) / 10))).select("key"), "able")
     links = None
@@ -433,18 +446,22 @@ def _near_duplicates(docs: DataFrame, n: int, id_col: str, text_col: str) -> Dat
         clusters = components(near)
         links = near.unionByName(spool(trie_join(crossing_pairs(sets, clusters), sets), "links"))
     if links is None or links.isEmpty():
-        merged = classes.select("cls", F.col("least").alias("component_id"))
-    else:
-        member = components(links).join(classes.withColumnRenamed("cls", "v"), "v").select("v", "label", "least")
-        member = spool(member, "members")
-        best = spool(member.groupBy("label").agg(F.min("least").alias("component_id")), "best")
-        named = member.join(best, "label").select(F.col("v").alias("cls"), "component_id")
-        merged = classes.join(named, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
-    merged = spool(merged, "component")
-    return every.join(merged, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        return every, classes, None
+    member = components(links).join(classes.withColumnRenamed("cls", "v"), "v").select("v", "label", "least", *["first"] * named)
+    return every, classes, spool(member, "members")
 
 
 def keep_representatives(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose id is the smallest of its component."""
-    kept = near_duplicates(docs, n, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
-    return carried(docs, id_col, text_col).join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select("row.*")
+    """The rows of docs, with all their columns, that stand for their component: its smallest id, null only if all are.
+
+    Rows are known by id and text, so rows of one id (or of none) with other texts are decided each by itself; only
+    rows equal in both are kept or dropped together.
+    """
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS):
+        every, classes, member = _components(docs, n, id_col, text_col, True)
+        kept = classes.select("cls", "first.key")
+        if member is not None:
+            kept = classes.join(member.select(F.col("v").alias("cls")), "cls", "left_anti").select("first.key").unionByName(member.groupBy("label").agg(F.min("first").alias("first")).select("first.key"))
+        kept = spool(kept.select("key").unionByName(every.filter("cls is null").select("key").distinct()), "kept")
+        rows = carried(docs, id_col, text_col).select("row", F.xxhash64(F.col("row").getField(id_col), F.col("text")).alias("key"))
+        return rows.join(kept, "key", "left_semi").select("row.*")

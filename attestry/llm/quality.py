@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import slices, words
-from .shared import carried, spool
+from .shared import carried, spool, text_key
 
 #: Labelled rows that the fit uses at most.
 MOST_LABELS = 20_000
@@ -69,16 +69,19 @@ def statistics_of(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     return out | {"upper_of_letters": kinds["upper"] / np.maximum(letters, 1), "words_per_line": count / (kinds["line"] + 1), "stops_per_word": kinds["stop"] / many, "symbols_per_word": kinds["symbol"] / many}
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(doc_id, statistics) of each row; keyed adds the text's digest as text_key."""
+    extra = ["text_key"] if keyed else []
+
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
             for lo, hi, data, offsets in slices(batch.column("text")):
                 found = statistics_of(data, offsets)
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(lo, hi - lo), **{k: pa.array(found[k], pa.float64()) for k in STATISTICS}})
+                yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(lo, hi - lo), **{k: batch.column(k).slice(lo, hi - lo) for k in extra}, **{k: pa.array(found[k], pa.float64()) for k in STATISTICS}})
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, " + ", ".join(f"{k} double" for k in STATISTICS))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[text_key(docs[text_col]).alias(k) for k in extra])
+    return rows.mapInArrow(compute, "doc_id long, " + "".join(f"{k} string, " for k in extra) + ", ".join(f"{k} double" for k in STATISTICS))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -135,16 +138,21 @@ def score_column(intercept: float, rules: list[tuple[Rule, float]]) -> Column:
 
 def classify_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted."""
-    stats = spool(text_statistics(docs, id_col, text_col), "statistics")
+    return _classified(docs, labels, label_col, id_col, text_col, False)
+
+
+def _classified(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, keyed: bool) -> DataFrame:
+    stats = spool(text_statistics(docs, id_col, text_col, keyed), "statistics")
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("double").alias("y")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS)
     train = spool(stats.join(F.broadcast(known), "doc_id").coalesce(4), "training")
     intercept, rules = fit_rules(train)
     score = score_column(intercept, rules)
-    return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+    return stats.select("doc_id", *["text_key"] * keyed, held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose text is not rejected."""
-    marks = classify_quality(docs, labels, id_col=id_col, text_col=text_col).filter("predicted = 0").select(F.col("doc_id").alias("bad")).distinct()
-    return carried(docs, id_col, text_col).join(marks, F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti").select("row.*")
+    marks = _classified(docs, labels, "quality", id_col, text_col, True).filter("predicted = 0").select("text_key").distinct()
+    rows = carried(docs, id_col, text_col).select("row", text_key(F.col("text")).alias("text_key"))
+    return rows.join(marks, "text_key", "left_anti").select("row.*")
