@@ -1,10 +1,14 @@
 """Mixing towards target weights with soft membership.
 
 A softmax regression on hashed word counts learns the domains from a labelled table (at most MOST_LABELS rows of it,
-chosen by a hash of their id) and gives every document its domain posteriors. Document rates r >= 0 then minimise the
-squared distances between expected domain token totals and their targets, each domain scaled by its natural total, by
-projected gradient descent from r = 1: a step needs one sum over all documents (one number per domain reaches the
-driver), and a document's rate follows from its posteriors and the steps' residuals, so no state is kept between steps.
+chosen by a hash of their id) and gives every document its domain posteriors. The registered query and the pipeline
+take the document rates r >= 0 nearest to 1 (in squares weighted by tokens) under which the expected domain token
+totals have the asked shares of the natural total, with no bound on epochs: r = max(0, 1 + p * m) with one multiplier m
+per domain, found by Newton's method. A step needs one sum over all documents (a few numbers per domain reach the
+driver), and a rate follows from the posteriors and the multipliers. Shares that no rates reach are an error.
+
+mix alone, without exact, bounds a domain's target by MOST_EPOCHS times its natural total and takes at most STEPS steps
+of projected gradient descent from r = 1, so its totals can miss the asked shares.
 
 Defined results: a null text counts as empty, has no tokens and evenly unknown membership (the model's intercept).
 Repeated rows each get their row. Rows with a null id are rated like others but are never trained on. With no usable
@@ -31,6 +35,8 @@ WEIGHTS = (0.97, 0.02, 0.01)
 #: A domain's target is at most so many times its natural total.
 MOST_EPOCHS = 1.25
 STEPS, CLOSE = 40, 1e-4
+#: Newton steps after which the asked shares count as out of reach, and halvings of a step.
+NEWTON, HALVINGS = 60, 12
 
 
 def label_domain() -> Column:
@@ -138,28 +144,75 @@ def fit_rates(rows: DataFrame, weights: tuple[float, ...], epochs: float = MOST_
     return residuals
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_tokens, p (posteriors), rate, copies.
+def exact_rate(multipliers: np.ndarray) -> Column:
+    return F.greatest(F.lit(0.0), sum((F.col("p")[k] * F.lit(float(m)) for k, m in enumerate(multipliers)), F.lit(1.0)))
+
+
+def fit_exact(rows: DataFrame, weights: tuple[float, ...]) -> np.ndarray:
+    """The multipliers under which every domain's expected tokens come within CLOSE of its share of all tokens.
+
+    They minimise a convex function of as many variables as there are domains: half the sum of n * rate^2, less the
+    multipliers times the targets. One job looks at a step and its halvings.
+    """
+    kinds = len(weights)
+    share = np.array(weights, float) / sum(weights)
+    total = float(rows.agg(F.sum("n_tokens")).first()[0] or 0)
+    multipliers = np.zeros(kinds)
+    if not total:
+        return multipliers
+    part = F.col("n_tokens") / F.lit(total)
+
+    def look(points: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Per point: the function, its gradient and its second derivatives."""
+        sums = []
+        for j, m in enumerate(points):
+            r = F.col(f"r{j}")
+            sums += [F.sum(part * r * r), *[F.sum(part * r * F.col("p")[k]) for k in range(kinds)]]
+            sums += [F.sum(F.when(r > 0, part * F.col("p")[k] * F.col("p")[i]).otherwise(0.0)) for k in range(kinds) for i in range(kinds)]
+        row = rows.select("n_tokens", "p", *[exact_rate(m).alias(f"r{j}") for j, m in enumerate(points)]).agg(*[s.alias(f"s{j}") for j, s in enumerate(sums)]).first()
+        each = np.array(row, float).reshape(len(points), -1)
+        return [(x[0] / 2 - m @ share, x[1 : 1 + kinds] - share, x[1 + kinds :].reshape(kinds, kinds)) for x, m in zip(each, points)]
+
+    value, slope, curve = look([multipliers])[0]
+    for _ in range(NEWTON):
+        if np.abs(slope / np.maximum(share, 1e-9)).max() < CLOSE:
+            return multipliers
+        step = np.linalg.solve(curve + 1e-10 * np.eye(kinds), -slope)
+        for first in range(0, HALVINGS, 3):
+            points = [multipliers + step / 2**k for k in range(first, first + 3)]
+            seen = [(*x, m) for x, m in zip(look(points), points) if x[0] < value]
+            if seen:
+                value, slope, curve, multipliers = min(seen, key=lambda x: x[0])
+                break
+        else:
+            break
+    if np.abs(slope / np.maximum(share, 1e-9)).max() < CLOSE:
+        return multipliers
+    raise ValueError(f"no rates of these documents reach the shares {share.tolist()}; the last ones tried give {(slope + share).tolist()} of the natural tokens")
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, p (posteriors), rate, copies; exact meets the weights or fails.
 
     copies rounds the rate up or down by a hash of the id and the rate's own fraction, so its mean is the rate.
     """
-    return _mixed(docs, labels, weights, domain, id_col, text_col, False)
+    return _mixed(docs, labels, weights, domain, id_col, text_col, False, exact)
 
 
-def _mixed(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...], domain: Column | None, id_col: str, text_col: str, keyed: bool) -> DataFrame:
+def _mixed(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...], domain: Column | None, id_col: str, text_col: str, keyed: bool, exact: bool) -> DataFrame:
     known = labels.select(F.col(id_col).cast("long").alias("_id"), (label_domain() if domain is None else domain).cast("int").alias("domain")).filter("_id is not null and domain is not null")
     known = known.groupBy("_id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELS)
     chosen = carried(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("domain", "text")
     model = fit_softmax(*training_rows(chosen), len(weights))
     rows = spool(posteriors(docs, *model, id_col, text_col, keyed), "posteriors")
-    rated = rows.withColumn("rate", rate_after(fit_rates(rows, weights)))
+    rated = rows.withColumn("rate", exact_rate(fit_exact(rows, weights)) if exact else rate_after(fit_rates(rows, weights)))
     chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "n_tokens"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
 
 
-def mixed_docs(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed_docs(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """The rows of docs, with all their columns, each as often as its copies say."""
-    marks = _mixed(docs, labels, weights, None, id_col, text_col, True).groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.max("copies").alias("copies")).filter("copies > 0")
+    marks = _mixed(docs, labels, weights, None, id_col, text_col, True, exact).groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.max("copies").alias("copies")).filter("copies > 0")
     rows = carried(docs, id_col, text_col).select("row", "doc_id", text_key(F.col("text")).alias("text_key"))
     joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("k")).select("row.*")

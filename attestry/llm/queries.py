@@ -47,7 +47,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rows = mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), exact=True)
     return rows.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{name}") for k, name in enumerate(DOMAINS)], "rate", "copies")
 
 

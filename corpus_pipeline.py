@@ -29,7 +29,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate towards the target weights says."""
-    return mixed_docs(docs, table(spark, sf_dir, "labels"))
+    return mixed_docs(docs, table(spark, sf_dir, "labels"), exact=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,3 +42,26 @@ def test_copies_are_for_rows_not_ids(spark):
     labels = spark.createDataFrame([(k, int(k < 40), 0) for k in range(80)], "doc_id long, quality int, toxic int")
     got = Counter(r.place for r in mixing.mixed_docs(docs, labels).select("place").collect())
     assert sum(got[k] for k in range(100, 120)) <= 8 < 18 <= sum(got[k] for k in range(80, 100))
+
+
+def mixture(spark, toxic=True):
+    rnd = random.Random(2)
+    kinds = (["the", "house", "walks"], ["buy", "now", "win"], ["vile", "foul", "hate"])
+    shares = (60, 36, 4 * toxic)
+    rows = [(i, " ".join(rnd.choice(kinds[k] + ["and", "of"]) for _ in range(rnd.randint(20, 60))), k) for i, k in enumerate(k for k, n in enumerate(shares) for _ in range(n))]
+    labels = [(i, int(k == 0), int(k == 2)) for i, _, k in rows]
+    return spark.createDataFrame(rows, PLAIN), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_totals_have_the_asked_shares(spark):
+    weights = (0.85, 0.12, 0.03)
+    rows = mixing.mix(*mixture(spark), weights, exact=True).collect()
+    t, p, r = np.array([x.n_tokens for x in rows], float), np.array([x.p for x in rows]), np.array([x.rate for x in rows])
+    assert (t[:, None] * p).sum(0)[0] / t.sum() < weights[0] / mixing.MOST_EPOCHS  # where a bound of epochs would cut
+    assert np.allclose((r * t) @ p / t.sum(), weights, rtol=1e-3) and (r >= 0).all()
+
+
+def test_shares_out_of_reach_are_an_error(spark):
+    docs, labels = mixture(spark, toxic=False)
+    with pytest.raises(ValueError, match="no rates"):
+        mixing.mix(docs, labels, (0.1, 0.1, 0.8), exact=True)
