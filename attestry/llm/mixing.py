@@ -50,16 +50,20 @@ def bucket_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def training_rows(docs: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets of each labelled document's words and its domain; bounded by MOST_LABELS."""
+    """Buckets of each labelled document's words and its domain; one row per label id, so bounded by MOST_LABELS.
+
+    Of several rows with one id, that with the smallest buckets counts; only the chosen one leaves its task.
+    """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column("text")):
                 text, bucket, _ = bucket_counts(data, offsets)
                 found = [np.unique(bucket[text == k]).astype("<u2").tobytes() for k in range(hi - lo)]
-                yield pa.RecordBatch.from_pydict({"domain": batch.column("domain").slice(lo, hi - lo), "buckets": pa.array(found, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"_id": batch.column("_id").slice(lo, hi - lo), "domain": batch.column("domain").slice(lo, hi - lo), "buckets": pa.array(found, pa.binary())})
 
-    rows = docs.mapInArrow(compute, "domain int, buckets binary").collect()
+    found = docs.select("_id", "domain", "text").mapInArrow(compute, "_id long, domain int, buckets binary")
+    rows = found.groupBy("_id").agg(F.max("domain").alias("domain"), F.min("buckets").alias("buckets")).orderBy("_id").collect()
     return [np.frombuffer(bytes(r.buckets), "<u2").astype(np.int64) for r in rows], np.array([r.domain for r in rows], np.int64)
 
 
@@ -202,7 +206,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS
 def _mixed(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...], domain: Column | None, id_col: str, text_col: str, keyed: bool, exact: bool) -> DataFrame:
     known = labels.select(F.col(id_col).cast("long").alias("_id"), (label_domain() if domain is None else domain).cast("int").alias("domain")).filter("_id is not null and domain is not null")
     known = known.groupBy("_id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELS)
-    chosen = carried(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("domain", "text")
+    chosen = carried(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_id", "domain", "text")
     model = fit_softmax(*training_rows(chosen), len(weights))
     rows = spool(posteriors(docs, *model, id_col, text_col, keyed), "posteriors")
     rated = rows.withColumn("rate", exact_rate(fit_exact(rows, weights)) if exact else rate_after(fit_rates(rows, weights)))

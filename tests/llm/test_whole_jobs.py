@@ -65,3 +65,11 @@ def test_shares_out_of_reach_are_an_error(spark):
     docs, labels = mixture(spark, toxic=False)
     with pytest.raises(ValueError, match="no rates"):
         mixing.mix(docs, labels, (0.1, 0.1, 0.8), exact=True)
+
+
+def test_a_hot_label_sends_one_row(spark):
+    docs, labels = mixture(spark)
+    hot = docs.filter("doc_id = 3").crossJoin(spark.range(500)).select("doc_id", "text", "place")
+    chosen = docs.unionByName(hot).join(labels, "doc_id").select(F.col("doc_id").alias("_id"), F.lit(0).alias("domain"), "text")
+    rows, domain = mixing.training_rows(chosen)
+    assert len(rows) == len(domain) == 100
