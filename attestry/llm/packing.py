@@ -14,6 +14,8 @@ null id included; ties are ordered by a row's place in the written pieces. An em
 from __future__ import annotations
 
 import base64
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +34,8 @@ CLOSING = 1
 TIERS = (256, 512, 1024, 2048)
 #: Sequences per step group; sequences are numbered from the fullest patterns down and dealt to the groups in turn.
 GROUP = 64
+#: White space of this length is encoded by the JSON tokenizer: the ranks' library overflows its stack on very long runs.
+LONG_SPACE = 20_000
 #: Pieces of one length that are ranked in one part.
 PART_ROWS, MOST_PARTS = 200_000, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -48,6 +52,22 @@ def encoder(path: str):
     return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(1)
+def json_encoder(path: str):
+    """The JSON tokenizer beside a ranks file; special tokens' strings in a text are ordinary text in both."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(os.path.splitext(path)[0] + ".json")
+    found.encode_special_tokens = True
+    return found
+
+
+def encode(text: str, path: str) -> list[int]:
+    if len(text) >= LONG_SPACE and re.search(rf"\s{{{LONG_SPACE}}}", text):
+        return json_encoder(path).encode(text, add_special_tokens=False).ids
+    return encoder(path).encode_ordinary(text)
+
+
 def tokenizer_path() -> str:
     """The ranks of byte_bpe_50k.json: the same vocabulary and ids, in a form that is encoded about three times as fast."""
     import public_tokenizers
@@ -59,12 +79,11 @@ def cut_pieces(docs: DataFrame, path: str, window: int, id_col: str, text_col: s
     """One row per piece; each id of a document, the closing one included, lies in exactly one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
         names = PIECES.replace(" long", "").split(", ")
         for batch in batches:
             out: dict[str, list] = {k: [] for k in names}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.array([*encode(text or ""), CLOSING], "<u4").tobytes()
+                ids = np.array([*encode(text or "", path), CLOSING], "<u4").tobytes()
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     part = ids[4 * start : 4 * (start + window)]

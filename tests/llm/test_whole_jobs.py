@@ -1,6 +1,7 @@
 """Places where an operator once did less than its whole job."""
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -73,3 +74,16 @@ def test_a_hot_label_sends_one_row(spark):
     chosen = docs.unionByName(hot).join(labels, "doc_id").select(F.col("doc_id").alias("_id"), F.lit(0).alias("domain"), "text")
     rows, domain = mixing.training_rows(chosen)
     assert len(rows) == len(domain) == 100
+
+
+def test_long_white_space_is_encoded(spark):
+    texts = ["a" + " " * 1_000_000 + "b <|endoftext|>", "x" + "\n" * 400_000]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    plain = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    for k, text in enumerate(texts):
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, packing.CLOSING], "<u4")
+        assert {(r.start, r.ids_crc32) for r in rows if r.doc_id == k} == {(s, zlib.crc32(ids[s : s + 2048].tobytes())) for s in range(0, len(ids), 2048)}
