@@ -1,11 +1,12 @@
 """Hierarchical packing of tokenised documents into sequences of several lengths.
 
 A document's ids are cut into pieces of at most the longest window. Whole windows stand alone. A shorter piece is
-routed to the smallest tier that holds it; tiers are packed from the longest down, the gap that a window's pieces
-leave being filled by the longest pieces of the shorter tiers that still fit. Only a histogram of piece lengths (no
+routed to the smallest tier that holds it; tiers are packed from the longest down into sequences of the tier's own
+length, the gap that a sequence's pieces leave being filled by the longest pieces of the shorter tiers that still fit. Only a histogram of piece lengths (no
 more rows than the window has tokens) reaches the driver, which turns it into packing patterns and how often each is
-used. Pieces are then dealt to the patterns' places by their rank among pieces of equal length. A sequence whose
-length is a power of two goes out at that length; others are padded to the longest window.
+used. Pieces are then dealt to the patterns' places by their rank among pieces of equal length. A sequence goes out
+padded to its tier. Sequences are numbered tier by tier, each from the longest first pieces down, and dealt to the step
+groups in turn, so that the groups' sequences of each tier differ by one at most and so do all their sequences.
 
 Defined results: a null or empty text has the closing id alone. Every row is packed, repeated rows and rows with a
 null id included; ties are ordered by a row's place in the written pieces. An empty table gives no rows.
@@ -95,17 +96,22 @@ def cut_pieces(docs: DataFrame, path: str, window: int, id_col: str, text_col: s
     return rows.mapInArrow(cut, PIECES)
 
 
+def tier_of(length: int, window: int = WINDOW) -> int:
+    """The smallest tier that holds a piece."""
+    return next((t for t in TIERS if length <= t < window), window)
+
+
 def plan_patterns(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[list[int], int]]:
     """(lengths in one sequence, how many such sequences) using up the histogram of lengths.
 
-    The longest piece left opens a window; its gap takes the longest pieces that fit, which come from ever shorter
-    tiers. A pattern is repeated while its pieces last, so each round uses up at least one length.
+    The longest piece left opens a sequence of its tier; the gap takes the longest pieces that fit, which come from ever
+    shorter tiers. A pattern is repeated while its pieces last, so each round uses up at least one length.
     """
     left = {k: n for k, n in histogram.items() if n}
     lengths = sorted(left)
     patterns = []
     while lengths:
-        gap, used = window, {}
+        gap, used = tier_of(lengths[-1], window), {}
         at = len(lengths) - 1
         while at >= 0 and gap >= lengths[0]:
             size = lengths[at]
@@ -122,7 +128,7 @@ def plan_patterns(histogram: dict[int, int], window: int = WINDOW) -> list[tuple
     return patterns
 
 
-def place_runs(patterns: list[tuple[list[int], int]]) -> list[dict]:
+def place_runs(patterns: list[tuple[list[int], int]], window: int = WINDOW) -> list[dict]:
     """Per length, runs of ranks: rank r of [lo, hi) goes to sequence first + (r - lo) // each, at offset + (r - lo) % each * length."""
     runs, ranks, sequence = [], {}, 0
     for lengths, times in patterns:
@@ -131,7 +137,7 @@ def place_runs(patterns: list[tuple[list[int], int]]) -> list[dict]:
             each = lengths.count(size)
             lo = ranks.get(size, 0)
             ranks[size] = lo + each * times
-            runs.append({"length": size, "lo": lo, "hi": ranks[size], "first": sequence, "each": each, "offset0": offset, "filled": sum(lengths)})
+            runs.append({"length": size, "lo": lo, "hi": ranks[size], "first": sequence, "each": each, "offset0": offset, "padded": tier_of(max(lengths), window)})
             offset += each * size
         sequence += times
     return runs
@@ -151,15 +157,14 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col:
         bases.append({"length": length, "part": part, "base": before.get(length, 0)})
         before[length] = before.get(length, 0) + n
     patterns = plan_patterns(histogram, window)
-    runs = place_runs(patterns)
+    runs = place_runs(patterns, window)
     steps = max(1, -(-sum(times for _, times in patterns) // GROUP))
     base = F.broadcast(literal_table(spark, bases, "length bigint, part int, base bigint"))
-    plan = F.broadcast(literal_table(spark, runs, "length bigint, lo bigint, hi bigint, first bigint, each bigint, offset0 bigint, filled bigint"))
+    plan = F.broadcast(literal_table(spark, runs, "length bigint, lo bigint, hi bigint, first bigint, each bigint, offset0 bigint, padded bigint"))
     rank = F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "start", "_file", "_row")) - 1
     ranked = pieces.withColumn("rank", rank.cast("long")).join(base, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
     placed = ranked.join(plan, "length").filter("rank >= lo and rank < hi").withColumn("k", F.col("rank") - F.col("lo"))
-    power = F.col("filled").bitwiseAND(F.col("filled") - 1) == 0
-    tier = F.coalesce(*[F.when(F.col("length") <= t, F.lit(t)) for t in TIERS], F.lit(window))
+    tier = F.coalesce(*[F.when((F.col("length") <= t) & F.lit(t < window), F.lit(t)) for t in TIERS], F.lit(window))
     return placed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.expr("k div each")).alias("sequence_id"), (F.col("offset0") + F.expr("k % each") * F.col("length")).alias("offset"),
-        F.when(power, F.col("filled")).otherwise(window).alias("sequence_length"), tier.alias("tier"), F.pmod(F.col("first") + F.expr("k div each"), F.lit(steps)).cast("long").alias("step_group"))
+        F.col("padded").alias("sequence_length"), tier.alias("tier"), F.pmod(F.col("first") + F.expr("k div each"), F.lit(steps)).cast("long").alias("step_group"))

@@ -87,3 +87,20 @@ def test_long_white_space_is_encoded(spark):
     for k, text in enumerate(texts):
         ids = np.array([*plain.encode(text, add_special_tokens=False).ids, packing.CLOSING], "<u4")
         assert {(r.start, r.ids_crc32) for r in rows if r.doc_id == k} == {(s, zlib.crc32(ids[s : s + 2048].tobytes())) for s in range(0, len(ids), 2048)}
+
+
+def test_sequences_are_packed_to_their_tier(spark):
+    rnd = random.Random(4)
+    docs = spark.createDataFrame([(k, "word " * rnd.choice([rnd.randint(150, 250)] * 8 + [rnd.randint(300, 500)] * 5 + [rnd.randint(600, 1000)] * 3 + [rnd.randint(1100, 3000)])) for k in range(600)], "doc_id long, text string")
+    sequences = {}
+    for r in packing.pack(docs).collect():
+        sequences.setdefault(r.sequence_id, []).append(r)
+    per_group = {}
+    for rows in sequences.values():
+        tier = next(t for t in packing.TIERS if max(r.length for r in rows) <= t)
+        assert {r.sequence_length for r in rows} == {tier} and sum(r.length for r in rows) <= tier
+        per_group.setdefault(rows[0].step_group, Counter())[tier] += 1
+    assert len(per_group) > 1
+    for t in packing.TIERS:
+        n = [c[t] for c in per_group.values()]
+        assert sum(n) and max(n) - min(n) <= 1
