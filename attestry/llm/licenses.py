@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a window of BLOCK_WORDS words of a longer line (half of it overlapping the next). A block meets
+A block is a line, or a window of BLOCK_WORDS words of a longer line (half of it overlapping the next), or such a window
+of the whole text, line ends aside, so that a statement wrapped over lines stands in one block. A block meets
 a template when it holds at least THRESHOLD of the template's distinct words. The templates' words are ordered by how
 many texts of the whole table hold them, rarest first (counted in a first pass). A block can only meet template T if
 it holds one of the first |T| - ceil(THRESHOLD * |T|) + 1 of T's words (prefix filter), has ceil(THRESHOLD * |T|)
@@ -80,7 +81,7 @@ class Templates:
 
 
 def blocks(text: bytes) -> Iterator[list[bytes]]:
-    for line in text.split(b"\n"):
+    for line in [*text.split(b"\n"), *[text] * (b"\n" in text)]:
         ws = line.translate(TO_WORDS).split()
         if len(ws) <= BLOCK_WORDS:
             yield ws

@@ -104,3 +104,13 @@ def test_sequences_are_packed_to_their_tier(spark):
     for t in packing.TIERS:
         n = [c[t] for c in per_group.values()]
         assert sum(n) and max(n) - min(n) <= 1
+
+
+def test_wrapped_statements_are_found(spark):
+    filler = "some other words " * 30
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy\nof this software"
+    gpl = " * This work is licensed\n * under the GNU General\n * Public License version 3"
+    texts = [a + "\n" + s + "\n" + a for s in (bsd, mit, gpl) for a in ("", filler)]
+    got = [r.labels for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert all(want in labels.split(",") for labels, want in zip(got, [x for w in ("bsd-terms", "mit-grant", "gpl-3") for x in (w, w)]))
