@@ -711,6 +711,31 @@ def find_path(spark, sf_dir):
     return hops.groupBy("source", "target", "depth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("edge_id").isNotNull(), F.struct("hop", "edge_id")))), lambda x: x["edge_id"]), ",").alias("edges")).withColumn("edges", F.when(F.col("depth").isNotNull(), F.col("edges")))
 
 
+# The same on the whole graph, from every nation (25 roots) and from nations to one customer each. The recursive SQL is
+# too slow there; the tests compare with plain code.
+
+def _whole(spark, sf_dir):
+    nodes, edges = B.bind(spark, sf_dir, B.NODES), B.bind(spark, sf_dir, B.EDGES)
+    return nodes, edges, nodes.filter("entity_type = 'GOVERNMENT_ENTITY'").select(F.col("id").alias("root"))
+
+
+@query()
+def traverse_whole(spark, sf_dir):
+    return G.traverse(*_whole(spark, sf_dir), 3)[0]
+
+
+@query()
+def traverse_edges_whole(spark, sf_dir):
+    return G.traverse(*_whole(spark, sf_dir), 2)[1]
+
+
+@query()
+def find_path_whole(spark, sf_dir):
+    nodes, edges, _ = _whole(spark, sf_dir)
+    pairs = B.bind(spark, sf_dir, "select 'N' || n_nationkey as source, 'C' || (n_nationkey * 3 % c + 1) as target from {nation} cross join (select count(*) as c from {customer}) x")
+    return G.find_path(nodes, edges, pairs).select("source", "target", "depth", "hop", "from_id", "to_id", "way", "edge_id")
+
+
 @query(f"""select entity_id, 'EVENT' as kind, event_date as date, event_id as record_id from (select distinct event_id, entity_id from ({B.PARTICIPANTS})) join ({B.EVENTS}) on id = event_id where event_date >= '1996-01-01'
     union all select entity_id, 'RELATIONSHIP', start, id from (select *, coalesce(valid_from, substr(observed_at, 1, 10)) as start, unnest(list_distinct([subject_entity_id, object_entity_id])) as entity_id from ({B.EDGES})) where not coalesce(coalesce(valid_to, start) < '1996-01-01', false)""")
 def timeline(spark, sf_dir):
