@@ -1,13 +1,13 @@
 """Mixing towards target weights with soft membership.
 
 A softmax regression on hashed word counts learns the domains from a labelled table (at most MOST_LABELS rows of it,
-chosen by a hash of their id) and gives every document its domain posteriors. The registered query and the pipeline
-take the document rates r >= 0 nearest to 1 (in squares weighted by tokens) under which the expected domain token
+chosen by a hash of their id) and gives every document its domain posteriors. The registered query (exact)
+takes the document rates r >= 0 nearest to 1 (in squares weighted by tokens) under which the expected domain token
 totals have the asked shares of the natural total, with no bound on epochs: r = max(0, 1 + p * m) with one multiplier m
 per domain, found by Newton's method. A step needs one sum over all documents (a few numbers per domain reach the
 driver), and a rate follows from the posteriors and the multipliers. Shares that no rates reach are an error.
 
-mix alone, without exact, bounds a domain's target by MOST_EPOCHS times its natural total and takes at most STEPS steps
+mix and mixed_docs without exact (so the pipeline, whose filtered corpus cannot reach the weights) bound a domain's target by MOST_EPOCHS times its natural total and take at most STEPS steps
 of projected gradient descent from r = 1, so its totals can miss the asked shares.
 
 Defined results: a null text counts as empty, has no tokens and evenly unknown membership (the model's intercept).
