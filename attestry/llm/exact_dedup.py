@@ -1,27 +1,37 @@
 """Exact deduplication with a keyed streaming state (DataFrame operations only).
 
-A digest stream feeds a stateful aggregation whose state lives in RocksDB and never expires: per digest it retains
-the identifier of the row to keep, that row's length (its rank) and the number of rows seen. A later run over the
-same checkpoint folder would go on from that state. Digests that were hit more than once are then checked on their
-full bytes; should two different texts ever share a digest, their groups are formed again on the texts themselves.
+Fingerprints of the rows are fed to a stream whose stateful aggregation lives on disk (RocksDB) and never expires. Per
+digest it retains the row to keep: its length (its rank), its stable identifier, and the locator of its content (file
+and place therein); and how many rows were seen. A caller who names a state folder goes on from there with the next
+call, also after a restart; a feed is named too, and one that was fed already is not counted again.
+
+Digests that were hit more than once are checked on full bytes. Contents are read by their locators: those of this
+call's rows, and those of rows to keep from earlier calls. Equal contents fold before they are shuffled, so each task
+sends a digest's bytes once. Should two different texts ever share a digest, this call's groups with that digest are
+formed again on the texts themselves.
 
 Defined results: a null text counts as empty, so null, empty and all-space texts form one group. Rows with a null id
 sort after all others when lengths tie. Repeated rows (same id and text) count each for themselves in group_size, and
-each repetition of the kept id is marked kept. An empty table gives an empty result. Other columns are not touched.
+each repetition of the kept id is marked kept. With a state folder, answers are the state after this call: the row to
+keep may be an earlier one. An empty table gives an empty result. Other columns are not touched.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import carried, discard, settings, spool_path
+from .shared import is_file_scan, join_split, located, settings, spool, spool_path
 
 #: Deleted before texts are compared: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 #: Broadcast the digests that were hit only up to so many rows (about 100 bytes each).
 BROADCAST_ROWS = 100_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FED = "doc_id long, n_points long, digest string, file string, place long"
+KEEPER = "struct<n_points: bigint, named: boolean, neg_id: bigint, file: string, neg_place: bigint>"
 
 
 def normalised(text: Column) -> Column:
@@ -32,77 +42,125 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_points, digest) of each row."""
-    text = F.col(text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_points"), F.sha2(normalised(text), 256).alias("digest"))
+def digest_of(text: Column) -> Column:
+    return F.sha2(normalised(text), 256)
+
+
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_points, digest, file, place) of located rows."""
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", F.char_length(text).cast("long").alias("n_points"), digest_of(F.col("text")).alias("digest"), "file", "place")
 
 
 def _keeper() -> Column:
-    """Most code points first, then the smallest id."""
-    return F.max(F.struct(F.col("n_points"), (-F.col("doc_id")).alias("neg_id")))
+    """Most code points first, then the smallest id, then the first place."""
+    return F.max(F.struct(F.col("n_points"), F.col("doc_id").isNotNull().alias("named"), (-F.col("doc_id")).alias("neg_id"), F.col("file"), (-F.col("place")).alias("neg_place")))
 
 
-def keyed_state(spark: SparkSession, stream: DataFrame, state_dir: str, out_dir: str) -> DataFrame:
-    """Run the digest stream to its end; the state's rows: (digest, keep_id, group_size).
+def keyed_state(spark: SparkSession, fed: str, state_dir: str, files_per_batch: int) -> DataFrame:
+    """Run the stream of fed fingerprints to its end; the present state: (digest, keeper, group_size).
 
     Each micro-batch writes the keys whose state it changed, in a folder of its own, so a repeated batch overwrites
     itself. group_size only grows, so the row with the largest one is a key's present state.
     """
+    changed = f"{state_dir}/changed"
+    stream = spark.readStream.schema(FED).option("maxFilesPerTrigger", files_per_batch).parquet(fed)
     state = stream.groupBy("digest").agg(_keeper().alias("keeper"), F.count("*").alias("group_size"))
 
-    def changed(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{changed}/batch={batch_id}")
 
-    run = state.writeStream.outputMode("update").option("checkpointLocation", state_dir).trigger(availableNow=True).foreachBatch(changed).start()
+    run = state.writeStream.outputMode("update").option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     run.awaitTermination()
-    rows = spark.read.schema("digest string, keeper struct<n_points: bigint, neg_id: bigint>, group_size bigint").option("basePath", out_dir)
-    latest = rows.parquet(f"{out_dir}/batch=*").groupBy("digest").agg(F.max(F.struct("group_size", "keeper")).alias("last"))
-    return latest.select("digest", (-F.col("last.keeper.neg_id")).alias("keep_id"), F.col("last.group_size").alias("group_size"))
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 256) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
-    fed, state_dir, out_dir = (spool_path(spark, f"dedup-{x}") for x in ("fed", "state", "out"))
-    fingerprints(docs, id_col, text_col).write.parquet(fed)
-    rows = spark.read.schema("doc_id long, n_points long, digest string").parquet(fed)
-    if rows.isEmpty():
-        return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))
+    rows = spark.read.schema(f"digest string, keeper {KEEPER}, group_size bigint").option("basePath", changed).parquet(f"{changed}/batch=*")
+    return rows.groupBy("digest").agg(F.max(F.struct("group_size", "keeper")).alias("last")).select("digest", "last.keeper", "last.group_size")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _marked(rows: DataFrame, text_col: str, state_dir: str | None, run: str | None, files_per_batch: int) -> DataFrame:
+    """Located rows (doc_id, text, file, place) with keep_id, group_size, digest, and mine: whether this very row is the one to keep."""
+    spark = rows.sparkSession
+    state_dir = state_dir or spool_path(spark, "dedup")
+    fed = f"{state_dir}/fed/run={run or uuid.uuid4().hex}"
+    if not _exists(spark, f"{fed}/_SUCCESS"):
+        fingerprints(rows).write.mode("overwrite").parquet(fed)
+    slim = spark.read.schema(FED).parquet(fed)
+    total = slim.count()
+    if not total:
+        return slim.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest", F.lit(True).alias("mine"), "file", "place")
     with settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true", spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="256", spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false"):
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_batch).parquet(fed)
-        state = keyed_state(spark, stream, state_dir, out_dir)
-        hits = state.filter("group_size > 1")
+        state = keyed_state(spark, f"{state_dir}/fed", state_dir, files_per_batch)
+        hits = spool(state.filter("group_size > 1"), "hits")
         n_hits = hits.count()
-    small = n_hits <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), normalised(F.col(text_col)).alias("bytes"))
-    texts = texts.withColumn("digest", F.sha2("bytes", 256))
-    if small:
-        texts = texts.join(F.broadcast(hits.select("digest")), "digest", "left_semi")
-    differ = texts.groupBy("digest").agg(F.min("bytes").alias("a"), F.max("bytes").alias("b")).filter("a != b").select("digest")
-    collided = n_hits > 0 and not differ.isEmpty()
-    discard(spark, state_dir)
-    if small:
-        joined = rows.join(F.broadcast(hits), "digest", "left").select(
-            "doc_id", F.coalesce(F.col("keep_id"), F.when(F.col("group_size").isNull(), F.col("doc_id"))).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "digest")
+    few = n_hits <= BROADCAST_ROWS
+    flat = hits.select("digest", "group_size", (-F.col("keeper.neg_id")).alias("keep_id"), F.col("keeper.file").alias("keep_file"), (-F.col("keeper.neg_place")).alias("keep_place"))
+    if few:
+        joined = slim.join(F.broadcast(flat), "digest", "left")
     else:
-        joined = rows.join(state, "digest").select("doc_id", "keep_id", "group_size", "digest")
-    if collided:
-        joined = joined.join(F.broadcast(differ), "digest", "left_anti").unionByName(_by_text(docs, id_col, text_col, differ))
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+        here = flat.join(slim.groupBy("digest").agg(F.count("*").alias("here")), "digest")
+        joined = join_split(slim, here, "digest", "here", total, "left")
+    alone = F.col("group_size").isNull()
+    mine = alone | ((F.col("file") == F.col("keep_file")) & (F.col("place") == F.col("keep_place")))
+    joined = joined.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "digest", mine.alias("mine"), "file", "place")
+    differ = spool(_different(rows, flat, few, text_col), "differ") if n_hits else None
+    if differ is None or differ.isEmpty():
+        return joined
+    return joined.join(differ, "digest", "left_anti").unionByName(by_text(rows, differ))
+
+
+def _different(rows: DataFrame, hits: DataFrame, few: bool, text_col: str) -> DataFrame:
+    """Digests among the hits whose contents are not all the same bytes. Rows to keep from earlier calls are read too."""
+    spark = rows.sparkSession
+    digests = hits.select("digest")
+    contents = rows.select(digest_of(F.col("text")).alias("digest"), normalised(F.col("text")).alias("bytes"))
+    contents = contents.join(F.broadcast(digests) if few else digests, "digest", "left_semi")
+    here = rows.select("file").distinct()
+    earlier = spool(hits.join(here, hits["keep_file"] == here["file"], "left_anti").select("digest", F.col("keep_file").alias("file"), F.col("keep_place").alias("place")), "earlier")
+    files = [r.file for r in earlier.select("file").distinct().collect()]  # as many as earlier files
+    if files:
+        old = spark.read.parquet(*files)
+        at = old.metadataColumn("_metadata")
+        name = text_col if text_col in old.columns else "text"
+        old = old.select(normalised(F.col(name)).alias("bytes"), at.getField("file_path").alias("file"), at.getField("row_index").alias("place"))
+        contents = contents.unionByName(old.join(earlier, ["file", "place"]).select("digest", "bytes"))
+    return contents.distinct().groupBy("digest").count().filter("count > 1").select("digest")
+
+
+def by_text(rows: DataFrame, digests: DataFrame) -> DataFrame:
+    """Groups on the texts themselves, for digests that different texts share."""
+    each = fingerprints(rows).join(digests, "digest", "left_semi").select("doc_id", "n_points", "digest", "file", "place")
+    each = each.join(rows.select("file", "place", normalised(F.col("text")).alias("bytes")), ["file", "place"])
+    groups = each.groupBy("bytes").agg(_keeper().alias("keeper"), F.count("*").alias("group_size"))
+    mine = (F.col("file") == F.col("keeper.file")) & (F.col("place") == -F.col("keeper.neg_place"))
+    return each.join(groups, "bytes").select("doc_id", (-F.col("keeper.neg_id")).alias("keep_id"), "group_size", "digest", mine.alias("mine"), "file", "place")
 
 
-def _by_text(docs: DataFrame, id_col: str, text_col: str, digests: DataFrame) -> DataFrame:
-    """Groups on the texts themselves, for digests that different texts share."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"), normalised(F.col(text_col)).alias("bytes"))
-    rows = rows.withColumn("digest", F.sha2("bytes", 256)).join(F.broadcast(digests), "digest", "left_semi")
-    groups = rows.groupBy("bytes").agg(_keeper().alias("keeper"), F.count("*").alias("group_size"))
-    return rows.join(groups, "bytes").select("doc_id", (-F.col("keeper.neg_id")).alias("keep_id"), F.col("group_size"), "digest")
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of repeated rows of one id, one stays."""
-    marks = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("keep_sha")).distinct()
-    here = carried(docs, id_col, text_col).withColumn("sha", F.sha2(normalised(F.col("text")), 256))
-    joined = here.join(marks, F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("keep_sha")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "text"]).select("row.*")
+def _lasting(docs: DataFrame, id_col: str, text_col: str, state_dir: str | None, row: bool = False) -> DataFrame:
+    """Located rows; with a state folder, contents that do not come from files are written there and stay."""
+    if state_dir is None or is_file_scan(docs):
+        return located(docs, id_col, text_col, row)
+    path = f"{state_dir}/content/{uuid.uuid4().hex}"
+    docs.write.parquet(path)
+    return located(docs.sparkSession.read.schema(docs.schema).parquet(path), id_col, text_col, row)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None, run: str | None = None, files_per_batch: int = 256) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    state_dir: a folder whose state goes on from call to call; run: this feed's name, under which a call can be repeated.
+    The files that docs are read from must then stay, since the state points into them.
+    """
+    marked = _marked(_lasting(docs, id_col, text_col, state_dir), text_col, state_dir, run, files_per_batch)
+    return marked.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state_dir: str | None = None, run: str | None = None) -> DataFrame:
+    """The rows of docs that stay, with all their columns: one of each group. They are known by their locators, so only these move."""
+    rows = _lasting(docs, id_col, text_col, state_dir, row=True)
+    gone = spool(_marked(rows, text_col, state_dir, run, 256).filter(~F.col("mine")).select("file", "place"), "copies")
+    few = gone.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(gone) if few else gone, ["file", "place"], "left_anti").select("row.*")

@@ -1,12 +1,14 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a window of BLOCK_WORDS words of a longer line (half of it overlapping the next), or such a window
-of the whole text, line ends aside, so that a statement wrapped over lines stands in one block. A block meets
-a template when it holds at least THRESHOLD of the template's distinct words. The templates' words are ordered by how
-many texts of the whole table hold them, rarest first (counted in a first pass). A block can only meet template T if
-it holds one of the first |T| - ceil(THRESHOLD * |T|) + 1 of T's words (prefix filter), has ceil(THRESHOLD * |T|)
-distinct words (length filter), and if enough of T's words follow the first one it shares (positional filter); the
-blocks that are left are compared in full.
+A template of m words is sought in blocks of m + m // 2 consecutive words, one beginning at every word of the text (line
+ends do not matter; a shorter text is one block). A block meets a template when it holds at least THRESHOLD of the
+template's distinct words and all words that the template must have (a name, a version).
+
+The templates' words are ordered by how many texts of the whole table hold them, rarest first (counted in a first
+pass). A block can only meet template T if it holds one of the first |T| - ceil(THRESHOLD * |T|) + 1 of T's words (prefix
+filter), so only blocks around such a word are looked at; a text needs ceil(THRESHOLD * |T|) of T's distinct words
+(length filter), and enough of T's words must follow, in the global order, the first one that the blocks around a
+place share (positional filter). The blocks that are left are compared in full, by a count that slides over the text.
 
 Defined results: a null text counts as empty; an empty text has no words, no labels and score 0. Repeated rows each
 get their row; rows with a null id are scanned like others; an empty table gives no rows. The templates and phrases
@@ -23,21 +25,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-BLOCK_WORDS = 64
 #: Phrases that give a label wherever their words stand consecutively.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: License statements whose words a block must hold.
+#: Fixed values: (label, words that a block must hold, text of the license or of its usual statement).
 TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("mit", "released under the mit license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("bsd-terms", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("apache-2.0", "apache 2", "licensed under the apache license version 2 0"),
+    ("gpl-3", "gnu 3", "this work is licensed under the gnu general public license version 3"),
+    ("mit", "mit", "released under the mit license"),
+    ("cc-by-nc", "cc nc", "licensed under cc by nc 4 0"),
+    ("mit-grant", "hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit-text", "hereby granted sublicense", (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
+        "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all "
+        "copies or substantial portions of the software")),
+    ("bsd-terms", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-text", "redistributions binary", (
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce "
+        "the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution")),
+    ("bsd-3", "neither endorse", (
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior "
+        "written permission")),
+    ("isc", "fee hereby", (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+        "permission notice appear in all copies")),
+    ("apache-notice", "apache compliance", (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www "
+        "apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without "
+        "warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license")),
+    ("gpl-notice", "gnu redistribute", (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even "
+        "the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details")),
+    ("mpl-2.0", "mozilla mpl 2", (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http "
+        "mozilla org mpl 2 0")),
+    ("unlicense", "unencumbered", (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source "
+        "code form or as a compiled binary for any purpose commercial or non commercial and by any means")),
 )
 #: Byte table: A-Z to lower case, bytes that no word holds to a space.
 TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
-VOCABULARY = frozenset(w.encode() for _, t in TEMPLATES for w in t.split())
+VOCABULARY = frozenset(w.encode() for _, _, t in TEMPLATES for w in t.split())
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,39 +84,59 @@ def word_counts(texts: DataFrame) -> dict[str, int]:
     return {r.word: r.n for r in texts.mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
-class Templates:
-    """The templates' words in the global order, and which templates have a word in their prefix."""
-
-    def __init__(self, counts: dict[str, int]) -> None:
-        self.words = [sorted({w.encode() for w in t.split()}, key=lambda w: (counts.get(w.decode(), 0), w)) for _, t in TEMPLATES]
-        self.need = [math.ceil(THRESHOLD * len(w) - 1e-9) for w in self.words]
-        self.by_prefix: dict[bytes, list[int]] = {}
-        for k, ws in enumerate(self.words):
-            for w in ws[: len(ws) - self.need[k] + 1]:
-                self.by_prefix.setdefault(w, []).append(k)
-        self.prefixes = frozenset(self.by_prefix)
-
-    def met(self, block: frozenset | set) -> dict[int, float]:
-        """Share of each template's words that the block holds, where that is enough."""
-        out = {}
-        for k in {k for w in self.prefixes & block for k in self.by_prefix[w]}:
-            ws, need = self.words[k], self.need[k]
-            if len(block) < need:
-                continue
-            first = next(i for i, w in enumerate(ws) if w in block)
-            if len(ws) - first >= need and (n := sum(w in block for w in ws[first:])) >= need:
-                out[k] = n / len(ws)
+def block_words(text: str) -> int:
+    """Words of a block that a template is sought in."""
+    m = len(text.split())
+    return m + m // 2
+
+
+class Template:
+    """A template's words in the global order, with what a block needs of them."""
+
+    def __init__(self, label: str, must: str, text: str, counts: dict[str, int]) -> None:
+        self.label, self.must, self.block = label, frozenset(must.encode().split()), block_words(text)
+        self.words = sorted({w.encode() for w in text.split()}, key=lambda w: (counts.get(w.decode(), 0), w))
+        self.place = {w: k for k, w in enumerate(self.words)}
+        self.need = math.ceil(THRESHOLD * len(self.words) - 1e-9)
+        self.prefix = frozenset(self.words[: len(self.words) - self.need + 1])
+
+    def best(self, words: list[bytes], held: frozenset) -> float:
+        """The largest share of the template that a block of these words holds, 0 where none meets it. held: their distinct template words."""
+        if not self.must <= held or self.prefix.isdisjoint(held) or sum(w in held for w in self.words) < self.need:
+            return 0.0
+        best = 0
+        for lo, hi in self.around(words):
+            least = min(self.place.get(w, len(self.words)) for w in words[lo:hi])
+            if len(self.words) - least >= self.need:
+                best = max(best, self.slide(words[lo:hi]))
+        return best / len(self.words)
+
+    def around(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """Stretches of words that hold all blocks with a prefix word."""
+        out: list[tuple[int, int]] = []
+        for k, w in enumerate(words):
+            if w in self.prefix:
+                lo, hi = max(0, k - self.block + 1), min(len(words), k + self.block)
+                if out and lo <= out[-1][1]:
+                    out[-1] = (out[-1][0], hi)
+                else:
+                    out.append((lo, hi))
         return out
 
-
-def blocks(text: bytes) -> Iterator[list[bytes]]:
-    for line in [*text.split(b"\n"), *[text] * (b"\n" in text)]:
-        ws = line.translate(TO_WORDS).split()
-        if len(ws) <= BLOCK_WORDS:
-            yield ws
-        else:
-            for at in range(0, len(ws) - BLOCK_WORDS // 2, BLOCK_WORDS // 2):
-                yield ws[at : at + BLOCK_WORDS]
+    def slide(self, words: list[bytes]) -> int:
+        """The most distinct template words of a block among those that meet the template; 0 if none does."""
+        count, best = {}, 0
+        for k, w in enumerate(words):
+            if w in self.place:
+                count[w] = count.get(w, 0) + 1
+            gone = words[k - self.block] if k >= self.block else None
+            if gone in count:
+                count[gone] -= 1
+                if not count[gone]:
+                    del count[gone]
+            if len(count) > best and len(count) >= self.need and self.must <= count.keys():
+                best = len(count)
+        return best
 
 
 def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
@@ -103,23 +152,24 @@ def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    templates = Templates(word_counts(rows.select("text")))
+    counts = word_counts(rows.select("text"))
+    templates = [Template(*t, counts) for t in TEMPLATES]
+    starts = frozenset().union(*(t.prefix for t in templates))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
         for batch in batches:
             out: dict[str, list] = {k: [] for k in names}
             for text in batch.column("text").cast(pa.large_binary()).to_pylist():
-                text = text or b""
-                words = text.translate(TO_WORDS).split()
+                words = (text or b"").translate(TO_WORDS).split()
                 places = phrase_places(words)
-                best: dict[int, float] = {}
-                if not templates.prefixes.isdisjoint(words):
-                    for block in blocks(text):
-                        for k, share in templates.met(set(block)).items():
-                            best[k] = max(share, best.get(k, 0))
+                shares: dict[str, float] = {}
+                if not starts.isdisjoint(words):
+                    held = VOCABULARY.intersection(words)
+                    shares = {t.label: share for t in templates if (share := t.best(words, held))}
                 base = {label for _, label in places}
-                row = (len(words), len(places), min(places)[0] if places else None, max(places)[0] if places else None, ",".join(sorted(base)), ",".join(sorted(base | {TEMPLATES[k][0] for k in best})), 1.0 if base else max(best.values(), default=0.0))
+                first, last = (min(places)[0], max(places)[0]) if places else (None, None)
+                row = (len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | shares.keys())), 1.0 if base else max(shares.values(), default=0.0))
                 for name, value in zip(names, row):
                     out[name].append(value)
             kinds = (pa.int64(),) * 4 + (pa.string(), pa.string(), pa.float64())

@@ -1,14 +1,17 @@
 """Mixing towards target weights with soft membership.
 
 A softmax regression on hashed word counts learns the domains from a labelled table (at most MOST_LABELS rows of it,
-chosen by a hash of their id) and gives every document its domain posteriors. The registered query (exact)
-takes the document rates r >= 0 nearest to 1 (in squares weighted by tokens) under which the expected domain token
-totals have the asked shares of the natural total, with no bound on epochs: r = max(0, 1 + p * m) with one multiplier m
-per domain, found by Newton's method. A step needs one sum over all documents (a few numbers per domain reach the
-driver), and a rate follows from the posteriors and the multipliers. Shares that no rates reach are an error.
-
-mix and mixed_docs without exact (so the pipeline, whose filtered corpus cannot reach the weights) bound a domain's target by MOST_EPOCHS times its natural total and take at most STEPS steps
-of projected gradient descent from r = 1, so its totals can miss the asked shares.
+chosen by a hash of their id) and gives every document its domain posteriors. The rates r >= 0 minimise, by projected
+gradient descent from r = 1, the squared distance between the expected domain token totals and the asked shares of the
+natural total. The projection is lazy: a point y, of any sign, takes the steps, and the rates are max(0, y). As y moves
+along the posteriors only, y = 1 + p * m with one number m per domain, so a step needs one sum over all documents (a
+few numbers per domain reach the driver), and a document's rate follows from its posteriors and m. A step is measured
+by the Gram matrix of the documents whose rate is above 0 and halved until it makes progress; of all rates that meet
+the shares those nearest to 1 come out.
+
+Shares that STEPS steps do not reach are an error. With epochs, a domain's target is at most so many times its natural
+total, no rate is above twice that, and the rates come as near as STEPS steps bring them; a warning then gives the totals where they are not those
+asked for. mix_with_totals returns natural totals, targets and totals reached in any case.
 
 Defined results: a null text counts as empty, has no tokens and evenly unknown membership (the model's intercept).
 Repeated rows each get their row. Rows with a null id are rated like others but are never trained on. With no usable
@@ -17,7 +20,9 @@ labels all documents are equally likely in each domain. An empty table gives no
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +30,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import slices, words
-from .shared import carried, spool, text_key
+from .shared import BROADCAST_KEYS, numbered, spool
 
 MOST_LABELS = 6_000
 BUCKETS = 1 << 12
 #: Domains of the labels table, in order, and the share of the tokens each shall have.
 DOMAINS = ("clean", "junk", "toxic")
 WEIGHTS = (0.97, 0.02, 0.01)
-#: A domain's target is at most so many times its natural total.
-MOST_EPOCHS = 1.25
-STEPS, CLOSE = 40, 1e-4
-#: Newton steps after which the asked shares count as out of reach, and halvings of a step.
-NEWTON, HALVINGS = 60, 12
+#: Steps after which shares count as out of reach, halvings of a step, and how near to a target a total must come, as a part of it.
+STEPS, HALVINGS, CLOSE = 40, 12, 1e-4
+
+
+class Fit(NamedTuple):
+    """The numbers m, and tokens per domain: natural, asked for, and reached."""
+
+    m: np.ndarray
+    natural: np.ndarray
+    targets: np.ndarray
+    reached: np.ndarray
 
 
 def label_domain() -> Column:
@@ -92,9 +103,9 @@ def fit_softmax(rows: list[np.ndarray], domain: np.ndarray, domains: int, rounds
     return weights * idf[:, None], bias
 
 
-def posteriors(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, id_col: str, text_col: str, keyed: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, p): words per document and its domain posteriors; keyed adds the text's digest as text_key."""
-    extra = ["text_key"] if keyed else []
+def posteriors(rows: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
+    """(doc_id, n_tokens, p) of rows (doc_id, text): words per document and its domain posteriors; a column key is kept."""
+    extra = ["key"] if "key" in rows.columns else []
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,113 +121,99 @@ def posteriors(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, id_col: s
                 flat = pa.ListArray.from_arrays(np.arange(0, p.size + 1, len(bias), dtype=np.int32), p.ravel())
                 yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(lo, hi - lo), **{k: batch.column(k).slice(lo, hi - lo) for k in extra}, "n_tokens": pa.array(count, pa.int64()), "p": flat})
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[text_key(docs[text_col]).alias(k) for k in extra])
-    return rows.mapInArrow(compute, "doc_id long, " + "".join(f"{k} string, " for k in extra) + "n_tokens long, p array<double>")
-
-
-def rate_after(residuals: list[list[float]]) -> Column:
-    """A document's rate after these steps."""
-    rate = F.lit(1.0)
-    if not residuals:
-        return rate
-    steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in residuals])
-
-    def step(r: Column, g: Column) -> Column:
-        move = sum((F.col("p")[k] * g[k] for k in range(len(residuals[0]))), F.lit(0.0))
-        return F.greatest(F.lit(0.0), r - move)
-
-    return F.aggregate(steps, rate, step)
-
+    return rows.select("doc_id", "text", *extra).mapInArrow(compute, "doc_id long, " + "".join(f"{k} long, " for k in extra) + "n_tokens long, p array<double>")
 
-def fit_rates(rows: DataFrame, weights: tuple[float, ...], epochs: float = MOST_EPOCHS) -> list[list[float]]:
-    """The residuals of the projected gradient steps, each scaled by the domain's natural total."""
 
-    def totals(rate: Column) -> np.ndarray:
-        sums = rows.select("n_tokens", "p", rate.alias("r")).agg(*[F.sum(F.col("r") * F.col("n_tokens") * F.col("p")[k]).alias(f"s{k}") for k in range(len(weights))]).first()
-        return np.array([x or 0.0 for x in sums])
-
-    natural = totals(F.lit(1.0))
-    targets = np.minimum(np.array(weights) / sum(weights) * natural.sum(), epochs * natural)
-    residuals: list[list[float]] = []
-    now = natural
-    for _ in range(STEPS):
-        g = (now - targets) / np.maximum(natural, 1e-9)
-        if np.abs(g).max() < CLOSE:
-            break
-        residuals.append(g.tolist())
-        now = totals(rate_after(residuals))
-    return residuals
+def point_of(m: np.ndarray) -> Column:
+    return sum((F.col("p")[k] * F.lit(float(x)) for k, x in enumerate(m)), F.lit(1.0))
 
 
-def exact_rate(multipliers: np.ndarray) -> Column:
-    return F.greatest(F.lit(0.0), sum((F.col("p")[k] * F.lit(float(m)) for k, m in enumerate(multipliers)), F.lit(1.0)))
+def rate_of(y: Column, most: float | None) -> Column:
+    rate = F.greatest(F.lit(0.0), y)
+    return rate if most is None else F.least(F.lit(float(most)), rate)
 
 
-def fit_exact(rows: DataFrame, weights: tuple[float, ...]) -> np.ndarray:
-    """The multipliers under which every domain's expected tokens come within CLOSE of its share of all tokens.
-
-    They minimise a convex function of as many variables as there are domains: half the sum of n * rate^2, less the
-    multipliers times the targets. One job looks at a step and its halvings.
-    """
+def fit_rates(rows: DataFrame, weights: tuple[float, ...], epochs: float | None = None) -> Fit:
+    """The m under which every domain's expected tokens come within CLOSE of its target."""
     kinds = len(weights)
-    share = np.array(weights, float) / sum(weights)
     total = float(rows.agg(F.sum("n_tokens")).first()[0] or 0)
-    multipliers = np.zeros(kinds)
-    if not total:
-        return multipliers
-    part = F.col("n_tokens") / F.lit(total)
+    part = F.col("n_tokens") / F.lit(total or 1.0)
+    most = None if epochs is None else 2 * epochs
 
     def look(points: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """Per point: the function, its gradient and its second derivatives."""
+        """Per point: the function that falls with every step, the domains' shares, and the Gram matrix of the free documents."""
         sums = []
-        for j, m in enumerate(points):
-            r = F.col(f"r{j}")
-            sums += [F.sum(part * r * r), *[F.sum(part * r * F.col("p")[k]) for k in range(kinds)]]
-            sums += [F.sum(F.when(r > 0, part * F.col("p")[k] * F.col("p")[i]).otherwise(0.0)) for k in range(kinds) for i in range(kinds)]
-        row = rows.select("n_tokens", "p", *[exact_rate(m).alias(f"r{j}") for j, m in enumerate(points)]).agg(*[s.alias(f"s{j}") for j, s in enumerate(sums)]).first()
-        each = np.array(row, float).reshape(len(points), -1)
-        return [(x[0] / 2 - m @ share, x[1 : 1 + kinds] - share, x[1 + kinds :].reshape(kinds, kinds)) for x, m in zip(each, points)]
-
-    value, slope, curve = look([multipliers])[0]
-    for _ in range(NEWTON):
-        if np.abs(slope / np.maximum(share, 1e-9)).max() < CLOSE:
-            return multipliers
-        step = np.linalg.solve(curve + 1e-10 * np.eye(kinds), -slope)
+        for j in range(len(points)):
+            y, p = F.col(f"y{j}"), F.col("p")
+            r = rate_of(y, most)
+            free = F.when(r == y, part).otherwise(F.lit(0.0))
+            sums += [F.sum(part * (r * y - r * r / 2)), *(F.sum(part * r * p[k]) for k in range(kinds)), *(F.sum(free * p[k] * p[i]) for k in range(kinds) for i in range(kinds))]
+        rated = rows.select("n_tokens", "p", *[point_of(m).alias(f"y{j}") for j, m in enumerate(points)])
+        found = np.array([x or 0.0 for x in rated.agg(*[x.alias(f"s{j}") for j, x in enumerate(sums)]).first()]).reshape(len(points), -1)
+        return [(x[0], x[1 : 1 + kinds], x[1 + kinds :].reshape(kinds, kinds)) for x in found]
+
+    m = np.zeros(kinds)
+    value, share, gram = look([m])[0]
+    natural, asked = share, np.array(weights, float) / sum(weights) * share.sum()
+    if epochs is not None:
+        asked = np.minimum(asked, epochs * natural)
+    # a slight pull of the rates towards 1: it decides among rates that meet the shares, and stops a chase after shares out of reach
+    pull = (1e-9 if epochs is None else 1e-3) * gram
+    for _ in range(STEPS):
+        slope = share - asked + pull @ m
+        if np.abs(slope / np.maximum(asked, 1e-12)).max(initial=0) < CLOSE:
+            break
+        step = np.linalg.solve(gram + pull + 1e-12 * np.eye(kinds), -slope)
+        height = value - m @ asked + m @ pull @ m / 2
         for first in range(0, HALVINGS, 3):
-            points = [multipliers + step / 2**k for k in range(first, first + 3)]
-            seen = [(*x, m) for x, m in zip(look(points), points) if x[0] < value]
-            if seen:
-                value, slope, curve, multipliers = min(seen, key=lambda x: x[0])
+            points = [m + step / 2**k for k in range(first, first + 3)]
+            tried = [(v - x @ asked + x @ pull @ x / 2, v, s, g, x) for (v, s, g), x in zip(look(points), points)]
+            lowest = min(tried, key=lambda x: x[0])
+            if lowest[0] < height:
+                _, value, share, gram, m = lowest
                 break
         else:
             break
-    if np.abs(slope / np.maximum(share, 1e-9)).max() < CLOSE:
-        return multipliers
-    raise ValueError(f"no rates of these documents reach the shares {share.tolist()}; the last ones tried give {(slope + share).tolist()} of the natural tokens")
+    off = np.abs((share - asked) / np.maximum(asked, 1e-12)).max(initial=0)
+    if off >= 2 * CLOSE and epochs is None:
+        raise ValueError(f"no rates of these documents reach the shares {asked.tolist()} of their tokens; the nearest are {share.tolist()}")
+    return Fit(m, natural * total, asked * total, share * total)
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, p (posteriors), rate, copies; exact meets the weights or fails.
+def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", epochs: float | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, p (posteriors), rate, copies.
 
     copies rounds the rate up or down by a hash of the id and the rate's own fraction, so its mean is the rate.
     """
-    return _mixed(docs, labels, weights, domain, id_col, text_col, False, exact)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _mixed(rows, labels, weights, domain, id_col, epochs)[0]
+
+
+def mix_with_totals(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", epochs: float | None = None) -> tuple[DataFrame, Fit]:
+    """mix, and the domains' tokens: natural, asked for and reached."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _mixed(rows, labels, weights, domain, id_col, epochs)
 
 
-def _mixed(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...], domain: Column | None, id_col: str, text_col: str, keyed: bool, exact: bool) -> DataFrame:
+def _mixed(rows: DataFrame, labels: DataFrame, weights: tuple[float, ...], domain: Column | None, id_col: str, epochs: float | None) -> tuple[DataFrame, Fit]:
     known = labels.select(F.col(id_col).cast("long").alias("_id"), (label_domain() if domain is None else domain).cast("int").alias("domain")).filter("_id is not null and domain is not null")
     known = known.groupBy("_id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELS)
-    chosen = carried(docs, id_col, text_col).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_id", "domain", "text")
+    chosen = rows.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_id", "domain", "text")
     model = fit_softmax(*training_rows(chosen), len(weights))
-    rows = spool(posteriors(docs, *model, id_col, text_col, keyed), "posteriors")
-    rated = rows.withColumn("rate", exact_rate(fit_exact(rows, weights)) if exact else rate_after(fit_rates(rows, weights)))
+    found = spool(posteriors(rows, *model), "posteriors")
+    fit = fit_rates(found, weights, epochs)
+    asked = np.array(weights, float) / sum(weights) * fit.natural.sum()
+    if epochs is not None and (np.abs(fit.reached - asked) > 2 * CLOSE * asked).any():
+        warnings.warn(f"with {epochs} epochs at most the tokens per domain are {fit.reached.tolist()}, not {asked.tolist()}", stacklevel=3)
     chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "n_tokens"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+    return found.withColumn("rate", rate_of(point_of(fit.m), None if epochs is None else 2 * epochs)).withColumn("copies", F.floor(F.col("rate") + chance).cast("int")), fit
 
 
-def mixed_docs(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as its copies say."""
-    marks = _mixed(docs, labels, weights, None, id_col, text_col, True, exact).groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.max("copies").alias("copies")).filter("copies > 0")
-    rows = carried(docs, id_col, text_col).select("row", "doc_id", text_key(F.col("text")).alias("text_key"))
-    joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("k")).select("row.*")
+def mixed_docs(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", epochs: float | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, each as often as its copies say. Only rows with other than one copy are joined."""
+    rows = numbered(docs, id_col, text_col, row=True)
+    marks = _mixed(rows.select("key", "doc_id", "text"), labels, weights, None, id_col, epochs)[0]
+    other = spool(marks.filter("copies != 1").select("key", "copies"), "copies")
+    few = other.count() <= BROADCAST_KEYS
+    joined = rows.select("key", "row").join(F.broadcast(other) if few else other, "key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    return joined.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("k")).select("row.*")

@@ -10,9 +10,9 @@
    needs is cut off. Classes meet first a central class of equal min-hash (one probe each, whole groups of near copies
    become one cluster); then, for all n-grams within two classes' prefixes, classes of different clusters whose
    lengths and positions allow it. Pairs inside a cluster are already connected and need no look.
-5. Components of the links, as the smallest document id.
+5. Components of the links, as the smallest document id. similar_sets gives the links themselves.
 
-Groups go through the tries in parts of bounded size. Defined results: a null or empty text has no n-grams and links
+Groups go through the tries in parts of bounded size. Rows are known by file and place, classes by 128 bits. Defined results: a null or empty text has no n-grams and links
 with nothing; with fewer words than n the whole sequence is one n-gram. Repeated rows are one class. Rows with a null
 id take part; the component's id is its smallest id that is not null (null if there is none). An empty table gives no rows.
 """
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .arrow_text import mix, ngrams, slices, words
 from .components import components
-from .shared import carried, settings, spool
-from .substrings import BATCH_ROWS, BROADCAST_KEYS, BUCKET_BYTES, MOST_BUCKETS, pack_rising, unpack_rising
+from .shared import BROADCAST_KEYS, join_split, numbered, settings, spool, without
+from .substrings import BATCH_ROWS, BUCKET_BYTES, MOST_BUCKETS, pack_rising, unpack_rising
 
 N = 5
 #: The threshold 0.8 as a fraction: the overlap i of sets of a and b n-grams must have (TOP + DOWN) * i >= TOP * (a + b).
@@ -412,56 +412,84 @@ def read_again(rows: DataFrame, keys: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
     with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS):
-        every, classes, member = _components(docs, n, id_col, text_col, False)
+        every, classes, member = _components(numbered(docs, id_col, text_col), n)
         if member is None:
-            merged = classes.select("cls", F.col("least").alias("component_id"))
+            merged = classes.select("cls", F.col("least").alias("component_id"), "copies")
         else:
             best = spool(member.groupBy("label").agg(F.min("least").alias("component_id")), "best")
             named = member.join(best, "label").select(F.col("v").alias("cls"), "component_id")
-            merged = classes.join(named, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
+            merged = classes.join(named, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"), "copies")
         merged = spool(merged, "component")
-        return every.join(merged, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        some = join_split(every.filter("cls is not null"), merged, "cls", "copies", every.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        return some.unionByName(every.filter("cls is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _components(docs: DataFrame, n: int, id_col: str, text_col: str, named: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(rows with their class, classes, classes v that have links with their component's label, if any).
-
-    named adds each class's first row (by id, nulls last) as first.
-    """
-    first = [F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")] * named
-    spark = docs.sparkSession
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+def class_sets(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows with their class, classes, ordered sets of the classes that can have links, if any); rows have key, doc_id, text."""
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1))
+    rows = rows.select("key", "doc_id", "text")
     every = spool(class_rows(rows, n), "classes")
-    classes = spool(every.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), *first, F.min("n").alias("n"), F.min("short").alias("short")), "class")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
+    per = every.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), first.alias("first"), F.min("n").alias("n"), F.min("short").alias("short"), F.count("*").alias("copies"))
+    classes = spool(per, "class")
     shared = shared_counts(smallest_rows(rows.select("text"), n, buckets), buckets)
     able = spool(classes.join(shared, "short").filter(F.col("shared") >= F.greatest(F.lit(1), F.floor((F.col("n") + 9) / 10))).select("key"), "able")
-    links = None
-    if not able.isEmpty():
-        chunks = spool(chunk_rows(read_again(rows.select("key", "text"), able).select("text"), n), "chunks")
-        sets = spool(ordered_sets(chunks, chunk_counts(chunks, buckets)), "sets")
-        near = [spool(trie_join(central_pairs(sets, k), sets), "near") for k in range(ROUNDS)]
-        near = reduce(DataFrame.unionByName, near)
-        clusters = components(near)
-        links = near.unionByName(spool(trie_join(crossing_pairs(sets, clusters), sets), "links"))
-    if links is None or links.isEmpty():
+    if able.isEmpty():
+        return every, classes, None
+    chunks = spool(chunk_rows(read_again(rows.select("key", "text"), able).select("text"), n), "chunks")
+    return every, classes, spool(ordered_sets(chunks, chunk_counts(chunks, buckets)), "sets")
+
+
+def _components(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows with their class, classes, classes v that have links with their component's label, if any)."""
+    every, classes, sets = class_sets(rows, n)
+    if sets is None:
+        return every, classes, None
+    near = [spool(trie_join(central_pairs(sets, k), sets), "near") for k in range(ROUNDS)]
+    near = reduce(DataFrame.unionByName, near)
+    clusters = components(near)
+    links = near.unionByName(spool(trie_join(crossing_pairs(sets, clusters), sets), "links"))
+    if links.isEmpty():
         return every, classes, None
-    member = components(links).join(classes.withColumnRenamed("cls", "v"), "v").select("v", "label", "least", *["first"] * named)
+    member = components(links).join(classes.withColumnRenamed("cls", "v"), "v").select("v", "label", "least", "first")
     return every, classes, spool(member, "members")
 
 
 def keep_representatives(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stand for their component: its smallest id, null only if all are.
 
-    Rows are known by id and text, so rows of one id (or of none) with other texts are decided each by itself; only
-    rows equal in both are kept or dropped together.
+    One row stands for each component, also among rows equal in all columns. Rows without words stand for themselves.
+    Rows are known by file and place, and those that go are few beside those that stay.
     """
     with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS):
-        every, classes, member = _components(docs, n, id_col, text_col, True)
+        rows = numbered(docs, id_col, text_col, row=True)
+        every, classes, member = _components(rows, n)
         kept = classes.select("cls", "first.key")
         if member is not None:
             kept = classes.join(member.select(F.col("v").alias("cls")), "cls", "left_anti").select("first.key").unionByName(member.groupBy("label").agg(F.min("first").alias("first")).select("first.key"))
-        kept = spool(kept.select("key").unionByName(every.filter("cls is null").select("key").distinct()), "kept")
-        rows = carried(docs, id_col, text_col).select("row", F.xxhash64(F.col("row").getField(id_col), F.col("text")).alias("key"))
-        return rows.join(kept, "key", "left_semi").select("row.*")
+        gone = every.filter("cls is not null").join(spool(kept.select("key"), "kept"), "key", "left_anti")
+        return without(rows, gone).select("row.*")
+
+
+def similar_sets(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(links, members): all pairs a < b of classes that link, and doc_id, n_shingles, cls of every row.
+
+    Classes within one cluster are compared too, so a group of many different near copies gives as many pairs as it has
+    links. Rows of one class (copies) are linked by their membership and not expanded.
+    """
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS):
+        every, _, sets = class_sets(numbered(docs, id_col, text_col), n)
+        members = every.select("doc_id", F.col("n").alias("n_shingles"), "cls")
+        if sets is None:
+            return every.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0), members
+        return trie_join(prefix_pairs(spool(prefix_rows(sets), "prefixes")), sets), members
+
+
+def prefix_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of classes that share a prefix code, by lengths and positions able to link."""
+    left = rows.select("code", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
+    right = rows.select("code", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
+    able = (F.col("a") < F.col("b")) & (F.least("left_a", "left_b") * (TOP + DOWN) >= (F.col("n_a") + F.col("n_b")) * TOP)
+    return left.join(right, "code").filter(able).select("a", "b").distinct()

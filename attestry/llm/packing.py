@@ -15,6 +15,7 @@ null id included; ties are ordered by a row's place in the written pieces. An em
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -24,11 +25,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .sharding import literal_table
-from .shared import spool
+from .shared import literal_table, ranked, spool
 
 WINDOW = 2048
 CLOSING = 1
@@ -37,43 +36,44 @@ TIERS = (256, 512, 1024, 2048)
 GROUP = 64
 #: White space of this length is encoded by the JSON tokenizer: the ranks' library overflows its stack on very long runs.
 LONG_SPACE = 20_000
-#: Pieces of one length that are ranked in one part.
-PART_ROWS, MOST_PARTS = 200_000, 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 @lru_cache(1)
-def encoder(path: str):
-    """The byte-level BPE tokenizer of a ranks file, kept by the worker."""
-    import public_tokenizers
-    import tiktoken
+def json_encoder(path: str):
+    """The JSON tokenizer, kept by the worker."""
+    from tokenizers import Tokenizer
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Tokenizer.from_file(path)
 
 
 @lru_cache(1)
-def json_encoder(path: str):
-    """The JSON tokenizer beside a ranks file; special tokens' strings in a text are ordinary text in both."""
-    from tokenizers import Tokenizer
+def rank_encoder(path: str):
+    """The same vocabulary and added tokens out of the rank file beside the JSON file; None where there is none."""
+    import public_tokenizers
+    import tiktoken
 
-    found = Tokenizer.from_file(os.path.splitext(path)[0] + ".json")
-    found.encode_special_tokens = True
-    return found
+    ranks = os.path.splitext(path)[0] + ".tiktoken"
+    if not os.path.exists(ranks):
+        return None
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    with open(path, encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
 
 
 def encode(text: str, path: str) -> list[int]:
-    if len(text) >= LONG_SPACE and re.search(rf"\s{{{LONG_SPACE}}}", text):
+    ranks = rank_encoder(path)
+    if ranks is None or (len(text) >= LONG_SPACE and re.search(rf"\s{{{LONG_SPACE}}}", text)):
         return json_encoder(path).encode(text, add_special_tokens=False).ids
-    return encoder(path).encode_ordinary(text)
+    return ranks.encode(text, allowed_special="all")
 
 
 def tokenizer_path() -> str:
-    """The ranks of byte_bpe_50k.json: the same vocabulary and ids, in a form that is encoded about three times as fast."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def cut_pieces(docs: DataFrame, path: str, window: int, id_col: str, text_col: str) -> DataFrame:
@@ -147,24 +147,14 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, id_col:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, tier, step_group."""
     spark = docs.sparkSession
     pieces = spool(cut_pieces(docs, path or tokenizer_path(), window, id_col, text_col), "pieces")
-    pieces = pieces.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `window` rows
-    parts = min(MOST_PARTS, max(1, -(-max(histogram.values(), default=0) // PART_ROWS)))
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("_file", "_row"), F.lit(parts)).cast("int"))
-    counts = sorted((r.length, r.part, r["count"]) for r in pieces.groupBy("length", "part").count().collect())
-    before, bases = {}, []
-    for length, part, n in counts:
-        bases.append({"length": length, "part": part, "base": before.get(length, 0)})
-        before[length] = before.get(length, 0) + n
     patterns = plan_patterns(histogram, window)
     runs = place_runs(patterns, window)
     steps = max(1, -(-sum(times for _, times in patterns) // GROUP))
-    base = F.broadcast(literal_table(spark, bases, "length bigint, part int, base bigint"))
     plan = F.broadcast(literal_table(spark, runs, "length bigint, lo bigint, hi bigint, first bigint, each bigint, offset0 bigint, padded bigint"))
-    rank = F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "start", "_file", "_row")) - 1
-    ranked = pieces.withColumn("rank", rank.cast("long")).join(base, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("base"))
-    placed = ranked.join(plan, "length").filter("rank >= lo and rank < hi").withColumn("k", F.col("rank") - F.col("lo"))
+    placed = ranked(pieces, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"], "ranked").join(plan, "length").filter("rank >= lo and rank < hi").withColumn("k", F.col("rank") - F.col("lo"))
     tier = F.coalesce(*[F.when((F.col("length") <= t) & F.lit(t < window), F.lit(t)) for t in TIERS], F.lit(window))
+    sequence = F.col("first") + F.expr("k div each")
     return placed.select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.expr("k div each")).alias("sequence_id"), (F.col("offset0") + F.expr("k % each") * F.col("length")).alias("offset"),
-        F.col("padded").alias("sequence_length"), tier.alias("tier"), F.pmod(F.col("first") + F.expr("k div each"), F.lit(steps)).cast("long").alias("step_group"))
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), (F.col("offset0") + F.expr("k % each") * F.col("length")).alias("offset"),
+        F.col("padded").alias("sequence_length"), tier.alias("tier"), F.pmod(sequence, F.lit(steps)).cast("long").alias("step_group"))

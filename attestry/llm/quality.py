@@ -7,7 +7,8 @@ fit uses at most MOST_LABELS labelled rows, chosen by a hash of their id; everyt
 
 Defined results: a null text counts as empty and gets the score of an empty text. Repeated rows each get their row;
 a null id is never held out and is never trained on. Labels that are null are left out; of repeated labels of one id
-the larger counts. Without labels of both kinds the score is the share of label 1 (0.5 with no label at all).
+the larger counts, and of repeated rows of one id one is trained on. Without labels of both kinds the score is the
+share of label 1 (0.5 with no label at all).
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .arrow_text import slices, words
-from .shared import carried, spool, text_key
+from .shared import carried, spool
 
 #: Labelled rows that the fit uses at most.
 MOST_LABELS = 20_000
@@ -69,19 +71,17 @@ def statistics_of(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     return out | {"upper_of_letters": kinds["upper"] / np.maximum(letters, 1), "words_per_line": count / (kinds["line"] + 1), "stops_per_word": kinds["stop"] / many, "symbols_per_word": kinds["symbol"] / many}
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
-    """(doc_id, statistics) of each row; keyed adds the text's digest as text_key."""
-    extra = ["text_key"] if keyed else []
+def text_statistics(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep, and the statistics of the column text."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
             for lo, hi, data, offsets in slices(batch.column("text")):
                 found = statistics_of(data, offsets)
-                yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(lo, hi - lo), **{k: batch.column(k).slice(lo, hi - lo) for k in extra}, **{k: pa.array(found[k], pa.float64()) for k in STATISTICS}})
+                yield pa.RecordBatch.from_pydict({**{k: batch.column(k).slice(lo, hi - lo) for k in keep}, **{k: pa.array(found[k], pa.float64()) for k in STATISTICS}})
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[text_key(docs[text_col]).alias(k) for k in extra])
-    return rows.mapInArrow(compute, "doc_id long, " + "".join(f"{k} string, " for k in extra) + ", ".join(f"{k} double" for k in STATISTICS))
+    schema = StructType([*(rows.schema[k] for k in keep), *(StructField(k, DoubleType()) for k in STATISTICS)])
+    return rows.select("text", *[k for k in keep if k != "text"]).mapInArrow(compute, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -136,23 +136,29 @@ def score_column(intercept: float, rules: list[tuple[Rule, float]]) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted."""
-    return _classified(docs, labels, label_col, id_col, text_col, False)
+def known_labels(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
+    """(doc_id, y) of the labels that may be trained on, MOST_LABELS at most."""
+    known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("double").alias("y"))
+    return known.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS)
 
 
-def _classified(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, keyed: bool) -> DataFrame:
-    stats = spool(text_statistics(docs, id_col, text_col, keyed), "statistics")
-    known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("double").alias("y")).filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELS)
-    train = spool(stats.join(F.broadcast(known), "doc_id").coalesce(4), "training")
-    intercept, rules = fit_rules(train)
-    score = score_column(intercept, rules)
-    return stats.select("doc_id", *["text_key"] * keyed, held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+def fit_score(stats: DataFrame, known: DataFrame) -> Column:
+    """The score as an expression over the statistics; stats have doc_id. One row per label id is trained on."""
+    each = stats.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*STATISTICS)).alias("s"))
+    return score_column(*fit_rules(spool(each.select("y", "s.*").coalesce(4), "training")))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text is not rejected."""
-    marks = _classified(docs, labels, "quality", id_col, text_col, True).filter("predicted = 0").select("text_key").distinct()
-    rows = carried(docs, id_col, text_col).select("row", text_key(F.col("text")).alias("text_key"))
-    return rows.join(marks, "text_key", "left_anti").select("row.*")
+def classify_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, held_out, score, predicted."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    stats = spool(text_statistics(rows, "doc_id"), "statistics")
+    score = fit_score(stats, known_labels(labels, label_col, id_col))
+    return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are not rejected. Each row is decided where it stands: nothing is shuffled."""
+    rows, known = carried(docs, id_col, text_col), known_labels(labels, label_col, id_col)
+    labelled = rows.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    score = fit_score(text_statistics(labelled, "doc_id"), known)
+    return text_statistics(rows, "row").filter(score >= THRESHOLD).select("row.*")

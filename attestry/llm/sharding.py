@@ -3,29 +3,26 @@
 Each shard owns many points of a ring of 2**32 places; a row belongs to the first point at or after its key's hash.
 A shard takes rows up to its capacity; rows beyond that go on clockwise to the next shard with room. Capacities differ
 by at most one row and add up to the number of rows, so shard sizes do too. Only counts of rows per arc of the ring
-reach the driver: their number is fixed by the ring's parameters and not by the data.
+reach the driver: their number is fixed by the ring's parameters and not by the data. Within an arc rows are ranked by
+place, id, CRC and size in one distributed sort, so an arc that holds many rows (one id, say) is spread over tasks.
 
-Defined results: a null text has size 16 and CRC 0; a null id is placed by its text's CRC. Ties (repeated rows) are
-ordered by their place in the written input, so every row gets a slot of its own. An empty table gives no rows.
+Defined results: a null text has size 16 and CRC 0; a null id is placed by its text's CRC. Rows that tie in all four
+are interchangeable: each gets a slot of its own, and the same rows come out in every run. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import json
 from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .shared import spool
+from .shared import literal_table, ranked, spool
 
 #: Bytes that each row takes besides its text.
 ROW_BYTES = 16
 #: The ring is also cut at this many even places, so that a row finds its arc by an equality join.
 GRID = 4096
-#: An arc with more rows than this is ranked in parts, at most MOST_PARTS of them.
-PART_ROWS, MOST_PARTS = 100_000, 64
 
 
 def ring_hash(*cols: Column) -> Column:
@@ -47,41 +44,36 @@ def ring_arcs(spark: SparkSession, shards: int, vnodes: int) -> list[tuple[int,
     return arcs
 
 
-def fill_clockwise(cells: list[tuple[int, int, int]], arcs: list[tuple[int, int, int]], shards: int) -> list[dict]:
-    """Runs of ranks per cell (arc, part, rows): which shard takes them and the slot of the run's first row.
+def fill_clockwise(cells: list[tuple[int, int]], arcs: list[tuple[int, int, int]], shards: int) -> list[dict]:
+    """Runs of ranks per cell (arc, rows): which shard takes them and the slot of the run's first row.
 
-    First every cell's rows go to its own shard while that has room, in ring order; what is left goes on clockwise.
+    First every arc's rows go to its own shard while that has room, in ring order; what is left goes on clockwise.
     """
-    total = sum(n for *_, n in cells)
+    total = sum(n for _, n in cells)
     room = [total // shards + (s < total % shards) for s in range(shards)]
     used, runs, left = [0] * shards, [], []
 
-    def take(arc: int, part: int, rank: int, n: int, shard: int) -> int:
+    def take(arc: int, rank: int, n: int, shard: int) -> int:
         k = min(n, room[shard])
         if k:
-            runs.append({"arc": arc, "part": part, "lo": rank, "hi": rank + k, "shard": shard, "base": used[shard]})
+            runs.append({"arc": arc, "lo": rank, "hi": rank + k, "shard": shard, "base": used[shard]})
             room[shard] -= k
             used[shard] += k
         return k
 
-    for arc, part, n in sorted(cells):
-        k = take(arc, part, 0, n, arcs[arc][2])
+    for arc, n in sorted(cells):
+        k = take(arc, 0, n, arcs[arc][2])
         if k < n:
-            left.append((arc, part, k, n - k))
-    for arc, part, rank, n in left:
+            left.append((arc, k, n - k))
+    for arc, rank, n in left:
         at = arc
         while n:
             at = (at + 1) % len(arcs)
-            k = take(arc, part, rank, n, arcs[at][2])
+            k = take(arc, rank, n, arcs[at][2])
             rank, n = rank + k, n - k
     return runs
 
 
-def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    """A small table out of a literal, so that no Python rows are sent to tasks."""
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
-
-
 def assign_shards(docs: DataFrame, shards: int = 40, vnodes: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard, home_shard."""
     spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
@@ -90,12 +82,8 @@ def assign_shards(docs: DataFrame, shards: int = 40, vnodes: int = 64, id_col: s
     arcs = ring_arcs(spark, shards, vnodes)
     by_arc = F.broadcast(literal_table(spark, [{"grid": lo // ((1 << 32) // GRID), "lo": lo, "hi": hi, "arc": k, "home_shard": s} for k, (lo, hi, s) in enumerate(arcs)], "grid bigint, lo bigint, hi bigint, arc int, home_shard int"))
     placed = rows.withColumn("grid", F.shiftright("place", 32 - GRID.bit_length() + 1)).join(by_arc, "grid").filter("place between lo and hi")
-    placed = spool(placed.select("doc_id", "size", "text_crc32", "place", "arc", "home_shard"), "shards").select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    most = placed.groupBy("arc").count().agg(F.max("count")).first()[0] or 0
-    parts = min(MOST_PARTS, max(1, -(-most // PART_ROWS)))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("_file", "_row"), F.lit(parts)).cast("int"))
-    cells = [(r.arc, r.part, r["count"]) for r in placed.groupBy("arc", "part").count().collect()]  # arcs x parts at most
-    runs = F.broadcast(literal_table(spark, fill_clockwise(cells, arcs, shards), "arc int, part int, lo bigint, hi bigint, shard int, base bigint"))
-    rank = F.row_number().over(W.partitionBy("arc", "part").orderBy("place", "doc_id", "text_crc32", "_file", "_row")) - 1
-    ranked = placed.withColumn("rank", rank.cast("long")).join(runs, ["arc", "part"]).filter("rank >= lo and rank < hi")
-    return ranked.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "home_shard")
+    placed = spool(placed.select("doc_id", "size", "text_crc32", "place", "arc", "home_shard"), "shards")
+    cells = [(r.arc, r["count"]) for r in placed.groupBy("arc").count().collect()]  # as many as the ring has arcs
+    runs = F.broadcast(literal_table(spark, fill_clockwise(cells, arcs, shards), "arc int, lo bigint, hi bigint, shard int, base bigint"))
+    taken = ranked(placed, "arc", ["place", "doc_id", "text_crc32", "size"], "ring").join(runs, "arc").filter("rank >= lo and rank < hi")
+    return taken.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "home_shard")

@@ -9,8 +9,8 @@ is repeated. A maximal repeat is the union of its windows, so all its words get
 read once more and the marked words are left out. Groups are never expanded into pairs, and what repeats within one
 slice of texts is settled there and sent once.
 
-A run is known by 40 bits besides its bucket; that only decides what is looked at again. A window is known by 64 bits
-besides its bucket, which comes from a second, independent hash (about 80 bits at full width).
+A run is known by 40 bits besides its bucket; that only decides what is looked at again. A window is known by two
+independent hashes of 64 bits each. Rows are known by their file and place in it, so no two share a key.
 
 Defined results: a null text has no words. White space between kept words becomes one space. Repeated rows are
 documents of their own, so each is the other's copy, and so are rows with a null id. An empty table gives no rows.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import Words, mix, ngrams, slices, words
-from .shared import settings, spool
+from .shared import BROADCAST_KEYS, numbered, settings, spool, without
 
 WINDOW = 35
 #: Bytes of text that a row of packed hashes covers at most; a longer text has rows of its own.
@@ -35,14 +35,13 @@ SLICE_BYTES = 1 << 21
 #: Bytes of text for which there is one bucket.
 BUCKET_BYTES = 12_000_000
 MOST_BUCKETS = 1 << 16
-#: Broadcast the keys of the texts to be read again only up to so many (8 bytes each).
-BROADCAST_KEYS = 300_000
 #: Rows of a batch of texts, so that a worker holds a few MB of them.
 BATCH_ROWS = "2000"
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 #: A packed row: the bucket, keys of the texts that have codes here, each text's first word, codes, places among the
 #: slice's words (rising). Rows without codes hold what the slice has settled: key and place in the text of each.
 PACKED = "bucket int, keys binary, firsts binary, high binary, low binary, place binary"
+#: For windows, high is the second hash and low the first.
 
 
 def block_size(window: int) -> int:
@@ -63,21 +62,25 @@ def unpack_rising(b: bytes) -> np.ndarray:
     return low + (np.repeat(np.arange(pages), np.diff(np.append(table, len(low)))) << 16)
 
 
-def settled_and_sent(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which codes occur more than once here, and the first place of each code, rising."""
-    _, first, inverse, count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-    return np.flatnonzero(count[inverse] > 1), np.sort(first)
+def settled_and_sent(code: np.ndarray, other: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which codes (with other: pairs of codes) occur more than once here, and the first place of each, rising."""
+    order = np.argsort(code, kind="stable") if other is None else np.lexsort((other, code))
+    new = np.ones(len(code), bool)
+    new[1:] = code[order[1:]] != code[order[:-1]]
+    if other is not None:
+        new[1:] |= other[order[1:]] != other[order[:-1]]
+    again = ~new
+    again[:-1] |= ~new[1:]
+    return np.sort(order[again]), np.sort(order[new])
 
 
-def packed_rows(keys: np.ndarray, w: Words, at: np.ndarray, code: np.ndarray, bucket: np.ndarray, settled: np.ndarray, wide: bool, slot: int) -> pa.RecordBatch:
+def packed_rows(keys: np.ndarray, w: Words, at: np.ndarray, high: np.ndarray, low: np.ndarray, bucket: np.ndarray, settled: np.ndarray, slot: int) -> pa.RecordBatch:
     """Packed rows of the places `at` (words of the slice) by bucket, and one of the settled places."""
     order = np.argsort(bucket.astype(np.uint16), kind="stable")
-    bucket, code, at = bucket[order], code[order], at[order]
+    bucket, high, low, at = bucket[order].astype(np.int32), high[order], low[order], at[order]
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     spans = list(zip(cut.tolist(), [*cut[1:].tolist(), len(at)]))
-    high = (code >> np.uint64(32)).astype("<u4" if wide else np.uint8)
-    low = code.astype("<u4")
-    columns = [bucket[cut].astype(np.int32).tolist(), [], [], [high[a:b].tobytes() for a, b in spans], [low[a:b].tobytes() for a, b in spans], [pack_rising(at[a:b]) for a, b in spans]]
+    columns = [bucket[cut].tolist(), [], [], [high[a:b].tobytes() for a, b in spans], [low[a:b].tobytes() for a, b in spans], [pack_rising(at[a:b]) for a, b in spans]]
     for a, b in spans:  # only the texts that have codes here, so a row is no longer than its codes ask for
         used = np.unique(np.searchsorted(w.first, at[a:b], "right") - 1)
         columns[1].append(keys[used].astype("<i8").tobytes())
@@ -107,7 +110,9 @@ def run_rows(docs: DataFrame, block: int, buckets: int) -> DataFrame:
                 if len(settled):
                     order = np.lexsort((~aligned, code))
                     sent = np.sort(order[np.flatnonzero(np.diff(code[order], prepend=~code[order[:1]]))])
-                yield packed_rows(keys[lo:hi], w, at[sent], code[sent] & np.uint64((1 << 40) - 1), (code[sent] >> np.uint64(40)) % np.uint64(buckets), at[settled], False, int(code[0]) % buckets)
+                runs = code[sent]
+                high = (runs >> np.uint64(32)).astype(np.uint8)
+                yield packed_rows(keys[lo:hi], w, at[sent], high, runs.astype("<u4"), (runs >> np.uint64(40)) % np.uint64(buckets), at[settled], int(code[0]) % buckets)
 
     return docs.mapInArrow(probes, PACKED)
 
@@ -134,8 +139,8 @@ def window_rows(docs: DataFrame, block: int, window: int, buckets: int) -> DataF
                 start, code = ngrams(w, window)
                 code = code[np.searchsorted(start, at)]
                 other = ngrams(Words(w.data, w.start, w.end, w.first, mix(w.hash * SECOND + np.uint64(1))), window)[1][np.searchsorted(start, at)]
-                settled, sent = settled_and_sent(code)
-                yield packed_rows(keys[lo:hi], w, at[sent], code[sent], other[sent] % np.uint64(buckets), at[settled], True, int(code[0]) % buckets)
+                settled, sent = settled_and_sent(code, other)
+                yield packed_rows(keys[lo:hi], w, at[sent], other[sent].astype("<u8"), code[sent].astype("<u8"), other[sent] % np.uint64(buckets), at[settled], int(code[0]) % buckets)
 
     return docs.mapInArrow(extend, PACKED)
 
@@ -156,7 +161,10 @@ def meet(packed: DataFrame, buckets: int, block: int | None, wide: bool) -> Data
                     by_bucket.setdefault(row["bucket"], []).append(row)
         while by_bucket:
             _, rows = by_bucket.popitem()
-            code = np.concatenate([(np.frombuffer(r["high"], "<u4" if wide else np.uint8).astype(np.uint64) << np.uint64(32)) | np.frombuffer(r["low"], "<u4") for r in rows])
+            high = np.concatenate([np.frombuffer(r["high"], "<u8" if wide else np.uint8) for r in rows])
+            code = np.concatenate([np.frombuffer(r["low"], "<u8" if wide else "<u4") for r in rows])
+            if not wide:
+                code = code | (high.astype(np.uint64) << np.uint64(32))
             place, key = [], []
             for r in rows:
                 at, first = unpack_rising(r["place"]), np.frombuffer(r["firsts"], "<u4").astype(np.int64)
@@ -171,8 +179,10 @@ def meet(packed: DataFrame, buckets: int, block: int | None, wide: bool) -> Data
                 if not len(index):
                     continue
                 at = np.flatnonzero(index[np.minimum(np.searchsorted(index, code), len(index) - 1)] == code)
-            order = at[np.argsort(code[at], kind="stable")]
+            order = np.lexsort((high, code)) if wide else at[np.argsort(code[at], kind="stable")]
             same = code[order[1:]] == code[order[:-1]]
+            if wide:
+                same &= high[order[1:]] == high[order[:-1]]
             twice = np.zeros(len(order), bool)
             twice[1:] |= same
             twice[:-1] |= same
@@ -243,7 +253,7 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
 def repeat_marks(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key, doc_id, text) of all rows, and (doc_id, text, key, places) of those with repeated windows: where these start."""
     block = block_size(window)
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = numbered(docs, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = min(MOST_BUCKETS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1))
     with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH_ROWS):
@@ -261,8 +271,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     rows, marked = repeat_marks(docs, window, id_col, text_col)
     schema = "doc_id long, key long, n_words long, n_removed long, kept_sha256 string"
     changed = spool(marked.mapInArrow(lambda b: _kept(b, window), schema + ", kept_text string").drop("kept_text"), "changed")
-    whole = rows.mapInArrow(lambda b: _kept(b, window), schema)
-    return whole.join(changed.select("key").distinct(), "key", "left_anti").unionByName(changed).drop("key")
+    whole = without(rows, changed).mapInArrow(lambda b: _kept(b, window), schema)
+    return whole.unionByName(changed).drop("key")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,4 +280,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     rows, marked = repeat_marks(docs, window, id_col, text_col)
     schema = "doc_id long, key long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     changed = spool(marked.mapInArrow(lambda b: _kept(b, window), schema).select("key", "doc_id", F.col("kept_text").alias("text")), "changed")
-    return rows.join(changed.select("key").distinct(), "key", "left_anti").unionByName(changed).drop("key")
+    return without(rows, changed).unionByName(changed).drop("key")

@@ -1,15 +1,20 @@
 """Exact top-k search by inner product with a three-phase uniform threshold.
 
 A vector's components are split into LISTS groups; a list holds, for a query, every candidate's partial product over
-one group. Phase 1: each block of candidates gathers the highest entries of its local lists, and their full products;
-the k-th highest product seen per query is a safe cutoff, since k candidates reach it. Phase 2: the cutoff goes back
-with the queries. A product of at least the cutoff has a partial product of at least cutoff / LISTS, so each block
-collects the entries that do. Phase 3: the collected entries are resolved exactly, and each query keeps its k best.
-Queries and candidates meet in blocks of bounded size, so neither is broadcast or gathered whole.
+one group. Queries and candidates meet in blocks of bounded size, so neither is broadcast or gathered whole.
+
+Phase 1: each block of candidates gathers the k highest entries of each local list and resolves just these candidates;
+the k-th highest of all scores a query so gets is a safe cutoff, since k candidates reach it. Phase 2: the cutoff goes
+back with the queries. A score of at least the cutoff has a partial product of at least cutoff / LISTS in some list, so
+each block collects the entries that do; what a candidate's other lists add is less than that, so candidates whose
+known entries and this bound stay below the cutoff go. Phase 3: of the candidates left the missing partial products are
+fetched by their ids, and each query keeps its k best.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a
-null id. Repeated rows (equal id and vector) count once. Only vectors of equal length are compared. Ties go to the
-smaller id. With fewer than k candidates all are returned; an empty table gives no rows. Products that exceed 64 bits wrap around.
+null id. Repeated rows (equal id and vector) count once. An id with several different vectors asks with each of them
+and their results are ranked together; as a candidate it can appear once per vector. Only vectors of equal length are
+compared. Ties go to the smaller id. With fewer than k candidates all are returned; an empty table gives no rows.
+Scores that exceed 64 bits wrap around.
 """
 
 from __future__ import annotations
@@ -23,9 +28,15 @@ from pyspark.sql import functions as F
 from .shared import spool
 
 LISTS = 4
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
+#: Vectors of a block of queries and of one of candidates, and candidates that are looked at in one step.
+QUERY_BLOCK, CANDIDATE_BLOCK, STEP = 2048, 16_384, 1024
+#: Components of a block at most (about).
+BLOCK_VALUES = 1 << 22
 SCALE = 1024
-PAIR = "query_id long, vec_id long, score long"
+#: A query without k candidates so far: everything counts.
+OPEN = -(2**62)
+SCORES = "query_id long, query_no long, vec_id long, vec_no long, score long"
+ENTRIES = "query_no long, vec_no long, known long, missing array<int>, cutoff long"
 
 
 def quantised(vector: Column) -> Column:
@@ -33,77 +44,128 @@ def quantised(vector: Column) -> Column:
 
 
 def clean_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(vec_id, vec_no, v): distinct vectors; vec_no, a hash of both, tells the vectors of one id apart."""
     v = F.col(vec_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     rows = df.filter(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0)).filter(~bad)
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), quantised(v).alias("v")).distinct()
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), quantised(v).alias("v")).distinct().select("vec_id", F.xxhash64("v").alias("vec_no"), "v")
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.int64)
+def list_bounds(size: int) -> list[tuple[int, int]]:
+    """The components of each list."""
+    lists = min(LISTS, size)
+    return [(k * size // lists, (k + 1) * size // lists) for k in range(lists)]
 
 
-def _partials(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    """Per list: partial products, queries by candidates; by floats where these are exact, which is far quicker."""
-    bounds = np.linspace(0, q.shape[1], min(LISTS, q.shape[1]) + 1).astype(int)
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2**52
-    kind = np.float64 if exact else np.int64
-    q, c = q.astype(kind), c.astype(kind)
-    return [(q[:, a:b] @ c[:, a:b].T).astype(np.int64) for a, b in zip(bounds, bounds[1:])]
+def _matrix(column: pd.Series) -> np.ndarray:
+    """Whole numbers; as floats where sums of products are exact, since these multiply far quicker."""
+    m = np.stack(column.to_numpy()).astype(np.int64)
+    return m.astype(np.float64) if float(np.abs(m).max(initial=0)) ** 2 * m.shape[1] < 2**52 else m
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+def _pair(queries: pd.DataFrame, candidates: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    q, c = _matrix(queries["v"]), _matrix(candidates["v"])
+    return (q, c) if q.dtype == c.dtype else (q.astype(np.int64), c.astype(np.int64))
 
 
 def _gather(k: int):
+    """Phase 1: (query, candidate, score) of the k best that the local lists name."""
+
     def local_lists(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or candidates.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        ids, parts, out = candidates["vec_id"].to_numpy(), _partials(_matrix(queries["v"]), _matrix(candidates["v"])), []
-        total = sum(parts)
-        for row, query in enumerate(queries["vec_id"].to_numpy()):
-            seen = {x for p in parts for x in np.argpartition(-p[row], min(k, len(ids) - 1))[: k + 1].tolist()}
-            at = np.array([x for x in seen if ids[x] != query], np.int64)
-            at = at[_best(ids[at], total[row, at], k)]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at], "score": total[row, at]}))
-        return pd.concat(out)
+        out = []
+        if len(queries) and len(candidates):
+            q, c = _pair(queries, candidates)
+            q_ids, ids = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
+            n = min(k + 1, len(ids))  # one more than k, as a query's own row may be among them
+            best = [np.empty((len(q), 0), np.int64) for _ in list_bounds(q.shape[1])]
+            for at in range(0, len(c), STEP):
+                for k_list, (a, b) in enumerate(list_bounds(q.shape[1])):
+                    p = q[:, a:b] @ c[at : at + STEP, a:b].T
+                    top = np.argpartition(-p, min(n, p.shape[1]) - 1, axis=1)[:, : min(n, p.shape[1])]
+                    best[k_list] = np.concatenate([best[k_list], top + at], axis=1)
+            for row in range(len(q)):
+                named = []
+                for (a, b), places in zip(list_bounds(q.shape[1]), best):
+                    score = c[places[row], a:b] @ q[row, a:b]
+                    named.append(places[row][np.lexsort((ids[places[row]], -score))[:n]])
+                at = np.unique(np.concatenate(named))
+                at = at[ids[at] != q_ids[row]]
+                score = (c[at] @ q[row]).astype(np.int64)
+                keep = np.lexsort((ids[at], -score))[:k]
+                out.append(pd.DataFrame({"query_id": q_ids[row], "query_no": queries["vec_no"].iloc[row], "vec_id": ids[at[keep]], "vec_no": candidates["vec_no"].to_numpy()[at[keep]], "score": score[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in SCORES.split(", ")}).astype("int64")
 
     return local_lists
 
 
-def _collect(k: int):
-    def sufficient(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or candidates.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        ids, parts, out = candidates["vec_id"].to_numpy(), _partials(_matrix(queries["v"]), _matrix(candidates["v"])), []
-        total = sum(parts)
-        for row, (query, cutoff) in enumerate(zip(queries["vec_id"].to_numpy(), queries["cutoff"].to_numpy())):
-            entry = np.logical_or.reduce([p[row] * len(parts) >= cutoff for p in parts])
-            at = np.flatnonzero(entry & (total[row] >= cutoff) & (ids != query))
-            at = at[_best(ids[at], total[row, at], k)]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at], "score": total[row, at]}))
-        return pd.concat(out)
-
-    return sufficient
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) for each row that is_query (an expression over vec_id) chooses."""
+def _collect(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+    """Phase 2: candidates with a sufficient entry that can still reach the cutoff: what is known, and the lists that are missing."""
+    out = []
+    if len(queries) and len(candidates):
+        q, c = _pair(queries, candidates)
+        q_ids, ids, cutoff = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy(), queries["cutoff"].to_numpy()
+        lists = list_bounds(q.shape[1])
+        # a whole number p has p * lists >= cutoff exactly if p >= ceil(cutoff / lists)
+        enough = -(-cutoff // len(lists))
+        for at in range(0, len(c), STEP):
+            known = np.zeros((len(q), len(c[at : at + STEP])), np.int64)
+            have = np.zeros((len(lists), *known.shape), bool)
+            for k_list, (a, b) in enumerate(lists):
+                p = (q[:, a:b] @ c[at : at + STEP, a:b].T).astype(np.int64)
+                have[k_list] = p >= enough[:, None]
+                known += np.where(have[k_list], p, 0)
+            n = have.sum(0)
+            most = known + (len(lists) - n) * (enough - 1)[:, None]
+            row, col = np.nonzero((n > 0) & (most >= cutoff[:, None]) & (q_ids[:, None] != ids[None, at : at + STEP]))
+            lacking = [np.flatnonzero(x).tolist() for x in ~have[:, row, col].T]
+            out.append(pd.DataFrame({"query_no": queries["vec_no"].to_numpy()[row], "vec_no": candidates["vec_no"].to_numpy()[at + col], "known": known[row, col], "missing": lacking, "cutoff": cutoff[row], "query_id": q_ids[row], "vec_id": ids[at + col]}))
+    empty = pd.DataFrame({c.split()[0]: [] for c in (ENTRIES + ", query_id long, vec_id long").split(", ")})
+    return pd.concat(out) if out else empty
+
+
+def missing_products(q: Column, c: Column, missing: Column) -> Column:
+    """The sum of the partial products over the lists that are missing."""
+    size = F.size(q)
+    lists = F.least(size, F.lit(LISTS))
+    product = F.zip_with(q, c, lambda x, y: x * y)
+
+    def one(total: Column, which: Column) -> Column:
+        a, b = F.floor(which * size / lists).cast("int"), F.floor((which + 1) * size / lists).cast("int")
+        return total + F.aggregate(F.slice(product, a + 1, b - a), F.lit(0).cast("long"), lambda s, x: s + x)
+
+    return F.aggregate(missing, F.lit(0).cast("long"), one)
+
+
+def sufficient_entries(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """(rows, entries): the clean vectors, and what phases 1 and 2 leave to be resolved."""
+    spark = vectors.sparkSession
     rows = spool(clean_vectors(vectors, id_col, vec_col), "vectors").withColumn("dim", F.size("v"))
-    n, m = rows.count(), rows.filter(is_query).count()
-    if not n or not m:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.col("vec_id").alias("score")).limit(0)
-    c_blocks, q_blocks = -(-n // CANDIDATE_BLOCK), -(-m // QUERY_BLOCK)
+    n, m, longest = rows.agg(F.count("*"), F.count_if(is_query), F.max("dim")).first()
+    tasks, room = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, BLOCK_VALUES // (longest or 1))
+    c_blocks = max(-(-n // min(CANDIDATE_BLOCK, room)), min(tasks, -(-n // STEP)), 1)
+    q_blocks = max(-(-m // min(QUERY_BLOCK, room)), 1)
 
     def dealt(df: DataFrame, own: str, mine: int, other: str, theirs: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("vec_id", "v"), F.lit(mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))))
+        return df.withColumn(own, F.pmod(F.xxhash64("vec_id", "vec_no"), F.lit(mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))))
 
     candidates = dealt(rows, "cb", c_blocks, "qb", q_blocks).groupBy("dim", "qb", "cb")
     queries = rows.filter(is_query).select(*(F.col(c).alias(c) for c in rows.columns))
-    first = dealt(queries, "qb", q_blocks, "cb", c_blocks).groupBy("dim", "qb", "cb").cogroup(candidates).applyInPandas(_gather(k), PAIR)
-    ordered = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    cutoff = first.withColumn("r", F.row_number().over(ordered)).filter(F.col("r") <= k).groupBy("query_id").agg(F.min("score").alias("cutoff"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("cutoff")).otherwise(-(2**62)).alias("cutoff"))
+    first = dealt(queries, "qb", q_blocks, "cb", c_blocks).groupBy("dim", "qb", "cb").cogroup(candidates).applyInPandas(_gather(k), SCORES)
+    r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = first.withColumn("r", r).filter(F.col("r") <= k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    cutoff = spool(best.select("query_id", F.when(F.col("n") >= k, F.col("least")).otherwise(OPEN).alias("cutoff")), "cutoff")
     asked = queries.join(cutoff, F.col("vec_id") == F.col("query_id")).drop("query_id")
-    entries = dealt(asked, "qb", q_blocks, "cb", c_blocks).groupBy("dim", "qb", "cb").cogroup(candidates).applyInPandas(_collect(k), PAIR)
-    return entries.withColumn("rank", F.row_number().over(ordered)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    entries = dealt(asked, "qb", q_blocks, "cb", c_blocks).groupBy("dim", "qb", "cb").cogroup(candidates).applyInPandas(_collect, ENTRIES + ", query_id long, vec_id long")
+    return rows, spool(entries, "entries")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score) for each row that is_query (an expression over vec_id) chooses."""
+    rows, entries = sufficient_entries(vectors, is_query, k, id_col, vec_col)
+    whole = entries.filter(F.size("missing") == 0).select("query_id", "vec_id", F.col("known").alias("score"))
+    q = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("vec_no").alias("query_no"), F.col("v").alias("q"))
+    c = rows.select("vec_id", "vec_no", F.col("v").alias("c"))
+    open_ = entries.filter(F.size("missing") > 0).join(q, ["query_id", "query_no"]).join(c, ["vec_id", "vec_no"])
+    resolved = open_.withColumn("score", F.col("known") + missing_products(F.col("q"), F.col("c"), F.col("missing"))).filter("score >= cutoff").select("query_id", "vec_id", "score")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return whole.unionByName(resolved).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
