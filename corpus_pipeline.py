@@ -1,4 +1,9 @@
-"""A training corpus out of `documents`: quality filter, exact and near dedup, mixing and packing, stage by stage."""
+"""A training corpus out of `documents`: quality filter, exact and near dedup, mixing and packing, stage by stage.
+
+All stages but the last keep whole rows, with all columns. Null texts count as empty. Rows are decided one by one, also
+where their ids are null or repeated; of rows equal in text one stays (exact dedup). An empty table passes every stage
+as an empty table.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +17,10 @@ from attestry.llm.quality import keep_good
 from attestry.llm.shared import spool, table
 
 
+#: A domain's target in the mixing stage is at most so many times its tokens.
+EPOCHS = 1.25
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble does not reject."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
@@ -28,8 +37,12 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate towards the target weights says."""
-    return mixed_docs(docs, table(spark, sf_dir, "labels"))
+    """Each document as often as its rate towards the target weights says.
+
+    After the quality stage there is next to no junk, so its share of the weights is out of reach; it gets EPOCHS times
+    what there is.
+    """
+    return mixed_docs(docs, table(spark, sf_dir, "labels"), epochs=EPOCHS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
