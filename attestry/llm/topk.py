@@ -7,8 +7,8 @@ Phase 1: each block of candidates gathers the k highest entries of each local li
 the k-th highest of all scores a query so gets is a safe cutoff, since k candidates reach it. Phase 2: the cutoff goes
 back with the queries. A score of at least the cutoff has a partial product of at least cutoff / LISTS in some list, so
 each block collects the entries that do; what a candidate's other lists add is less than that, so candidates whose
-known entries and this bound stay below the cutoff go. Phase 3: of the candidates left the missing partial products are
-fetched by their ids, and each query keeps its k best.
+known entries and this bound stay below the cutoff go. Phase 3: of the candidates left just the missing partial products
+are fetched from the block's lists, those that reach the cutoff leave it, and each query keeps its k best.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a
 null id. Repeated rows (equal id and vector) count once. An id with several different vectors asks with each of them
@@ -35,8 +35,9 @@ BLOCK_VALUES = 1 << 22
 SCALE = 1024
 #: A query without k candidates so far: everything counts.
 OPEN = -(2**62)
-SCORES = "query_id long, query_no long, vec_id long, vec_no long, score long"
-ENTRIES = "query_no long, vec_no long, known long, missing array<int>, cutoff long"
+SCORES = "query_id long, vec_id long, score long"
+#: Candidates whose missing products are fetched in one step.
+FETCH = 1 << 16
 
 
 def quantised(vector: Column) -> Column:
@@ -44,11 +45,11 @@ def quantised(vector: Column) -> Column:
 
 
 def clean_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec_no, v): distinct vectors; vec_no, a hash of both, tells the vectors of one id apart."""
+    """(vec_id, v): distinct rows that take part."""
     v = F.col(vec_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     rows = df.filter(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0)).filter(~bad)
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), quantised(v).alias("v")).distinct().select("vec_id", F.xxhash64("v").alias("vec_no"), "v")
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), quantised(v).alias("v")).distinct()
 
 
 def list_bounds(size: int) -> list[tuple[int, int]]:
@@ -92,52 +93,57 @@ def _gather(k: int):
                 at = at[ids[at] != q_ids[row]]
                 score = (c[at] @ q[row]).astype(np.int64)
                 keep = np.lexsort((ids[at], -score))[:k]
-                out.append(pd.DataFrame({"query_id": q_ids[row], "query_no": queries["vec_no"].iloc[row], "vec_id": ids[at[keep]], "vec_no": candidates["vec_no"].to_numpy()[at[keep]], "score": score[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in SCORES.split(", ")}).astype("int64")
+                out.append(pd.DataFrame({"query_id": q_ids[row], "vec_id": ids[at[keep]], "score": score[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     return local_lists
 
 
-def _collect(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-    """Phase 2: candidates with a sufficient entry that can still reach the cutoff: what is known, and the lists that are missing."""
+def sufficient_entries(q: np.ndarray, c: np.ndarray, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phase 2: (query, candidate, known, have) of the pairs that can still reach the query's cutoff.
+
+    known sums the partial products that are entries, have says which lists (first axis) these come from.
+    """
+    lists = list_bounds(q.shape[1])
+    enough = -(-cutoff // len(lists))  # a whole number p has p * lists >= cutoff exactly if p >= this
+    known, have = np.zeros((len(q), len(c)), np.int64), np.zeros((len(lists), len(q), len(c)), bool)
+    for k, (a, b) in enumerate(lists):
+        p = (q[:, a:b] @ c[:, a:b].T).astype(np.int64)
+        have[k] = p >= enough[:, None]
+        known += np.where(have[k], p, 0)
+    n = have.sum(0)
+    row, col = np.nonzero((n > 0) & (known + (len(lists) - n) * (enough - 1)[:, None] >= cutoff[:, None]))
+    return row, col, known[row, col], have[:, row, col]
+
+
+def resolved(q: np.ndarray, c: np.ndarray, row: np.ndarray, col: np.ndarray, known: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Phase 3: the pairs' scores; only the partial products of lists that are missing are fetched."""
+    score = known.copy()
+    for k, (a, b) in enumerate(list_bounds(q.shape[1])):
+        lacking = np.flatnonzero(~have[k])
+        for at in range(0, len(lacking), FETCH):
+            part = lacking[at : at + FETCH]
+            score[part] += np.einsum("ij,ij->i", q[row[part], a:b], c[col[part], a:b]).astype(np.int64)
+    return score
+
+
+def _resolve(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+    """Phases 2 and 3 in a block: (query, candidate, score) of all that reach the cutoff."""
     out = []
     if len(queries) and len(candidates):
         q, c = _pair(queries, candidates)
         q_ids, ids, cutoff = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy(), queries["cutoff"].to_numpy()
-        lists = list_bounds(q.shape[1])
-        # a whole number p has p * lists >= cutoff exactly if p >= ceil(cutoff / lists)
-        enough = -(-cutoff // len(lists))
         for at in range(0, len(c), STEP):
-            known = np.zeros((len(q), len(c[at : at + STEP])), np.int64)
-            have = np.zeros((len(lists), *known.shape), bool)
-            for k_list, (a, b) in enumerate(lists):
-                p = (q[:, a:b] @ c[at : at + STEP, a:b].T).astype(np.int64)
-                have[k_list] = p >= enough[:, None]
-                known += np.where(have[k_list], p, 0)
-            n = have.sum(0)
-            most = known + (len(lists) - n) * (enough - 1)[:, None]
-            row, col = np.nonzero((n > 0) & (most >= cutoff[:, None]) & (q_ids[:, None] != ids[None, at : at + STEP]))
-            lacking = [np.flatnonzero(x).tolist() for x in ~have[:, row, col].T]
-            out.append(pd.DataFrame({"query_no": queries["vec_no"].to_numpy()[row], "vec_no": candidates["vec_no"].to_numpy()[at + col], "known": known[row, col], "missing": lacking, "cutoff": cutoff[row], "query_id": q_ids[row], "vec_id": ids[at + col]}))
-    empty = pd.DataFrame({c.split()[0]: [] for c in (ENTRIES + ", query_id long, vec_id long").split(", ")})
-    return pd.concat(out) if out else empty
-
-
-def missing_products(q: Column, c: Column, missing: Column) -> Column:
-    """The sum of the partial products over the lists that are missing."""
-    size = F.size(q)
-    lists = F.least(size, F.lit(LISTS))
-    product = F.zip_with(q, c, lambda x, y: x * y)
-
-    def one(total: Column, which: Column) -> Column:
-        a, b = F.floor(which * size / lists).cast("int"), F.floor((which + 1) * size / lists).cast("int")
-        return total + F.aggregate(F.slice(product, a + 1, b - a), F.lit(0).cast("long"), lambda s, x: s + x)
-
-    return F.aggregate(missing, F.lit(0).cast("long"), one)
-
-
-def sufficient_entries(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """(rows, entries): the clean vectors, and what phases 1 and 2 leave to be resolved."""
+            part = c[at : at + STEP]
+            row, col, known, have = sufficient_entries(q, part, cutoff)
+            score = resolved(q, part, row, col, known, have)
+            keep = (score >= cutoff[row]) & (q_ids[row] != ids[at + col])
+            out.append(pd.DataFrame({"query_id": q_ids[row[keep]], "vec_id": ids[at + col[keep]], "score": score[keep]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score) for each row that is_query (an expression over vec_id) chooses."""
     spark = vectors.sparkSession
     rows = spool(clean_vectors(vectors, id_col, vec_col), "vectors").withColumn("dim", F.size("v"))
     n, m, longest = rows.agg(F.count("*"), F.count_if(is_query), F.max("dim")).first()
@@ -146,26 +152,14 @@ def sufficient_entries(vectors: DataFrame, is_query: Column, k: int = 10, id_col
     q_blocks = max(-(-m // min(QUERY_BLOCK, room)), 1)
 
     def dealt(df: DataFrame, own: str, mine: int, other: str, theirs: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("vec_id", "vec_no"), F.lit(mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))))
+        return df.withColumn(own, F.pmod(F.xxhash64("vec_id", "v"), F.lit(mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))))
 
     candidates = dealt(rows, "cb", c_blocks, "qb", q_blocks).groupBy("dim", "qb", "cb")
     queries = rows.filter(is_query).select(*(F.col(c).alias(c) for c in rows.columns))
     first = dealt(queries, "qb", q_blocks, "cb", c_blocks).groupBy("dim", "qb", "cb").cogroup(candidates).applyInPandas(_gather(k), SCORES)
-    r = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    best = first.withColumn("r", r).filter(F.col("r") <= k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = first.withColumn("r", rank).filter(F.col("r") <= k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     cutoff = spool(best.select("query_id", F.when(F.col("n") >= k, F.col("least")).otherwise(OPEN).alias("cutoff")), "cutoff")
     asked = queries.join(cutoff, F.col("vec_id") == F.col("query_id")).drop("query_id")
-    entries = dealt(asked, "qb", q_blocks, "cb", c_blocks).groupBy("dim", "qb", "cb").cogroup(candidates).applyInPandas(_collect, ENTRIES + ", query_id long, vec_id long")
-    return rows, spool(entries, "entries")
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) for each row that is_query (an expression over vec_id) chooses."""
-    rows, entries = sufficient_entries(vectors, is_query, k, id_col, vec_col)
-    whole = entries.filter(F.size("missing") == 0).select("query_id", "vec_id", F.col("known").alias("score"))
-    q = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("vec_no").alias("query_no"), F.col("v").alias("q"))
-    c = rows.select("vec_id", "vec_no", F.col("v").alias("c"))
-    open_ = entries.filter(F.size("missing") > 0).join(q, ["query_id", "query_no"]).join(c, ["vec_id", "vec_no"])
-    resolved = open_.withColumn("score", F.col("known") + missing_products(F.col("q"), F.col("c"), F.col("missing"))).filter("score >= cutoff").select("query_id", "vec_id", "score")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return whole.unionByName(resolved).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    reached = dealt(asked, "qb", q_blocks, "cb", c_blocks).groupBy("dim", "qb", "cb").cogroup(candidates).applyInPandas(_resolve, SCORES)
+    return reached.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
