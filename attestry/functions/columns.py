@@ -88,13 +88,26 @@ def company_slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(spelled, "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
+#: A character reference with more digits than this is beyond Unicode in any base.
+MOST_DIGITS = 7
+
+
+def _code_point(token: str) -> int | None:
+    """The number of #123 or #x1f; None if it is no character."""
+    hexadecimal = token[1:2] in ("x", "X")
+    digits = token[2:] if hexadecimal else token[1:]
+    if not digits or not (hexadecimal or digits.isdigit()) or len(digits.lstrip("0")) > MOST_DIGITS:
+        return None
+    number = int(digits, 16 if hexadecimal else 10)
+    return None if number > 0x10FFFF or 0xD800 <= number <= 0xDFFF else number
+
+
 def _decode(text: str) -> str:
     def one(m: re.Match) -> str:
-        token = m[1]
-        if token[0] == "#":
-            number = int(token[2:], 16) if token[1:2].lower() == "x" and len(token) > 2 else int(token[1:]) if token[1:].isdigit() else None
-            return m[0] if number is None or number > 0x10FFFF else chr(number)
-        return ENTITIES.get(token.lower(), m[0])
+        if m[1][0] != "#":
+            return ENTITIES.get(m[1].lower(), m[0])
+        number = _code_point(m[1])
+        return m[0] if number is None else chr(number)
 
     return _ENTITY.sub(one, text)
 
@@ -105,16 +118,21 @@ def _decode_batch(texts: pd.Series) -> pd.Series:
 
 
 def decode_html(c: Column) -> Column:
-    """Entities decoded once, so &amp;lt; becomes &lt;. Unknown ones and numbers beyond Unicode stay as they are."""
+    """Entities decoded once, so &amp;lt; becomes &lt;. Unknown ones, surrogates and numbers beyond Unicode stay as they are."""
     has = c.contains("&")
     return F.when(has, _decode_batch(F.when(has, c))).otherwise(c)
 
 
+#: Elements that go with their contents, and tags that end a line.
+UNSEEN = ("script", "style")
+LINE_ENDS = (r"<br\s*/?>", "</p>", "</div>", "</tr>", "</li>")
+
+
 def untagged(c: Column) -> Column:
     """Tags to white space; script and style with their contents."""
-    c = F.regexp_replace(c, "(?i)<script\\b[^>]*>[\\s\\S]*?</script>", " ")
-    c = F.regexp_replace(c, "(?i)<style\\b[^>]*>[\\s\\S]*?</style>", " ")
-    c = F.regexp_replace(c, "(?i)<br\\s*/?>|</p>|</div>|</tr>|</li>", "\n")
+    for name in UNSEEN:
+        c = F.regexp_replace(c, rf"(?is)<{name}\b[^>]*>.*?</{name}>", " ")
+    c = F.regexp_replace(c, "(?i)" + "|".join(LINE_ENDS), "\n")
     return F.regexp_replace(c, "<[^>]+>", " ")
 
 
@@ -123,7 +141,9 @@ def strip_html(c: Column) -> Column:
 
 
 def _element(tag: str) -> str:
-    return f"(?i)<(?:\\w+:)?{tag}(?:\\s[^>]*)?>([\\s\\S]*?)</(?:\\w+:)?{tag}>"
+    """An element by its local name, any prefix before it; the group is its content."""
+    name = rf"(?:\w+:)?{tag}"
+    return rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}>"
 
 
 def xml_value(c: Column, tag: str) -> Column:

@@ -2,84 +2,176 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import stable_id
 from ..schemas import conform
-from ..sources.staging import stage
+from ..sources.staging import in_order, stage
 from . import ingest as I
 from . import resolve as R
 from . import survivorship as S
 from . import validate as V
+from .references import resolve_refs, with_sources
+
+#: Candidate kinds in the order in which a batch is taken: name in results, validator.
+KINDS = {
+    "sources": ("SOURCE", V.validate_sources), "entities": ("ENTITY", V.validate_entities), "identifiers": ("IDENTIFIER", V.validate_identifiers),
+    "relationships": ("RELATIONSHIP", V.validate_relationships), "events": ("EVENT", V.validate_events), "claims": ("CLAIM", V.validate_claims),
+}
+ENTITY_COLUMNS = {
+    "entity_type": "string", "canonical_name": "string", "identifiers": None, "aliases": "array<string>", "jurisdiction": "string", "status": "string", "attributes": "map<string,string>",
+    "confidence": "double",
+}
+
+
+class Known:
+    """What references can be resolved by, growing as the kinds of a batch are taken."""
+
+    def __init__(self, sources: DataFrame, entity_ids: DataFrame, run_keys: DataFrame, owners: DataFrame) -> None:
+        self.sources, self.entity_ids, self.run_keys, self.owners = sources, entity_ids, run_keys, owners
+        self.stubs: list[tuple[int, DataFrame]] = []
+
+    def context(self) -> I.Context:
+        return self.sources, self.entity_ids, self.run_keys, self.owners
+
+    def add(self, stubs: DataFrame | None, phase: int) -> None:
+        """Entities that the references of one kind made are known to later kinds."""
+        if stubs is None:
+            return
+        self.stubs.append((phase, stubs))
+        made = stubs.filter("entity_id is not null")
+        self.entity_ids = self.entity_ids.unionByName(made.select("entity_id"))
+        self.run_keys = self.run_keys.unionByName(made.select("run_id", "candidate_key", "entity_id"))
+        self.owners = stage(self.owners.unionByName(S.save_identifiers(made).join(self.owners, ["scheme", "value"], "left_anti").select("scheme", "value", "entity_id")), "owners")
+
+
+def entity_rows(kept: DataFrame, stubs: list[tuple[int, DataFrame]]) -> DataFrame:
+    """What entities are made of, in order: candidates that were kept, then stubs, kind by kind."""
+    kept = kept.select("entity_id", "run_id", F.lit(0).alias("phase"), F.col("seq").alias("at"), F.lit(0).cast("long").alias("pos"), *ENTITY_COLUMNS)
+    parts = [kept]
+    for phase, s in stubs:
+        made = s.filter("entity_id is not null")
+        more = {c: F.lit(None).cast(t) for c, t in ENTITY_COLUMNS.items() if c not in s.columns}
+        sure = F.when(S.first_authoritative(F.col("identifiers")).isNotNull(), 1.0).otherwise(0.8)
+        parts.append(made.withColumns(more | {"confidence": sure, "phase": F.lit(phase), "at": F.col("seq"), "pos": F.col("pos").cast("long")}).select(kept.columns))
+    return in_order(I.union(parts), ["phase", "at", "pos"], "entity-rows")
 
-VALIDATORS = {"sources": V.validate_sources, "entities": V.validate_entities, "identifiers": V.validate_identifiers, "relationships": V.validate_relationships, "events": V.validate_events, "claims": V.validate_claims}
 
+def attach(offered: DataFrame, known: Known) -> tuple[DataFrame, DataFrame | None]:
+    """(attached, stubs): checked identifier candidates with entity, source, owner, status and what they lack."""
+    good, bad = stage(offered.filter("valid"), "offered"), offered.filter("not valid")
+    found, stubs = resolve_refs(good, {"entity_id": "entity"}, known.entity_ids, known.run_keys, known.owners)
+    known.add(stubs, 1)
+    placed = with_sources(found, known.sources).unionByName(bad, allowMissingColumns=True)
+    lacking = V.reasons_of((F.col("valid") & F.col("entity_id").isNull(), "entity could not be resolved"), (F.col("valid") & F.col("source_id").isNull(), "source document could not be resolved"))
+    named = placed.withColumns({"scheme": F.col("identifier.scheme"), "value": F.col("identifier.value"), "unresolved": lacking})
+    return stage(R.attach_identifiers(named, known.owners), "attached"), stubs
 
-def _entity_rows(kept: DataFrame, stubs: list[DataFrame]) -> DataFrame:
-    """What entities are made of: candidates that were kept, and stubs that references made, which come after these."""
-    columns = ("entity_id", "seq", "entity_type", "canonical_name", "identifiers", "aliases", "jurisdiction", "status", "attributes", "confidence")
-    rows = kept.select(*columns)
-    for s in stubs:
-        more = s.withColumns({"aliases": F.lit(None).cast("array<string>"), "jurisdiction": F.lit(None).cast("string"), "status": F.lit(None).cast("string"), "attributes": F.lit(None).cast("map<string,string>"), "confidence": F.lit(None).cast("double")})
-        rows = rows.unionByName(more.select(*columns))
-    return rows
+
+def entity_evidence(entities: DataFrame, sources: DataFrame) -> DataFrame:
+    """Evidence of candidates that were kept and bring some along."""
+    own = with_sources(entities.filter("entity_id is not null and evidence is not null and coalesce(extraction_method, '') != ''"), sources)
+    own = own.filter("source_id is not null").withColumns({
+        "source_document_id": F.col("source_id"), "evidence_class": F.col("evidence.evidence_class"), "excerpt": F.col("evidence.excerpt"),
+        "assertion_type": F.coalesce("assertion_type", F.lit("ASSERTED")), "confidence": F.coalesce("given_confidence", F.lit(1.0)),
+        "said": I.with_entries(I.given_map("evidence.fields"), sourceRecordId=F.col("source_record_id"), sourceAgent=F.col("source_agent"))})
+    return I.evidence_rows(own, "ENTITY", "entity_id", "excerpt", "said")
+
+
+def identifier_evidence(attached: DataFrame) -> DataFrame:
+    fields = I.merged(I.given_map("identifier.attributes"), I.given_map("evidence.fields"))
+    tied = attached.filter("status in ('ATTACHED', 'EXISTING')").withColumns({
+        "identifier_id": stable_id("identifier", F.col("scheme"), F.col("value"), F.col("identifier.jurisdiction")), "source_document_id": F.col("source_id"),
+        "evidence_class": F.col("evidence.evidence_class"), "excerpt": F.col("evidence.excerpt"),
+        "said": I.with_entries(fields, sourceRecordId=F.col("source_record_id"), sourceAgent=F.col("source_agent"))})
+    return I.evidence_rows(tied, "IDENTIFIER", "identifier_id", "excerpt", "said")
 
 
 def ingest_batch(batch: dict[str, DataFrame], as_of: str, owners: DataFrame | None = None) -> dict[str, DataFrame]:
     """Canonical tables out of a batch: candidates by kind, each with run_id, seq and source_agent.
 
     owners: scheme, value, entity_id of identifiers that exist already. References see entities, their identifiers and
-    those attached in the same batch; identifiers attached in it resolve references of later kinds only.
+    those attached in the same batch, and entities that references of an earlier kind made. Beside the canonical
+    tables: rejections, validations, resolutions, cases, and what each run touched (run_sources, run_relationships,
+    run_events, run_claims: run_id, id). Tables of kinds that the batch does not have are left out.
     """
     spark = next(iter(batch.values())).sparkSession
-    given = {k: conform(batch[k] if k in batch else spark.createDataFrame([], "run_id string"), k) for k in VALIDATORS}
-    checked = {k: stage(VALIDATORS[k](df), f"checked-{k}") for k, df in given.items()}
-    sources = stage(S.save_sources(checked["sources"].filter("valid"), as_of), "sources")
+    given = {k: conform(batch[k] if k in batch else spark.createDataFrame([], "run_id string"), k) for k in KINDS}
+    checked = {k: stage(check(given[k]), f"checked-{k}") for k, (_, check) in KINDS.items() if k in ("sources", "entities", "identifiers")}
+    keyed = R.with_keys(checked["entities"]).select("seq", F.col("candidate_key").alias("validation_key"))
+    checked["entities"] = stage(checked["entities"].drop("validation_key").join(keyed, "seq"), "checked-entities")
+    checked["identifiers"] = checked["identifiers"].withColumn("validation_key", F.coalesce("candidate_key", F.concat_ws(":", "source_agent", "identifier.scheme", "identifier.value")))
+
+    saved = checked["sources"].filter("valid")
+    saved = saved.withColumn("metadata", I.with_entries(I.given_map("metadata"), sourceAgent=F.col("source_agent")))
+    sources = stage(S.save_sources(saved, as_of), "sources")
+    source_links = saved.select("run_id", stable_id("source", F.col("provider"), F.col("external_id"), F.col("sha256")).alias("id"))
 
-    entities = checked["entities"].filter("valid").withColumn("identifiers", F.coalesce("identifiers", F.array().cast(given["entities"].schema["identifiers"].dataType)))
+    no_ids = F.array().cast(given["entities"].schema["identifiers"].dataType)
+    entities = checked["entities"].filter("valid").withColumn("identifiers", F.coalesce("identifiers", no_ids)).drop("reasons", "valid", "validation_key")
     resolved = stage(R.resolve_entities(entities, owners), "resolved")
-    kept = entities.drop("candidate_key").join(resolved.filter("kept").select("seq", "entity_id", "candidate_key"), "seq")
+    kept = entities.drop("candidate_key").join(resolved.filter("kept").select("seq", "entity_id", "candidate_key"), "seq").withColumn("given_confidence", F.col("confidence"))
     sure = F.coalesce("confidence", F.when(S.first_authoritative(F.col("identifiers")).isNotNull(), 1.0).otherwise(0.8))
     kept = stage(kept.withColumn("confidence", sure), "kept")
-    run_keys = resolved.select("run_id", "candidate_key", "entity_id").distinct()
-    known = S.save_identifiers(kept).select("scheme", "value", "entity_id")
-    known = stage(known if owners is None else owners.select("scheme", "value", "entity_id").unionByName(known), "owners")
-    ids = kept.select("entity_id").distinct() if owners is None else kept.select("entity_id").unionByName(owners.select("entity_id")).distinct()
-
-    offered = checked["identifiers"]
-    refs = offered.filter("valid").select(F.col("seq").alias("ref_id"), "run_id", "seq", "source_agent", F.col("entity").alias("ref"))
-    found, id_stubs = R.resolve_entity_refs(refs, ids, run_keys, known)
-    sourced = R.resolve_source_refs(offered.filter("valid").select(F.col("seq").alias("ref_id"), "source_document"), sources)
-    placed = offered.join(found.select("seq", "entity_id"), "seq", "left").join(sourced.select(F.col("ref_id").alias("seq"), "source_id"), "seq", "left").withColumns({"scheme": F.col("identifier.scheme"), "value": F.col("identifier.value")})
-    attached = stage(R.attach_identifiers(placed, known), "attached")
-    known = stage(known.unionByName(attached.filter("status = 'ATTACHED'").select("scheme", "value", "entity_id")), "owners")
-    stubs = [id_stubs]
-
-    context = (sources, ids, run_keys, known)
-    relations = I.ingest_relationships(given["relationships"], *context, as_of=as_of)
-    events = I.ingest_events(given["events"], *context, as_of=as_of)
-    claims = I.ingest_claims(given["claims"], *context)
-    stubs += [relations["stubs"], events["stubs"], claims["stubs"]]
-    rows = stage(_entity_rows(kept, stubs), "entity-rows")
-    own = entities.join(resolved.select("seq", "entity_id"), "seq").filter("entity_id is not null and evidence is not null and extraction_method is not null").join(kept.select("seq"), "seq", "left_semi")
-    own_sources = R.resolve_source_refs(own.select(F.col("seq").alias("ref_id"), "source_document"), sources).filter("source_id is not null").select(F.col("ref_id").alias("seq"), F.col("source_id").alias("source_document_id"))
-    own = own.join(own_sources, "seq").withColumns({"evidence_class": F.col("evidence.evidence_class"), "excerpt": F.col("evidence.excerpt"), "assertion_type": F.coalesce("assertion_type", F.lit("ASSERTED")), "confidence": F.coalesce("confidence", F.lit(1.0))})
-    tied = attached.filter("status in ('ATTACHED', 'EXISTING')").withColumns({"identifier_id": stable_id("identifier", F.col("scheme"), F.col("value"), F.col("identifier.jurisdiction")), "source_document_id": F.col("source_id"), "evidence_class": F.col("evidence.evidence_class"), "excerpt": F.col("evidence.excerpt")})
-    evidence = I.collect_evidence(
-        I.evidence_rows(own, "ENTITY", "entity_id", "excerpt"), I.evidence_rows(tied, "IDENTIFIER", "identifier_id", "excerpt"), I.evidence_rows(relations["all"], "RELATIONSHIP"), I.evidence_rows(events["all"], "EVENT"),
-        I.evidence_rows(claims["all"], "CLAIM", "id", "excerpt"))
-    types = {"sources": "SOURCE", "entities": "ENTITY", "identifiers": "IDENTIFIER", "relationships": "RELATIONSHIP", "events": "EVENT", "claims": "CLAIM"}
-    unresolved = relations["unresolved"].select(*given["relationships"].columns, F.col("unresolved").alias("reasons")).withColumn("valid", F.lit(False)).withColumn("validation_key", F.coalesce("candidate_key", "source_record_id", "predicate"))
-    every = {k: df for k, df in checked.items()}
-    rejected = [V.rejections(df, types[k]) for k, df in every.items()] + [V.rejections(unresolved, "RELATIONSHIP")]
-    results = [V.validation_results(df, types[k]) for k, df in every.items()]
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    more_ids = attached.filter("status = 'ATTACHED'").select("entity_id", (F.col("seq") + F.lit(1 << 50)).alias("seq"), F.array("identifier").alias("identifiers"))
-    return {
-        "sources": sources, "entities": S.merge_entities(rows), "identifiers": S.save_identifiers(rows.select("entity_id", "seq", "identifiers").unionByName(more_ids)), "aliases": S.save_aliases(rows),
-        "relationships": relations["relationships"], "events": events["events"], "participants": events["participants"], "claims": claims["claims"], "facts": I.facts_from_claims(claims["all"]), "evidence": evidence,
-        "rejections": union(rejected), "validations": V.validation_log(union(results)), "resolutions": R.resolution_log(entities, resolved), "attachments": attached,
-    }
+    nameless = resolved.filter("status = 'REJECTED'").select("seq")
+    unnamed = checked["entities"].join(nameless, "seq").withColumns({
+        "valid": F.lit(False), "reasons": F.array(F.lit("canonical name is required when no authoritative identifier resolves"))})
+
+    mine = S.save_identifiers(kept).select("scheme", "value", "entity_id")
+    before = [] if owners is None else [owners.select("scheme", "value", "entity_id")]
+    ids = I.union([kept.select("entity_id"), *(o.select("entity_id") for o in before)]).distinct()
+    run_keys = resolved.filter("entity_id is not null").select("run_id", "candidate_key", "entity_id").distinct()
+    known = Known(sources, stage(ids, "entity-ids"), stage(run_keys, "run-keys"), stage(I.union([*before, mine]), "owners"))
+
+    # a kind that the batch doesn't have costs nothing
+    attached = attach(checked["identifiers"], known)[0] if "identifiers" in batch else None
+    told = {}
+    if attached is not None:
+        fresh = attached.filter("status = 'ATTACHED'")
+        known.owners = stage(known.owners.unionByName(fresh.select("scheme", "value", "entity_id")), "owners")
+    for phase, (kind, take) in enumerate((("relationships", I.ingest_relationships), ("events", I.ingest_events), ("claims", I.ingest_claims)), 2):
+        if kind in batch:
+            told[kind] = take(given[kind], *known.context(), as_of=as_of)
+            known.add(told[kind]["stubs"], phase)
+
+    rows = entity_rows(kept, known.stubs)
+    all_ids = rows
+    if attached is not None:
+        tied = fresh.select("entity_id", F.lit(1).alias("phase"), F.col("seq").alias("at"), F.lit(-1).cast("long").alias("pos"), F.array("identifier").alias("identifiers"))
+        all_ids = in_order(rows.select("entity_id", "phase", "at", "pos", "identifiers").unionByName(tied), ["phase", "at", "pos"], "identifier-rows")
+    proof = [entity_evidence(kept, sources)] + ([] if attached is None else [identifier_evidence(attached)])
+    proof += [I.evidence_rows(told[k]["all"], KINDS[k][0], excerpt="excerpt" if k == "claims" else "evidence") for k in told]
+    evidence = S.first_wins(stage(I.union(proof), "evidence"), "id")
+
+    late = lambda df, n: df.withColumn("late", F.lit(n))
+    results = [late(V.validation_results(df, KINDS[k][0]), 0) for k, df in checked.items()]
+    rejected = [V.rejection_rows(df, KINDS[k][0]) for k, df in checked.items()] + [V.rejection_rows(unnamed, "ENTITY")]
+    logged, touched = [R.resolution_log(entities, resolved)], [source_links]
+    if attached is not None:
+        lost = attached.filter("valid and size(unresolved) > 0").withColumns({"reasons": F.col("unresolved"), "valid": F.lit(False)}).select(*checked["identifiers"].columns)
+        results.append(late(V.validation_results(lost, "IDENTIFIER"), 1))
+        rejected.append(V.rejection_rows(lost, "IDENTIFIER"))
+        logged.append(R.attachment_log(attached))
+        touched.append(attached.filter("status in ('ATTACHED', 'EXISTING')").select("run_id", F.col("source_id").alias("id")))
+    for _, s in known.stubs:
+        results.append(late(V.validation_results(s.withColumn("validation_key", F.col("candidate_key")), "ENTITY"), 0))
+        rejected.append(V.rejection_rows(s.drop("n", "pos", "entity_id"), "ENTITY"))
+        logged.append(R.stub_log(s))
+    for found in told.values():
+        results.append(found["validations"])
+        rejected.append(found["rejected"])
+        touched.append(found["links"]["sources"])
+    out = {
+        "sources": sources, "entities": S.merge_entities(rows), "identifiers": S.save_identifiers(all_ids), "aliases": S.save_aliases(rows), "evidence": evidence,
+        "rejections": S.first_wins(stage(I.union(rejected), "rejected"), "id"), "validations": V.validation_log(stage(I.union(results), "results")),
+        "resolutions": S.last_wins(stage(I.union(logged), "logged"), "id"), "run_sources": I.union(touched).distinct()}
+    if attached is not None:
+        out |= {"attachments": attached, "cases": R.identifier_conflicts(attached)}
+    for kind, found in told.items():
+        out |= {kind: found[kind], f"run_{kind}": found["links"]["records"]}
+    if "events" in told:
+        out["participants"] = told["events"]["participants"]
+    if "claims" in told:
+        out["facts"] = I.facts_from_claims(told["claims"]["all"])
+    return out

@@ -1,149 +1,285 @@
-"""Ingestion: validated and resolved candidates into canonical tables, evidence on every assertion, replays without effect."""
+"""Ingestion: validated and resolved candidates into canonical tables, evidence on every assertion, replays without effect.
+
+What cannot be stored is not lost: a candidate whose references do not resolve, or whose resolved record breaks a
+storage rule, becomes a rejection with its reasons, and where the rules say so its validation result turns to invalid.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import stable_id
-from ..sources.staging import stage
-from .resolve import resolve_entity_refs, resolve_source_refs
-from .survivorship import first_wins
-from .validate import validate_claims, validate_events, validate_relationships, validate_resolved_events, validate_resolved_relationships
+from ..sources.staging import small, stage
+from .references import resolve_refs, with_sources
+from .survivorship import first_wins, last_wins
+from .validate import (
+    reasons_of, rejection_rows, validate_claims, validate_events, validate_relationships, validate_resolved_events, validate_resolved_relationships, validation_results)
+
+Context = tuple[DataFrame, DataFrame, DataFrame, DataFrame]
+STRINGS = "map<string,string>"
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def given_map(c: str) -> Column:
+    return F.coalesce(F.col(c), F.create_map().cast(STRINGS))
+
+
+def with_entries(attributes: Column, **more: Column) -> Column:
+    """Attributes with entries laid over; an entry that is null takes away what was there."""
+    kept = F.map_filter(attributes, lambda k, v: ~k.isin(*more))
+    laid = F.map_filter(F.create_map(*[x for k, v in more.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    return F.map_concat(kept, laid)
+
+
+def merged(first: Column, second: Column) -> Column:
+    """Two maps; the second wins."""
+    return F.map_concat(F.map_filter(first, lambda k, v: ~F.map_contains_key(second, k)), second)
+
+
+def record_attributes() -> Column:
+    """A stored record's attributes: the given ones, the evidence's fields as JSON text, and the agent."""
+    return with_entries(given_map("attributes"), evidenceFields=F.to_json("evidence.fields"), sourceAgent=F.col("source_agent"))
+
+
+def flattened(rows: DataFrame) -> DataFrame:
+    """Resolved rows in the form that is stored: the evidence's parts as columns of their own."""
+    return rows.withColumns({
+        "attributes": record_attributes(), "evidence_class": F.col("evidence.evidence_class"), "evidence_fields": given_map("evidence.fields"), "evidence": F.col("evidence.excerpt"),
+    }).withColumnRenamed("source_id", "source_document_id")
 
 
-def _with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rows (ref_id, source_document) with source_id and the source's fields that records inherit."""
-    found = resolve_source_refs(rows, sources)
-    about = sources.select(F.col("id").alias("source_id"), "source_url", F.col("provider").alias("source_provider"), "published_at", "filed_at")
-    return found.join(about, "source_id", "left")
+def outcome(kind: str, checked: DataFrame, unresolved: DataFrame, refused: DataFrame | None, overrides: bool = True) -> dict[str, DataFrame]:
+    """rejected: the candidates of a kind that were, with reasons; validations: every result, then those that failed
+    resolution turned to invalid. rejections (first_wins) and validation_log give one row per id.
+    """
+    columns = [c for c in checked.columns if c in unresolved.columns and c not in ("reasons", "valid")]
+    failed = unresolved.select(*columns, F.col("unresolved").alias("reasons")).withColumn("valid", F.lit(False))
+    rejected = [rejection_rows(df, kind) for df in (checked, failed, refused) if df is not None]
+    results = validation_results(checked, kind).withColumn("late", F.lit(0))
+    if overrides:
+        results = results.unionByName(validation_results(failed, kind).withColumn("late", F.lit(1)))
+    return {"rejected": union(rejected), "validations": results, "unresolved": failed}
+
+
+def run_links(rows: DataFrame) -> dict[str, DataFrame]:
+    """(run_id, id) of the records and of the sources that a run touched; rows have run_id, id, source_document_id."""
+    return {"records": rows.select("run_id", "id").distinct(), "sources": rows.select("run_id", F.col("source_document_id").alias("id")).distinct()}
 
 
 def ingest_relationships(candidates: DataFrame, sources: DataFrame, entities: DataFrame, run_keys: DataFrame, owners: DataFrame, as_of: str) -> dict[str, DataFrame]:
-    """relationships (first wins by id), checked (every candidate with reasons), stubs."""
+    """relationships (first wins by id), all of them, checked (every candidate with reasons), rejected, validations, stubs, links."""
     checked = stage(validate_relationships(candidates), "relationships")
-    rows = checked.filter("valid").drop("reasons", "valid", "validation_key")
-    ends = rows.select("run_id", "seq", "source_agent", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("subject").alias("ref")), F.struct(F.lit(1).alias("end"), F.col("object").alias("ref")))).alias("e"))
-    refs = ends.select((F.col("seq") * 2 + F.col("e.end")).alias("ref_id"), "run_id", "seq", "source_agent", F.col("e.ref").alias("ref"))
-    found, stubs = resolve_entity_refs(refs, entities, run_keys, owners)
-    pair = found.groupBy("seq").agg(F.max(F.when(F.col("ref_id") % 2 == 0, F.col("entity_id"))).alias("subject_id"), F.max(F.when(F.col("ref_id") % 2 == 1, F.col("entity_id"))).alias("object_id"))
-    joined = _with_source(rows.join(pair, "seq"), sources)
-    unresolved = F.array_compact(F.array(F.when(F.col("subject_id").isNull(), "subject could not be resolved"), F.when(F.col("object_id").isNull(), "object could not be resolved"), F.when(F.col("source_id").isNull(), "source document could not be resolved")))
-    joined = stage(joined.withColumn("unresolved", unresolved).withColumn("resolution_confidence", F.coalesce("resolution_confidence", F.lit(1.0))), "resolved")
-    flat = joined.filter(F.size("unresolved") == 0).withColumnRenamed("source_id", "source_document_id").withColumns({"excerpt": F.col("evidence.excerpt"), "evidence_class": F.col("evidence.evidence_class"), "evidence_fields": F.col("evidence.fields")})
-    good = validate_resolved_relationships(flat.withColumn("evidence", F.col("excerpt")))
+    found, stubs = resolve_refs(checked.filter("valid"), {"subject_id": "subject", "object_id": "object"}, entities, run_keys, owners)
+    unresolved = reasons_of(
+        (F.col("subject_id").isNull(), "subject could not be resolved"), (F.col("object_id").isNull(), "object could not be resolved"),
+        (F.col("source_id").isNull(), "source document could not be resolved"))
+    joined = with_sources(found, sources).withColumn("unresolved", unresolved)
+    flat = flattened(joined).withColumn("resolution_confidence", F.coalesce("resolution_confidence", F.lit(1.0)))
     key = stable_id("relationship", *[F.col(c) for c in ("subject_id", "predicate", "object_id", "source_document_id", "valid_from", "source_record_id")])
-    attributes = F.map_concat(F.coalesce("attributes", F.create_map().cast("map<string,string>")), F.map_from_arrays(F.array(F.lit("sourceAgent")), F.array("source_agent")))
-    saved = good.filter("valid").select(key.alias("id"), "run_id", "seq", F.col("subject_id").alias("subject_entity_id"), "predicate", F.col("object_id").alias("object_entity_id"), "valid_from", "valid_to", F.coalesce("observed_at", F.lit(as_of)).alias("observed_at"), "amount", "currency", "percentage", "shares", "assertion_type", "confidence", "resolution_confidence", "source_document_id", "source_record_id", "source_provider", "source_url", "extraction_method", "evidence_class", "evidence", "evidence_fields", attributes.alias("attributes"))
-    return {"relationships": first_wins(saved, "id"), "all": saved, "checked": checked, "unresolved": joined.filter(F.size("unresolved") > 0), "refused": good.filter("not valid"), "stubs": stubs}
+    good = stage(validate_resolved_relationships(flat.drop("subject", "object", "source_document")).withColumn("id", key), "resolved")
+    stored = good.filter("size(unresolved) = 0 and valid").select(
+        "id", "run_id", "seq", F.col("subject_id").alias("subject_entity_id"), "predicate", F.col("object_id").alias("object_entity_id"), "valid_from", "valid_to",
+        F.coalesce("observed_at", F.lit(as_of)).alias("observed_at"), "amount", "currency", "percentage", "shares", "assertion_type", "confidence", "resolution_confidence", "source_document_id",
+        "source_record_id", "source_provider", "source_url", "extraction_method", "evidence_class", "evidence", "evidence_fields", "attributes")
+    failed = joined.filter("size(unresolved) > 0")
+    told = outcome("RELATIONSHIP", checked, failed, good.filter("size(unresolved) = 0 and not valid").drop("unresolved"))
+    return {"relationships": first_wins(stored, "id"), "all": stored, "checked": checked, "stubs": stubs, "links": run_links(stored), **told}
 
 
 def ingest_events(candidates: DataFrame, sources: DataFrame, entities: DataFrame, run_keys: DataFrame, owners: DataFrame, as_of: str) -> dict[str, DataFrame]:
     """events (first wins but for extraction_method, where the last does) and participants (union over all versions)."""
     checked = stage(validate_events(candidates), "events")
-    rows = checked.filter("valid").drop("reasons", "valid", "validation_key")
-    each = rows.select("run_id", "seq", "source_agent", F.posexplode("participants").alias("pos", "p"))
-    refs = each.select((F.col("seq") * 4096 + F.col("pos")).alias("ref_id"), "run_id", "seq", "source_agent", F.col("p.entity").alias("ref"), F.col("p.role").alias("role"))
-    found, stubs = resolve_entity_refs(refs, entities, run_keys, owners)
-    found = stage(found.select("seq", "ref_id", "role", "entity_id"), "participants")
+    good = checked.filter("valid")
+    each = good.select("run_id", "seq", "source_agent", F.posexplode("participants").alias("pos", "p")).select("run_id", "seq", "source_agent", "pos", "p.entity", "p.role")
+    found, stubs = _participants(stage(each, "participants"), entities, run_keys, owners)
     whole = found.groupBy("seq").agg(F.bool_and(F.col("entity_id").isNotNull()).alias("whole"), F.count("*").alias("n_participants"))
-    joined = _with_source(rows.join(whole, "seq"), sources)
+    joined = with_sources(good.drop("participants").join(whole, "seq"), sources)
+    unresolved = reasons_of((F.col("source_id").isNull(), "source document could not be resolved"), (~F.col("whole"), "one or more participants could not be resolved"))
     date = F.coalesce("event_date", F.substring(F.coalesce("published_at", "filed_at", F.lit(as_of)), 1, 10))
-    flat = joined.filter("whole and source_id is not null").withColumnRenamed("source_id", "source_document_id").withColumns({"event_date": date, "evidence_class": F.col("evidence.evidence_class"), "evidence": F.col("evidence.excerpt")})
-    good = validate_resolved_events(flat).filter("valid").withColumn("id", stable_id("event", F.col("source_document_id"), F.col("source_record_id")))
-    kept = good.select("id", "run_id", "seq", "event_type", "event_date", "amount", "currency", "shares", "price_per_share", "description", "source_document_id", "source_record_id", "extraction_method", "assertion_type", "evidence_class", "confidence", "evidence")
-    first = kept.groupBy("id").agg(F.min_by(F.struct(*kept.columns), "seq").alias("r"), F.max_by("extraction_method", "seq").alias("latest"))
-    events = first.select(*[F.col("latest").alias(c) if c == "extraction_method" else F.col(f"r.{c}").alias(c) for c in kept.columns])
-    people = found.join(good.select("seq", F.col("id").alias("event_id")), "seq").select("event_id", "entity_id", "role").distinct()
-    return {"events": events, "all": kept, "participants": people, "checked": checked, "stubs": stubs}
-
-
-def ingest_claims(candidates: DataFrame, sources: DataFrame, entities: DataFrame, run_keys: DataFrame, owners: DataFrame) -> dict[str, DataFrame]:
+    flat = flattened(joined.withColumn("unresolved", unresolved)).withColumns({"event_date": date, "id": stable_id("event", F.col("source_document_id"), F.col("source_record_id"))})
+    known = stage(validate_resolved_events(flat.drop("source_document")), "resolved")
+    kept = known.filter("size(unresolved) = 0 and valid").select(
+        "id", "run_id", "seq", "event_type", "event_date", "amount", "currency", "shares", "price_per_share", "description", "source_document_id", "source_record_id", "extraction_method",
+        "assertion_type", "evidence_class", "confidence", "evidence", "evidence_fields", "attributes")
+    latest = small(kept.groupBy("id").agg(F.max(F.struct("seq", "extraction_method")).alias("l"), F.count("*").alias("n")).filter("n > 1").select("id", "l.extraction_method"), "latest")
+    events = first_wins(kept, "id").join(latest.withColumnRenamed("extraction_method", "_now"), "id", "left")
+    events = events.withColumn("extraction_method", F.when(F.col("_now").isNotNull(), F.col("_now")).otherwise(F.col("extraction_method"))).drop("_now").select(*kept.columns)
+    people = found.join(kept.select("seq", F.col("id").alias("event_id")), "seq").select("event_id", "entity_id", "role").distinct()
+    lost = known.filter("size(unresolved) > 0").select("seq", "unresolved")
+    failed = checked.join(lost, "seq")
+    told = outcome("EVENT", checked, failed, known.filter("size(unresolved) = 0 and not valid").drop("unresolved"))
+    return {"events": events, "all": kept, "participants": people, "checked": checked, "stubs": stubs, "links": run_links(kept), **told}
+
+
+def _participants(each: DataFrame, entities: DataFrame, run_keys: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(seq, pos, role, entity_id) of all participants, in the order in which they stand."""
+    from .references import resolve_entity_refs
+
+    found, stubs = resolve_entity_refs(each.select("run_id", "seq", "source_agent", F.col("pos").cast("long").alias("ref_id"), F.col("entity").alias("ref"), "role"), entities, run_keys, owners)
+    return stage(found.select("seq", "ref_id", "role", "entity_id"), "people"), stubs
+
+
+def ingest_claims(candidates: DataFrame, sources: DataFrame, entities: DataFrame, run_keys: DataFrame, owners: DataFrame, as_of: str | None = None) -> dict[str, DataFrame]:
     """claims: statement, confidence, attributes and evidence of the last record, the rest of the first."""
     checked = stage(validate_claims(candidates), "claims")
-    rows = checked.filter("valid").drop("reasons", "valid", "validation_key")
-    refs = rows.filter("subject is not null").select(F.col("seq").alias("ref_id"), "run_id", "seq", "source_agent", F.col("subject").alias("ref"))
-    found, stubs = resolve_entity_refs(refs, entities, run_keys, owners)
-    joined = _with_source(rows.join(found.select("seq", F.col("entity_id").alias("subject_entity_id")), "seq", "left"), sources)
-    good = joined.filter("source_id is not null and (subject is null or subject_entity_id is not null)").withColumnRenamed("source_id", "source_document_id")
-    good = good.withColumn("id", stable_id("claim", F.col("subject_entity_id"), F.col("claim_type"), F.col("source_document_id"), F.coalesce("source_record_id", "statement")))
-    good = good.withColumns({"excerpt": F.col("evidence.excerpt"), "evidence_class": F.col("evidence.evidence_class")})
+    found, stubs = resolve_refs(checked.filter("valid"), {"subject_entity_id": "subject"}, entities, run_keys, owners)
+    unresolved = F.when(F.col("source_id").isNull(), F.array(F.lit("source document could not be resolved"))).when(
+        F.col("subject").isNotNull() & F.col("subject_entity_id").isNull(), F.array(F.lit("claim subject could not be resolved"))).otherwise(F.array().cast("array<string>"))
+    joined = stage(with_sources(found, sources).withColumn("unresolved", unresolved), "claims-joined")
+    good = joined.filter("size(unresolved) = 0").withColumnRenamed("source_id", "source_document_id")
+    good = good.withColumns({
+        "id": stable_id("claim", F.col("subject_entity_id"), F.col("claim_type"), F.col("source_document_id"), F.coalesce("source_record_id", "statement")),
+        "excerpt": F.col("evidence.excerpt"), "evidence_class": F.col("evidence.evidence_class"), "evidence_fields": given_map("evidence.fields"),
+        "attributes": with_entries(given_map("attributes"), sourceAgent=F.col("source_agent")), "observed_at": F.coalesce("observed_at", F.lit(as_of)),
+    })
     good = stage(good.withColumn("evidence_assertion_id", evidence_id(F.lit("CLAIM"), F.col("id"), F.col("source_document_id"), F.col("excerpt"))), "claims-resolved")
-    first, last = ("run_id", "seq", "subject_entity_id", "claim_type", "valid_from", "valid_to", "observed_at", "assertion_type", "source_document_id", "source_record_id"), ("statement", "confidence", "attributes", "evidence_assertion_id")
-    both = good.groupBy("id").agg(F.min_by(F.struct(*first), "seq").alias("f"), F.max_by(F.struct(*last), "seq").alias("l"))
-    return {"claims": both.select("id", "f.*", "l.*"), "all": good, "checked": checked, "stubs": stubs}
+    last = ("statement", "confidence", "attributes", "evidence_assertion_id")
+    first = ("id", "run_id", "seq", "subject_entity_id", "claim_type", "valid_from", "valid_to", "observed_at", "assertion_type", "source_document_id", "source_record_id")
+    claims = first_wins(good.select(*first), "id").join(last_wins(good.select("id", "seq", *last), "id").drop("seq"), "id")
+    told = outcome("CLAIM", checked, joined.filter("size(unresolved) > 0"), None, overrides=False)
+    return {"claims": claims, "all": good, "checked": checked, "stubs": stubs, "links": run_links(good), **told}
 
 
-FACT = "taxonomy string, concept string, label string, unit string, value double, period_start string, period_end string, filed_at string, accession_number string, form string, fiscal_year long, fiscal_period string"
+FACT = (
+    "taxonomy string, concept string, label string, unit string, value double, period_start string, period_end string, filed_at string, accession_number string, form string, "
+    "fiscal_year long, fiscal_period string")
 
 
 def facts_from_claims(claims: DataFrame) -> DataFrame:
     """Financial facts of claims (all records, with attributes.fact as JSON text) that have a subject; the first wins."""
-    rows = claims.filter("claim_type = 'FINANCIAL_FACT' and subject_entity_id is not null").withColumn("f", F.from_json(F.try_element_at("attributes", F.lit("fact")), FACT)).filter("f is not null")
+    fact = F.from_json(F.try_element_at("attributes", F.lit("fact")), FACT)
+    rows = claims.filter("claim_type = 'FINANCIAL_FACT' and subject_entity_id is not null").withColumn("f", fact).filter("f is not null")
     rows = rows.select(F.col("subject_entity_id").alias("entity_id"), "source_document_id", "seq", "f.*")
-    return first_wins(rows.withColumn("id", stable_id("fact", *[F.col(c) for c in ("entity_id", "taxonomy", "concept", "unit", "period_end", "value", "source_document_id")])), "id")
+    key = stable_id("fact", *[F.col(c) for c in ("entity_id", "taxonomy", "concept", "unit", "period_end", "value", "source_document_id")])
+    return first_wins(rows.withColumn("id", key), "id")
 
 
 def evidence_id(kind: Column, subject: Column, source: Column, excerpt: Column) -> Column:
     return stable_id("evidence", kind, subject, source, excerpt)
 
 
-def evidence_rows(records: DataFrame, kind: str, subject: str = "id", excerpt: str = "evidence") -> DataFrame:
-    rows = records.select(F.lit(kind).alias("subject_type"), F.col(subject).alias("subject_id"), "source_document_id", "evidence_class", "assertion_type", F.col(excerpt).alias("evidence"), "extraction_method", "confidence", "seq")
+def evidence_rows(records: DataFrame, kind: str, subject: str = "id", excerpt: str = "evidence", attributes: str = "evidence_fields") -> DataFrame:
+    """Evidence of records; attributes, where the records have that column, are the evidence's own."""
+    own = given_map(attributes) if attributes in records.columns else F.create_map().cast(STRINGS)
+    rows = records.select(
+        F.lit(kind).alias("subject_type"), F.col(subject).alias("subject_id"), "source_document_id", "evidence_class", "assertion_type", F.col(excerpt).alias("evidence"), "extraction_method",
+        "confidence", own.alias("attributes"), "seq")
     return rows.withColumn("id", evidence_id(F.col("subject_type"), F.col("subject_id"), F.col("source_document_id"), F.col("evidence")))
 
 
 def collect_evidence(*parts: DataFrame) -> DataFrame:
     """One row per subject, source and excerpt; the first wins."""
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return first_wins(rows, "id")
+    return first_wins(union(list(parts)), "id")
 
 
 def run_summary(runs: DataFrame, **links: DataFrame) -> DataFrame:
     """runs (run_id ...) with the number of distinct linked records of each kind: links are (run_id, id)."""
     out = runs
     for name, link in links.items():
-        out = out.join(link.select("run_id", "id").distinct().groupBy("run_id").agg(F.count("*").alias(f"n_{name}")), "run_id", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)).cast("long"))
+        n = link.select("run_id", "id").distinct().groupBy("run_id").agg(F.count("*").alias(f"n_{name}"))
+        out = out.join(n, "run_id", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)).cast("long"))
     return out
 
 
+def start_runs(runs: DataFrame, as_of: str) -> DataFrame:
+    """runs (run_id, agent_type, metadata) as they begin."""
+    return runs.select(
+        "run_id", "agent_type", F.lit(as_of).alias("started_at"), F.lit(None).cast("string").alias("completed_at"), F.lit("RUNNING").alias("status"),
+        F.lit(None).cast("string").alias("target_entity_id"), given_map("metadata").alias("metadata"))
+
+
+def finish_runs(runs: DataFrame, finished: DataFrame, links: dict[str, DataFrame], as_of: str) -> DataFrame:
+    """runs with what is known at their end: finished (run_id, status, errors array<string>, target_entity_id) and counts of links.
+
+    Counts are those of sources, relationships and events. Runs that are not among the finished stay as they are.
+    """
+    ends = finished.select("run_id", F.col("status").alias("_status"), F.col("errors").alias("_errors"), F.col("target_entity_id").alias("_target"))
+    out = runs.join(ends, "run_id", "left")
+    out = out.withColumns({
+        "status": F.coalesce("_status", "status"), "completed_at": F.when(F.col("_status").isNotNull(), F.lit(as_of)).otherwise(F.col("completed_at")),
+        "errors": F.coalesce("_errors", F.array().cast("array<string>")), "target_entity_id": F.coalesce("_target", "target_entity_id")}).drop("_status", "_errors", "_target")
+    counted = run_summary(out, **{k: links[k] for k in ("sources", "relationships", "events")})
+    return counted.withColumnsRenamed({"n_sources": "documents_processed", "n_relationships": "relationships_created", "n_events": "events_created"})
+
+
 def new_records(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
     """Records that a replay would add; none for a pure replay."""
     return incoming.join(existing.select(key).distinct(), key, "left_anti")
 
 
-def upsert_first(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
-    return existing.unionByName(new_records(existing, incoming, key).select(existing.columns))
+def upsert_first(existing: DataFrame, incoming: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """existing and, for new keys, the first record of incoming by order (any one where no order is given)."""
+    fresh = new_records(existing, incoming, key).select(existing.columns)
+    return existing.unionByName(fresh.dropDuplicates([key]) if order is None else first_wins(fresh, key, order=order))
 
 
-def upsert_last(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
-    return new_records(incoming, existing, key).unionByName(incoming.select(existing.columns))
+def upsert_last(existing: DataFrame, incoming: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """The last record of incoming by order (any one where no order is given), and existing where incoming has none."""
+    latest = incoming.dropDuplicates([key]) if order is None else last_wins(incoming, key, order=order)
+    return new_records(incoming, existing, key).unionByName(latest.select(existing.columns))
 
 
-def backfill_evidence(evidence: DataFrame, relationships: DataFrame, events: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
-    """Evidence for records that have none, out of their own fields; a claim's statement stands for its excerpt."""
+def backfill_evidence(evidence: DataFrame, relationships: DataFrame, events: DataFrame, claims: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(evidence, claims): evidence for records that have none, out of their own fields, and claims that name theirs.
+
+    A claim's statement stands for its excerpt, its source's class for its own.
+    """
     classes = sources.select(F.col("id").alias("source_document_id"), F.col("evidence_class").alias("_class"))
-    own = claims.join(classes, "source_document_id", "left").withColumns({"evidence": F.col("statement"), "extraction_method": F.lit("MIGRATED_CANONICAL_RECORD"), "evidence_class": F.col("_class")})
-    made = evidence_rows(relationships, "RELATIONSHIP").unionByName(evidence_rows(events, "EVENT")).unionByName(evidence_rows(own, "CLAIM"))
+    own = claims.join(classes, "source_document_id").withColumns({
+        "evidence": F.col("statement"), "extraction_method": F.lit("MIGRATED_CANONICAL_RECORD"), "evidence_class": F.col("_class")})
+    made = union([evidence_rows(rows, kind, attributes="attributes") for rows, kind in ((relationships, "RELATIONSHIP"), (events, "EVENT"), (own, "CLAIM"))])
     have = evidence.select("subject_type", "subject_id").distinct()
-    return first_wins(made.join(have, ["subject_type", "subject_id"], "left_anti"), "id")
+    added = first_wins(made.join(have, ["subject_type", "subject_id"], "left_anti"), "id")
+    named = added.filter("subject_type = 'CLAIM'").select(F.col("subject_id").alias("id"), F.col("id").alias("_evidence"))
+    before = F.col("evidence_assertion_id") if "evidence_assertion_id" in claims.columns else F.lit(None).cast("string")
+    return added, claims.withColumn("evidence_assertion_id", before).join(named, "id", "left").withColumn("evidence_assertion_id", F.coalesce("_evidence", "evidence_assertion_id")).drop("_evidence")
+
+
+#: Fixed value: the attribute that marks a superseded holding, at any depth of the attributes (nested ones are JSON text).
+SECURITY_MARK = '\\\\?"securityEntityId\\\\?"'
+
+
+def _without(gone: DataFrame, relationships: DataFrame, evidence: DataFrame, run_relationships: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables without the relationships in gone (id)."""
+    gone = small(gone.select("id").distinct(), "gone")
+    proof = gone.select(F.col("id").alias("subject_id"), F.lit("RELATIONSHIP").alias("subject_type"))
+    return relationships.join(gone, "id", "left_anti"), evidence.join(proof, ["subject_id", "subject_type"], "left_anti"), run_relationships.join(gone, "id", "left_anti")
 
 
-def purge_superseded_holdings(relationships: DataFrame, entities: DataFrame) -> DataFrame:
-    """Relationships without holdings whose object is a company although they name the security itself."""
+def purge_superseded_holdings(relationships: DataFrame, entities: DataFrame, evidence: DataFrame, run_relationships: DataFrame) -> dict[str, DataFrame]:
+    """relationships, evidence and run_relationships (run_id, id) without holdings whose object is a company although they name the security itself."""
     firms = entities.filter("entity_type in ('COMPANY', 'ORGANIZATION')").select(F.col("id").alias("object_entity_id"))
-    old = relationships.filter((F.col("predicate") == "HOLDS_SECURITY") & F.map_contains_key("attributes", "securityEntityId")).join(firms, "object_entity_id", "left_semi").select("id")
-    return relationships.join(old, "id", "left_anti")
-
-
-def purge_name_only_owners(relationships: DataFrame, entities: DataFrame, identifiers: DataFrame, sources: DataFrame, participants: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(relationships, entities) without beneficial owners that only have a name, and without subjects left with nothing."""
-    filings = sources.filter("provider = 'SEC' and document_type like 'SC 13%'").select(F.col("id").alias("source_document_id"))
-    nameless = entities.filter("entity_type != 'PERSON'").join(identifiers.select(F.col("entity_id").alias("id")), "id", "left_anti").select(F.col("id").alias("subject_entity_id"))
-    bad = relationships.filter("predicate = 'BENEFICIAL_OWNER_OF'").join(filings, "source_document_id", "left_semi").join(nameless, "subject_entity_id", "left_semi").select("id", "subject_entity_id")
-    left = relationships.join(bad.select("id"), "id", "left_anti")
-    used = left.select(F.col("subject_entity_id").alias("id")).unionByName(left.select(F.col("object_entity_id").alias("id"))).unionByName(participants.select(F.col("entity_id").alias("id"))).unionByName(claims.select(F.col("subject_entity_id").alias("id")))
-    gone = bad.select(F.col("subject_entity_id").alias("id")).distinct().join(used, "id", "left_anti")
-    return left, entities.join(gone, "id", "left_anti")
+    marked = F.coalesce(F.to_json("attributes").rlike(SECURITY_MARK), F.lit(False))
+    old = relationships.filter((F.col("predicate") == "HOLDS_SECURITY") & marked).join(firms, "object_entity_id", "left_semi")
+    return dict(zip(("relationships", "evidence", "run_relationships"), _without(old, relationships, evidence, run_relationships)))
+
+
+def purge_name_only_owners(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables without beneficial owners that only have a name, and without subjects left with nothing.
+
+    tables: relationships, entities, identifiers, sources, participants, claims, evidence, run_relationships, resolutions.
+    Resolutions that proposed such a subject propose none any more.
+    """
+    t = dict(tables)
+    filings = t["sources"].filter("provider = 'SEC' and document_type like 'SC 13%'").select(F.col("id").alias("source_document_id"))
+    owned = t["identifiers"].select(F.col("entity_id").alias("id"))
+    nameless = t["entities"].filter("entity_type != 'PERSON'").join(owned, "id", "left_anti").select(F.col("id").alias("subject_entity_id"))
+    bad = t["relationships"].filter("predicate = 'BENEFICIAL_OWNER_OF'").join(filings, "source_document_id", "left_semi").join(nameless, "subject_entity_id", "left_semi")
+    bad = stage(bad.select("id", "subject_entity_id"), "bad-owners")
+    t["relationships"], t["evidence"], t["run_relationships"] = _without(bad, t["relationships"], t["evidence"], t["run_relationships"])
+    left = t["relationships"]
+    used = union([
+        left.select(F.col("subject_entity_id").alias("id")), left.select(F.col("object_entity_id").alias("id")), t["participants"].select(F.col("entity_id").alias("id")),
+        t["claims"].select(F.col("subject_entity_id").alias("id"))])
+    subjects = bad.select(F.col("subject_entity_id").alias("id")).distinct()
+    t["entities"] = t["entities"].join(subjects.join(used, "id", "left_anti"), "id", "left_anti")
+    asked = subjects.select(F.col("id").alias("_gone"))
+    marked = t["resolutions"].join(asked, F.col("proposed_entity_id") == F.col("_gone"), "left")
+    t["resolutions"] = marked.withColumn("proposed_entity_id", F.when(F.col("_gone").isNull(), F.col("proposed_entity_id"))).drop("_gone")
+    return t

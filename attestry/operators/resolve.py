@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import candidate_key, normalize_name, stable_id
+from ..functions.columns import candidate_key, identifier_list, normalize_name, stable_id
 from ..sources.staging import stage
 from .survivorship import first_authoritative, first_wins, last_wins
 
@@ -98,47 +98,55 @@ def resolution_log(candidates: DataFrame, resolved: DataFrame) -> DataFrame:
         .when(F.col("scheme").isNotNull(), F.concat(F.lit("created from authoritative identifier "), "scheme"))
         .otherwise("created as a distinct unresolved identity; name-only merging is disabled")
     )
-    out = rows.select("run_id", "seq", "candidate_key", F.col("entity_id").alias("proposed_entity_id"), "status", F.when(F.col("status") == "REJECTED", 0.0).otherwise(sure).alias("confidence"), F.array(reason).alias("reasons"))
-    return last_wins(out.withColumn("id", stable_id("resolution", F.col("run_id"), F.col("candidate_key"), F.col("proposed_entity_id"), F.col("status"))), "id")
+    out = rows.select(
+        "run_id", "seq", "candidate_key", F.lit("ENTITY").alias("candidate_type"), F.col("entity_id").alias("proposed_entity_id"), "status",
+        F.when(F.col("status") == "REJECTED", 0.0).otherwise(sure).alias("confidence"), F.array(reason).alias("reasons"))
+    return last_wins(with_resolution_id(out), "id")
 
 
-def resolve_entity_refs(refs: DataFrame, entities: DataFrame, run_keys: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """refs (ref_id, run_id, seq, source_agent, ref) with entity_id, and candidates for the stubs made on the way.
+def with_resolution_id(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("id", stable_id("resolution", F.col("run_id"), F.col("candidate_key"), F.col("proposed_entity_id"), F.col("status")))
 
-    In turn: an entity id that exists, a key of this run, any identifier in array order, a stub from type and name.
-    """
-    by_id = entities.select(F.col("entity_id").alias("_by_id")).distinct()
-    by_key = run_keys.filter("entity_id is not null").groupBy("run_id", F.col("candidate_key").alias("_key")).agg(F.min("entity_id").alias("_by_key"))
-    ids = refs.select("ref_id", F.posexplode("ref.identifiers").alias("pos", "i")).select("ref_id", "pos", F.col("i.scheme").alias("scheme"), F.col("i.value").alias("value"))
-    by_ids = ids.join(owners.groupBy("scheme", "value").agg(F.min("entity_id").alias("entity_id")), ["scheme", "value"]).groupBy("ref_id").agg(F.min_by("entity_id", "pos").alias("_by_ids"))
-    found = refs.join(by_id, F.col("ref.entity_id") == F.col("_by_id"), "left").withColumn("_key", F.col("ref.candidate_key"))
-    found = found.join(by_key, ["run_id", "_key"], "left").join(by_ids, "ref_id", "left").withColumn("entity_id", F.coalesce("_by_id", "_by_key", "_by_ids"))
-    found = stage(found.select(*refs.columns, "entity_id"), "refs")
-    left = found.filter("entity_id is null and coalesce(ref.entity_type, '') != '' and coalesce(ref.canonical_name, '') != ''")
-    no_ids = F.array().cast(refs.schema["ref"].dataType["identifiers"].dataType)
-    stubs = left.select("ref_id", "run_id", "seq", "source_agent", F.col("ref.candidate_key").alias("candidate_key"), F.col("ref.entity_type").alias("entity_type"), F.col("ref.canonical_name").alias("canonical_name"), F.coalesce("ref.identifiers", no_ids).alias("identifiers"))
-    if stubs.isEmpty():
-        return found, stubs.withColumn("entity_id", F.lit(None).cast("string"))
-    # refs of one record share its seq: number them within it for a total order
-    numbered = stubs.withColumn("seq", F.col("seq") * 1024 + F.pmod(F.xxhash64("ref_id"), F.lit(1024)))
-    made = resolve_entities(numbered, owners).select("seq", F.col("entity_id").alias("stub_id"))
-    stubs = stage(numbered.join(made, "seq").withColumnRenamed("stub_id", "entity_id"), "stubs")
-    both = found.join(stubs.select("ref_id", F.col("entity_id").alias("_stub")), "ref_id", "left")
-    return both.withColumn("entity_id", F.coalesce("entity_id", "_stub")).drop("_stub"), stubs
-
-
-def resolve_source_refs(refs: DataFrame, sources: DataFrame) -> DataFrame:
-    """refs (ref_id, source_document) with source_id: by id if given, else the newest version of provider and external id."""
-    r = F.col("source_document")
-    given = F.coalesce(r["source_document_id"], F.lit("")) != ""
-    keyed = refs.withColumns({"_id": F.when(given, r["source_document_id"]), "_provider": F.when(~given, r["provider"]), "_external": F.when(~given, r["external_id"]), "_sha": r["sha256"]})
-    by_id = sources.select(F.col("id").alias("_id"), F.col("id").alias("_s1")).distinct()
-    newest = F.max_by("id", F.struct("retrieved_at", "id"))
-    exact = sources.groupBy(F.col("provider").alias("_provider"), F.col("external_id").alias("_external"), F.col("sha256").alias("_sha")).agg(newest.alias("_s2"))
-    latest = sources.groupBy(F.col("provider").alias("_provider"), F.col("external_id").alias("_external")).agg(newest.alias("_s3"))
-    out = keyed.join(by_id, "_id", "left").join(exact, ["_provider", "_external", "_sha"], "left").join(latest, ["_provider", "_external"], "left")
-    picked = F.coalesce("_s1", F.when(F.coalesce(F.col("_sha"), F.lit("")) != "", F.col("_s2")).otherwise(F.col("_s3")))
-    return out.select(*refs.columns, picked.alias("source_id"))
+
+def stub_log(stubs: DataFrame) -> DataFrame:
+    """The resolution log of entities that references made."""
+    auth = first_authoritative(F.col("identifiers"))["scheme"]
+    reason = F.when(auth.isNotNull(), F.concat(F.lit("created from authoritative identifier "), auth)).otherwise("created as a distinct unresolved identity; name-only merging is disabled")
+    rows = stubs.filter("entity_id is not null").select(
+        "run_id", "seq", "candidate_key", F.lit("ENTITY").alias("candidate_type"), F.col("entity_id").alias("proposed_entity_id"), F.lit("CREATED").alias("status"),
+        F.when(auth.isNotNull(), 1.0).otherwise(0.8).alias("confidence"), F.array(reason).alias("reasons"))
+    return with_resolution_id(rows)
+
+
+def attachment_log(attached: DataFrame) -> DataFrame:
+    """The resolution log of identifiers that were offered and not rejected."""
+    taken = F.concat("scheme", F.lit(":"), "value", F.lit(" already belongs to canonical entity "), "owner", F.lit("; conflicting attachment was not merged"))
+    conflict = F.col("status") == "REVIEW_REQUIRED"
+    reason = (
+        F.when(conflict, taken).when(F.col("status") == "EXISTING", "authoritative identifier already attached to this canonical entity")
+        .otherwise("authoritative identifier attached through canonical ingestion"))
+    rows = attached.filter("status != 'REJECTED'").select(
+        "run_id", "seq", identifier_key().alias("candidate_key"), F.lit("IDENTIFIER").alias("candidate_type"), F.when(conflict, F.col("owner")).otherwise(F.col("entity_id")).alias("proposed_entity_id"),
+        F.when(conflict, "REVIEW_REQUIRED").when(F.col("status") == "EXISTING", "RESOLVED").otherwise("CREATED").alias("status"),
+        F.when(conflict, 1.0).otherwise(F.col("confidence")).alias("confidence"), F.array(reason).alias("reasons"))
+    return last_wins(with_resolution_id(rows), "id")
+
+
+def identifier_key() -> Column:
+    """An offered identifier's candidate key: the given one, else agent:scheme:value."""
+    return F.coalesce("candidate_key", F.concat_ws(":", "source_agent", "scheme", "value"))
+
+
+def identifier_conflicts(attached: DataFrame) -> DataFrame:
+    """Cases for identifiers that another entity owns: the identifier stays where it is and a person decides."""
+    rows = attached.filter("status = 'REVIEW_REQUIRED'")
+    name = F.concat_ws(":", "scheme", "value")
+    match = F.create_map(F.lit("kind"), F.lit("AUTHORITATIVE_IDENTIFIER"), F.lit("scheme"), F.col("scheme"), F.lit("value"), F.col("value"), F.lit("entityId"), F.col("owner"))
+    against = F.create_map(F.lit("kind"), F.lit("ENTITY_OWNERSHIP_CONFLICT"), F.lit("existingEntityId"), F.col("owner"), F.lit("proposedEntityId"), F.col("entity_id"))
+    return resolution_cases(rows.select(
+        "seq", "source_provider", name.alias("source_identifier"), identifier_key().alias("candidate_key"), F.col("owner").alias("existing_entity_id"), F.col("source_id").alias("source_document_id"),
+        F.lit("REVIEW_REQUIRED").alias("status"), F.lit(1.0).alias("score"), F.array(match).alias("matching_evidence"), F.array(against).alias("conflicting_evidence"),
+        F.concat(name, F.lit(" already belongs to canonical entity "), "owner", F.lit("; conflicting attachment was not merged")).alias("reason")))
 
 
 def attach_identifiers(candidates: DataFrame, owners: DataFrame) -> DataFrame:
@@ -197,9 +205,38 @@ def apply_resolution_decisions(decisions: DataFrame, entities: DataFrame, owners
     return rows.filter("quarantine_reason is null").drop("quarantine_reason"), rows.filter("quarantine_reason is not null")
 
 
-def record_unresolved(decisions: DataFrame) -> DataFrame:
-    """REVIEW_REQUIRED and NO_MATCH decisions become cases and change no entity."""
-    return resolution_cases(decisions.filter(F.col("status").isin("REVIEW_REQUIRED", "NO_MATCH")))
+def decision_key() -> Column:
+    """A decision's candidate key: the given one, else agent:type:identifiers."""
+    return F.coalesce("candidate_key", F.concat_ws(":", "source_agent", "entity_type", identifier_list(F.col("identifiers"))))
+
+
+def decision_log(decisions: DataFrame) -> DataFrame:
+    """What the resolution log gets of decisions: the last per run, key, entity and status."""
+    rows = decisions.select(
+        "run_id", "seq", decision_key().alias("candidate_key"), F.lit("ENTITY").alias("candidate_type"), F.col("existing_entity_id").alias("proposed_entity_id"), "status",
+        F.col("score").alias("confidence"), F.array("reason").alias("reasons"))
+    return last_wins(with_resolution_id(rows), "id")
+
+
+def resolution_records(accepted: DataFrame) -> dict[str, DataFrame]:
+    """What accepted decisions (run_id, seq, candidate fields, existing_entity_id, status, score, reason, decision_actor,
+    source_provider, source_identifier) leave behind: cases, decisions, resolutions, run_keys, and the candidates that
+    enrich_entities, save_identifiers, alias_candidates and entity evidence take.
+    """
+    rows = accepted.withColumn("candidate_key", decision_key())
+    case = case_id(F.col("source_provider"), F.col("candidate_key"), F.col("existing_entity_id"))
+    decided = rows.select(case.alias("case_id"), F.col("status").alias("decision_type"), "decision_actor", "reason", "seq")
+    return {
+        "cases": resolution_cases(rows), "decisions": resolution_decisions(decided), "resolutions": decision_log(rows),
+        "run_keys": rows.select("run_id", "candidate_key", F.col("existing_entity_id").alias("entity_id")).distinct(),
+        "candidates": rows.withColumn("entity_id", F.col("existing_entity_id")).withColumn("confidence", F.col("score")),
+    }
+
+
+def record_unresolved(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cases, resolutions): REVIEW_REQUIRED and NO_MATCH decisions become cases and log entries and change no entity."""
+    rows = decisions.filter(F.col("status").isin("REVIEW_REQUIRED", "NO_MATCH")).withColumn("candidate_key", decision_key())
+    return resolution_cases(rows), decision_log(rows)
 
 
 def resolve_person_for_issuer(mentions: DataFrame, people: DataFrame, edges: DataFrame, predicates: tuple[str, ...]) -> DataFrame:

@@ -1,27 +1,38 @@
 """Which record of a key survives. Every input carries `seq`, the caller's total order of ingestion.
 
-min_by and max_by combine before the shuffle, so a key with very many records costs one row per task.
+Only keys and their order are aggregated, by hash and before the shuffle; whole rows stay where they are unless very
+many keys are repeated. A frame that costs much to compute should be staged first, as it is read twice.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalize_name, normalized_alias, stable_id
 from ..functions.vocabulary import AUTHORITATIVE_SCHEMES
+from ..sources.staging import small
 
 
 def first_wins(df: DataFrame, *key: str, order: str = "seq") -> DataFrame:
-    return _one(df, key, F.min_by, order)
+    """The first row of each key; of rows that tie, one."""
+    return _one(df, key, order, F.min)
 
 
 def last_wins(df: DataFrame, *key: str, order: str = "seq") -> DataFrame:
-    return _one(df, key, F.max_by, order)
+    """The last row of each key; of rows that tie, one."""
+    return _one(df, key, order, F.max)
 
 
-def _one(df: DataFrame, key: tuple[str, ...], pick, order: str) -> DataFrame:
-    return df.groupBy(*key).agg(pick(F.struct(*df.columns), F.col(order)).alias("_r")).select("_r.*")
+def _one(df: DataFrame, key: tuple[str, ...], order: str, pick) -> DataFrame:
+    best = df.groupBy(*key).agg(pick(order).alias("_best"), F.count("*").alias("_n")).filter("_n > 1")
+    again = small(best.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(key)], "_best", F.lit(True).alias("_hit")), "repeated")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(key)])
+    marked = df.join(again, same, "left").withColumn("_again", F.col("_hit").isNotNull())
+    chosen = marked.filter("_again").filter(F.col(order).eqNullSafe(F.col("_best"))).dropDuplicates(list(key))
+    return marked.filter("not _again").select(*df.columns).unionByName(chosen.select(*df.columns))
 
 
 def last_known(c: str, order: str = "seq") -> Column:

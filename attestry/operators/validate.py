@@ -139,12 +139,17 @@ def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter("valid").drop("reasons", "valid"), checked.filter("not valid")
 
 
-def rejections(checked: DataFrame, candidate_type: str) -> DataFrame:
-    """Rejected candidates with their reasons, once per run and content."""
+def rejection_rows(checked: DataFrame, candidate_type: str) -> DataFrame:
+    """Rejected candidates with their reasons, each time they were rejected."""
     bad = checked.filter("not valid")
     content = F.to_json(F.struct(*[c for c in bad.columns if c not in ("reasons", "valid", "validation_key", "seq", "run_id")]))
     rows = bad.select("run_id", "seq", F.lit(candidate_type).alias("candidate_type"), content.alias("candidate"), "reasons")
-    return first_wins(rows.withColumn("id", stable_id("rejection", F.col("run_id"), F.col("candidate_type"), F.col("candidate"), F.array_join("reasons", "|"))), "id")
+    return rows.withColumn("id", stable_id("rejection", F.col("run_id"), F.col("candidate_type"), F.col("candidate"), F.array_join("reasons", "|")))
+
+
+def rejections(checked: DataFrame, candidate_type: str) -> DataFrame:
+    """Rejected candidates with their reasons, once per run and content."""
+    return first_wins(rejection_rows(checked, candidate_type), "id")
 
 
 def validation_results(checked: DataFrame, candidate_type: str) -> DataFrame:
@@ -154,5 +159,6 @@ def validation_results(checked: DataFrame, candidate_type: str) -> DataFrame:
 
 
 def validation_log(results: DataFrame) -> DataFrame:
-    """The last result per run, type, key and validator version."""
-    return last_wins(results, "id")
+    """The last result per run, type, key and validator version; at one seq, a late one (after failed resolution)."""
+    late = F.col("late") if "late" in results.columns else F.lit(0)
+    return last_wins(results.withColumn("_order", F.struct("seq", late.alias("late"))), "id", order="_order").drop("_order", "late")

@@ -1,7 +1,8 @@
 """Questions to the graph: nodes (id, entity_type, canonical_name ...), edges (id, subject_entity_id, predicate,
 object_entity_id, valid_from, valid_to, observed_at, source_document_id ...), events and participants.
 
-Searches go forward one frontier at a time, for many roots at once; a hub's edges meet each (root, node) once per round.
+Searches go forward one frontier at a time, for many roots at once; a hub's edges meet each (root, node) once per round,
+in parts, so that they do not stand in one task.
 """
 
 from __future__ import annotations
@@ -14,8 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import edge_in_date_range, edge_start, parse_participants
 from ..functions.vocabulary import CAREER_PREDICATES
-from ..sources.staging import stage
+from ..sources.staging import in_order, small, stage
 
+#: A node with more edges than this is a hub; its edges are dealt in parts of about so many.
+HUB = 50_000
+#: Queries that a search takes at a time, as a broadcast.
+ASKED = 2_000
 #: Bounds of the questions.
 MOST_DEPTH, MOST_RESULTS, TRAIL = 4, 50, 12
 
@@ -51,26 +56,53 @@ def _typed(nodes: DataFrame, entity_types: list[str] | None) -> DataFrame:
     return (nodes.filter(F.col("entity_type").isin(*entity_types)) if entity_types else nodes).select(F.col("id").alias("dst"))
 
 
-def traverse(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = 1, predicates: list[str] | None = None, entity_types: list[str] | None = None, direction: str = "both", date_from: str | None = None, date_to: str | None = None) -> tuple[DataFrame, DataFrame]:
+def hubs_of(steps: DataFrame) -> DataFrame:
+    """(src, parts) of the sources with very many rows; fewer than rows / HUB, so they are broadcast."""
+    return small(steps.groupBy("src").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts")).filter("parts > 1"), "hubs")
+
+
+def in_parts(steps: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Steps (src, dst ...) with the part of their source."""
+    return steps.join(hubs, "src", "left").withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+
+def to_parts(frontier: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Frontier rows (src ...), those at a hub once for each of its parts."""
+    asked = frontier.join(hubs, "src", "left")
+    return asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+
+
+def traverse(
+    nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = 1, predicates: list[str] | None = None, entity_types: list[str] | None = None, direction: str = "both",
+    date_from: str | None = None, date_to: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(root, id, distance) and (root, edge_id) for each root (a row with column root) that is a node.
 
     Nodes up to depth steps away; edges seen from a node nearer than depth whose other end passes the type filter.
     The root itself needs no matching type.
     """
     depth_of(depth)
-    walk = stage(oriented(filtered_edges(edges, predicates, date_from, date_to), direction).join(_typed(nodes, entity_types), "dst", "left_semi"), "walk")
-    start = roots.select("root").distinct().join(nodes.select(F.col("id").alias("root")), "root", "left_semi")
+    start = stage(roots.select("root").distinct().join(nodes.select(F.col("id").alias("root")), "root", "left_semi"), "roots")
+    plain = oriented(filtered_edges(edges, predicates, date_from, date_to), direction).select("src", "dst", "edge_id")
+    if depth == 1:  # only edges at the roots count
+        plain = plain.join(small(start.select(F.col("root").alias("src")), "root-ids"), "src", "left_semi")
+    walk = plain.join(_typed(nodes, entity_types), "dst", "left_semi")
+    walk = stage(walk, "walk")
+    hubs = hubs_of(walk)
     reached = stage(start.select("root", F.col("root").alias("id"), F.lit(0).alias("distance")), "reached")
+    pairs = walk.select("src", "dst").distinct()
+    pairs = in_parts(stage(pairs, "pairs") if depth > 1 else pairs, hubs)
     for step in range(1, depth + 1):
         frontier = reached.filter(F.col("distance") == step - 1).select("root", F.col("id").alias("src"))
-        new = frontier.join(walk.select("src", "dst").distinct(), "src").select("root", F.col("dst").alias("id")).distinct().join(reached, ["root", "id"], "left_anti")
-        reached = stage(reached.unionByName(new.withColumn("distance", F.lit(step))), "reached")
-    # an edge back to the root counts although the root may not match the type filter
-    inner = reached.filter(F.col("distance") < depth).select("root", F.col("id").alias("src"))
-    plain = oriented(filtered_edges(edges, predicates, date_from, date_to), direction)
-    home = inner.join(plain, "src").filter("dst = root").select("root", "edge_id") if entity_types else None
-    seen = inner.join(walk, "src").select("root", "edge_id")
-    return reached, (seen.unionByName(home) if home is not None else seen).distinct()
+        new = to_parts(frontier, hubs).join(pairs, ["src", "part"]).select("root", F.col("dst").alias("id")).distinct()
+        new = stage(new.join(reached.select("root", "id"), ["root", "id"], "left_anti").withColumn("distance", F.lit(step)), "reached")
+        reached = reached.unionByName(new)
+    inner = stage(reached.filter(F.col("distance") < depth).select("root", F.col("id").alias("src")), "inner")
+    seen = to_parts(inner, hubs).join(in_parts(walk, hubs), ["src", "part"]).select("root", "edge_id")
+    if entity_types:  # an edge back to the root counts although the root may not match the type filter
+        home = inner.withColumn("dst", F.col("root")).join(plain, ["src", "dst"]).select("root", "edge_id")
+        seen = seen.unionByName(home)
+    return reached, seen.distinct()
 
 
 def neighbors(nodes: DataFrame, edges: DataFrame, roots: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
@@ -78,43 +110,46 @@ def neighbors(nodes: DataFrame, edges: DataFrame, roots: DataFrame, **options) -
 
 
 def edge_ranks(edges: DataFrame) -> DataFrame:
-    """(edge_id, rank): newest observation first, then id. The rank orders all edges, so it is dealt by range."""
-    spread = edges.select(F.col("id").alias("edge_id"), "observed_at")
-    counted = stage(spread.repartitionByRange(F.desc_nulls_last("observed_at"), "edge_id").withColumn("part", F.spark_partition_id()), "ranks")
-    sizes = counted.groupBy("part").count().select("part", (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("before"))
-    inside = F.row_number().over(W.partitionBy("part").orderBy(F.desc_nulls_last("observed_at"), "edge_id"))
-    return counted.withColumn("n", inside).join(F.broadcast(sizes), "part").select("edge_id", (F.col("before") + F.col("n")).alias("rank"))
+    """(edge_id, rank): newest observation first, then id. They hold for all searches of a graph, so compute them once."""
+    return in_order(edges.select(F.col("id").alias("edge_id"), "observed_at"), [F.desc_nulls_last("observed_at"), "edge_id"], "ranks", "rank").select("edge_id", "rank")
 
 
-def find_path(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, depth: int = MOST_DEPTH, predicates: list[str] | None = None, entity_types: list[str] | None = None, direction: str = "both", date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+def find_path(
+    nodes: DataFrame, edges: DataFrame, pairs: DataFrame, depth: int = MOST_DEPTH, predicates: list[str] | None = None, entity_types: list[str] | None = None, direction: str = "both",
+    date_from: str | None = None, date_to: str | None = None, ranks: DataFrame | None = None,
+) -> DataFrame:
     """(source, target, depth, hop, from_id, to_id, way, edge_id): the hops of a shortest path per pair, or one row without a hop.
 
     Of equally short paths the one first in breadth-first order over edges by rank: the least array of ranks. depth is
-    null where there is no path, 0 where both ends are one.
+    null where there is no path, 0 where both ends are one. ranks: edge_ranks of the graph, if they are at hand.
     """
     depth_of(depth)
-    chosen = filtered_edges(edges, predicates, date_from, date_to)
-    walk = oriented(chosen, direction).join(_typed(nodes, entity_types), "dst", "left_semi").join(edge_ranks(edges), "edge_id")
+    walk = oriented(filtered_edges(edges, predicates, date_from, date_to), direction).join(_typed(nodes, entity_types), "dst", "left_semi")
+    walk = walk.join(edge_ranks(edges) if ranks is None else ranks, "edge_id")
     walk = stage(walk.groupBy("src", "dst").agg(F.min(F.struct("rank", "way", "edge_id")).alias("e")), "walk")
+    hubs = hubs_of(walk)
+    walk = in_parts(walk, hubs)
     asked = stage(pairs.select("source", "target").distinct(), "pairs")
-    reached = stage(asked.select("source", "target", F.col("source").alias("at"), F.array().cast("array<bigint>").alias("ranks"), F.array().cast("array<struct<from_id:string,to_id:string,way:string,edge_id:string>>").alias("hops")), "paths")
+    no_ranks, no_hops = F.array().cast("array<bigint>"), F.array().cast("array<struct<from_id:string,to_id:string,way:string,edge_id:string>>")
+    reached = stage(asked.select("source", "target", F.col("source").alias("src"), no_ranks.alias("ranks"), no_hops.alias("hops")), "paths")
     frontier = reached.filter("source != target")
     for _ in range(depth):
         e = F.col("e")
-        hop = F.array(F.struct(F.col("at").alias("from_id"), F.col("dst").alias("to_id"), e["way"].alias("way"), e["edge_id"].alias("edge_id")))
-        stepped = frontier.join(walk, frontier["at"] == walk["src"]).select("source", "target", F.col("dst").alias("at"), F.concat("ranks", F.array(e["rank"].cast("bigint"))).alias("ranks"), F.concat("hops", hop).alias("hops"))
-        best = stepped.groupBy("source", "target", "at").agg(F.min_by(F.struct("ranks", "hops"), "ranks").alias("b")).select("source", "target", "at", "b.*")
-        new = stage(best.join(reached.select("source", "target", "at"), ["source", "target", "at"], "left_anti"), "frontier")
+        hop = F.array(F.struct(F.col("src").alias("from_id"), F.col("dst").alias("to_id"), e["way"].alias("way"), e["edge_id"].alias("edge_id")))
+        stepped = to_parts(frontier, hubs).join(walk, ["src", "part"]).select(
+            "source", "target", F.col("dst").alias("to"), F.concat("ranks", F.array(e["rank"].cast("bigint"))).alias("ranks"), F.concat("hops", hop).alias("hops"))
+        best = stepped.groupBy("source", "target", F.col("to").alias("src")).agg(F.min(F.struct("ranks", "hops")).alias("b")).select("source", "target", "src", "b.*")
+        new = stage(best.join(reached.select("source", "target", "src"), ["source", "target", "src"], "left_anti"), "frontier")
         reached = reached.unionByName(new)
-        done = new.filter("at = target").select("source", "target")
-        frontier = new.join(done, ["source", "target"], "left_anti")
-    ends = reached.filter("at = target").select("source", "target", F.size("ranks").alias("depth"), "hops")
+        done = new.filter("src = target").select("source", "target")
+        frontier = new.join(small(done, "done"), ["source", "target"], "left_anti")
+    ends = reached.filter("src = target").select("source", "target", F.size("ranks").alias("depth"), "hops")
     out = asked.join(ends, ["source", "target"], "left").select("source", "target", "depth", F.posexplode_outer("hops").alias("hop", "h"))
     return out.select("source", "target", "depth", "hop", "h.from_id", "h.to_id", "h.way", "h.edge_id")
 
 
 def timeline(edges: DataFrame, events: DataFrame, participants: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
-    """(entity_id, kind, date, record_id) of every entity: its events and edges; order by date descending, kind, id."""
+    """(entity_id, kind, date, record_id) of every entity: its events and edges. ranked_timeline gives their order."""
     dated = events.select(F.col("id").alias("event_id"), F.col("event_date").alias("date"))
     if date_from:
         dated = dated.filter(F.col("date") >= date_from)
@@ -122,9 +157,19 @@ def timeline(edges: DataFrame, events: DataFrame, participants: DataFrame, date_
         dated = dated.filter(F.col("date") <= date_to)
     own = participants.select("event_id", "entity_id").distinct().join(dated, "event_id").select("entity_id", F.lit("EVENT").alias("kind"), "date", F.col("event_id").alias("record_id"))
     near = edges.filter(edge_in_date_range(F.col("valid_from"), F.col("valid_to"), F.col("observed_at"), date_from, date_to))
-    ends = F.array_distinct(F.array("subject_entity_id", "object_entity_id"))
-    edge = near.select(F.explode(ends).alias("entity_id"), F.lit("RELATIONSHIP").alias("kind"), edge_start(F.col("valid_from"), F.col("observed_at")).alias("date"), F.col("id").alias("record_id"))
-    return own.unionByName(edge)
+    ends, start = F.array_distinct(F.array("subject_entity_id", "object_entity_id")), edge_start(F.col("valid_from"), F.col("observed_at"))
+    return own.unionByName(near.select(F.explode(ends).alias("entity_id"), F.lit("RELATIONSHIP").alias("kind"), start.alias("date"), F.col("id").alias("record_id")))
+
+
+def ranked_timeline(entries: DataFrame) -> DataFrame:
+    """Timeline entries with their rank from 1 within the entity: newest first, a day's events before its edges, then by id.
+
+    One sort of all entries, dealt by range, so that an entity with very many is not ranked in one task.
+    """
+    newest = F.desc(F.coalesce("date", F.lit("")))
+    rows = in_order(entries, ["entity_id", newest, "kind", "record_id"], "timeline", "n")
+    first = rows.groupBy("entity_id").agg(F.min("n").alias("_first"))
+    return rows.join(first, "entity_id").withColumn("rank", F.col("n") - F.col("_first") + 1).drop("n", "_first")
 
 
 def career_transitions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -153,16 +198,23 @@ def haystack(nodes: DataFrame) -> DataFrame:
 
 
 def search_entities(nodes: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """(query, rank, id, score) per query of a stated, small set: equal names 100, prefixes 80, parts 50; then by name.
+    """(query, rank, id, score) per query of a stated set: equal names 100, prefixes 80, parts 50; then by name.
 
-    The queries are the small side and are broadcast where Spark finds them small; blank ones find nothing.
+    Distinct queries are broadcast, ASKED at a time, and each task keeps a query's best rows before they meet those of
+    others. Blank queries find nothing.
     """
     keep = max(1, min(limit, MOST_RESULTS))
     asked = queries.select(F.trim("query").alias("query")).filter("query != ''").distinct().withColumn("_q", F.lower("query"))
+    asked = in_order(asked, ["query"], "queries", "_block").withColumn("_block", F.expr(f"_block div {ASKED}"))
+    blocks = asked.agg(F.max("_block")).first()[0]
     score = F.when(F.col("_name") == F.col("_q"), 100).when(F.startswith("_name", "_q"), 80).when(F.contains("_text", "_q"), 50)
-    found = haystack(nodes).join(asked, F.contains("_text", "_q")).withColumn("score", score)
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "canonical_name", "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= keep).select("query", "rank", "id", "score")
+    texts, parts = haystack(nodes), []
+    for block in range((blocks or 0) + 1):
+        part = F.broadcast(asked.filter(F.col("_block") == block))
+        found = texts.join(part, F.contains("_text", "_q")).withColumn("score", score)
+        parts.append(found.withColumn("rank", rank).filter(F.col("rank") <= keep).select("query", "rank", "id", "score"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def traversal_trail(visits: DataFrame, keep: int = TRAIL) -> DataFrame:

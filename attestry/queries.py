@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .functions.vocabulary import AUTHORITATIVE_SCHEMES, CAREER_PREDICATES, VOCABULARY, classify_predicates
 from .operators import ingest as I
+from .operators import references as L
 from .operators import resolve as R
 from .operators import survivorship as S
 from .operators import validate as V
@@ -17,6 +18,7 @@ from .plans import graph as G
 from .sources import binding as B
 from .sources import extract as X
 from .sources import tables as T
+from .sources.staging import new_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -350,19 +352,21 @@ def resolution_log(spark, sf_dir):
     return log.select("candidate_key", "proposed_entity_id", "status", "confidence", F.get("reasons", F.lit(0)).alias("reason"))
 
 
-_REFS = "select o_orderkey as ref_id, 'r' || (o_orderkey % 3) as run_id, o_orderkey as seq, 'agent' as source_agent, case when o_orderkey % 4 = 0 then 'C' || o_custkey when o_orderkey % 4 = 1 then 'gone' end as entity_id, case when o_orderkey % 4 = 2 then 'k' || o_custkey end as candidate_key, case when o_orderkey % 4 <> 3 then 'INTERNAL' end as scheme, 'c' || (o_custkey + o_orderkey % 7 * 1000000 * (o_orderkey % 2)) as value, case when o_orderkey % 5 = 0 then 'Stub ' || o_custkey end as name from {orders}"
+_REFS = "select o_orderkey as ref_id, 'r' || (o_orderkey % 3) as run_id, o_orderkey as seq, 'agent' as source_agent, case when o_orderkey % 4 = 0 then 'C' || o_custkey when o_orderkey % 4 = 1 then 'gone' end as entity_id, case when o_orderkey % 4 = 2 then 'k' || o_custkey end as candidate_key, case when o_orderkey % 4 <> 3 then 'INTERNAL' end as scheme, 'c' || (o_custkey + o_orderkey % 7 * 1000000 * (o_orderkey % 2)) as value, case when o_orderkey % 5 = 0 then 'Stub ' || o_custkey || '-' || (o_orderkey % 7) || '-' || (o_orderkey % 4) end as name from {orders}"
 
 
 @query(f"""with r as (select *, coalesce(candidate_key, 'agent:COMPANY:' || name) as k, coalesce(case when entity_id like 'C%' then entity_id end, case when candidate_key is not null and run_id = 'r0' then 'C' || substr(candidate_key, 2) end, case when scheme is not null and cast(substr(value, 2) as bigint) < 1000000 then 'C' || substr(value, 2) end) as found from ({_REFS})),
-    s as (select *, first_value(case when scheme is not null then {sid('entity', "scheme || ':' || value")} else {sid('entity-unresolved', "run_id || ':' || k")} end) over (partition by run_id, k order by ref_id) as stub from r where found is null and name is not null)
-    select r.ref_id, coalesce(r.found, s.stub) as entity_id from r left join s using (ref_id)""")
+    s as (select *, first_value(case when scheme is not null then {sid('entity', "scheme || ':' || value")} else {sid('entity-unresolved', "run_id || ':' || k")} end) over (partition by run_id, k order by ref_id) as stub from r where found is null and name is not null),
+    m as (select value, min(ref_id) as since from r where found is null and name is not null and scheme is not null group by value)
+    select r.ref_id, coalesce(r.found, case when scheme is not null and since <= r.ref_id then {sid('entity', "scheme || ':' || value")} end, s.stub) as entity_id
+    from r left join s using (ref_id) left join m on m.value = r.value""")
 def resolve_entity_refs(spark, sf_dir):
     customers = read(spark, sf_dir, "customer")
     ids = F.when(F.col("scheme").isNotNull(), F.array(F.struct("scheme", "value", F.lit(None).cast("string").alias("jurisdiction")))).otherwise(F.array().cast(f"array<{B.ID}>"))
     ref = F.struct("entity_id", "candidate_key", ids.alias("identifiers"), F.col("name").alias("canonical_name"), F.lit("COMPANY").alias("entity_type"))
     refs = B.bind(spark, sf_dir, _REFS).select("ref_id", "run_id", "seq", "source_agent", ref.alias("ref"))
     own = F.concat(F.lit("C"), "c_custkey")
-    found, _ = R.resolve_entity_refs(refs, customers.select(own.alias("entity_id")), customers.select(F.lit("r0").alias("run_id"), F.concat(F.lit("k"), "c_custkey").alias("candidate_key"), own.alias("entity_id")), customers.select(F.lit("INTERNAL").alias("scheme"), F.concat(F.lit("c"), "c_custkey").alias("value"), own.alias("entity_id")))
+    found, _ = L.resolve_entity_refs(refs, customers.select(own.alias("entity_id")), customers.select(F.lit("r0").alias("run_id"), F.concat(F.lit("k"), "c_custkey").alias("candidate_key"), own.alias("entity_id")), customers.select(F.lit("INTERNAL").alias("scheme"), F.concat(F.lit("c"), "c_custkey").alias("value"), own.alias("entity_id")))
     return found.select("ref_id", "entity_id")
 
 
@@ -374,7 +378,7 @@ _ASKED = "select o_orderkey as ref_id, case when o_orderkey % 3 = 0 then 'v' ||
     left join (select provider, external_id, sha256, arg_max(id, (retrieved_at, id)) as id from s group by all) e using (provider, external_id, sha256) left join (select provider, external_id, arg_max(id, (retrieved_at, id)) as id from s group by all) l on l.provider = q.provider and l.external_id = q.external_id""")
 def resolve_source_refs(spark, sf_dir):
     asked = B.bind(spark, sf_dir, _ASKED).select("ref_id", F.struct("source_document_id", "provider", "external_id", "sha256").alias("source_document"))
-    return R.resolve_source_refs(asked, B.bind(spark, sf_dir, _VERSIONS)).select("ref_id", "source_id")
+    return L.known_sources(asked, B.bind(spark, sf_dir, _VERSIONS)).select("ref_id", "source_id")
 
 
 _ATTACH = "select o_orderkey as seq, o_orderkey % 9 <> 0 as valid, case when o_orderkey % 8 <> 0 then 'C' || (o_custkey % 400) end as entity_id, case when o_orderkey % 10 <> 0 then 'O1' end as source_id, 'LEI' as scheme, 'L' || (o_orderkey % 2000) as value from {orders}"
@@ -418,9 +422,42 @@ def review_queue(spark, sf_dir):
     return R.set_case_status(cases, done).select("id", "status", "updated_seq")
 
 
-@query(f"select {_CASE_ID} as id, arg_max(status, seq) as status, max(seq) as updated_seq from ({_CASES}) where status in ('REVIEW_REQUIRED', 'NO_MATCH') group by source_provider, candidate_key, existing_entity_id")
+_UNRESOLVED = f"select {_CASE_ID} as id, arg_max(status, seq) as status, max(seq) as updated_seq from ({_CASES}) where status in ('REVIEW_REQUIRED', 'NO_MATCH') group by source_provider, candidate_key, existing_entity_id"
+
+
+def _decisions(spark, sf_dir) -> DataFrame:
+    """The cases' records as decisions on entity candidates; run and agent follow from the order's number."""
+    none = F.array().cast(f"array<{B.ID}>")
+    return B.bind(spark, sf_dir, _CASES).withColumns({
+        "run_id": F.concat(F.lit("r"), F.col("seq") % 3), "source_agent": F.lit("agent"), "entity_type": F.lit("COMPANY"), "identifiers": none, "decision_actor": F.lit("reviewer"),
+        "candidate_key": F.when(F.col("seq") % 5 != 0, F.col("candidate_key"))})
+
+
+#: A decision without a key gets agent:type:identifiers.
+_DECISIONS = f"(select * replace (case when seq % 5 <> 0 then candidate_key else 'agent:COMPANY:' end as candidate_key), 'r' || (seq % 3) as run_id from ({_CASES}))"
+_LOG_ID = sid("resolution", "run_id || ':' || candidate_key || ':' || existing_entity_id || ':' || status")
+
+
+@query(f"""select 'case' as kind, {_CASE_ID} as id, arg_max(status, seq) as status, max(seq) as seq from {_DECISIONS} where status in ('REVIEW_REQUIRED', 'NO_MATCH')
+        group by source_provider, candidate_key, existing_entity_id
+    union all select 'log', {_LOG_ID}, status, max(seq) from {_DECISIONS} where status in ('REVIEW_REQUIRED', 'NO_MATCH') group by run_id, candidate_key, existing_entity_id, status""")
 def record_unresolved(spark, sf_dir):
-    return R.record_unresolved(B.bind(spark, sf_dir, _CASES)).select("id", "status", "updated_seq")
+    cases, log = R.record_unresolved(_decisions(spark, sf_dir))
+    return cases.select(F.lit("case").alias("kind"), "id", "status", F.col("updated_seq").alias("seq")).unionByName(log.select(F.lit("log").alias("kind"), "id", "status", "seq"))
+
+
+_DECISION_ID = sid("resolution-decision", f"{_CASE_ID} || ':' || status || ':reviewer:' || reason")
+
+
+@query(f"""select 'case' as kind, {_CASE_ID} as id, max(seq) as seq from {_DECISIONS} where status in ('APPROVED', 'AUTO_RESOLVED') group by source_provider, candidate_key, existing_entity_id
+    union all select 'decision', {_DECISION_ID}, min(seq) from {_DECISIONS} where status in ('APPROVED', 'AUTO_RESOLVED') group by source_provider, candidate_key, existing_entity_id, status, reason
+    union all select 'log', {_LOG_ID}, max(seq) from {_DECISIONS} where status in ('APPROVED', 'AUTO_RESOLVED') group by run_id, candidate_key, existing_entity_id, status
+    union all select distinct 'key', run_id || ':' || candidate_key || ':' || existing_entity_id, 0 from {_DECISIONS} where status in ('APPROVED', 'AUTO_RESOLVED')""")
+def resolution_records(spark, sf_dir):
+    made = R.resolution_records(_decisions(spark, sf_dir).filter(F.col("status").isin("APPROVED", "AUTO_RESOLVED")))
+    keys = made["run_keys"].select(F.lit("key").alias("kind"), F.concat_ws(":", "run_id", "candidate_key", "entity_id").alias("id"), F.lit(0).cast("long").alias("seq"))
+    rows = [made[name].select(F.lit(kind).alias("kind"), "id", F.col(seq).alias("seq")) for name, kind, seq in (("cases", "case", "updated_seq"), ("decisions", "decision", "seq"), ("resolutions", "log", "seq"))]
+    return I.union([*rows, keys])
 
 
 @query(f"select case_id, status as decision_type, reason, min(seq) as seq from (select *, {_CASE_ID} as case_id from ({_CASES})) group by all")
@@ -581,7 +618,7 @@ def _order_claims(spark, sf_dir):
     fact = F.to_json(F.struct(F.lit("t").alias("taxonomy"), F.lit("Total").alias("concept"), F.lit("USD").alias("unit"), F.col("total").cast("double").alias("value"), F.lit("2024-12-31").alias("period_end")))
     known = F.col("seq") % 6 != 0
     rows = _proof(rows).withColumns({"subject": F.when(known, _ref(F.col("c"))), "claim_type": F.when(F.col("seq") % 2 == 0, "FINANCIAL_FACT").otherwise("REPORT"), "attributes": F.create_map(F.lit("fact"), fact), "valid_from": F.lit(None).cast("string")})
-    return I.ingest_claims(rows.drop("c", "p", "excerpt", "l_suppkey", "l_orderkey", "total"), *_context(spark, sf_dir))
+    return I.ingest_claims(rows.drop("c", "p", "excerpt", "l_suppkey", "l_orderkey", "total"), *_context(spark, sf_dir), as_of="2024-01-01T00:00:00Z")
 
 
 _CLAIMS = "(select o_orderkey as seq, case when o_orderkey % 6 <> 0 then 'C' || o_custkey end as subject, case when o_orderkey % 2 = 0 then 'FINANCIAL_FACT' else 'REPORT' end as claim_type, 'O' || (o_orderkey % 100) as source, 'claim:' || (o_orderkey % 700) as record, 'status ' || o_orderstatus as statement, cast(floor(o_totalprice) as bigint) as total from {orders})"
@@ -598,6 +635,113 @@ def facts_from_claims(spark, sf_dir):
     return I.facts_from_claims(_order_claims(spark, sf_dir)["all"]).select("id", "entity_id", "value", "seq")
 
 
+# A whole batch of all kinds: customers as entities, orders as sources, relationships, events and claims, suppliers'
+# tickers as identifiers. Every fiftieth source has no digest, every seventh customer no name.
+
+def _batch(spark, sf_dir) -> dict[str, DataFrame]:
+    null, no_map = F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
+    ids = lambda scheme, value: F.array(F.struct(F.lit(scheme).alias("scheme"), value.alias("value"), *[null.alias(c) for c in ("jurisdiction", "source_document_id", "valid_from", "valid_to")], no_map.alias("attributes")))
+    end = lambda ids=None, kind=None, name=None: F.struct(
+        null.alias("entity_id"), null.alias("candidate_key"), (F.lit(None).cast(f"array<{_IDENTIFIER}>") if ids is None else ids).alias("identifiers"), (null if name is None else name).alias("canonical_name"),
+        (null if kind is None else F.lit(kind)).alias("entity_type"))
+    said = lambda order: {
+        "source_document": F.struct(null.alias("source_document_id"), F.lit("SEC").alias("provider"), F.concat(F.lit("acc"), order).alias("external_id"), null.alias("sha256")),
+        "evidence": F.struct(F.concat(F.lit("order "), order).alias("excerpt"), F.lit("OFFICIAL_RECORD").alias("evidence_class"), no_map.alias("fields")), "extraction_method": F.lit("TABLE"),
+        "assertion_type": F.lit("REPORTED"), "confidence": F.lit(1.0), "source_record_id": F.concat(F.lit("rec"), order)}
+    head = lambda seq: {"seq": seq, "run_id": F.concat(F.lit("r"), seq % 3), "source_agent": F.lit("agent")}
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.concat(F.lit("L"), "o_custkey").alias("l"), "o_custkey", "o_orderstatus", F.floor("o_totalprice").alias("total"))
+    orders = orders.withColumns(head(F.col("o")))
+    customers = read(spark, sf_dir, "customer").withColumns(head(F.col("c_custkey")))
+    suppliers = read(spark, sf_dir, "supplier").withColumns(head(F.col("s_suppkey")))
+    fact = F.to_json(F.struct(F.lit("Total").alias("concept"), F.lit("USD").alias("unit"), F.col("total").cast("double").alias("value")))
+    return {
+        "sources": orders.withColumns({
+            "provider": F.lit("SEC"), "document_type": F.lit("10-K"), "external_id": F.concat(F.lit("acc"), "o"), "source_url": F.lit("u"), "evidence_class": F.lit("OFFICIAL_RECORD"),
+            "sha256": F.when(F.col("o") % 50 == 0, "").otherwise(C.sha256_hex(F.col("o").cast("string")))}),
+        "entities": customers.withColumns({
+            "candidate_key": F.concat(F.lit("k"), "c_custkey"), "entity_type": F.lit("COMPANY"), "canonical_name": F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")),
+            "identifiers": ids("LEI", F.concat(F.lit("L"), "c_custkey"))}),
+        "identifiers": suppliers.withColumns(said(F.lit("1")) | {
+            "entity": end(ids("LEI", F.concat(F.lit("L"), "s_suppkey"))), "identifier": ids("TICKER", F.concat(F.lit("T"), F.col("s_suppkey") % 20))[0]}),
+        "relationships": orders.withColumns(said(F.col("o").cast("string")) | {
+            "subject": end(ids("LEI", F.col("l"))), "predicate": F.lit("RELATED_PARTY_TO"), "object": end(None, "GOVERNMENT_ENTITY", F.concat(F.lit("Office "), F.col("o_custkey") % 25))}),
+        "events": orders.withColumns(said(F.col("o").cast("string")) | {
+            "event_type": F.lit("ORDER"), "event_date": F.when(F.col("o") % 11 != 0, "2024-01-01").otherwise("soon"), "description": F.lit("d"),
+            "participants": F.array(F.struct(end(ids("LEI", F.col("l"))).alias("entity"), F.lit("BUYER").alias("role")))}),
+        "claims": orders.withColumns(said(F.col("o").cast("string")) | {
+            "subject": end(ids("LEI", F.col("l"))), "claim_type": F.lit("FINANCIAL_FACT"), "statement": F.when(F.col("o") % 13 != 0, F.col("o_orderstatus")).otherwise(" "),
+            "attributes": F.create_map(F.lit("fact"), fact)}),
+    }
+
+
+_IDENTIFIER = "struct<scheme:string,value:string,jurisdiction:string,source_document_id:string,valid_from:string,valid_to:string,attributes:map<string,string>>"
+
+
+def _shown_batch(t: dict[str, DataFrame]) -> DataFrame:
+    """(section, id, detail) of the tables of a batch."""
+    rejected = F.concat_ws(":", "candidate_type", "seq", F.array_join("reasons", ";"))
+    checked = F.concat_ws(":", "candidate_type", "candidate_key", F.col("run_id"))
+    columns = {
+        "entities": ("entity_id", F.col("canonical_name")), "identifiers": ("id", F.col("entity_id")), "relationships": ("id", F.try_element_at("attributes", F.lit("sourceAgent"))), "events": ("id", F.col("event_date")),
+        "claims": ("id", F.col("evidence_assertion_id")), "facts": ("id", F.col("entity_id")), "evidence": ("id", F.col("subject_type")), "cases": ("id", F.col("existing_entity_id")),
+        "resolutions": ("id", F.col("status")), "run_relationships": ("id", F.col("run_id")), "run_events": ("id", F.col("run_id")), "run_claims": ("id", F.col("run_id"))}
+    parts = [t[k].select(F.lit(k).alias("section"), F.col(i).alias("id"), d.alias("detail")) for k, (i, d) in columns.items()]
+    parts.append(t["rejections"].select(F.lit("rejections").alias("section"), rejected.alias("id"), F.col("run_id").alias("detail")))
+    parts.append(t["validations"].select(F.lit("validations").alias("section"), checked.alias("id"), F.col("is_valid").cast("string").alias("detail")))
+    parts.append(t["run_sources"].groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit("run_sources").alias("section"), F.col("run_id").alias("id"), F.col("n").cast("string").alias("detail")))
+    return I.union(parts)
+
+
+_ENT = sid("entity", "'LEI:L' || c")
+_SRC = sid("source", "'SEC:acc' || o || ':' || sha256(o::varchar)")
+_OFFICE = sid("entity-unresolved", "'r' || (o % 3) || ':agent:GOVERNMENT_ENTITY:Office ' || (c % 25)")
+_B_REL = sid("relationship", f"{_ENT} || ':RELATED_PARTY_TO:' || {_OFFICE} || ':' || {_SRC} || '::rec' || o")
+_B_EVENT = sid("event", f"{_SRC} || ':rec' || o")
+_B_CLAIM = sid("claim", f"{_ENT} || ':FINANCIAL_FACT:' || {_SRC} || ':rec' || o")
+_PROVEN = lambda kind, key: sid("evidence", f"'{kind}:' || {key} || ':' || {_SRC} || ':order ' || o")
+_TICKER = sid("identifier", "'TICKER:T' || t || ':'")
+_WHOLE_BATCH = f"""with a as (select o_orderkey as o, o_custkey as c, 'r' || (o_orderkey % 3) as run, o_orderkey % 50 = 0 as bad, o_custkey % 7 = 0 as lost, o_orderkey % 11 = 0 as undated, o_orderkey % 13 = 0 as mute, cast(floor(o_totalprice) as bigint) as total from {{orders}}),
+    a2 as (select * from a where not bad and not lost), ev as (select * from a2 where not undated), cl as (select * from a2 where not mute),
+    s as (select s_suppkey as c, 'r' || (s_suppkey % 3) as run, s_suppkey % 20 as t, s_suppkey % 7 = 0 or s_suppkey not in (select c_custkey from {{customer}}) as lost, s_suppkey as seq, 1 as o from {{supplier}}),
+    own as (select t, min(seq) as first, arg_min(c, seq) as owner from s where not lost group by t), sx as (select s.*, first, owner from s left join own using (t)),
+    why as (select *, list_filter([case when lost then 'subject could not be resolved' end, case when bad then 'source document could not be resolved' end], lambda x: x is not null) as rel,
+        list_filter([case when bad then 'source document could not be resolved' end, case when lost then 'one or more participants could not be resolved' end], lambda x: x is not null) as evt from a)
+    select 'entities' as section, {_ENT} as id, name as detail from (select c_custkey as c, c_name as name from {{customer}} where c_custkey % 7 <> 0)
+    union all select distinct 'entities', {_OFFICE}, 'Office ' || (c % 25) from a
+    union all select 'identifiers', {sid('identifier', "'LEI:L' || c || ':'")}, {_ENT} from (select c_custkey as c from {{customer}} where c_custkey % 7 <> 0)
+    union all select 'identifiers', {_TICKER}, {_ENT} from (select t, owner as c from own)
+    union all select 'relationships', {_B_REL}, 'agent' from a2 union all select 'events', {_B_EVENT}, '2024-01-01' from ev union all select 'claims', {_B_CLAIM}, {_PROVEN("CLAIM", _B_CLAIM)} from cl
+    union all select distinct 'facts', {sid('fact', f"{_ENT} || '::Total:USD::' || cast(total::double as varchar) || ':' || {_SRC}")}, {_ENT} from cl
+    union all select 'evidence', {_PROVEN("RELATIONSHIP", _B_REL)}, 'RELATIONSHIP' from a2 union all select 'evidence', {_PROVEN("EVENT", _B_EVENT)}, 'EVENT' from ev union all select 'evidence', {_PROVEN("CLAIM", _B_CLAIM)}, 'CLAIM' from cl
+    union all select distinct 'evidence', {_PROVEN("IDENTIFIER", _TICKER)}, 'IDENTIFIER' from sx where not lost and owner = c
+    union all select distinct 'cases', {sid('resolution-case', f"'SEC:agent:TICKER:T' || t || ':' || {sid('entity', "'LEI:L' || owner")}")}, {sid('entity', "'LEI:L' || owner")} from sx where not lost and owner <> c
+    union all select distinct 'resolutions', {sid('resolution', f"run || ':k' || c || ':' || {_ENT} || ':CREATED'")}, 'CREATED' from (select c_custkey as c, 'r' || (c_custkey % 3) as run from {{customer}} where c_custkey % 7 <> 0)
+    union all select 'resolutions', {sid('resolution', "run || ':k' || c || '::REJECTED'")}, 'REJECTED' from (select c_custkey as c, 'r' || (c_custkey % 3) as run from {{customer}} where c_custkey % 7 = 0)
+    union all select distinct 'resolutions', {sid('resolution', f"'r' || (o % 3) || ':agent:GOVERNMENT_ENTITY:Office ' || (c % 25) || ':' || {_OFFICE} || ':CREATED'")}, 'CREATED' from a
+    union all select distinct 'resolutions', {sid('resolution', f"run || ':agent:TICKER:T' || t || ':' || {sid('entity', "'LEI:L' || owner")} || ':' || case when owner <> c then 'REVIEW_REQUIRED' when first < seq then 'RESOLVED' else 'CREATED' end")}, case when owner <> c then 'REVIEW_REQUIRED' when first < seq then 'RESOLVED' else 'CREATED' end from sx where not lost
+    union all select 'run_relationships', {_B_REL}, run from a2 union all select 'run_events', {_B_EVENT}, run from ev union all select 'run_claims', {_B_CLAIM}, run from cl
+    union all select 'rejections', 'SOURCE:' || o || ':SHA-256 must be a 64-character hex digest', run from a where bad
+    union all select 'rejections', 'ENTITY:' || c_custkey || ':canonical name is required when no authoritative identifier resolves', 'r' || (c_custkey % 3) from {{customer}} where c_custkey % 7 = 0
+    union all select 'rejections', 'IDENTIFIER:' || seq || ':entity could not be resolved', run from s where lost
+    union all select 'rejections', 'RELATIONSHIP:' || o || ':' || array_to_string(rel, ';'), run from why where len(rel) > 0
+    union all select 'rejections', 'EVENT:' || o || ':' || array_to_string(evt, ';'), run from why where len(evt) > 0 union all select 'rejections', 'EVENT:' || o || ':invalid event date', run from a2 where undated
+    union all select 'rejections', 'CLAIM:' || o || ':statement is required', run from a where mute
+    union all select 'rejections', 'CLAIM:' || o || ':' || case when bad then 'source document could not be resolved' else 'claim subject could not be resolved' end, run from a where not mute and (bad or lost)
+    union all select 'validations', 'SOURCE:SEC:acc' || o || ':' || run, (not bad)::varchar from a
+    union all select 'validations', 'ENTITY:k' || c_custkey || ':r' || (c_custkey % 3), 'true' from {{customer}} union all select distinct 'validations', 'ENTITY:agent:GOVERNMENT_ENTITY:Office ' || (c % 25) || ':' || run, 'true' from a
+    union all select 'validations', 'IDENTIFIER:agent:TICKER:T' || t || ':' || run, (not arg_max(lost, seq))::varchar from s group by t, run
+    union all select 'validations', 'RELATIONSHIP:rec' || o || ':' || run, (not bad and not lost)::varchar from a union all select 'validations', 'EVENT:rec' || o || ':' || run, (not bad and not lost)::varchar from a
+    union all select 'validations', 'CLAIM:rec' || o || ':' || run, (not mute)::varchar from a
+    union all select 'run_sources', run, count(*)::varchar from (select o, run from a where not bad union select 1, run from sx where not lost and owner = c) group by run"""
+
+
+@query(_WHOLE_BATCH)
+def ingest_batch(spark, sf_dir):
+    from .operators.batch import ingest_batch as ingest
+
+    return _shown_batch(ingest(_batch(spark, sf_dir), as_of="2024-01-01T00:00:00Z"))
+
+
 _LINKS = "select 'r' || (o_orderkey % 20) as run_id, 'O' || (o_orderkey % 900) as id from {orders}"
 
 
@@ -609,8 +753,6 @@ def run_summary(spark, sf_dir):
 
 @query("select 'relationships' as kind, 0::bigint as n union all select 'evidence', 0 union all select 'entities', 0")
 def replay_is_noop(spark, sf_dir):
-    from .sources.staging import stage
-
     def added(first: DataFrame, again: DataFrame, kind: str) -> DataFrame:
         return I.new_records(stage(first.select("id"), "first"), again).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
 
@@ -620,45 +762,80 @@ def replay_is_noop(spark, sf_dir):
     return added(a["relationships"], b["relationships"], "relationships").unionByName(added(I.evidence_rows(a["all"], "RELATIONSHIP"), I.evidence_rows(b["all"], "RELATIONSHIP"), "evidence")).unionByName(added(one, two, "entities"))
 
 
-@query(f"select 'old' as side, count(*) as n from (select distinct o_custkey from {{orders}} where o_orderkey % 2 = 0) union all select 'new', count(*) from (select distinct o_custkey from {{orders}} where o_orderkey % 2 = 1 and o_custkey not in (select o_custkey from {{orders}} where o_orderkey % 2 = 0))")
+_CHANGES = "select o_custkey as id, o_orderkey as seq from {orders}"
+
+
+@query(f"""with o as ({_CHANGES}), old as (select id, min(seq) as seq from o where seq % 2 = 0 group by id)
+    select * from old union all select id, min(seq) from o where seq % 2 = 1 and id not in (select id from old) group by id""")
 def upsert_first(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"))
-    old = S.first_wins(rows.filter("seq % 2 = 0"), "id")
-    both = I.upsert_first(old, S.first_wins(rows.filter("seq % 2 = 1"), "id"))
-    return both.groupBy(F.when(F.col("seq") % 2 == 0, "old").otherwise("new").alias("side")).agg(F.count("*").alias("n"))
+    rows = B.bind(spark, sf_dir, _CHANGES)
+    return I.upsert_first(S.first_wins(rows.filter("seq % 2 = 0"), "id"), rows.filter("seq % 2 = 1"), order="seq")
+
 
+@query(f"""with o as ({_CHANGES}), new as (select id, max(seq) as seq from o where seq % 2 = 1 group by id)
+    select * from new union all select id, min(seq) from o where seq % 2 = 0 and id not in (select id from new) group by id""")
+def upsert_last(spark, sf_dir):
+    rows = B.bind(spark, sf_dir, _CHANGES)
+    return I.upsert_last(S.first_wins(rows.filter("seq % 2 = 0"), "id"), rows.filter("seq % 2 = 1"), order="seq")
 
-@query(f"""with e as ({B.EDGES}), v as ({B.EVENTS}) select subject_type, count(*) as n from (select distinct 'RELATIONSHIP' as subject_type, id, source_document_id from e where extraction_method <> 'TABLE' and id not in (select id from e where extraction_method = 'TABLE') union all select distinct 'EVENT', id, source_document_id from v) group by all""")
+
+_SAID = "select 'Q' || o_orderkey as id, 'O' || o_orderkey as source_document_id, 'status ' || o_orderstatus as statement, cast(null as string) as evidence_assertion_id from {orders}"
+_SAID_ID = sid("evidence", "'CLAIM:' || c.id || ':' || source_document_id || ':' || statement")
+
+
+@query(f"""with e as ({B.EDGES}), v as ({B.EVENTS}), c as ({_SAID}) select subject_type, named, count(*) as n from (
+        select distinct 'RELATIONSHIP' as subject_type, '' as named, id, source_document_id from e where extraction_method <> 'TABLE' and id not in (select id from e where extraction_method = 'TABLE')
+        union all select distinct 'EVENT', '', id, source_document_id from v
+        union all select 'CLAIM', substr({_SAID_ID}, 1, 1), c.id, source_document_id from c where o_key(c.id) % 3 <> 0) group by all""".replace("o_key(c.id)", "cast(substr(c.id, 2) as bigint)"))
 def backfill_evidence(spark, sf_dir):
-    null = F.lit(None).cast("string")
     more = {"evidence_class": F.lit("DERIVED"), "assertion_type": F.lit("REPORTED"), "evidence": F.lit("text"), "confidence": F.lit(1.0), "seq": F.lit(0).cast("long")}
     edges = B.bind(spark, sf_dir, B.EDGES).withColumns(more)
     events = B.bind(spark, sf_dir, B.EVENTS).withColumns(more | {"extraction_method": F.lit("TABLE")})
-    have = I.evidence_rows(edges.filter("extraction_method = 'TABLE'"), "RELATIONSHIP")
-    claims = edges.limit(0).withColumn("statement", null)
-    return I.backfill_evidence(have, edges, events, claims.drop("evidence_class"), B.bind(spark, sf_dir, B.SOURCES)).groupBy("subject_type").agg(F.count("*").alias("n"))
+    claims = B.bind(spark, sf_dir, _SAID).withColumns({k: more[k] for k in ("assertion_type", "confidence", "seq")})
+    third = claims.filter(F.substring("id", 2, 20).cast("long") % 3 == 0).withColumns({"evidence": F.col("statement"), "evidence_class": F.lit("DERIVED"), "extraction_method": F.lit("TABLE")})
+    have = I.evidence_rows(edges.filter("extraction_method = 'TABLE'"), "RELATIONSHIP").unionByName(I.evidence_rows(third, "CLAIM"))
+    added, named = I.backfill_evidence(have, edges, events, claims, B.bind(spark, sf_dir, B.SOURCES))
+    rows = added.filter("subject_type != 'CLAIM'").select("subject_type", F.lit("").alias("named"))
+    told = named.filter("evidence_assertion_id is not null").select(F.lit("CLAIM").alias("subject_type"), F.substring("evidence_assertion_id", 1, 1).alias("named"))
+    return rows.unionByName(told).groupBy("subject_type", "named").agg(F.count("*").alias("n"))
 
 
 _MARKED = f"select id, subject_entity_id, case when id like 'I%' then 'HOLDS_SECURITY' else predicate end as predicate, object_entity_id, source_document_id from ({B.EDGES})"
 
 
-@query(f"select predicate, count(*) as n from ({_MARKED}) where not (id like 'I%1') group by predicate")
+@query(f"""with left_ as (select * from ({_MARKED}) where not (id like 'I%1')) select 'edge ' || predicate as kind, count(*) as n from left_ group by 1
+    union all select 'evidence', count(*) from left_ union all select 'links', count(*) from left_""")
 def purge_superseded_holdings(spark, sf_dir):
-    rows = B.bind(spark, sf_dir, _MARKED).withColumn("attributes", F.when(F.col("id").endswith("1"), F.create_map(F.lit("securityEntityId"), F.lit("x"))).otherwise(F.create_map().cast("map<string,string>")))
-    return I.purge_superseded_holdings(rows, B.bind(spark, sf_dir, B.NODES)).groupBy("predicate").agg(F.count("*").alias("n"))
+    deep = F.create_map(F.lit("detail"), F.lit('{"securityEntityId":"x"}'))
+    mark = F.when(F.substring(F.reverse("id"), 2, 1) == "1", deep).otherwise(F.create_map(F.lit("securityEntityId"), F.lit("x")))
+    rows = B.bind(spark, sf_dir, _MARKED).withColumn("attributes", F.when(F.col("id").endswith("1"), mark).otherwise(F.create_map().cast("map<string,string>")))
+    proof = rows.select(F.lit("RELATIONSHIP").alias("subject_type"), F.col("id").alias("subject_id"))
+    t = I.purge_superseded_holdings(rows, B.bind(spark, sf_dir, B.NODES), proof, rows.select(F.lit("r").alias("run_id"), "id"))
+    kinds = t["relationships"].select(F.concat(F.lit("edge "), "predicate").alias("kind"))
+    return I.union([kinds, t["evidence"].select(F.lit("evidence").alias("kind")), t["run_relationships"].select(F.lit("links").alias("kind"))]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 _FILED = "select 'B' || s_suppkey as id, 'S' || s_suppkey as subject_entity_id, case when s_suppkey % 3 = 0 then 'OTHER' else 'BENEFICIAL_OWNER_OF' end as predicate, 'N' || s_nationkey as object_entity_id, 'O' || (s_suppkey % 10) as source_document_id from {supplier}"
 
 
-@query(f"""with bad as (select id, subject_entity_id from ({_FILED}) where predicate = 'BENEFICIAL_OWNER_OF' and cast(substr(source_document_id, 2) as int) % 4 = 0 and source_document_id <> 'O0' and cast(substr(subject_entity_id, 2) as int) % 5 <> 0)
-    select 'edges' as kind, count(*) as n from ({_FILED}) where id not in (select id from bad) union all select 'entities', count(*) from ({B.NODES}) where id not in (select subject_entity_id from bad)""")
+_OWNER_ROWS = f"""bad as (select id, subject_entity_id as s from ({_FILED}) where predicate = 'BENEFICIAL_OWNER_OF' and cast(substr(source_document_id, 2) as int) % 4 = 0
+        and source_document_id <> 'O0' and cast(substr(subject_entity_id, 2) as int) % 5 <> 0),
+    kept as (select s_suppkey from {{supplier}} where 'S' || s_suppkey not in (select s from bad) or s_suppkey % 11 = 0 or s_suppkey % 13 = 0)"""
+
+
+@query(f"""with {_OWNER_ROWS} select 'edges' as kind, count(*) as n from ({_FILED}) where id not in (select id from bad)
+    union all select 'evidence', count(*) from ({_FILED}) where id not in (select id from bad) union all select 'links', count(*) from ({_FILED}) where id not in (select id from bad)
+    union all select 'entities', (select count(*) from kept) + (select count(*) from ({B.NODES}) where id not like 'S%')
+    union all select 'resolutions', count(*) from {{supplier}} where 'S' || s_suppkey not in (select s from bad)""")
 def purge_name_only_owners(spark, sf_dir):
     nodes, edges = B.bind(spark, sf_dir, B.NODES), B.bind(spark, sf_dir, _FILED)
-    ids = read(spark, sf_dir, "supplier").filter("s_suppkey % 5 = 0").select(F.concat(F.lit("S"), "s_suppkey").alias("entity_id"))
-    none = nodes.limit(0)
-    left, kept = I.purge_name_only_owners(edges, nodes, ids, B.bind(spark, sf_dir, B.SOURCES), none.select(F.col("id").alias("entity_id")), none.select(F.col("id").alias("subject_entity_id")))
-    return left.agg(F.count("*").alias("n")).select(F.lit("edges").alias("kind"), "n").unionByName(kept.agg(F.count("*").alias("n")).select(F.lit("entities").alias("kind"), "n"))
+    firms = read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("S"), "s_suppkey").alias("entity_id"))
+    t = I.purge_name_only_owners({
+        "relationships": edges, "entities": nodes, "identifiers": firms.filter("s_suppkey % 5 = 0"), "sources": B.bind(spark, sf_dir, B.SOURCES), "participants": firms.filter("s_suppkey % 11 = 0"),
+        "claims": firms.filter("s_suppkey % 13 = 0").withColumnRenamed("entity_id", "subject_entity_id"), "run_relationships": edges.select("id"),
+        "evidence": edges.select(F.lit("RELATIONSHIP").alias("subject_type"), F.col("id").alias("subject_id")), "resolutions": firms.withColumnRenamed("entity_id", "proposed_entity_id")})
+    shown = {"edges": t["relationships"], "evidence": t["evidence"], "links": t["run_relationships"], "entities": t["entities"], "resolutions": t["resolutions"].filter("proposed_entity_id is not null")}
+    return I.union([df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in shown.items()])
 
 
 # Graph --------------------------------------------------------------------------------------------------------------
@@ -671,21 +848,26 @@ def merge_graphs(spark, sf_dir):
     return G.merge_graphs([rows.withColumn("mark", F.lit("early")), early, late]).select("id", "mark")
 
 
-_WALK = f"(select subject_entity_id as src, object_entity_id as dst, id from ({B.SMALL_EDGES}) union all select object_entity_id, subject_entity_id, id from ({B.SMALL_EDGES}) where subject_entity_id <> object_entity_id)"
-_REACH = f"""with recursive n as materialized (select id from ({B.SMALL_NODES})), w as materialized (select * from {_WALK} where dst in (select id from n)),
-    r as (select id as root, id, 0 as distance from n union select root, dst, distance + 1 from r join w on src = r.id where distance < {{depth}}), d as (select root, id, min(distance)::int as distance from r group by all)"""
+_WALK = f"(select subject_entity_id as src, object_entity_id as dst, id from ({B.EDGES}) union all select object_entity_id, subject_entity_id, id from ({B.EDGES}) where subject_entity_id <> object_entity_id)"
+_REACH = f"""with recursive w as materialized (select distinct src, dst from {_WALK}),
+    r as (select 'N' || n_nationkey as root, 'N' || n_nationkey as id, 0 as distance from {{nation}} union select root, dst, distance + 1 from r join w on src = r.id where distance < DEPTH),
+    d as (select root, id, min(distance)::int as distance from r group by all)"""
+
+
+def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All nodes, all edges, and the nations as roots."""
+    nodes, edges = B.bind(spark, sf_dir, B.NODES), B.bind(spark, sf_dir, B.EDGES)
+    return nodes, edges, nodes.filter("entity_type = 'GOVERNMENT_ENTITY'").select(F.col("id").alias("root"))
 
 
-@query(_REACH.replace("{depth}", "3") + " select root, id, distance from d")
+@query(_REACH.replace("DEPTH", "4") + " select root, id, distance from d")
 def traverse(spark, sf_dir):
-    nodes, edges = B.bind(spark, sf_dir, B.SMALL_NODES), B.bind(spark, sf_dir, B.SMALL_EDGES)
-    return G.traverse(nodes, edges, nodes.select(F.col("id").alias("root")), 3)[0]
+    return G.traverse(*_graph(spark, sf_dir), 4)[0]
 
 
-@query(_REACH.replace("{depth}", "2") + " select distinct root, w.id as edge_id from d join w on w.src = d.id where distance < 2")
+@query(_REACH.replace("DEPTH", "2") + f" select distinct root, w.id as edge_id from d join {_WALK} w on w.src = d.id where distance < 2")
 def traverse_edges(spark, sf_dir):
-    nodes, edges = B.bind(spark, sf_dir, B.SMALL_NODES), B.bind(spark, sf_dir, B.SMALL_EDGES)
-    return G.traverse(nodes, edges, nodes.select(F.col("id").alias("root")), 2)[1]
+    return G.traverse(*_graph(spark, sf_dir), 2)[1]
 
 
 _BIG = f"(select subject_entity_id as src, object_entity_id as dst from ({B.EDGES}) union all select object_entity_id, subject_entity_id from ({B.EDGES}))"
@@ -697,43 +879,47 @@ def neighbors(spark, sf_dir):
     return G.neighbors(nodes, edges, nodes.filter("entity_type = 'COMPANY'").select(F.col("id").alias("root")))[0]
 
 
-_HOPS = f"""with recursive n as materialized (select id from ({B.SMALL_NODES})), k as (select id, row_number() over (order by observed_at desc nulls last, id) as rank from ({B.SMALL_EDGES})),
-    w as materialized (select src, dst, id, rank from {_WALK} join k using (id) where dst in (select id from n)), q as (select 'N' || n_nationkey as source, 'S' || (n_nationkey * 3 % c) as target from {{nation}} cross join (select count(*) as c from {{supplier}})),
-    p as (select source, target, source as here, 0 as depth, []::bigint[] as ranks, []::varchar[] as ids from q union all select source, target, dst, depth + 1, list_append(ranks, rank), list_append(ids, w.id) from p join w on src = here where depth < 4 and here <> target),
-    b as (select source, target, arg_min(ids, ranks) as ids, min(ranks) as ranks from (select * from p where here = target qualify depth = min(depth) over (partition by source, target)) group by all)"""
+#: A hundred pairs: each nation and four customers.
+_PAIRS = "select 'N' || n_nationkey as source, 'C' || ((n_nationkey * 3 + k * 37) % c + 1) as target from {nation} cross join (select count(*) as c from {customer}) x cross join (select r_regionkey as k from {region} where r_regionkey < 4) y"
 
 
-@query(_HOPS + " select source, target, case when ids is null then null else len(ids) end::int as depth, array_to_string(ids, ',') as edges from q left join b using (source, target)")
-def find_path(spark, sf_dir):
-    nodes, edges = B.bind(spark, sf_dir, B.SMALL_NODES), B.bind(spark, sf_dir, B.SMALL_EDGES)
-    pairs = B.bind(spark, sf_dir, "select 'N' || n_nationkey as source, 'S' || (n_nationkey * 3 % c) as target from {nation} cross join (select count(*) as c from {supplier}) x")
-    hops = G.find_path(nodes, edges, pairs)
-    return hops.groupBy("source", "target", "depth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("edge_id").isNotNull(), F.struct("hop", "edge_id")))), lambda x: x["edge_id"]), ",").alias("edges")).withColumn("edges", F.when(F.col("depth").isNotNull(), F.col("edges")))
+def _level(k: int) -> str:
+    before = " union all ".join(f"select source, here from l{n}" for n in range(k))
+    return f"""l{k} as materialized (select source, dst as here, min(list_append(ranks, rank)) as ranks, arg_min(list_append(ids, w.id), list_append(ranks, rank)) as ids from l{k - 1} join w on src = here
+        where (source, dst) not in ({before}) group by source, dst)"""
 
 
-# The same on the whole graph, from every nation (25 roots) and from nations to one customer each. The recursive SQL is
-# too slow there; the tests compare with plain code.
+_HOPS = f"""with k as (select id, row_number() over (order by observed_at desc nulls last, id) as rank from ({B.EDGES})),
+    w as materialized (select src, dst, min(rank) as rank, arg_min(id, rank) as id from {_WALK} join k using (id) group by src, dst), q as materialized (select distinct * from ({_PAIRS})),
+    l0 as materialized (select distinct source, source as here, []::bigint[] as ranks, []::varchar[] as ids from q), {", ".join(_level(n) for n in (1, 2, 3, 4))},
+    b as materialized (select * from l0 union all select * from l1 union all select * from l2 union all select * from l3 union all select * from l4)"""
 
-def _whole(spark, sf_dir):
-    nodes, edges = B.bind(spark, sf_dir, B.NODES), B.bind(spark, sf_dir, B.EDGES)
-    return nodes, edges, nodes.filter("entity_type = 'GOVERNMENT_ENTITY'").select(F.col("id").alias("root"))
 
+def _found(spark, sf_dir) -> DataFrame:
+    nodes, edges, _ = _graph(spark, sf_dir)
+    return G.find_path(nodes, edges, B.bind(spark, sf_dir, _PAIRS))
 
-@query()
+
+@query(_HOPS + " select q.source, target, len(ids)::int as depth, array_to_string(ids, ',') as edges from q left join b on b.source = q.source and b.here = q.target")
+def find_path(spark, sf_dir):
+    step = F.when(F.col("edge_id").isNotNull(), F.struct("hop", "edge_id"))
+    path = F.array_join(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["edge_id"]), ",")
+    return _found(spark, sf_dir).groupBy("source", "target", "depth").agg(path.alias("edges")).withColumn("edges", F.when(F.col("depth").isNotNull(), F.col("edges")))
+
+
+@query(_REACH.replace("DEPTH", "3") + " select root, id, distance from d")
 def traverse_whole(spark, sf_dir):
-    return G.traverse(*_whole(spark, sf_dir), 3)[0]
+    return G.traverse(*_graph(spark, sf_dir), 3)[0]
 
 
-@query()
+@query(_REACH.replace("DEPTH", "2") + f" select root, count(distinct w.id) as n from d join {_WALK} w on w.src = d.id where distance < 2 group by root")
 def traverse_edges_whole(spark, sf_dir):
-    return G.traverse(*_whole(spark, sf_dir), 2)[1]
+    return G.traverse(*_graph(spark, sf_dir), 2)[1].groupBy("root").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_HOPS + """ select q.source, target, len(ids)::int as depth, case when len(ids) > 0 then h end::int as hop, ids[h + 1] as edge_id from q left join b on b.source = q.source and b.here = q.target, unnest(range(greatest(len(ids), 1))) t(h)""")
 def find_path_whole(spark, sf_dir):
-    nodes, edges, _ = _whole(spark, sf_dir)
-    pairs = B.bind(spark, sf_dir, "select 'N' || n_nationkey as source, 'C' || (n_nationkey * 3 % c + 1) as target from {nation} cross join (select count(*) as c from {customer}) x")
-    return G.find_path(nodes, edges, pairs).select("source", "target", "depth", "hop", "from_id", "to_id", "way", "edge_id")
+    return _found(spark, sf_dir).select("source", "target", "depth", "hop", "edge_id")
 
 
 @query(f"""select entity_id, 'EVENT' as kind, event_date as date, event_id as record_id from (select distinct event_id, entity_id from ({B.PARTICIPANTS})) join ({B.EVENTS}) on id = event_id where event_date >= '1996-01-01'
@@ -742,6 +928,11 @@ def timeline(spark, sf_dir):
     return G.timeline(B.bind(spark, sf_dir, B.EDGES), B.bind(spark, sf_dir, B.EVENTS), B.bind(spark, sf_dir, B.PARTICIPANTS), date_from="1996-01-01")
 
 
+@query(f"""select *, row_number() over (partition by entity_id order by coalesce(date, '') desc, kind, record_id) as rank from ({ORACLE_SQL['timeline']})""")
+def ranked_timeline(spark, sf_dir):
+    return G.ranked_timeline(timeline(spark, sf_dir))
+
+
 _CAREER = ", ".join(f"'{p}'" for p in CAREER_PREDICATES)
 
 
@@ -815,7 +1006,7 @@ def pack_identity(spark, sf_dir):
 
 # Sources, sinks and extraction --------------------------------------------------------------------------------------
 
-@query("select 'r' || (o_custkey % 3) as run_id, o_custkey * 1000000 + row_number() over (partition by o_custkey order by o_orderkey) - 1 as seq, o_orderkey as external_id from {orders}")
+@query("select 'r' || (o_custkey % 3) as run_id, row_number() over (order by o_custkey, o_orderkey) - 1 as seq, o_orderkey as external_id from {orders}")
 def read_candidates(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("external_id")))).alias("sources"))
     batches = orders.select(F.concat(F.lit("r"), F.col("o_custkey") % 3).alias("run_id"), F.col("o_custkey").alias("batch_seq"), "sources")
@@ -844,18 +1035,80 @@ def export_events(spark, sf_dir):
     return T.export_canonical_graph(_tables(spark, sf_dir), include_fixtures=True)["events"].select("id", "participants")
 
 
-@query(f"with n as (select subject_entity_id as id from ({B.EDGES}) where object_entity_id = 'S1' union select 'S1' union select p.entity_id from ({B.PARTICIPANTS}) p where event_id in (select event_id from ({B.PARTICIPANTS}) where entity_id = 'S1')) select id, canonical_name from n join ({B.NODES}) using (id)")
+def _rooted(spark, sf_dir, run: str | None) -> DataFrame:
+    """(section, id, detail) of every section of what touches the first supplier."""
+    t = _tables(spark, sf_dir)
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("O"), "o_orderkey").alias("o"))
+    third = orders.filter("o_orderkey % 3 = 0")
+    t |= {
+        "facts": B.bind(spark, sf_dir, "select 'A' || s_suppkey || '-' || o_orderkey as id, 'S' || s_suppkey as entity_id, 'O' || o_orderkey as source_document_id from {supplier} join {orders} on o_orderkey % 97 = s_suppkey % 97"),
+        "rejections": orders.select(F.concat(F.lit("J"), "o").alias("id"), F.concat(F.lit("r"), F.col("o_orderkey") % 5).alias("run_id")),
+        "run_sources": third.select(F.lit("r1").alias("run_id"), F.col("o").alias("id")), "run_events": third.select(F.lit("r1").alias("run_id"), F.concat(F.lit("E"), "o_orderkey").alias("id")),
+        "run_relationships": t["relationships"].filter("id like 'F%' or id like 'I1-%'").select(F.lit("r1").alias("run_id"), "id")}
+    found = T.export_entity_graph(t, "S1", run)
+    detail = {"nodes": "identifiers", "edges": "object_name", "events": "participants", "facts": "entity_id", "sources": "title", "rejections": "run_id"}
+    rows = [found[k].select(F.lit(k).alias("section"), "id", F.col(c).alias("detail")) for k, c in detail.items()]
+    plain = found["stats"].filter("value = ''").select(F.lit("stats").alias("section"), F.col("statistic").alias("id"), F.col("n").cast("string").alias("detail"))
+    return I.union([*rows, plain.filter("id in ('entities', 'relationships', 'events', 'facts', 'rejected')")])
+
+
+def _rooted_sql(run: bool) -> str:
+    edges = "id like 'F%' or id like 'I1-%'" if run else "subject_entity_id = 'S1' or object_entity_id = 'S1'"
+    mine = " and cast(substr({}, 2) as bigint) % 3 = 0" if run else ""
+    return f"""with people as ({B.PARTICIPANTS}), src as ({B.SOURCES}), nodes as ({B.NODES}),
+        e as (select e.id, subject_entity_id, object_entity_id, b.canonical_name as name from (select * from ({B.EDGES}) where {edges}) e join src on src.id = source_document_id join nodes a on a.id = subject_entity_id join nodes b on b.id = object_entity_id),
+        v as (select id from ({B.EVENTS}) where id in (select event_id from people where entity_id = 'S1'){mine.format("id")}),
+        n as (select subject_entity_id as id from e union select object_entity_id from e union select entity_id from people where event_id in (select id from v) union select 'S1'),
+        f as (select 'A' || s_suppkey || '-' || o_orderkey as id from {{supplier}} join {{orders}} on o_orderkey % 97 = s_suppkey % 97 where s_suppkey = 1{mine.format("'O' || o_orderkey")}),
+        j as (select 'JO' || o_orderkey as id, 'r' || (o_orderkey % 5) as run_id from {{orders}}{" where o_orderkey % 5 = 1" if run else ""})
+        select 'nodes' as section, id, 'INTERNAL:' || id as detail from n join nodes using (id) union all select 'edges', id, name from e
+        union all select 'events', v.id, string_agg(p, '|' order by p) from v join (select distinct event_id, entity_id || ':' || role as p from people) x on x.event_id = v.id group by v.id
+        union all select 'facts', id, 'S1' from f union all select 'sources', id, title from src where true{mine.format("id")} union all select 'rejections', id, run_id from j
+        union all select 'stats', 'entities', (select count(*) from n join nodes using (id))::varchar union all select 'stats', 'relationships', (select count(*) from e)::varchar
+        union all select 'stats', 'events', (select count(*) from v)::varchar union all select 'stats', 'facts', (select count(*) from f)::varchar union all select 'stats', 'rejected', (select count(*) from j)::varchar"""
+
+
+@query(_rooted_sql(False))
 def export_entity_graph(spark, sf_dir):
-    return T.export_entity_graph(_tables(spark, sf_dir), "S1")["nodes"].select("id", "canonical_name")
-
-
-@query("select c_custkey as id, case when c_custkey % 2 = 0 then 1 else 2 end as version from {customer}")
+    return _rooted(spark, sf_dir, None)
+
+
+@query(_rooted_sql(True))
+def export_entity_graph_of_run(spark, sf_dir):
+    return _rooted(spark, sf_dir, "r1")
+
+
+@query(f"""with s as ({B.SOURCES}), r as (select * from s where provider <> 'TEST_FIXTURE'), n as (select id, canonical_name from ({B.NODES})), e as (select * from ({B.EDGES}) where source_document_id in (select id from r))
+    select 'nodes' as section, 'INTERNAL' as detail, count(*) as n from n union all select 'edges', source_form, count(*) from (select document_type as source_form from e join r on r.id = source_document_id) group by 2
+    union all select 'events', provider, count(*) from ({B.EVENTS}) v join r on r.id = source_document_id group by 2 union all select 'sources', provider, count(*) from r group by 2
+    union all select 'claims', document_type, count(*) from {{orders}} join r on r.id = 'O' || o_orderkey group by 2 union all select 'facts', '', count(*) from {{orders}} join r on r.id = 'O' || o_orderkey
+    union all select 'evidence', 'order ' || (o_orderkey % 10), count(*) from {{orders}} join r on r.id = 'O' || o_orderkey group by 2
+    union all select 'stats', 'relationships', count(*) from e union all select 'stats', 'claims', count(*) from {{orders}} join r on r.id = 'O' || o_orderkey""")
+def export_sections(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    records = read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("O"), "o_orderkey").alias("source_document_id"), F.concat(F.lit("C"), "o_custkey").alias("entity_id"), F.concat(F.lit("C"), "o_custkey").alias("subject_entity_id"),
+        F.concat(F.lit("order "), F.col("o_orderkey") % 10).alias("evidence"))
+    found = T.export_canonical_graph(t | {"claims": records, "facts": records, "evidence": records})
+    what = {"nodes": F.substring("identifiers", 1, 8), "edges": F.col("source_form"), "events": F.col("source_provider"), "sources": F.col("provider"), "claims": F.col("source_type"), "facts": F.lit(""), "evidence": F.col("evidence")}
+    rows = [found[k].groupBy(c.alias("detail")).agg(F.count("*").alias("n")).select(F.lit(k).alias("section"), "detail", "n") for k, c in what.items()]
+    stats = found["stats"].filter("statistic in ('relationships', 'claims')").select(F.lit("stats").alias("section"), F.col("statistic").alias("detail"), "n")
+    return I.union([*rows, stats])
+
+
+@query(f"""with o as ({_CHANGES}), old as (select id, min(seq) as seq from o where seq % 3 = 0 group by id),
+        one as (select * from old union all select id, min(seq) from o where seq % 3 = 1 and id not in (select id from old) group by id)
+    select 'first' as rule, * from one union all select 'last', * from (select id, max(seq) as seq from o where seq % 3 <> 2 group by id)""")
 def write_canonical(spark, sf_dir):
-    from .sources.staging import stage
-
-    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    first = stage(rows.filter("id % 2 = 0").withColumn("version", F.lit(1)), "version")
-    return I.upsert_first(first, rows.withColumn("version", F.lit(2)))
+    rows, folder = B.bind(spark, sf_dir, _CHANGES), new_folder(spark, "canonical")
+    out = []
+    for rule in ("first", "last"):
+        path, last = f"{folder}/{rule}", rule == "last"
+        T.write_canonical(spark, rows.filter("seq % 3 = 0"), path, 1, last=last, order="seq")
+        more = rows.filter("seq % 3 = 1") if not last else rows.filter("seq % 3 != 2")
+        T.write_canonical(spark, more, path, 2, T.read_canonical(spark, path), last=last, order="seq")
+        out.append(T.read_canonical(spark, path).select(F.lit(rule).alias("rule"), "id", "seq"))
+    return I.union(out)
 
 
 
@@ -898,7 +1151,6 @@ def _stream(spark, sf_dir, table: str) -> DataFrame:
 
 @query("select o_custkey as id, min(o_orderkey) as seq, arg_min(o_orderstatus, o_orderkey) as status from {orders} group by o_custkey")
 def stream_ingest(spark, sf_dir):
-    from .sources.staging import new_folder
     from .streaming import streams
 
     folder = new_folder(spark, "ingest")
@@ -909,7 +1161,6 @@ def stream_ingest(spark, sf_dir):
 
 @query(ORACLE_SQL["traversal_trail"])
 def stream_trail(spark, sf_dir):
-    from .sources.staging import new_folder
     from .streaming import streams
 
     folder = new_folder(spark, "trail")

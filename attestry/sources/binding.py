@@ -24,16 +24,6 @@ EDGES = """
     union all select 'I' || p || '-' || s, 'P' || p, 'ISSUED_BY', 'S' || s, null, null, '2000-01-01T00:00:00Z', 'O0', 'TABLE', null from (select distinct l_partkey as p, l_suppkey as s from {lineitem})
     union all select 'F' || s_suppkey, 'N' || s_nationkey, 'FUNDING_AGENCY_OF', 'S' || s_suppkey, '1995-01-01', null, null, 'O1', 'TABLE', null from {supplier}
 """
-#: The small part of the graph: nations, suppliers and a ring of suppliers.
-SMALL_EDGES = """
-    select 'F' || s_suppkey as id, 'N' || s_nationkey as subject_entity_id, 'FUNDING_AGENCY_OF' as predicate, 'S' || s_suppkey as object_entity_id, cast(1990 + s_suppkey % 20 as string) || '-01-01' as valid_from, cast(null as string) as valid_to, '2000-01-' || lpad(cast(1 + s_suppkey % 28 as string), 2, '0') as observed_at, 'O1' as source_document_id from {supplier}
-    union all select 'R' || s_suppkey, 'S' || s_suppkey, 'PARENT_OF', 'S' || ((s_suppkey * 7 + 3) % n), cast(1990 + s_suppkey % 25 as string) || '-06-01', cast(2000 + s_suppkey % 10 as string) || '-06-01', '2001-02-' || lpad(cast(1 + s_suppkey % 28 as string), 2, '0'), 'O2' from {supplier} cross join (select count(*) as n from {supplier}) c
-    union all select 'G' || n_nationkey, 'N' || n_nationkey, 'RELATED_PARTY_TO', 'N' || ((n_nationkey + 1) % 25), null, null, null, 'O3' from {nation}
-"""
-SMALL_NODES = """
-    select 'S' || s_suppkey as id, 'COMPANY' as entity_type, s_name as canonical_name from {supplier} where s_suppkey % 10 <> 9
-    union all select 'N' || n_nationkey, 'GOVERNMENT_ENTITY', n_name from {nation}
-"""
 SOURCES = """
     select 'O' || o_orderkey as id, case when o_orderkey % 50 = 0 then 'TEST_FIXTURE' else 'SEC' end as provider, case when o_orderkey % 4 = 0 then 'SC 13G' else o_orderpriority end as document_type, 'order ' || o_orderkey as title, 'acc' || o_orderkey as accession_number,
         cast(cast(o_orderdate as date) as string) as filed_at, 'OFFICIAL_RECORD' as evidence_class from {orders}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import decode_html, strip_html
+from .staging import in_order, stage
 
 #: Fixed value: rows that begin like this are headers.
 HEADER = "(?i)^(name|subsidiar|jurisdiction|state or country|place of incorporation)"
@@ -31,26 +32,33 @@ def unique_subsidiaries(rows: DataFrame) -> DataFrame:
 def filing_candidates(filings: DataFrame, run_id: str, id_col: str = "doc_id", html_col: str = "html") -> dict[str, DataFrame]:
     """Candidates out of filings: a source and a filer per document, an entity and a SUBSIDIARY_OF edge per subsidiary.
 
-    Identifiers are scoped to the document, since a name alone never merges.
+    Identifiers are scoped to the document, since a name alone never merges. seq follows document and place.
     """
     docs = filings.select(F.col(id_col).alias("doc_id"), F.col(html_col).alias("html"))
-    rows = unique_subsidiaries(parse_subsidiaries(docs))
-    seq = (F.col("doc_id") * 1_000_000).cast("long")
+    rows = stage(unique_subsidiaries(parse_subsidiaries(docs)), "subsidiaries")
+    null = F.lit(None).cast("string")
     common = {"run_id": F.lit(run_id), "source_agent": F.lit("filings")}
 
-    def identifier(value) -> F.Column:
-        return F.array(F.struct(F.lit("INTERNAL").alias("scheme"), value.alias("value"), *[F.lit(None).cast("string").alias(n) for n in ("jurisdiction", "source_document_id", "valid_from", "valid_to")], F.lit(None).cast("map<string,string>").alias("attributes")))
+    def identifier(value: Column) -> Column:
+        rest = [null.alias(n) for n in ("jurisdiction", "source_document_id", "valid_from", "valid_to")]
+        return F.array(F.struct(F.lit("INTERNAL").alias("scheme"), value.alias("value"), *rest, F.lit(None).cast("map<string,string>").alias("attributes")))
 
-    def ref(value) -> F.Column:
-        null = F.lit(None).cast("string")
+    def ref(value: Column) -> Column:
         return F.struct(null.alias("entity_id"), null.alias("candidate_key"), identifier(value).alias("identifiers"), null.alias("canonical_name"), null.alias("entity_type"))
 
     filer, own = F.concat(F.lit("filing:"), "doc_id"), F.concat(F.lit("filing:"), "doc_id", F.lit(":"), "pos")
-    source = F.struct(F.lit(None).cast("string").alias("source_document_id"), F.lit("FILINGS").alias("provider"), F.col("doc_id").cast("string").alias("external_id"), F.lit(None).cast("string").alias("sha256"))
+    source = F.struct(null.alias("source_document_id"), F.lit("FILINGS").alias("provider"), F.col("doc_id").cast("string").alias("external_id"), null.alias("sha256"))
     proof = F.struct(F.col("evidence").alias("excerpt"), F.lit("FIRST_PARTY").alias("evidence_class"), F.lit(None).cast("map<string,string>").alias("fields"))
-    sources = docs.withColumns(common | {"seq": seq, "provider": F.lit("FILINGS"), "document_type": F.lit("EXHIBIT"), "external_id": F.col("doc_id").cast("string"), "source_url": filer, "sha256": F.sha2("html", 256), "evidence_class": F.lit("FIRST_PARTY")})
-    filers = docs.select("doc_id").withColumns(common | {"seq": seq, "candidate_key": filer, "entity_type": F.lit("COMPANY"), "canonical_name": filer, "identifiers": identifier(filer)})
-    firms = rows.withColumns(common | {"seq": seq + F.col("pos") + 1, "candidate_key": own, "entity_type": F.lit("COMPANY"), "canonical_name": F.col("name"), "identifiers": identifier(own)})
-    edges = rows.withColumns(common | {"seq": seq + F.col("pos") + 1, "subject": ref(own), "predicate": F.lit("SUBSIDIARY_OF"), "object": ref(filer), "source_document": source, "evidence": proof, "extraction_method": F.lit("TABLE"), "assertion_type": F.lit("REPORTED"), "confidence": F.lit(1.0), "source_record_id": F.col("pos").cast("string")})
-    columns = ["run_id", "source_agent", "seq", "candidate_key", "entity_type", "canonical_name", "identifiers", "jurisdiction"]
-    return {"sources": sources, "entities": filers.withColumn("jurisdiction", F.lit(None).cast("string")).select(columns).unionByName(firms.select(columns)), "relationships": edges}
+    sources = docs.withColumns(common | {
+        "provider": F.lit("FILINGS"), "document_type": F.lit("EXHIBIT"), "external_id": F.col("doc_id").cast("string"), "source_url": filer, "sha256": F.sha2("html", 256),
+        "evidence_class": F.lit("FIRST_PARTY")})
+    firm = common | {"entity_type": F.lit("COMPANY")}
+    filers = docs.select("doc_id", F.lit(-1).alias("pos"), null.alias("jurisdiction")).withColumns(firm | {"candidate_key": filer, "canonical_name": filer, "identifiers": identifier(filer)})
+    firms = rows.withColumns(firm | {"candidate_key": own, "canonical_name": F.col("name"), "identifiers": identifier(own)})
+    edges = rows.withColumns(common | {
+        "subject": ref(own), "predicate": F.lit("SUBSIDIARY_OF"), "object": ref(filer), "source_document": source, "evidence": proof, "extraction_method": F.lit("TABLE"),
+        "assertion_type": F.lit("REPORTED"), "confidence": F.lit(1.0), "source_record_id": F.col("pos").cast("string")})
+    columns = ["doc_id", "pos", "run_id", "source_agent", "candidate_key", "entity_type", "canonical_name", "identifiers", "jurisdiction"]
+    return {
+        "sources": in_order(sources.drop("html"), ["doc_id"], "filings"), "entities": in_order(filers.select(columns).unionByName(firms.select(columns)), ["doc_id", "pos"], "firms"),
+        "relationships": in_order(edges, ["doc_id", "pos"], "subsidiary-edges")}

@@ -6,6 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+#: A table of so many rows at most is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -18,7 +23,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a folder that all executors share and read it back: a short lineage that outlives lost executors."""
-    path = new_folder(df.sparkSession, name)
+    """Write df to a folder that all executors share and read it back: a short lineage that outlives lost executors.
+
+    The folder goes when the driver ends.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """df, staged, and marked for broadcast if its size allows it."""
+    kept = stage(df, name)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
+def in_order(df: DataFrame, by: list, name: str, number: str = "seq") -> DataFrame:
+    """df with each row's number, from 0, in the total order of `by`: one distributed sort, whatever the values are."""
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    kept = stage(dealt, name).withColumn("_part", F.shiftright("_at", 33))
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_least"))  # one row per task
+    bases = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n") - F.col("_least")).alias("_base"))
+    return kept.join(F.broadcast(bases), "_part").withColumn(number, F.col("_at") + F.col("_base")).drop("_part", "_at", "_base")
