@@ -162,8 +162,8 @@ def test_stream_of_batches(spark, tmp_path):
 
     one = F.array(F.struct(*[F.lit(v).alias(k) for k, v in SOURCE.items()], F.lit("agent").alias("source_agent")))
     ent = F.array(F.struct(F.lit("COMPANY").alias("entity_type"), F.col("name").alias("canonical_name"), F.lit("agent").alias("source_agent"), F.col("ids").alias("identifiers")))
-    rows = spark.createDataFrame([(k, f"Firm {k}", ids(("LEI", "same"))) for k in range(3)], "batch_seq long, name string, ids " + schema("entities")["identifiers"].dataType.simpleString())
-    for k in range(3):
+    rows = spark.createDataFrame([(k, f"Firm {k}", ids(("LEI", "same"))) for k in range(2)], "batch_seq long, name string, ids " + schema("entities")["identifiers"].dataType.simpleString())
+    for k in range(2):
         rows.filter(F.col("batch_seq") == k).select(F.lit("run").alias("run_id"), "batch_seq", one.alias("sources"), ent.alias("entities")).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
     stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in" / "part=0")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
     streams.stream_batches(stream, str(tmp_path / "out"), str(tmp_path / "check"), AS_OF).awaitTermination()
