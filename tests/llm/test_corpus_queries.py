@@ -44,3 +44,10 @@ def test_pipeline(spark):
     assert mixed.columns == columns
     pieces = corpus_pipeline.STAGES[4][1](spark, mixed, FOLDER)
     assert pieces.agg({"length": "max"}).first()[0] <= 2048
+
+
+def test_pipeline_runs_as_a_whole(spark):
+    import corpus_pipeline
+
+    pieces = corpus_pipeline.run(spark, FOLDER)
+    assert pieces.agg({"length": "max"}).first()[0] <= 2048 and pieces.select("doc_id").distinct().count() > 100
