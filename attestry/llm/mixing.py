@@ -39,6 +39,8 @@ DOMAINS = ("clean", "junk", "toxic")
 WEIGHTS = (0.97, 0.02, 0.01)
 #: Steps after which shares count as out of reach, halvings of a step, and how near to a target a total must come, as a part of it.
 STEPS, HALVINGS, CLOSE = 40, 12, 1e-4
+#: With epochs: how much a rate's distance from 1 counts beside the distance from the targets.
+PULL = 1e-3
 
 
 class Fit(NamedTuple):
@@ -157,8 +159,8 @@ def fit_rates(rows: DataFrame, weights: tuple[float, ...], epochs: float | None
     natural, asked = share, np.array(weights, float) / sum(weights) * share.sum()
     if epochs is not None:
         asked = np.minimum(asked, epochs * natural)
-    # a slight pull of the rates towards 1: it decides among rates that meet the shares, and stops a chase after shares out of reach
-    pull = (1e-9 if epochs is None else 1e-3) * gram
+    # a slight pull of the rates towards 1, which stops a chase after shares out of reach or of a domain that is next to nothing
+    pull = 1e-9 * gram if epochs is None else PULL * (gram + PULL * np.eye(kinds))
     for _ in range(STEPS):
         slope = share - asked + pull @ m
         if np.abs(slope / np.maximum(asked, 1e-12)).max(initial=0) < CLOSE:
