@@ -358,7 +358,7 @@ _REFS = "select o_orderkey as ref_id, 'r' || (o_orderkey % 3) as run_id, o_order
 @query(f"""with r as (select *, coalesce(candidate_key, 'agent:COMPANY:' || name) as k, coalesce(case when entity_id like 'C%' then entity_id end, case when candidate_key is not null and run_id = 'r0' then 'C' || substr(candidate_key, 2) end, case when scheme is not null and cast(substr(value, 2) as bigint) < 1000000 then 'C' || substr(value, 2) end) as found from ({_REFS})),
     s as (select *, first_value(case when scheme is not null then {sid('entity', "scheme || ':' || value")} else {sid('entity-unresolved', "run_id || ':' || k")} end) over (partition by run_id, k order by ref_id) as stub from r where found is null and name is not null),
     m as (select value, min(ref_id) as since from r where found is null and name is not null and scheme is not null group by value)
-    select r.ref_id, coalesce(r.found, case when scheme is not null and since <= r.ref_id then {sid('entity', "scheme || ':' || value")} end, s.stub) as entity_id
+    select r.ref_id, coalesce(r.found, case when r.scheme is not null and since <= r.ref_id then {sid('entity', "r.scheme || ':' || r.value")} end, s.stub) as entity_id
     from r left join s using (ref_id) left join m on m.value = r.value""")
 def resolve_entity_refs(spark, sf_dir):
     customers = read(spark, sf_dir, "customer")
