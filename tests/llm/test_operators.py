@@ -369,8 +369,9 @@ def test_packing(docs, empty):
     import public_tokenizers
 
     exact = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
-    rows = corpus() + [(500, "<|endoftext|> it's  \n  x", None, None, None, None, None, None)]
+    mark = "<|endoftext|>"
+    special = [f"{mark} it's\u00a0 \n  x", f"a {mark} b", f"{mark}{mark}", f"end {mark}", f"a{mark}  b{mark} c <|endof text|>", mark[:-1]]
+    rows = corpus() + [(500 + k, t, None, None, None, None, None, None) for k, t in enumerate(special)]
     ids = defaultdict(list)
     for r in rows:
         ids[r[0]].append(np.array(exact.encode(r[1] or "", add_special_tokens=False).ids + [1], "<u4"))
