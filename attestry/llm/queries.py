@@ -15,6 +15,7 @@ from .secrets import scan_secrets
 from .shared import table
 from .sharding import assign_shards
 from .substrings import remove_repeats
+from .suffixes import remove_repeated_bytes
 from .topk import top_k
 
 
@@ -59,7 +60,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op3_substring_dedup, op4_license_scan, op5_top_k, op6_sharding, op7_packing, op8_mixing, op9_quality, op10_secret_scan)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op3_substring_dedup, op4_license_scan, op5_top_k, op6_sharding, op7_packing, op8_mixing, op9_quality, op10_secret_scan, op13_suffix_dedup)}
 
 _PLACES = " union all ".join(f"select doc_id, k, i, '{label}' as label from w, range(len(ws)) r(i) where " + " and ".join(f"ws[i + {j + 1}] = '{x}'" for j, x in enumerate(phrase.split())) for phrase, label in PHRASES)
 _TEMPLATES = ", ".join(f"('{name}', string_split('{must}', ' '), list_distinct(string_split('{text}', ' ')), {block_words(text)})" for name, must, text in TEMPLATES)
@@ -115,4 +120,17 @@ ORACLE_SQL = {
         g as (select *, first_value(doc_id) over (partition by bare order by length(txt) desc, doc_id) as keep_id, count(*) over (partition by bare) as group_size from t)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(bare) as text_sha256 from g
     """,
+    "op13_suffix_dedup": """
+        with t as (select row_number() over () as k, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        cut as materialized (select k, 256 * j as base, substr(h, 512 * j + 1, 910) as s from t, range(0, greatest(length(h) // 2 - 199, 0) // 256 + 1) r(j)),
+        w as (select k, base + i as i, md5(substr(s, 2 * i + 1, 400)) as m from cut, range(0, 256) r(i) where length(s) >= 2 * i + 400),
+        rep as (select k, i from (select k, i, count(*) over (partition by m) as n from w) where n > 1),
+        apart as (select k, i, case when i - lag(i) over (partition by k order by i) <= 200 then 0 else 1 end as new from rep),
+        islands as (select k, i, sum(new) over (partition by k order by i) as g from apart),
+        runs as (select k, g, min(i) as a, max(i) + 200 as b from islands group by k, g),
+        gaps as (select k, a, b, lag(b, 1, 0) over (partition by k order by a) as since from runs),
+        kept as (select k, count(*) as n, sum(b - a) as gone, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as left_hex from gaps join t using (k) group by k)
+        select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(n, 0)::bigint as n_spans, sha256(unhex(coalesce(left_hex, h))) as kept_sha256
+        from t left join kept using (k)
+    """,
 }
