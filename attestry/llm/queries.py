@@ -10,6 +10,7 @@ from .licenses import PHRASES, TEMPLATES, block_words, scan_licenses
 from .mixing import DOMAINS, mix
 from .ngram_join import near_duplicates
 from .packing import pack
+from .prefix_trie import conversation_trie
 from .quality import classify_quality
 from .secrets import scan_secrets
 from .shared import table
@@ -60,11 +61,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op3_substring_dedup, op4_license_scan, op5_top_k, op6_sharding, op7_packing, op8_mixing, op9_quality, op10_secret_scan, op13_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op3_substring_dedup, op4_license_scan, op5_top_k, op6_sharding, op7_packing, op8_mixing, op9_quality, op10_secret_scan, op12_prefix_trie, op13_suffix_dedup)}
 
 _PLACES = " union all ".join(f"select doc_id, k, i, '{label}' as label from w, range(len(ws)) r(i) where " + " and ".join(f"ws[i + {j + 1}] = '{x}'" for j, x in enumerate(phrase.split())) for phrase, label in PHRASES)
 _TEMPLATES = ", ".join(f"('{name}', string_split('{must}', ' '), list_distinct(string_split('{text}', ' ')), {block_words(text)})" for name, must, text in TEMPLATES)
@@ -96,6 +101,21 @@ _SHINGLES = rf"""
     select doc_id, len(gs)::bigint as n_shingles, coalesce(least(doc_id, y), doc_id) as component_id from s left join least_of using (doc_id)
 """
 
+_STEP = "xor(x >> 1, 3988292384 * (x & 1))"
+_TRIE = rf"""
+    with t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as r, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+    crc as (select c, n, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(c::varchar, ''), lambda b: [ascii(b)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda x, b: case when b >= 0 then xor(x, b) else {_STEP} end), 4294967295) % 4 as h from (select c, count(*) as n from t group by c)),
+    mixed as (select crc.c, 0 as own, r, role, text from crc join t on t.c = crc.c - crc.c % 20 and r <= h union all select crc.c, 1, r, role, text from crc join t on t.c = crc.c and r > h),
+    deep as (select c, row_number() over (partition by c order by own, r) as d, role, text from mixed),
+    paths as materialized (select c, d, md5(string_agg(md5(role) || md5(text), '') over (partition by c order by d)) as p, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as w from deep union all select c, 0, '', 0 from crc),
+    known as materialized (select *, lag(p) over (partition by c order by d) as q, d = max(d) over (partition by c) as is_last from paths),
+    nodes as materialized (select p, any_value(d) as depth, any_value(q) as q, any_value(w) as w, count(*) as n, min(c) as c, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (is_last), '')) as ends from known group by p),
+    kids as (select q as p, count(*) as k from nodes where q is not null group by q),
+    sums as (select known.p, count(*) filter (k is null) as leaves, sum((n - 1) * nodes.w) as saved from nodes left join kids using (p) join known on known.c = nodes.c and known.d <= nodes.depth group by known.p)
+    select x.c as conv_id, x.depth::bigint as depth, y.c as parent_conv_id, x.n::bigint as n_convs, coalesce(k, 0)::bigint as n_children, leaves::bigint as n_leaves, saved::bigint as saved_tokens, x.ends as ends_sha256
+    from nodes x join sums using (p) left join kids using (p) left join nodes y on x.q = y.p
+"""
+
 ORACLE_SQL = {
     "op1_ngram_join": _SHINGLES,
     "op3_substring_dedup": r"""
@@ -120,6 +140,7 @@ ORACLE_SQL = {
         g as (select *, first_value(doc_id) over (partition by bare order by length(txt) desc, doc_id) as keep_id, count(*) over (partition by bare) as group_size from t)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(bare) as text_sha256 from g
     """,
+    "op12_prefix_trie": _TRIE,
     "op13_suffix_dedup": """
         with t as (select row_number() over () as k, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
         cut as materialized (select k, 256 * j as base, substr(h, 512 * j + 1, 910) as s from t, range(0, greatest(length(h) // 2 - 199, 0) // 256 + 1) r(j)),
