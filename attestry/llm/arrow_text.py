@@ -65,12 +65,12 @@ class Words:
         return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.start[keep].tolist(), self.end[keep].tolist()))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """data: bytes of all texts; text k is data[offsets[k]:offsets[k + 1]]."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, separators: np.ndarray = IS_SPACE) -> Words:
+    """data: bytes of all texts; text k is data[offsets[k]:offsets[k + 1]]. separators: of each byte value whether it ends a word."""
     if lower:
         data = LOWER[data]
     n = len(data)
-    inside = ~IS_SPACE[data]
+    inside = ~separators[data]
     edge = np.zeros(n + 1, bool)  # a text begins here
     edge[offsets] = True
     before = np.empty(n, bool)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .exact_dedup import exact_dedup
 from .licenses import PHRASES, TEMPLATES, block_words, scan_licenses
 from .mixing import DOMAINS, mix
@@ -61,6 +62,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -69,7 +74,7 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op3_substring_dedup, op4_license_scan, op5_top_k, op6_sharding, op7_packing, op8_mixing, op9_quality, op10_secret_scan, op12_prefix_trie, op13_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op3_substring_dedup, op4_license_scan, op5_top_k, op6_sharding, op7_packing, op8_mixing, op9_quality, op10_secret_scan, op11_collocations, op12_prefix_trie, op13_suffix_dedup)}
 
 _PLACES = " union all ".join(f"select doc_id, k, i, '{label}' as label from w, range(len(ws)) r(i) where " + " and ".join(f"ws[i + {j + 1}] = '{x}'" for j, x in enumerate(phrase.split())) for phrase, label in PHRASES)
 _TEMPLATES = ", ".join(f"('{name}', string_split('{must}', ' '), list_distinct(string_split('{text}', ' ')), {block_words(text)})" for name, must, text in TEMPLATES)
@@ -140,6 +145,20 @@ ORACLE_SQL = {
         g as (select *, first_value(doc_id) over (partition by bare order by length(txt) desc, doc_id) as keep_id, count(*) over (partition by bare) as group_size from t)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(bare) as text_sha256 from g
     """,
+    "op11_collocations": rf"""
+        with t as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), '{_LETTERS.upper()}', '{_LETTERS}') as t from documents),
+        p as (select lang, unnest(regexp_extract_all(t, '[^.,;:!?\x0A-\x0D]+')) as p from t),
+        w as materialized (select lang, regexp_extract_all(p, '[^\x20\x09]+') as ws from p),
+        total as (select lang, sum(len(ws)) as n from w group by lang),
+        known as materialized (select lang, x, count(*) as f from (select lang, list_slice(ws, i, i + m - 1) as x from w, range(1, 5) a(m), range(1, greatest(len(ws) - m + 2, 1)) r(i)) group by lang, x having count(*) >= 30),
+        cuts as (select c.lang, c.x, c.f as a, k, l.f as l, r.f as r, (2000000::hugeint * c.f) // (l.f + r.f) as score from known c, range(1, 4) b(k), known l, known r
+            where k < len(c.x) and l.lang = c.lang and l.x = list_slice(c.x, 1, k) and r.lang = c.lang and r.x = list_slice(c.x, k + 1, len(c.x))),
+        best as (select * from (select *, row_number() over (partition by lang, x order by score, k) as first from cuts) where first = 1),
+        inside as (select lang, list_slice(x, i, i + m - 1) as x, max(f) as longer from known, range(2, 4) a(m), range(1, greatest(len(x) - m + 2, 1)) r(i) where len(x) > m group by all),
+        named as (select best.*, array_to_string(x, ' ') as phrase from best left join inside using (lang, x) where longer is null or 100 * longer < 80 * a),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from named)
+        select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked join total using (lang) where rank <= 2000
+    """,
     "op12_prefix_trie": _TRIE,
     "op13_suffix_dedup": """
         with t as (select row_number() over () as k, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
