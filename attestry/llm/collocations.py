@@ -38,9 +38,9 @@ MOST_WORDS, MOST_CANDIDATES = 1 << 21, 1 << 20
 #: Buckets (as bits) at least and at most, and words of text for which there is one.
 LEAST_BITS, MOST_BITS, BUCKET_WORDS = 16, 27, 4
 #: Values that a task sums up before it sends them, and slots that are summed up together.
-CHUNK, CELL_BITS = 4_000_000, 16
+CHUNK, CELL_BITS = 1_500_000, 16
 SLICE_BYTES, BATCH_ROWS = 1 << 21, "1000"
-DIGIT_BITS = 10
+DIGIT_BITS = 8
 #: Words end at these; phrases do not go beyond the second ones.
 IS_BLANK, IS_BREAK = np.zeros(256, bool), np.zeros(256, bool)
 IS_BLANK[[0x20, 0x09]] = True
@@ -184,14 +184,12 @@ class Trie:
 
     def __init__(self, grams: np.ndarray, names: np.ndarray, digits: int):
         self.digits, self.words, self.bits = digits, grams.shape[1], DIGIT_BITS
-        label = np.stack([(grams[:, j // digits] >> (DIGIT_BITS * (digits - 1 - j % digits))) & ((1 << DIGIT_BITS) - 1) for j in range(digits * self.words)], 1).astype(np.int64)
+        width = 1 << DIGIT_BITS
+        label = np.stack([(grams[:, j // digits] >> (DIGIT_BITS * (digits - 1 - j % digits))) & (width - 1) for j in range(digits * self.words)], 1).astype(np.int64)
         order = np.lexsort(label.T[::-1])
         label = label[order]
-        n, width = len(label), 1 << DIGIT_BITS
-        self.used = np.zeros(4 * width + 2 * n, bool)
-        self.used[:width] = True  # bases are not negative then; state 0 is the root
-        self.low, self.top = width, width
-        self.base, self.check = np.zeros(len(self.used), np.int32), np.full(len(self.used), -1, np.int32)
+        n, taken, chance = len(label), 1, np.random.Generator(np.random.PCG64(7))
+        self.base, self.check = np.zeros(2 * width, np.int32), np.full(2 * width, -1, np.int32)  # state 0 is the root; slots below width stay free, so bases are not negative
         state, new = np.zeros(n, np.int64), np.zeros(n, bool)
         new[:1] = True
         for j in range(label.shape[1]):
@@ -199,62 +197,67 @@ class Trie:
             here[1:] |= label[1:, j] != label[:-1, j]  # rows where a child begins; new: where its parent does
             child = np.flatnonzero(here)
             parent = np.cumsum(new[child]) - 1
-            slot = self.place(state[np.flatnonzero(new)], parent, label[child, j])
-            state = slot[np.cumsum(here) - 1]
-            new = here
-        size = self.top + width
-        self.base, self.check = self.base[:size], self.check[:size]
-        self.accept = np.full(size, -1, np.int32)
+            taken += len(child)
+            self.grow(int(1.5 * taken) + 4 * width)
+            slot = self.place(state[np.flatnonzero(new)], parent, label[child, j], chance)
+            state, new = slot[np.cumsum(here) - 1], here
+        self.grow(len(self.base) + width)  # a look beyond the last child stays inside
+        self.accept = np.full(len(self.base), -1, np.int32)
         self.accept[state] = names[order]
         self.size = int(names.max()) + 1
-        del self.used
 
     def grow(self, size: int) -> None:
-        if size > len(self.used):
-            more = size + len(self.used)
-            self.used = np.concatenate([self.used, np.zeros(more, bool)])
+        more = size - len(self.base)
+        if more > 0:
             self.base = np.concatenate([self.base, np.zeros(more, np.int32)])
             self.check = np.concatenate([self.check, np.full(more, -1, np.int32)])
 
-    def place(self, states: np.ndarray, parent: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """Slots of the children: each parent's base is the first at which all of its labels are free, the widest parents first."""
-        first = np.searchsorted(parent, np.arange(len(states)))
-        count = np.diff(np.append(first, len(parent)))
-        slot = np.empty(len(parent), np.int64)
-        for p in np.argsort(-count, kind="stable")[: int((count > 1).sum())].tolist():
-            a, b = first[p], first[p] + count[p]
-            slot[a:b] = self.fit(label[a:b]) + label[a:b]
-            self.used[slot[a:b]] = True
-            self.top = max(self.top, int(slot[b - 1]) + 1)
-        single = first[count == 1]
-        self.grow(self.top + len(single) + 2 * (1 << DIGIT_BITS))
-        free = np.flatnonzero(~self.used[self.low : self.top + len(single)])[: len(single)] + self.low
-        slot[single] = free
-        self.used[free] = True
-        if len(free):
-            self.top = max(self.top, int(free[-1]) + 1)
-        self.grow(self.top + 2 * (1 << DIGIT_BITS))
-        self.base[states] = slot[first] - label[first]
+    def place(self, states: np.ndarray, parent: np.ndarray, label: np.ndarray, chance: np.random.Generator) -> np.ndarray:
+        """Slots of the children. Parents of about as many children try bases all at once, the widest first: those whose
+        slots are free and wanted by no other stay, the rest try again, and in the end go behind the table."""
+        width, count = 1 << DIGIT_BITS, np.bincount(parent, minlength=len(states))
+        base = np.zeros(len(states), np.int64)
+        taken = self.check >= 0
+        taken[:width] = True
+        wide = int(count.max(initial=1))
+        while wide > 1:
+            low = wide // 2 if wide > 2 else 1
+            left = np.flatnonzero((count <= wide) & (count > low))
+            for _ in range(40):
+                if not len(left):
+                    break
+                base[left] = chance.integers(0, len(taken) - width, len(left))
+                wanted = np.zeros(len(states), bool)
+                wanted[left] = True
+                mine = np.flatnonzero(wanted[parent])
+                slot = base[parent[mine]] + label[mine]
+                claim = np.empty(len(taken), np.int32)
+                claim[slot] = parent[mine]
+                bad = np.bincount(parent[mine], taken[slot] | (claim[slot] != parent[mine]), minlength=len(states)) > 0
+                good = mine[~bad[parent[mine]]]
+                taken[base[parent[good]] + label[good]] = True
+                left = left[bad[left]]
+            if len(left):
+                top = len(taken)
+                base[left] = top + np.arange(len(left)) * width
+                self.grow(top + len(left) * width)
+                taken = np.concatenate([taken, np.zeros(len(self.check) - len(taken), bool)])
+                wanted[:] = False
+                wanted[left] = True
+                mine = np.flatnonzero(wanted[parent])
+                taken[base[parent[mine]] + label[mine]] = True
+            wide = low
+        single = np.flatnonzero((count == 1)[parent])
+        free = np.flatnonzero(~taken)[: len(single)]
+        if len(free) < len(single):
+            free = np.concatenate([free, np.arange(len(taken), len(taken) + len(single) - len(free))])
+            self.grow(int(free[-1]) + 1)
+        base[parent[single]] = free - label[single]
+        slot = base[parent] + label
+        self.base[states] = base
         self.check[slot] = states[parent]
         return slot
 
-    def fit(self, label: np.ndarray) -> int:
-        self.grow(self.top + 8 * 512 + 2 * (1 << DIGIT_BITS))
-        at = self.low
-        for _ in range(8):
-            free = np.flatnonzero(~self.used[at : at + 512])
-            if at == self.low and len(free) < 16 and at + 512 <= self.top:
-                self.low = at + 512
-            bases = free + (at - label[0])
-            bases = bases[bases >= 0]
-            fits = ~self.used[bases[:, None] + label].any(1)
-            if fits.any():
-                return int(bases[np.argmax(fits)])
-            at += 512
-            if at >= self.top:
-                break
-        return self.top
-
     def phrases(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places where a phrase begins, and its name."""
         at = np.flatnonzero(ids >= 0)
