@@ -88,13 +88,14 @@ def identifier_evidence(attached: DataFrame) -> DataFrame:
     return I.evidence_rows(tied, "IDENTIFIER", "identifier_id", "excerpt", "said")
 
 
-def ingest_batch(batch: dict[str, DataFrame], as_of: str, owners: DataFrame | None = None) -> dict[str, DataFrame]:
+def ingest_batch(batch: dict[str, DataFrame], as_of: str, owners: DataFrame | None = None, stored: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Canonical tables out of a batch: candidates by kind, each with run_id, seq and source_agent.
 
-    owners: scheme, value, entity_id of identifiers that exist already. References see entities, their identifiers and
+    owners: scheme, value, entity_id of identifiers that exist already. stored: what else earlier batches left that this
+    one may refer to: sources, run_keys (run_id, candidate_key, entity_id), entity_ids (entity_id). References see entities, their identifiers and
     those attached in the same batch, and entities that references of an earlier kind made. Beside the canonical
     tables: rejections, validations, resolutions, cases, and what each run touched (run_sources, run_relationships,
-    run_events, run_claims: run_id, id). Tables of kinds that the batch does not have are left out.
+    run_events, run_claims: run_id, id), what entities are made of (entity_rows) and run_keys. Tables of kinds that the batch does not have are left out.
     """
     spark = next(iter(batch.values())).sparkSession
     given = {k: conform(batch[k] if k in batch else spark.createDataFrame([], "run_id string"), k) for k in KINDS}
@@ -110,7 +111,8 @@ def ingest_batch(batch: dict[str, DataFrame], as_of: str, owners: DataFrame | No
 
     no_ids = F.array().cast(given["entities"].schema["identifiers"].dataType)
     entities = checked["entities"].filter("valid").withColumn("identifiers", F.coalesce("identifiers", no_ids)).drop("reasons", "valid", "validation_key")
-    resolved = stage(R.resolve_entities(entities, owners), "resolved")
+    stored = stored or {}
+    resolved = stage(R.resolve_entities(entities, owners, stored.get("run_keys")), "resolved")
     kept = entities.drop("candidate_key").join(resolved.filter("kept").select("seq", "entity_id", "candidate_key"), "seq").withColumn("given_confidence", F.col("confidence"))
     sure = F.coalesce("confidence", F.when(S.first_authoritative(F.col("identifiers")).isNotNull(), 1.0).otherwise(0.8))
     kept = stage(kept.withColumn("confidence", sure), "kept")
@@ -120,9 +122,15 @@ def ingest_batch(batch: dict[str, DataFrame], as_of: str, owners: DataFrame | No
 
     mine = S.save_identifiers(kept).select("scheme", "value", "entity_id")
     before = [] if owners is None else [owners.select("scheme", "value", "entity_id")]
-    ids = I.union([kept.select("entity_id"), *(o.select("entity_id") for o in before)]).distinct()
+    ids = I.union([kept.select("entity_id"), *(o.select("entity_id") for o in [*before, *(stored[k] for k in ("entity_ids",) if k in stored)])]).distinct()
     run_keys = resolved.filter("entity_id is not null").select("run_id", "candidate_key", "entity_id").distinct()
-    known = Known(sources, stage(ids, "entity-ids"), stage(run_keys, "run-keys"), stage(I.union([*before, mine]), "owners"))
+    if "run_keys" in stored:
+        run_keys = run_keys.unionByName(stored["run_keys"].select("run_id", "candidate_key", "entity_id")).distinct()
+    known_sources = sources
+    if "sources" in stored:  # the stored version of a source stands
+        about = ["id", "provider", "external_id", "sha256", "retrieved_at", "source_url", "published_at", "filed_at"]
+        known_sources = stage(stored["sources"].select(*about).unionByName(sources.join(stored["sources"].select("id"), "id", "left_anti").select(*about)), "known-sources")
+    known = Known(known_sources, stage(ids, "entity-ids"), stage(run_keys, "run-keys"), stage(I.union([*before, mine]), "owners"))
 
     # a kind that the batch doesn't have costs nothing
     attached = attach(checked["identifiers"], known)[0] if "identifiers" in batch else None
@@ -140,7 +148,7 @@ def ingest_batch(batch: dict[str, DataFrame], as_of: str, owners: DataFrame | No
     if attached is not None:
         tied = fresh.select("entity_id", F.lit(1).alias("phase"), F.col("seq").alias("at"), F.lit(-1).cast("long").alias("pos"), F.array("identifier").alias("identifiers"))
         all_ids = in_order(rows.select("entity_id", "phase", "at", "pos", "identifiers").unionByName(tied), ["phase", "at", "pos"], "identifier-rows")
-    proof = [entity_evidence(kept, sources)] + ([] if attached is None else [identifier_evidence(attached)])
+    proof = [entity_evidence(kept, known_sources)] + ([] if attached is None else [identifier_evidence(attached)])
     proof += [I.evidence_rows(told[k]["all"], KINDS[k][0], excerpt="excerpt" if k == "claims" else "evidence") for k in told]
     evidence = S.first_wins(stage(I.union(proof), "evidence"), "id")
 
@@ -165,7 +173,7 @@ def ingest_batch(batch: dict[str, DataFrame], as_of: str, owners: DataFrame | No
     out = {
         "sources": sources, "entities": S.merge_entities(rows), "identifiers": S.save_identifiers(all_ids), "aliases": S.save_aliases(rows), "evidence": evidence,
         "rejections": S.first_wins(stage(I.union(rejected), "rejected"), "id"), "validations": V.validation_log(stage(I.union(results), "results")),
-        "resolutions": S.last_wins(stage(I.union(logged), "logged"), "id"), "run_sources": I.union(touched).distinct()}
+        "resolutions": S.last_wins(stage(I.union(logged), "logged"), "id"), "run_sources": I.union(touched).distinct(), "entity_rows": rows, "run_keys": known.run_keys.distinct()}
     if attached is not None:
         out |= {"attachments": attached, "cases": R.identifier_conflicts(attached)}
     for kind, found in told.items():

@@ -254,10 +254,32 @@ def _without(gone: DataFrame, relationships: DataFrame, evidence: DataFrame, run
 
 def purge_superseded_holdings(relationships: DataFrame, entities: DataFrame, evidence: DataFrame, run_relationships: DataFrame) -> dict[str, DataFrame]:
     """relationships, evidence and run_relationships (run_id, id) without holdings whose object is a company although they name the security itself."""
+    old = superseded_holdings(relationships, entities)
+    return dict(zip(("relationships", "evidence", "run_relationships"), _without(old, relationships, evidence, run_relationships)))
+
+
+def superseded_holdings(relationships: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id) of holdings whose object is a company although they name the security itself; entities (id, entity_type)."""
     firms = entities.filter("entity_type in ('COMPANY', 'ORGANIZATION')").select(F.col("id").alias("object_entity_id"))
     marked = F.coalesce(F.to_json("attributes").rlike(SECURITY_MARK), F.lit(False))
-    old = relationships.filter((F.col("predicate") == "HOLDS_SECURITY") & marked).join(firms, "object_entity_id", "left_semi")
-    return dict(zip(("relationships", "evidence", "run_relationships"), _without(old, relationships, evidence, run_relationships)))
+    return relationships.filter((F.col("predicate") == "HOLDS_SECURITY") & marked).join(firms, "object_entity_id", "left_semi").select("id")
+
+
+def name_only_owners(relationships: DataFrame, entities: DataFrame, identifiers: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, subject_entity_id) of beneficial owners in SC 13 filings that are no persons and have no identifier."""
+    filings = sources.filter("provider = 'SEC' and document_type like 'SC 13%'").select(F.col("id").alias("source_document_id"))
+    owned = identifiers.select(F.col("entity_id").alias("id"))
+    nameless = entities.filter("entity_type != 'PERSON'").join(owned, "id", "left_anti").select(F.col("id").alias("subject_entity_id"))
+    bad = relationships.filter("predicate = 'BENEFICIAL_OWNER_OF'").join(filings, "source_document_id", "left_semi").join(nameless, "subject_entity_id", "left_semi")
+    return bad.select("id", "subject_entity_id")
+
+
+def left_with_nothing(bad: DataFrame, left: DataFrame, participants: DataFrame, claims: DataFrame) -> DataFrame:
+    """(id) of the subjects in bad that no relationship that is left, no event and no claim names."""
+    used = union([
+        left.select(F.col("subject_entity_id").alias("id")), left.select(F.col("object_entity_id").alias("id")), participants.select(F.col("entity_id").alias("id")),
+        claims.select(F.col("subject_entity_id").alias("id"))])
+    return bad.select(F.col("subject_entity_id").alias("id")).distinct().join(used, "id", "left_anti")
 
 
 def purge_name_only_owners(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -267,18 +289,10 @@ def purge_name_only_owners(tables: dict[str, DataFrame]) -> dict[str, DataFrame]
     Resolutions that proposed such a subject propose none any more.
     """
     t = dict(tables)
-    filings = t["sources"].filter("provider = 'SEC' and document_type like 'SC 13%'").select(F.col("id").alias("source_document_id"))
-    owned = t["identifiers"].select(F.col("entity_id").alias("id"))
-    nameless = t["entities"].filter("entity_type != 'PERSON'").join(owned, "id", "left_anti").select(F.col("id").alias("subject_entity_id"))
-    bad = t["relationships"].filter("predicate = 'BENEFICIAL_OWNER_OF'").join(filings, "source_document_id", "left_semi").join(nameless, "subject_entity_id", "left_semi")
-    bad = stage(bad.select("id", "subject_entity_id"), "bad-owners")
+    bad = stage(name_only_owners(t["relationships"], t["entities"], t["identifiers"], t["sources"]), "bad-owners")
     t["relationships"], t["evidence"], t["run_relationships"] = _without(bad, t["relationships"], t["evidence"], t["run_relationships"])
-    left = t["relationships"]
-    used = union([
-        left.select(F.col("subject_entity_id").alias("id")), left.select(F.col("object_entity_id").alias("id")), t["participants"].select(F.col("entity_id").alias("id")),
-        t["claims"].select(F.col("subject_entity_id").alias("id"))])
+    t["entities"] = t["entities"].join(left_with_nothing(bad, t["relationships"], t["participants"], t["claims"]), "id", "left_anti")
     subjects = bad.select(F.col("subject_entity_id").alias("id")).distinct()
-    t["entities"] = t["entities"].join(subjects.join(used, "id", "left_anti"), "id", "left_anti")
     asked = subjects.select(F.col("id").alias("_gone"))
     marked = t["resolutions"].join(asked, F.col("proposed_entity_id") == F.col("_gone"), "left")
     t["resolutions"] = marked.withColumn("proposed_entity_id", F.when(F.col("_gone").isNull(), F.col("proposed_entity_id"))).drop("_gone")

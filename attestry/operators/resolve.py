@@ -48,9 +48,23 @@ def _holders(kept: DataFrame, owners: DataFrame | None) -> DataFrame:
     return both.select("scheme", "value", F.when(F.col("known").isNotNull(), F.lit(-1).cast("long")).otherwise(F.col("holder")).alias("holder"), "known")
 
 
-def resolve_entities(candidates: DataFrame, owners: DataFrame | None = None) -> DataFrame:
-    """One row per valid candidate: run_id, seq, candidate_key, kept, entity_id, status (CREATED, RESOLVED, REMEMBERED, REJECTED), scheme."""
+def resolve_entities(candidates: DataFrame, owners: DataFrame | None = None, run_keys: DataFrame | None = None) -> DataFrame:
+    """One row per valid candidate: run_id, seq, candidate_key, kept, entity_id, status (CREATED, RESOLVED, REMEMBERED, REJECTED), scheme.
+
+    owners: identifiers of earlier batches (scheme, value, entity_id). run_keys: what keys of a run stood for in earlier
+    batches (run_id, candidate_key, entity_id); their candidates are remembered.
+    """
     rows = stage(_slim(candidates), "candidates")
+    if run_keys is not None:
+        before = run_keys.filter("entity_id is not null").groupBy("run_id", "candidate_key").agg(F.min("entity_id").alias("entity_id"))
+        known = stage(rows.join(before, ["run_id", "candidate_key"]), "remembered")
+        rows = stage(rows.join(known.select("seq"), "seq", "left_anti"), "candidates")
+        told = known.select("run_id", "seq", "candidate_key", F.lit(False).alias("kept"), "entity_id", F.lit("REMEMBERED").alias("status"), "scheme")
+        return _resolved(rows, owners).unionByName(told)
+    return _resolved(rows, owners)
+
+
+def _resolved(rows: DataFrame, owners: DataFrame | None) -> DataFrame:
     named = rows.filter("named and not_empty")
     unnamed = rows.filter("not named")
     accepted = named

@@ -77,6 +77,44 @@ def merge_entities(candidates: DataFrame) -> DataFrame:
     return rows.join(merge_attributes(candidates, "entity_id"), "entity_id", "left")
 
 
+def entity_states(rows: DataFrame, batch: int = 0, enriching: bool = False) -> DataFrame:
+    """What candidates (as merge_entities takes them) do to each entity, as aggregates that merge_states puts together.
+
+    Each value carries where it came from (batch and seq). enriching: resolved candidates, as enrich_entities takes
+    them: they name nothing, fill in a jurisdiction only where there is none and raise the confidence.
+    """
+    at = F.struct(F.lit(batch).cast("long").alias("batch"), F.col("seq").cast("long").alias("n"))
+    said = lambda c: F.struct(at.alias("at"), c.alias("v"))
+    known = lambda c: F.when(c.isNotNull(), said(c))
+    nothing = lambda c: F.when(F.lit(False), said(c))
+    name, place, sure = normalize_name(F.col("canonical_name")), F.col("jurisdiction"), F.col("confidence")
+    pick = nothing if enriching else known
+    each = rows.select(
+        "entity_id", pick(name).alias("name"), (nothing if enriching else said)(F.col("entity_type")).alias("kind"), (F.col("entity_type") == "COMPANY").alias("company"), pick(place).alias("place"),
+        (known if enriching else nothing)(place).alias("filled"), (nothing if enriching else said)(F.col("status")).alias("status"), (nothing if enriching else said)(sure).alias("sure"),
+        (sure if enriching else F.lit(None).cast("double")).alias("raised"), nothing(F.lit("")).getField("at").alias("created") if enriching else at.alias("created"), at.alias("updated"),
+        F.transform_values("attributes", lambda k, v: said(v)).alias("attributes"))
+    return merge_states(each)
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One state per entity; the order in which states are put together does not matter."""
+    merged = states.groupBy("entity_id").agg(
+        F.max("name").alias("name"), F.min("kind").alias("kind"), F.bool_or("company").alias("company"), F.max("place").alias("place"), F.min("filled").alias("filled"),
+        F.min("status").alias("status"), F.min("sure").alias("sure"), F.max("raised").alias("raised"), F.min("created").alias("created"), F.max("updated").alias("updated"))
+    each = states.select("entity_id", F.explode("attributes").alias("k", "x")).groupBy("entity_id", "k").agg(F.max("x").alias("x"))
+    attributes = each.groupBy("entity_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "x")))).alias("attributes"))
+    return merged.join(attributes, "entity_id", "left")
+
+
+def finished_entities(states: DataFrame) -> DataFrame:
+    """Entities out of their states: as merge_entities gives them, with created and updated (batch, n) for the seqs."""
+    kind = F.when((F.col("kind.v") == "ORGANIZATION") & F.col("company"), "COMPANY").otherwise(F.col("kind.v"))
+    return states.select(
+        "entity_id", F.col("name.v").alias("canonical_name"), kind.alias("entity_type"), F.coalesce("place.v", "filled.v").alias("jurisdiction"), F.coalesce("status.v", F.lit("ACTIVE")).alias("status"),
+        F.greatest("sure.v", "raised").alias("resolution_confidence"), "created", "updated", F.transform_values("attributes", lambda k, x: x["v"]).alias("attributes"))
+
+
 def enrich_entities(entities: DataFrame, decisions: DataFrame) -> DataFrame:
     """Entities with resolved candidates laid over: the name stays, jurisdiction is kept where known, confidence rises."""
     own = entities.select("entity_id", "entity_type", "canonical_name", "jurisdiction", F.col("resolution_confidence").alias("confidence"), "attributes", F.lit(-1).cast("long").alias("seq"))

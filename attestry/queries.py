@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from .operators import resolve as R
 from .operators import survivorship as S
 from .operators import validate as V
 from .plans import graph as G
+from .schemas import conform
 from .sources import binding as B
 from .sources import extract as X
 from .sources import tables as T
@@ -742,6 +744,58 @@ def ingest_batch(spark, sf_dir):
     return _shown_batch(ingest(_batch(spark, sf_dir), as_of="2024-01-01T00:00:00Z"))
 
 
+# The same batch in three: customers, every second order as a source and a relationship; the other orders, events of the
+# first ones and the first suppliers' tickers; all other events, claims and tickers. Later ones name sources, customers
+# and offices that earlier ones stored.
+
+def _thirds(spark, sf_dir) -> list[dict[str, DataFrame]]:
+    b = _batch(spark, sf_dir)
+    second, early = F.col("seq") % 2 == 1, F.col("seq") <= 40
+    return [
+        {"sources": b["sources"].filter(second), "entities": b["entities"], "relationships": b["relationships"].filter(second)},
+        {"sources": b["sources"].filter(~second), "identifiers": b["identifiers"].filter(early), "relationships": b["relationships"].filter(~second), "events": b["events"].filter(second)},
+        {"identifiers": b["identifiers"].filter(~early), "events": b["events"].filter(~second), "claims": b["claims"]}]
+
+
+def _as_rows(batch: dict[str, DataFrame]) -> DataFrame:
+    """Candidates as read_candidates takes them, each in a row of its own."""
+    out = []
+    for kind, df in batch.items():
+        given = conform(df, kind)
+        one = F.array(F.struct(*[c for c in given.columns if c not in ("run_id", "seq")]))
+        out.append(given.select("run_id", F.col("seq").alias("batch_seq"), one.alias(kind)))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+
+
+def _stored_sections(store) -> dict[str, DataFrame]:
+    from .operators.stored import entities_of
+
+    tables = {name: store.read(name) for name in ("identifiers", "relationships", "events", "claims", "facts", "evidence", "cases", "resolutions", "rejections", "validations", "run_sources", "run_relationships", "run_events", "run_claims")}
+    return tables | {"entities": entities_of(store)}
+
+
+_STORED_BATCH = f"select section, case when section = 'rejections' then regexp_replace(id, ':[0-9]+:', ':') else id end as id, detail, count(*) as n from ({_WHOLE_BATCH}) group by all"
+
+
+@query(_STORED_BATCH)
+def stream_batches(spark, sf_dir):
+    """Three micro-batches, each of files that came since the last one, into one store; every section of it."""
+    from .sources.store import Store
+    from .streaming import streams
+
+    folder = new_folder(spark, "stream-batches")
+    store, thirds = Store(spark, f"{folder}/store", buckets=8), [_as_rows(b) for b in _thirds(spark, sf_dir)]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), thirds)
+    for rows in thirds:
+        none = {c: F.lit(None).cast(t) for c, t in whole.dtypes if c not in rows.columns}
+        rows.withColumns(none).select(*whole.columns).write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(whole.schema).parquet(f"{folder}/in")
+        streams.stream_batches(arriving, store, f"{folder}/checkpoint", "2024-01-01T00:00:00Z").awaitTermination()
+    shown = _shown_batch(_stored_sections(store))
+    known = F.when(F.col("section") == "rejections", F.regexp_replace("id", ":[0-9]+:", ":")).otherwise(F.col("id"))
+    return shown.withColumn("id", known).groupBy("section", "id", "detail").agg(F.count("*").alias("n"))
+
+
 _LINKS = "select 'r' || (o_orderkey % 20) as run_id, 'O' || (o_orderkey % 900) as id from {orders}"
 
 

@@ -158,6 +158,7 @@ def test_upserts_keep_one_row_per_key(spark):
 
 
 def test_stream_of_batches(spark, tmp_path):
+    from attestry.sources.store import Store
     from attestry.streaming import streams
 
     one = F.array(F.struct(*[F.lit(v).alias(k) for k, v in SOURCE.items()], F.lit("agent").alias("source_agent")))
@@ -166,6 +167,7 @@ def test_stream_of_batches(spark, tmp_path):
     for k in range(2):
         rows.filter(F.col("batch_seq") == k).select(F.lit("run").alias("run_id"), "batch_seq", one.alias("sources"), ent.alias("entities")).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
     stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in" / "part=0")).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
-    streams.stream_batches(stream, str(tmp_path / "out"), str(tmp_path / "check"), AS_OF).awaitTermination()
-    assert streams.stored(spark, str(tmp_path / "out"), "sources").count() == 1
-    assert streams.stored(spark, str(tmp_path / "out"), "identifiers").select("entity_id").distinct().count() == 1
+    store = Store(spark, str(tmp_path / "out"), 4)
+    streams.stream_batches(stream, store, str(tmp_path / "check"), AS_OF).awaitTermination()
+    assert store.committed() == 1 and store.read("sources").count() == 1
+    assert store.read("identifiers").select("entity_id").distinct().count() == 1
