@@ -1,8 +1,9 @@
 """Questions to the graph: nodes (id, entity_type, canonical_name ...), edges (id, subject_entity_id, predicate,
 object_entity_id, valid_from, valid_to, observed_at, source_document_id ...), events and participants.
 
-Searches go forward one frontier at a time, for many roots at once; a hub's edges meet each (root, node) once per round,
-in parts, so that they do not stand in one task.
+Searches go one frontier at a time, for many roots at once. A traversal keeps for each node a bitmap of the roots that
+have reached it, so that a node is expanded once per round for 64 roots; a path search goes from both ends and meets in
+the middle. A hub's edges are dealt in parts, so that they do not stand in one task.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from ..sources.staging import in_order, small, stage
 
 #: A node with more edges than this is a hub; its edges are dealt in parts of about so many.
 HUB = 50_000
-#: Queries that a search takes at a time, as a broadcast.
-ASKED = 2_000
+#: Letters of a search index's longest parts, and rows of a block of numbers.
+GRAM, BLOCK = 3, 200_000
 #: Bounds of the questions.
 MOST_DEPTH, MOST_RESULTS, TRAIL = 4, 50, 12
+#: Roots in a bitmap.
+ROOTS = 64
 
 
 def merge_graphs(graphs: list[DataFrame], key: str = "id") -> DataFrame:
@@ -82,27 +85,43 @@ def traverse(
     The root itself needs no matching type.
     """
     depth_of(depth)
-    start = stage(roots.select("root").distinct().join(nodes.select(F.col("id").alias("root")), "root", "left_semi"), "roots")
+    start = roots.select("root").distinct().join(nodes.select(F.col("id").alias("root")), "root", "left_semi")
+    start = in_order(start, ["root"], "roots", "n").select("root", F.expr(f"n div {ROOTS}").alias("block"), F.expr(f"cast(n % {ROOTS} as int)").alias("bit"))
+    start = stage(start.withColumn("mask", F.expr("shiftleft(1L, bit)")), "roots")
     plain = oriented(filtered_edges(edges, predicates, date_from, date_to), direction).select("src", "dst", "edge_id")
     if depth == 1:  # only edges at the roots count
         plain = plain.join(small(start.select(F.col("root").alias("src")), "root-ids"), "src", "left_semi")
-    walk = plain.join(_typed(nodes, entity_types), "dst", "left_semi")
-    walk = stage(walk, "walk")
+    walk = stage(plain.join(_typed(nodes, entity_types), "dst", "left_semi"), "walk")
     hubs = hubs_of(walk)
-    reached = stage(start.select("root", F.col("root").alias("id"), F.lit(0).alias("distance")), "reached")
     pairs = walk.select("src", "dst").distinct()
     pairs = in_parts(stage(pairs, "pairs") if depth > 1 else pairs, hubs)
-    for step in range(1, depth + 1):
-        frontier = reached.filter(F.col("distance") == step - 1).select("root", F.col("id").alias("src"))
-        new = to_parts(frontier, hubs).join(pairs, ["src", "part"]).select("root", F.col("dst").alias("id")).distinct()
-        new = stage(new.join(reached.select("root", "id"), ["root", "id"], "left_anti").withColumn("distance", F.lit(step)), "reached")
-        reached = reached.unionByName(new)
-    inner = stage(reached.filter(F.col("distance") < depth).select("root", F.col("id").alias("src")), "inner")
-    seen = to_parts(inner, hubs).join(in_parts(walk, hubs), ["src", "part"]).select("root", "edge_id")
+    rounds = [stage(start.select("block", F.col("root").alias("id"), "mask"), "reached")]
+    for _ in range(depth):
+        frontier = to_parts(rounds[-1].select("block", F.col("id").alias("src"), "mask"), hubs)
+        near = frontier.join(pairs, ["src", "part"]).groupBy("block", F.col("dst").alias("id")).agg(F.bit_or("mask").alias("mask"))
+        had = masks_of(rounds).withColumnRenamed("mask", "had")
+        new = near.join(had, ["block", "id"], "left").withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))))
+        rounds.append(stage(new.filter("mask != 0").select("block", "id", "mask"), "reached"))
+    inner = stage(masks_of(rounds[:-1]).withColumnRenamed("id", "src"), "inner")
+    seen = to_parts(inner, hubs).join(in_parts(walk, hubs), ["src", "part"]).select("block", "edge_id", "mask")
     if entity_types:  # an edge back to the root counts although the root may not match the type filter
-        home = inner.withColumn("dst", F.col("root")).join(plain, ["src", "dst"]).select("root", "edge_id")
+        back = plain.join(small(start.select("block", F.col("root").alias("dst"), F.col("mask").alias("own")), "back"), "dst")
+        home = back.join(inner, ["block", "src"]).filter(F.col("mask").bitwiseAND(F.col("own")) != 0).select("block", "edge_id", F.col("own").alias("mask"))
         seen = seen.unionByName(home)
-    return reached, seen.distinct()
+    reached = reduce(DataFrame.unionByName, [r.withColumn("distance", F.lit(k)) for k, r in enumerate(rounds)])
+    return rooted(reached, start).select("root", "id", "distance"), rooted(seen.groupBy("block", "edge_id").agg(F.bit_or("mask").alias("mask")), start).select("root", "edge_id")
+
+
+def masks_of(rounds: list[DataFrame]) -> DataFrame:
+    """(block, id, mask) over all rounds."""
+    return reduce(DataFrame.unionByName, rounds).groupBy("block", "id").agg(F.bit_or("mask").alias("mask"))
+
+
+def rooted(rows: DataFrame, start: DataFrame) -> DataFrame:
+    """Rows (block, mask ...) once for each root in their mask."""
+    each = rows.withColumn("bit", F.explode(F.expr(f"filter(sequence(0, {ROOTS - 1}), b -> (shiftrightunsigned(mask, b) & 1) = 1)"))).drop("mask")
+    names = small(start.select("block", "bit", "root"), "root-names")
+    return each.join(names, ["block", "bit"])
 
 
 def neighbors(nodes: DataFrame, edges: DataFrame, roots: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
@@ -122,29 +141,64 @@ def find_path(
 
     Of equally short paths the one first in breadth-first order over edges by rank: the least array of ranks. depth is
     null where there is no path, 0 where both ends are one. ranks: edge_ranks of the graph, if they are at hand.
+
+    The search goes two steps at most from each end, once per end whatever its number of pairs, and only for pairs
+    without a shorter path. What is kept of a node is the least ranks by which an end reaches it; a path's least ranks
+    are those of its halves. Edges come back by rank when the paths are known.
     """
     depth_of(depth)
-    walk = oriented(filtered_edges(edges, predicates, date_from, date_to), direction).join(_typed(nodes, entity_types), "dst", "left_semi")
+    walk = oriented(filtered_edges(edges, predicates, date_from, date_to), direction).join(_typed(nodes, entity_types), "dst", "left_semi").filter("src != dst")
     walk = walk.join(edge_ranks(edges) if ranks is None else ranks, "edge_id")
-    walk = stage(walk.groupBy("src", "dst").agg(F.min(F.struct("rank", "way", "edge_id")).alias("e")), "walk")
-    hubs = hubs_of(walk)
-    walk = in_parts(walk, hubs)
+    walk = stage(walk.groupBy("src", "dst").agg(F.min(F.struct("rank", "way", "edge_id")).alias("e")).select("src", "dst", "e.*"), "walk")
+    back = walk.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rank")
     asked = stage(pairs.select("source", "target").distinct(), "pairs")
-    no_ranks, no_hops = F.array().cast("array<bigint>"), F.array().cast("array<struct<from_id:string,to_id:string,way:string,edge_id:string>>")
-    reached = stage(asked.select("source", "target", F.col("source").alias("src"), no_ranks.alias("ranks"), no_hops.alias("hops")), "paths")
-    frontier = reached.filter("source != target")
-    for _ in range(depth):
-        e = F.col("e")
-        hop = F.array(F.struct(F.col("src").alias("from_id"), F.col("dst").alias("to_id"), e["way"].alias("way"), e["edge_id"].alias("edge_id")))
-        stepped = to_parts(frontier, hubs).join(walk, ["src", "part"]).select(
-            "source", "target", F.col("dst").alias("to"), F.concat("ranks", F.array(e["rank"].cast("bigint"))).alias("ranks"), F.concat("hops", hop).alias("hops"))
-        best = stepped.groupBy("source", "target", F.col("to").alias("src")).agg(F.min(F.struct("ranks", "hops")).alias("b")).select("source", "target", "src", "b.*")
-        new = stage(best.join(reached.select("source", "target", "src"), ["source", "target", "src"], "left_anti"), "frontier")
-        reached = reached.unionByName(new)
-        done = new.filter("src = target").select("source", "target")
-        frontier = new.join(small(done, "done"), ["source", "target"], "left_anti")
-    ends = reached.filter("src = target").select("source", "target", F.size("ranks").alias("depth"), "hops")
-    out = asked.join(ends, ["source", "target"], "left").select("source", "target", "depth", F.posexplode_outer("hops").alias("hop", "h"))
+    left, found = asked.filter("source != target"), []
+
+    def near(end: str, left: DataFrame, steps: DataFrame) -> DataFrame:
+        """(end, node, ranks) one step from the ends of the pairs that are left."""
+        ends = small(left.select(F.col(end).alias("src")).distinct(), "ends")
+        return stage(steps.join(ends, "src").select(F.col("src").alias(end), F.col("dst").alias("node"), F.array("rank").alias("ranks")), "near")
+
+    def far(end: str, left: DataFrame, first: DataFrame, steps: DataFrame, ahead: bool) -> DataFrame:
+        """(end, node, ranks) two steps away: the least ranks, in the order of the path."""
+        hubs = hubs_of(steps)
+        open_ends = first.join(small(left.select(end).distinct(), "ends"), end, "left_semi")
+        ranks = F.concat("ranks", F.array("rank")) if ahead else F.concat(F.array("rank"), "ranks")
+        met = to_parts(open_ends.withColumnRenamed("node", "src"), hubs).join(in_parts(steps.select("src", "dst", "rank"), hubs), ["src", "part"]).filter(F.col("dst") != F.col(end))
+        two = met.groupBy(end, F.col("dst").alias("node")).agg(F.min(ranks).alias("ranks"))
+        return stage(two.join(first.select(end, "node"), [end, "node"], "left_anti"), "far")
+
+    def settle(left: DataFrame, ahead: DataFrame, behind: DataFrame | None) -> DataFrame:
+        """Pairs whose halves meet leave with their path; the others are left."""
+        if behind is None:
+            met = left.join(ahead.withColumnRenamed("node", "target"), ["source", "target"]).select("source", "target", "ranks")
+        else:
+            halves = left.join(behind.withColumnRenamed("ranks", "rest"), "target").join(ahead, ["source", "node"])
+            met = halves.groupBy("source", "target").agg(F.min(F.concat("ranks", "rest")).alias("ranks"))
+        met = small(met, "met")
+        found.append(met)
+        return stage(left.join(met.select("source", "target"), ["source", "target"], "left_anti"), "left")
+
+    ahead = [near("source", left, walk)]
+    left = settle(left, ahead[0], None)
+    if depth > 1:
+        behind = [near("target", left, back)]
+        left = settle(left, ahead[0], behind[0])
+    if depth > 2:
+        ahead.append(far("source", left, ahead[0], walk, True))
+        left = settle(left, ahead[1], behind[0])
+    if depth > 3:
+        behind.append(far("target", left, behind[0], back, False))
+        left = settle(left, ahead[1], behind[1])
+    paths = stage(reduce(DataFrame.unionByName, found), "paths")
+    each = small(paths.select("source", "target", F.posexplode("ranks").alias("hop", "rank")), "hops")
+    steps = walk.join(each, "rank").groupBy("source", "target").agg(F.collect_list(F.struct("hop", "src", "dst", "way", "edge_id")).alias("steps"))  # two for each hop at most
+    hop = "named_struct('from_id', s.src, 'to_id', s.dst, 'way', s.way, 'edge_id', s.edge_id)"
+    follow = f"""aggregate(sequence(0, size(ranks) - 1), named_struct('at', source, 'hops', cast(array() as array<struct<from_id:string,to_id:string,way:string,edge_id:string>>)),
+        (acc, k) -> transform(filter(steps, s -> s.hop = k and s.src = acc.at), s -> named_struct('at', s.dst, 'hops', concat(acc.hops, array({hop}))))[0])"""
+    ends = paths.join(steps, ["source", "target"]).select("source", "target", F.size("ranks").alias("depth"), F.expr(follow)["hops"].alias("hops"))
+    same = asked.filter("source = target").select("source", "target", F.lit(0).alias("depth"), F.expr("cast(array() as array<struct<from_id:string,to_id:string,way:string,edge_id:string>>)").alias("hops"))
+    out = asked.join(ends.unionByName(same), ["source", "target"], "left").select("source", "target", "depth", F.posexplode_outer("hops").alias("hop", "h"))
     return out.select("source", "target", "depth", "hop", "h.from_id", "h.to_id", "h.way", "h.edge_id")
 
 
@@ -176,19 +230,28 @@ def career_transitions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(person_id, organization_id, edge_id, n_assertions, previous_edge_id, next_edge_id) for every person and organization.
 
     A career is ordered by date and edge id; around the last edge at an organization, the nearest edges elsewhere.
+
+    All careers are numbered in one order, dealt by range. Where a stay at an organization began is a running maximum,
+    taken block by block of numbers with what came before as a carry; neighbours are found by their number. So a person
+    with very many edges is no more work for one task than many persons.
     """
     people = nodes.filter("entity_type = 'PERSON'").select(F.col("id").alias("person_id"))
     career = edges.filter(F.col("predicate").isin(*CAREER_PREDICATES)).select(F.col("subject_entity_id").alias("person_id"), F.col("object_entity_id").alias("organization_id"), F.col("id").alias("edge_id"), F.coalesce("valid_from", "observed_at", F.lit("")).alias("at"))
-    career = career.join(people, "person_id", "left_semi")
-    order = W.partitionBy("person_id").orderBy("at", "edge_id")
-    so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    moved = ~F.lag("organization_id").over(order).eqNullSafe(F.col("organization_id"))
-    rows = career.withColumn("n", F.row_number().over(order)).withColumn("moved", moved).withColumn("island", F.sum(F.col("moved").cast("int")).over(so_far))
-    rows = rows.withColumn("before", F.lag("edge_id").over(order)).withColumn("after", F.lead("edge_id").over(order))
-    # an island's first row carries the last edge elsewhere; rows after the last edge at an organization are elsewhere
-    rows = rows.withColumn("previous", F.first("before").over(W.partitionBy("person_id", "island").orderBy("n").rowsBetween(W.unboundedPreceding, 0)))
-    last = rows.groupBy("person_id", "organization_id").agg(F.max_by(F.struct("edge_id", "previous", "after"), "n").alias("r"), F.count("*").alias("n_assertions"))
-    return last.select("person_id", "organization_id", F.col("r.edge_id").alias("edge_id"), "n_assertions", F.col("r.previous").alias("previous_edge_id"), F.col("r.after").alias("next_edge_id"))
+    rows = in_order(career.join(people, "person_id", "left_semi"), ["person_id", "at", "edge_id"], "careers", "n").select("n", "person_id", "organization_id", "edge_id")
+    rows = stage(rows, "careers")
+    last = stage(rows.groupBy("person_id", "organization_id").agg(F.max_by(F.struct("n", "edge_id"), "n").alias("r"), F.count("*").alias("n_assertions")).select("person_id", "organization_id", "n_assertions", "r.*"), "last")
+    before = rows.select((F.col("n") + 1).alias("n"), F.col("person_id").alias("_p"), F.col("organization_id").alias("_o"))
+    moved = ~(F.col("_p").eqNullSafe(F.col("person_id")) & F.col("_o").eqNullSafe(F.col("organization_id")))
+    began = rows.join(before, "n", "left").select("n", F.expr(f"n div {BLOCK}").alias("block"), F.when(moved, F.col("n")).alias("start"))
+    began = stage(began, "stays")
+    carry = began.groupBy("block").agg(F.max("start").alias("most"))  # one row for each block
+    carry = small(carry.select("block", F.max("most").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)).alias("carry")), "carries")
+    so_far = F.max("start").over(W.partitionBy("block").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
+    starts = began.withColumn("start", so_far).join(carry, "block").select("n", F.coalesce("start", "carry").alias("start"))
+    edge_at = lambda n, name: rows.select((F.col("n") + n).alias(f"_{name}"), "person_id", F.col("edge_id").alias(name))
+    found = last.join(starts, "n").withColumns({"_previous_edge_id": F.col("start"), "_next_edge_id": F.col("n")})
+    found = found.join(edge_at(1, "previous_edge_id"), ["_previous_edge_id", "person_id"], "left").join(edge_at(-1, "next_edge_id"), ["_next_edge_id", "person_id"], "left")
+    return found.select("person_id", "organization_id", "edge_id", "n_assertions", "previous_edge_id", "next_edge_id")
 
 
 def haystack(nodes: DataFrame) -> DataFrame:
@@ -197,24 +260,37 @@ def haystack(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "canonical_name", F.lower("canonical_name").alias("_name"), F.lower(F.concat_ws(" ", *parts)).alias("_text"))
 
 
-def search_entities(nodes: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+def parts_of(c: Column, n: int) -> Column:
+    """The distinct parts of n letters of a text."""
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def search_index(nodes: DataFrame) -> DataFrame:
+    """(part, id): all parts of one to three letters of what a search looks into. Holds for all searches of a graph, so compute it once."""
+    texts = haystack(nodes)
+    return texts.select("id", F.explode(F.flatten(F.array(*[parts_of(F.col("_text"), n) for n in range(1, GRAM + 1)]))).alias("part"))
+
+
+def search_entities(nodes: DataFrame, queries: DataFrame, limit: int = 20, index: DataFrame | None = None) -> DataFrame:
     """(query, rank, id, score) per query of a stated set: equal names 100, prefixes 80, parts 50; then by name.
 
-    Distinct queries are broadcast, ASKED at a time, and each task keeps a query's best rows before they meet those of
-    others. Blank queries find nothing.
+    A query looks only at nodes that have its rarest part of three letters (a shorter one at those that have it), and
+    then at their text. Each task keeps a query's best rows before they meet those of others. Blank queries find
+    nothing. index: search_index of the graph, if it is at hand.
     """
     keep = max(1, min(limit, MOST_RESULTS))
-    asked = queries.select(F.trim("query").alias("query")).filter("query != ''").distinct().withColumn("_q", F.lower("query"))
-    asked = in_order(asked, ["query"], "queries", "_block").withColumn("_block", F.expr(f"_block div {ASKED}"))
-    blocks = asked.agg(F.max("_block")).first()[0]
+    asked = stage(queries.select(F.trim("query").alias("query")).filter("query != ''").distinct().withColumn("_q", F.lower("query")), "queries")
+    own = F.when(F.length("_q") < GRAM, F.array("_q")).otherwise(parts_of(F.col("_q"), GRAM))
+    each = stage(asked.select("query", "_q", F.explode(own).alias("part")), "query-parts")
+    wanted = small(each.select("part").distinct(), "wanted")
+    postings = stage((search_index(nodes) if index is None else index).join(wanted, "part", "left_semi"), "postings")
+    sizes = each.join(small(postings.groupBy("part").agg(F.count("*").alias("n")), "sizes"), "part", "left")
+    rarest = sizes.groupBy("query", "_q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("part"))).alias("r")).filter("r.n > 0").select("query", "_q", F.col("r.part").alias("part"))
+    near = postings.join(small(rarest, "rarest"), "part").select("id", "query", "_q")
     score = F.when(F.col("_name") == F.col("_q"), 100).when(F.startswith("_name", "_q"), 80).when(F.contains("_text", "_q"), 50)
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "canonical_name", "id"))
-    texts, parts = haystack(nodes), []
-    for block in range((blocks or 0) + 1):
-        part = F.broadcast(asked.filter(F.col("_block") == block))
-        found = texts.join(part, F.contains("_text", "_q")).withColumn("score", score)
-        parts.append(found.withColumn("rank", rank).filter(F.col("rank") <= keep).select("query", "rank", "id", "score"))
-    return reduce(DataFrame.unionByName, parts)
+    found = near.join(haystack(nodes), "id").filter(F.contains("_text", "_q")).withColumn("score", score)
+    return found.withColumn("rank", rank).filter(F.col("rank") <= keep).select("query", "rank", "id", "score")
 
 
 def traversal_trail(visits: DataFrame, keep: int = TRAIL) -> DataFrame:
@@ -230,17 +306,25 @@ def counts_of(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def snapshot_stats(nodes: DataFrame, edges: DataFrame, events: DataFrame, facts: DataFrame, rejected: DataFrame, forms: DataFrame) -> DataFrame:
-    """(statistic, value, n): totals, counts by kind, and how much came from deterministic extraction."""
-    def total(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count("*").alias("n")).select(F.lit(name).alias("statistic"), F.lit("").alias("value"), "n")
-
-    model = F.col("extraction_method") == "LLM_STRUCTURED"
-    sure = edges.filter(~F.coalesce(model, F.lit(False)))
-    parts = [total(nodes, "entities"), total(edges, "relationships"), total(events, "events"), total(facts, "facts"), total(rejected, "rejected"), total(edges.filter(model), "llm"),
-             total(sure.select("id").unionByName(events.select("id")).unionByName(facts.select("id")), "deterministic"),
-             *[total(nodes.filter(F.col("entity_type").isin(*kinds)), name) for name, kinds in (("people", ["PERSON"]), ("organizations", ["ORGANIZATION", "COMPANY"]), ("funds", ["FUND"]), ("securities", ["SECURITY"]))],
-             counts_of(nodes, "entity_type", "entity_type"), counts_of(edges, "predicate", "predicate"), counts_of(events, "event_type", "event_type"), counts_of(forms, "document_type", "form")]
-    return reduce(DataFrame.unionByName, parts)
+    """(statistic, value, n): totals, counts by kind, and how much came from deterministic extraction.
+
+    Each table is read once, for its counts by kind; all statistics are sums of these few rows.
+    """
+    kind = lambda c: F.coalesce(F.col(c), F.lit("")) if c else F.lit("")
+    model = F.coalesce(F.col("extraction_method") == "LLM_STRUCTURED", F.lit(False))
+    read = [("entities", nodes, "entity_type", F.lit(False)), ("relationships", edges, "predicate", model), ("events", events, "event_type", F.lit(False)), ("facts", facts, None, F.lit(False)), ("rejected", rejected, None, F.lit(False)), ("forms", forms, "document_type", F.lit(False))]
+    counted = reduce(DataFrame.unionByName, [df.groupBy(kind(c).alias("value"), m.alias("model")).agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "value", "model", "n") for name, df, c, m in read])
+    counted = stage(counted, "counts")
+    of = lambda *names: F.col("table").isin(*names)
+    groups = {"people": ["PERSON"], "organizations": ["ORGANIZATION", "COMPANY"], "funds": ["FUND"], "securities": ["SECURITY"]}
+    totals = {name: of(name) for name, *_ in read[:-1]} | {
+        "llm": of("relationships") & F.col("model"), "deterministic": of("relationships", "events", "facts") & ~F.col("model"),
+        **{name: of("entities") & F.col("value").isin(*kinds) for name, kinds in groups.items()}}
+    sums = counted.agg(*[F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)).alias(name) for name, which in totals.items()])
+    names = {"entities": "entity_type", "relationships": "predicate", "events": "event_type", "forms": "form"}
+    statistic = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("table")]
+    by_kind = counted.filter(of(*names)).groupBy(statistic.alias("statistic"), "value").agg(F.sum("n").alias("n"))
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(name).alias("statistic"), F.lit("").alias("value"), F.col(name).alias("n")) for name in totals]))).unionByName(by_kind)
 
 
 def exclude_fixtures(sources: DataFrame, entities: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

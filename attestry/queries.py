@@ -1018,13 +1018,15 @@ def traversal_trail(spark, sf_dir):
     return G.traversal_trail(B.bind(spark, sf_dir, _VISITS).withColumnRenamed("t", "at")).select("user_id", F.array_join("trail", ",").alias("trail"))
 
 
-@query(f"""with n as ({B.NODES}), e as ({B.EDGES}), v as ({B.EVENTS}), s as ({B.SOURCES}) select 'entities' as statistic, '' as value, count(*) as n from n union all select 'relationships', '', count(*) from e union all select 'events', '', count(*) from v union all select 'facts', '', 0 union all select 'rejected', '', 0
-    union all select 'llm', '', count(*) from e where extraction_method = 'LLM_STRUCTURED' union all select 'deterministic', '', (select count(*) from e where extraction_method <> 'LLM_STRUCTURED') + (select count(*) from v)
+@query(f"""with n as ({B.NODES}), e as ({B.EDGES}), v as ({B.EVENTS}), s as ({B.SOURCES}) select 'entities' as statistic, '' as value, count(*) as n from n union all select 'relationships', '', count(*) from e union all select 'events', '', count(*) from v union all select 'facts', '', count(*) from {{orders}} where o_orderkey % 2 = 0 union all select 'rejected', '', count(*) from {{lineitem}} where l_linenumber = 2
+    union all select 'llm', '', count(*) from e where extraction_method = 'LLM_STRUCTURED' union all select 'deterministic', '', (select count(*) from e where extraction_method <> 'LLM_STRUCTURED') + (select count(*) from v) + (select count(*) from {{orders}} where o_orderkey % 2 = 0)
     union all select 'people', '', count(*) from n where entity_type = 'PERSON' union all select 'organizations', '', count(*) from n where entity_type in ('ORGANIZATION', 'COMPANY') union all select 'funds', '', 0 union all select 'securities', '', count(*) from n where entity_type = 'SECURITY'
     union all select 'entity_type', entity_type, count(*) from n group by 2 union all select 'predicate', predicate, count(*) from e group by 2 union all select 'event_type', event_type, count(*) from v group by 2 union all select 'form', document_type, count(*) from s group by 2""")
 def snapshot_stats(spark, sf_dir):
     nodes, edges, events = (B.bind(spark, sf_dir, t) for t in (B.NODES, B.EDGES, B.EVENTS))
-    return G.snapshot_stats(nodes, edges, events, events.limit(0), events.limit(0), B.bind(spark, sf_dir, B.SOURCES))
+    facts = B.bind(spark, sf_dir, "select 'Q' || o_orderkey as id from {orders} where o_orderkey % 2 = 0")
+    rejected = B.bind(spark, sf_dir, "select l_orderkey as id from {lineitem} where l_linenumber = 2")
+    return G.snapshot_stats(nodes, edges, events, facts, rejected, B.bind(spark, sf_dir, B.SOURCES))
 
 
 @query(f"select 'sources' as kind, count(*) as n from ({B.SOURCES}) where provider <> 'TEST_FIXTURE' union all select 'entities', count(*) from ({B.NODES}) where not (id like '%7') union all select 'edges', count(*) from ({B.EDGES}) where source_document_id in (select id from ({B.SOURCES}) where provider <> 'TEST_FIXTURE')")
