@@ -38,8 +38,8 @@ MOST_WORDS, MOST_CANDIDATES = 1 << 21, 1 << 20
 #: Buckets (as bits) at least and at most, and words of text for which there is one.
 LEAST_BITS, MOST_BITS, BUCKET_WORDS = 16, 27, 4
 #: Values that a task sums up before it sends them, and slots that are summed up together.
-CHUNK, CELL_BITS = 1_500_000, 16
-SLICE_BYTES, BATCH_ROWS = 1 << 21, "1000"
+CHUNK, CELL_BITS = 1_000_000, 16
+SLICE_BYTES, BATCH_ROWS = 1 << 20, "500"
 DIGIT_BITS = 8
 #: Words end at these; phrases do not go beyond the second ones.
 IS_BLANK, IS_BREAK = np.zeros(256, bool), np.zeros(256, bool)
@@ -331,7 +331,7 @@ def pair_keys(trie: Trie | None, n: int) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def pairs_in_full_buckets(arrays: DataFrame, trie: Trie | None, n: int, bits: int, least: int) -> DataFrame:
-    """(row, word): the pairs of pair_keys whose bucket has at least `least`, some more than once."""
+    """(row, word): the pairs of pair_keys whose bucket has at least `least`. Tasks send them packed, by cells of buckets, where each stays once."""
     keys = pair_keys(trie, n)
     bucket = lambda key: (mix(key.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
     packed = lambda cell, total: pa.RecordBatch.from_pydict({"cell": pa.array([cell], pa.int32()), "full": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
@@ -346,11 +346,24 @@ def pairs_in_full_buckets(arrays: DataFrame, trie: Trie | None, n: int, bits: in
         b = bucket(key)
         return key[((full[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1) > 0]
 
-    def distinct(key: np.ndarray) -> pa.RecordBatch:
+    def by_cell(key: np.ndarray) -> pa.RecordBatch:
         key = np.unique(key)
-        return pa.RecordBatch.from_pydict({"row": pa.array(key >> 32, pa.int64()), "word": pa.array(key & 0xFFFFFFFF, pa.int32())})
+        cell = bucket(key) >> CELL_BITS
+        order = np.argsort(cell, kind="stable")
+        cell, key = cell[order], key[order]
+        cut = np.flatnonzero(np.diff(cell, prepend=-1))
+        return pa.RecordBatch.from_pydict({"cell": pa.array(cell[cut], pa.int32()), "keys": pa.array([x.astype("<i8").tobytes() for x in np.split(key, cut[1:])] if len(cut) else [], pa.binary())})
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for x in batch.to_pylist():
+                key = np.frombuffer(x["keys"], "<i8")
+                held[x["cell"]] = np.union1d(held[x["cell"]], key) if x["cell"] in held else key
+        for key in held.values():
+            yield pa.RecordBatch.from_pydict({"row": pa.array(key >> 32, pa.int64()), "word": pa.array(key & 0xFFFFFFFF, pa.int32())})
 
-    return scanned(arrays, "row long, word int", likely, distinct)
+    return scanned(arrays, "cell int, keys binary", likely, by_cell).repartition("cell").mapInArrow(distinct, "row long, word int")
 
 
 def counted(arrays: DataFrame, trie: Trie, start: int, least: int) -> DataFrame:
@@ -387,10 +400,10 @@ def frequent_phrases(arrays: DataFrame, vocabulary: DataFrame, n_words: int, tot
         before, found = levels[-1], []
         if n == 2:
             pairs = pairs_in_full_buckets(arrays, None, 2, bits, least)
-            found.append(pairs.distinct().select(F.array(F.col("row").cast("int"), "word").alias("w")))
+            found.append(pairs.select(F.array(F.col("row").cast("int"), "word").alias("w")))
         else:
             for start, trie in in_tries(before, n - 1, total, digits):
-                pairs = pairs_in_full_buckets(arrays, trie, n, bits, least).distinct().select((F.col("row") + start).alias("number"), "word")
+                pairs = pairs_in_full_buckets(arrays, trie, n, bits, least).select((F.col("row") + start).alias("number"), "word")
                 found.append(pairs.join(before.select("number", "w"), "number").select(F.concat("w", F.array("word")).alias("w")))
         likely = reduce(DataFrame.unionByName, found) if found else before.select("w").limit(0)
         ends = before.select(F.col("w").alias("end"))
