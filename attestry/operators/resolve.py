@@ -256,19 +256,21 @@ def record_unresolved(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
 def resolve_person_for_issuer(mentions: DataFrame, people: DataFrame, edges: DataFrame, predicates: tuple[str, ...]) -> DataFrame:
     """mentions (mention_id, name, issuer_id) with person_id where exactly one person of the issuer fits.
 
-    A person fits by an equal normalised name, or by the first initial and the last word of a name of two words or more.
+    A person fits by an equal normalised name, or by the first initial and the last word of a name of two words or more;
+    a mention meets only people of the issuer that share one of both.
     """
     def words(c: Column) -> Column:
         return F.filter(F.split(F.regexp_replace(F.lower(normalize_name(c)), "[^a-z0-9 ]", ""), " +"), lambda w: w != "")
 
+    def keys(name: Column, w: Column, least: int) -> Column:
+        """What two names that fit have in common: the name as a whole, or initial and last word."""
+        initials = F.when(F.size(w) >= least, F.concat_ws(" ", F.lit("i"), F.substring(F.get(w, F.lit(0)), 1, 1), F.element_at(w, -1)))
+        return F.explode(F.array_compact(F.array(F.concat(F.lit("n "), name), initials))).alias("_key")
+
     at = edges.filter(F.col("predicate").isin(*predicates)).select(F.col("subject_entity_id").alias("person_id"), F.col("object_entity_id").alias("issuer_id")).distinct()
-    known = people.filter("entity_type = 'PERSON'").select(F.col("id").alias("person_id"), F.lower("canonical_name").alias("p_name"), words(F.col("canonical_name")).alias("p_words"))
-    asked = mentions.withColumns({"m_name": F.lower(normalize_name(F.col("name"))), "m_words": words(F.col("name"))})
-    pairs = asked.join(at, "issuer_id").join(known, "person_id")
-    first, last = lambda w: F.substring(F.get(w, F.lit(0)), 1, 1), lambda w: F.element_at(w, -1)
-    long = (F.size("m_words") > 1) & (F.size("p_words") > 0)
-    initials = long & (F.when(F.size("p_words") > 0, first(F.col("p_words"))) == F.when(F.size("m_words") > 0, first(F.col("m_words")))) & (F.when(F.size("p_words") > 0, last(F.col("p_words"))) == F.when(F.size("m_words") > 0, last(F.col("m_words"))))
-    fits = pairs.filter((F.col("p_name") == F.col("m_name")) | F.coalesce(initials, F.lit(False)))
+    known = people.filter("entity_type = 'PERSON'").select(F.col("id").alias("person_id"), keys(F.lower("canonical_name"), words(F.col("canonical_name")), 1))
+    asked = mentions.select("mention_id", "issuer_id", keys(F.lower(normalize_name(F.col("name"))), words(F.col("name")), 2))
+    fits = asked.join(at.join(known, "person_id"), ["issuer_id", "_key"])
     return fits.groupBy("mention_id").agg(F.count_distinct("person_id").alias("n"), F.min("person_id").alias("person_id")).filter("n = 1").drop("n")
 
 
@@ -277,5 +279,3 @@ def entity_identity(entities: DataFrame, identifiers: DataFrame, aliases: DataFr
     ids = identifiers.groupBy("entity_id").agg(F.array_sort(F.collect_set(F.struct("scheme", "value"))).alias("identifiers"))
     names = aliases.groupBy("entity_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
     return entities.join(ids, "entity_id", "left").join(names, "entity_id", "left")
-
-

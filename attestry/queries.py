@@ -805,6 +805,26 @@ def run_summary(spark, sf_dir):
     return I.run_summary(runs, sources=B.bind(spark, sf_dir, _LINKS), events=B.bind(spark, sf_dir, "select 'r' || (o_custkey % 30) as run_id, 'E' || o_orderkey as id from {orders}"))
 
 
+@query(f"""with links as ({_LINKS}), r as (select 'r' || n_nationkey as run_id, n_nationkey as k from {{nation}})
+    select r.run_id, case when k % 5 = 4 then 'RUNNING' when k % 5 = 0 then 'FAILED' else 'COMPLETED' end as status, case when k % 5 = 0 then 'no page,timeout' else '' end as errors,
+        case when k % 2 = 0 and k % 5 <> 4 then 'S' || k end as target_entity_id, '2024-01-01' as started_at, case when k % 5 <> 4 then '2024-01-02' end as completed_at, coalesce(a.n, 0)::bigint as documents_processed,
+        coalesce(b.n, 0)::bigint as relationships_created, coalesce(c.n, 0)::bigint as events_created
+    from r left join (select run_id, count(distinct id) as n from links group by all) a using (run_id) left join (select 'r' || (l_suppkey % 30) as run_id, count(distinct (l_orderkey, l_partkey, l_suppkey)) as n from {{lineitem}} group by all) b using (run_id)
+        left join (select 'r' || (o_custkey % 30) as run_id, count(*) as n from {{orders}} group by all) c using (run_id)""")
+def run_life_cycle(spark, sf_dir):
+    """Runs as they begin and end: status, errors, target and what they touched; every fifth is still running."""
+    k = F.col("n_nationkey")
+    nations = read(spark, sf_dir, "nation").select(k, F.concat(F.lit("r"), k).alias("run_id"))
+    runs = I.start_runs(nations.select("run_id", F.lit("filings").alias("agent_type"), F.lit(None).cast("map<string,string>").alias("metadata")), "2024-01-01")
+    none = F.array().cast("array<string>")
+    ends = nations.filter(k % 5 != 4).select("run_id", F.when(k % 5 == 0, "FAILED").otherwise("COMPLETED").alias("status"), F.when(k % 5 == 0, F.array(F.lit("no page"), F.lit("timeout"))).otherwise(none).alias("errors"), F.when(k % 2 == 0, F.concat(F.lit("S"), k)).alias("target_entity_id"))
+    links = {
+        "sources": B.bind(spark, sf_dir, _LINKS), "events": B.bind(spark, sf_dir, "select 'r' || (o_custkey % 30) as run_id, 'E' || o_orderkey as id from {orders}"),
+        "relationships": B.bind(spark, sf_dir, "select 'r' || (l_suppkey % 30) as run_id, 'H' || l_orderkey || '-' || l_partkey || '-' || l_suppkey as id from {lineitem}")}
+    done = I.finish_runs(runs, ends, links, "2024-01-02")
+    return done.select("run_id", "status", F.array_join("errors", ",").alias("errors"), "target_entity_id", "started_at", "completed_at", "documents_processed", "relationships_created", "events_created")
+
+
 @query("select 'relationships' as kind, 0::bigint as n union all select 'evidence', 0 union all select 'entities', 0")
 def replay_is_noop(spark, sf_dir):
     def added(first: DataFrame, again: DataFrame, kind: str) -> DataFrame:
