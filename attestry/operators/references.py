@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import candidate_key, stable_id
-from ..sources.staging import in_order, small, stage
+from ..sources.staging import in_order, same_rows, small, stage
 from .survivorship import first_authoritative
 from .validate import validate_entities
 
@@ -79,10 +79,9 @@ def make_stubs(left: DataFrame, run_keys: DataFrame) -> tuple[DataFrame, DataFra
         pointed = rows.select("n").join(given, "n", "left").join(met, "n", "left").join(computed, "n", "left").select("n", of.alias("maker"))
         pointed = stage(pointed.filter("maker is not null"), "pointed")
         makers = stage(rows.filter(usual).select("n", "run_id", "candidate_key").join(pointed.select("n"), "n", "left_anti"), "makers")
-        now = makers.agg(F.count("*"), F.sum(F.xxhash64("n").cast("decimal(38,0)"))).first()
-        if now == last:
+        if last is not None and same_rows(makers, last, "n"):
             break
-        last = now
+        last = makers
     auth = first_authoritative(F.col("identifiers"))
     entity = F.when(auth.isNotNull(), stable_id("entity", F.concat_ws(":", auth["scheme"], auth["value"]))).otherwise(stable_id("entity-unresolved", F.col("run_id"), F.col("candidate_key")))
     made = rows.join(makers.select("n"), "n").withColumn("entity_id", entity)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import candidate_key, identifier_list, normalize_name, stable_id
-from ..sources.staging import stage
+from ..sources.staging import same_rows, stage
 from .survivorship import first_authoritative, first_wins, last_wins
 
 #: Identifiers of entities that exist before the run: scheme, value, entity_id.
@@ -75,11 +75,10 @@ def _resolved(rows: DataFrame, owners: DataFrame | None) -> DataFrame:
             holders = _holders(dedupe_within_run(accepted), owners)
             found = unnamed.join(holders, ["scheme", "value"]).filter(F.col("holder") < F.col("seq")).select(*rows.columns)
             found = stage(found, "unnamed")
-            now = found.agg(F.count("*"), F.sum(F.xxhash64("seq").cast("decimal(38,0)"))).first()
             accepted = named.unionByName(found)
-            if now == before:
+            if before is not None and same_rows(found, before, "seq"):
                 break
-            before = now
+            before = found
     kept = stage(dedupe_within_run(accepted), "kept")
     holders = _holders(kept, owners)
     linked = kept.join(holders, ["scheme", "value"], "left")

@@ -341,7 +341,26 @@ def name_only_separation(spark, sf_dir):
     return rows.groupBy("candidate_key").agg(F.count_distinct("entity_id").alias("entities"), F.count("*").alias("records"))
 
 
-@query()
+#: Who is accepted depends on who was: so many rounds of the rule, of which the last few change nothing.
+_ROUNDS = 8
+_ACCEPTED = f"""with recursive every as materialized (select *, case when s1 in ({_SCHEMES}) then s1 when s2 in ({_SCHEMES}) then s2 end as ascheme, case when s1 in ({_SCHEMES}) then v1 when s2 in ({_SCHEMES}) then v2 end as avalue from {_KEYED}),
+    s0 as (select * from every where canonical_name <> ''), """ + "".join(f"""
+    kept{n} as materialized (select * from s{n} qualify row_number() over (partition by run_id, k order by seq) = 1),
+    own{n} as materialized (select scheme, value, min(seq) as holder from (select s1 as scheme, v1 as value, seq from kept{n} where s1 is not null union all select s2, v2, seq from kept{n} where s2 is not null) group by all),
+    s{n + 1} as (select * from s0 union all select e.* from every e join own{n} on scheme = ascheme and value = avalue and holder < seq where canonical_name is null),""" for n in range(_ROUNDS))
+_UNNAMED = f"""{_ACCEPTED}
+    kept as materialized (select * from s{_ROUNDS} qualify row_number() over (partition by run_id, k order by seq) = 1),
+    own as (select scheme, value, min(seq) as holder from (select s1 as scheme, v1 as value, seq from kept where s1 is not null union all select s2, v2, seq from kept where s2 is not null) group by all),
+    forest as materialized (select q.*, coalesce(least(holder, seq), seq) as parent from kept q left join own o on o.scheme = ascheme and o.value = avalue),
+    up as (select seq, parent as here from forest union all select up.seq, f.parent from up join forest f on f.seq = up.here where f.parent <> f.seq),
+    roots as (select seq, min(here) as root from up group by seq),
+    ids as (select f.seq as first, f.run_id, f.k, f.seq <> f.parent as resolved, coalesce({sid('entity', "t.ascheme || ':' || t.avalue")}, {sid('entity-unresolved', "t.run_id || ':' || t.k")}) as entity_id from roots join forest f using (seq) join forest t on t.seq = root)
+    select seq, e.k as candidate_key, coalesce(first = seq, false) as kept, case when first <= seq then entity_id end as entity_id,
+        case when first = seq and resolved then 'RESOLVED' when first = seq then 'CREATED' when first <= seq then 'REMEMBERED' else 'REJECTED' end as status
+    from every e left join ids i on i.run_id = e.run_id and i.k = e.k"""
+
+
+@query(_UNNAMED)
 def resolve_unnamed_entities(spark, sf_dir):
     return R.resolve_entities(B.entity_candidates(spark, sf_dir)).select("seq", "candidate_key", "kept", "entity_id", "status")
 

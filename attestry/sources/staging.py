@@ -40,6 +40,11 @@ def small(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
 
 
+def same_rows(a: DataFrame, b: DataFrame, key: str) -> bool:
+    """Whether nothing has changed between two rounds: the same keys, each of which is there once."""
+    return a.count() == b.count() and a.join(b.select(key), key, "left_anti").isEmpty()
+
+
 def in_order(df: DataFrame, by: list, name: str, number: str = "seq") -> DataFrame:
     """df with each row's number, from 0, in the total order of `by`: one distributed sort, whatever the values are."""
     dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
