@@ -15,22 +15,32 @@ from .survivorship import first_authoritative
 from .validate import validate_entities
 
 
+def digest(*said: Column) -> Column:
+    """128 bits of some columns, cheap to take. Nulls count: a hash alone would pass them over."""
+    each = [x for c in said for x in (c.isNull(), c)]
+    return F.concat_ws(".", F.xxhash64(F.lit(1), *each), F.xxhash64(F.lit(2), *each))
+
+
 def ref_key(run_id: Column, ref: Column) -> Column:
     """A digest of the run and what a reference can be resolved by; null for no reference."""
-    ids = F.transform(ref["identifiers"], lambda i: F.struct(i["scheme"].alias("s"), i["value"].alias("v")))
-    said = F.struct(run_id.alias("run"), ref["entity_id"].alias("id"), ref["candidate_key"].alias("key"), ids.alias("ids"))
-    return F.when(ref.isNotNull(), F.sha2(F.to_json(said), 256))
+    ids = F.transform(ref["identifiers"], lambda i: F.struct(i["scheme"].isNull(), i["scheme"], i["value"].isNull(), i["value"]))
+    return F.when(ref.isNotNull(), digest(run_id, ref["entity_id"], ref["candidate_key"], F.size(ref["identifiers"]), ids))
+
+
+def stubable(ref: Column) -> Column:
+    """Whether a reference that nothing answers to can make an entity."""
+    return (F.coalesce(ref["entity_type"], F.lit("")) != "") & (F.coalesce(ref["canonical_name"], F.lit("")) != "")
 
 
-def known_refs(refs: DataFrame, entities: DataFrame, run_keys: DataFrame, owners: DataFrame) -> DataFrame:
-    """(key, entity_id) of the distinct references (key, run_id, ref) that something known answers to.
+def known_refs(refs: DataFrame, entities: DataFrame, run_keys: DataFrame, owners: DataFrame) -> tuple[DataFrame, bool]:
+    """(key, entity_id) of the distinct references (key, run_id, ref) that something known answers to, and whether any other could make an entity.
 
     In turn: an entity id that exists, a key of this run, any identifier in array order. What was known before a kind is
     taken counts before what references of that kind bring in.
     """
     ids = F.transform("ref.identifiers", lambda i: F.struct(i["scheme"].alias("scheme"), i["value"].alias("value")))
     said = F.struct("run_id", F.col("ref.entity_id").alias("given"), F.col("ref.candidate_key").alias("candidate_key"), ids.alias("ids"))
-    asked = stage(refs.filter("key is not null").groupBy("key").agg(F.first(said).alias("r")).select("key", "r.*"), "asked")
+    asked = stage(refs.filter("key is not null").groupBy("key").agg(F.first(said).alias("r"), F.bool_or(stubable(F.col("ref"))).alias("able")).select("key", "able", "r.*"), "asked")
     by_id = entities.select(F.col("entity_id").alias("given")).distinct().withColumn("_by_id", F.col("given"))
     keys = run_keys.filter("entity_id is not null and candidate_key is not null")
     by_key = keys.groupBy("run_id", "candidate_key").agg(F.min("entity_id").alias("_by_key"))
@@ -38,7 +48,8 @@ def known_refs(refs: DataFrame, entities: DataFrame, run_keys: DataFrame, owners
     each = asked.select("key", F.posexplode("ids").alias("pos", "i")).select("key", "pos", "i.scheme", "i.value")
     by_ids = each.join(owned, ["scheme", "value"]).groupBy("key").agg(F.min(F.struct("pos", "entity_id")).alias("_m"))
     found = asked.join(by_id, "given", "left").join(by_key, ["run_id", "candidate_key"], "left").join(by_ids, "key", "left")
-    return found.select("key", F.coalesce("_by_id", "_by_key", "_m.entity_id").alias("entity_id")).filter("entity_id is not null")
+    found = stage(found.select("key", "able", F.coalesce("_by_id", "_by_key", "_m.entity_id").alias("entity_id")), "answered")
+    return small(found.filter("entity_id is not null").select("key", "entity_id"), "known"), not found.filter("able and entity_id is null").isEmpty()
 
 
 def make_stubs(left: DataFrame, run_keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,9 +64,8 @@ def make_stubs(left: DataFrame, run_keys: DataFrame) -> tuple[DataFrame, DataFra
     """
     ref = F.col("ref")
     no_ids = F.array().cast(left.schema["ref"].dataType["identifiers"].dataType)
-    able = (F.coalesce(ref["entity_type"], F.lit("")) != "") & (F.coalesce(ref["canonical_name"], F.lit("")) != "")
     flat = left.select(
-        "seq", "pos", "run_id", "source_agent", able.alias("able"), ref["candidate_key"].alias("given_key"), ref["entity_type"].alias("entity_type"),
+        "seq", "pos", "run_id", "source_agent", stubable(ref).alias("able"), ref["candidate_key"].alias("given_key"), ref["entity_type"].alias("entity_type"),
         ref["canonical_name"].alias("canonical_name"), F.coalesce(ref["identifiers"], no_ids).alias("identifiers"))
     rows = in_order(flat, ["seq", "pos"], "stub-order", "n")
     own_key = candidate_key(F.col("run_id"), F.concat_ws("/", "seq", "pos"), F.col("given_key"), *[F.col(c) for c in ("source_agent", "entity_type", "canonical_name", "identifiers")])
@@ -98,22 +108,23 @@ def resolve_refs(rows: DataFrame, ends: dict[str, str], entities: DataFrame, run
 
     ends: name of the answer's column -> name of the reference column. rows should be staged.
     """
-    keyed = stage(rows.withColumns({f"_k_{name}": ref_key(F.col("run_id"), F.col(c)) for name, c in ends.items()}), "keyed")
+    keyed = rows.withColumns({f"_k_{name}": ref_key(F.col("run_id"), F.col(c)) for name, c in ends.items()})
     asked = None
     for name, c in ends.items():
         one = keyed.select(F.col(f"_k_{name}").alias("key"), "run_id", F.col(c).alias("ref"))
         asked = one if asked is None else asked.unionByName(one)
-    found = small(known_refs(asked, entities, run_keys, owners), "known")
+    found, more = known_refs(asked, entities, run_keys, owners)
     for name in ends:
         keyed = keyed.join(found.select(F.col("key").alias(f"_k_{name}"), F.col("entity_id").alias(name)), f"_k_{name}", "left")
     keyed = keyed.drop(*[f"_k_{name}" for name in ends])
+    if not more:
+        return keyed, None
+    keyed = stage(keyed, "keyed")
     parts = [keyed.filter(F.col(name).isNull() & F.col(c).isNotNull()).select("seq", F.lit(k).alias("pos"), "run_id", "source_agent", F.col(c).alias("ref")) for k, (name, c) in enumerate(ends.items())]
     left = parts[0]
     for p in parts[1:]:
         left = left.unionByName(p)
     left = stage(left, "left")
-    if left.filter("coalesce(ref.entity_type, '') != '' and coalesce(ref.canonical_name, '') != ''").isEmpty():
-        return keyed, None
     answers, stubs = make_stubs(left, run_keys)
     answers = small(answers, "stub-answers")
     for k, name in enumerate(ends):
@@ -123,7 +134,7 @@ def resolve_refs(rows: DataFrame, ends: dict[str, str], entities: DataFrame, run
 
 
 def source_key(ref: Column) -> Column:
-    return F.sha2(F.to_json(F.struct(ref["source_document_id"].alias("id"), ref["provider"].alias("p"), ref["external_id"].alias("x"), ref["sha256"].alias("s"))), 256)
+    return digest(*[ref[c] for c in ("source_document_id", "provider", "external_id", "sha256")])
 
 
 def known_sources(refs: DataFrame, sources: DataFrame) -> DataFrame:
@@ -153,12 +164,13 @@ def with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 def resolve_entity_refs(refs: DataFrame, entities: DataFrame, run_keys: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """refs (ref_id, run_id, seq, source_agent, ref) with entity_id, and the stubs that were made, if any; ref_id orders refs of one seq."""
-    keyed = stage(refs.withColumn("_k", ref_key(F.col("run_id"), F.col("ref"))), "refs")
-    found = small(known_refs(keyed.select(F.col("_k").alias("key"), "run_id", "ref"), entities, run_keys, owners), "known")
+    keyed = refs.withColumn("_k", ref_key(F.col("run_id"), F.col("ref")))
+    found, more = known_refs(keyed.select(F.col("_k").alias("key"), "run_id", "ref"), entities, run_keys, owners)
     out = keyed.join(found.withColumnRenamed("key", "_k"), "_k", "left").drop("_k")
-    left = stage(out.filter("entity_id is null and ref is not null").select("seq", F.col("ref_id").alias("pos"), "run_id", "source_agent", "ref"), "left")
-    if left.filter("coalesce(ref.entity_type, '') != '' and coalesce(ref.canonical_name, '') != ''").isEmpty():
+    if not more:
         return out, None
+    out = stage(out, "refs")
+    left = stage(out.filter("entity_id is null and ref is not null").select("seq", F.col("ref_id").alias("pos"), "run_id", "source_agent", "ref"), "left")
     answers, stubs = make_stubs(left, run_keys)
     mine = small(answers, "stub-answers").select("seq", F.col("pos").alias("ref_id"), F.col("entity_id").alias("_stub"))
     return out.join(mine, ["seq", "ref_id"], "left").withColumn("entity_id", F.coalesce("entity_id", "_stub")).drop("_stub"), stubs
