@@ -6,9 +6,13 @@ and place therein); and how many rows were seen. A caller who names a state fold
 call, also after a restart; a feed is named too, and one that was fed already is not counted again.
 
 Digests that were hit more than once are checked on full bytes. Contents are read by their locators: those of this
-call's rows, and those of rows to keep from earlier calls. Equal contents fold before they are shuffled, so each task
-sends a digest's bytes once. Should two different texts ever share a digest, this call's groups with that digest are
-formed again on the texts themselves.
+call's rows (by their digest where more than BROADCAST_ROWS rows were hit, which spares a shuffle of all texts), and
+those of rows to keep from earlier calls. Equal contents fold before they are shuffled, so each task sends a digest's
+bytes once. Should two different texts ever share a digest, this call's groups with that digest are formed again on the
+texts themselves.
+
+Without a state folder, what a call writes goes when the driver ends, and its state at once. In a state folder the log
+of changed keys is merged at the start of a call when it has more than MOST_BATCHES parts.
 
 Defined results: a null text counts as empty, so null, empty and all-space texts form one group. Rows with a null id
 sort after all others when lengths tie. Repeated rows (same id and text) count each for themselves in group_size, and
@@ -23,12 +27,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import is_file_scan, join_split, located, settings, spool, spool_path
+from .shared import discard, discard_at_end, is_file_scan, join_split, located, settings, spool, spool_path
 
 #: Deleted before texts are compared: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 #: Broadcast the digests that were hit only up to so many rows (about 100 bytes each).
 BROADCAST_ROWS = 100_000
+#: Parts of a state folder's log of changed keys above which it is merged.
+MOST_BATCHES = 64
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FED = "doc_id long, n_points long, digest string, file string, place long"
 KEEPER = "struct<n_points: bigint, named: boolean, neg_id: bigint, file: string, neg_place: bigint>"
@@ -64,6 +70,7 @@ def keyed_state(spark: SparkSession, fed: str, state_dir: str, files_per_batch:
     itself. group_size only grows, so the row with the largest one is a key's present state.
     """
     changed = f"{state_dir}/changed"
+    merge_changes(spark, changed)
     stream = spark.readStream.schema(FED).option("maxFilesPerTrigger", files_per_batch).parquet(fed)
     state = stream.groupBy("digest").agg(_keeper().alias("keeper"), F.count("*").alias("group_size"))
 
@@ -72,10 +79,30 @@ def keyed_state(spark: SparkSession, fed: str, state_dir: str, files_per_batch:
 
     run = state.writeStream.outputMode("update").option("checkpointLocation", f"{state_dir}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     run.awaitTermination()
-    rows = spark.read.schema(f"digest string, keeper {KEEPER}, group_size bigint").option("basePath", changed).parquet(f"{changed}/batch=*")
+    return present_state(spark, [f"{changed}/batch=*"])
+
+
+def present_state(spark: SparkSession, parts: list[str]) -> DataFrame:
+    rows = spark.read.schema(f"digest string, keeper {KEEPER}, group_size bigint").parquet(*parts)
     return rows.groupBy("digest").agg(F.max(F.struct("group_size", "keeper")).alias("last")).select("digest", "last.keeper", "last.group_size")
 
 
+def merge_changes(spark: SparkSession, changed: str) -> None:
+    """Write a long log's present state as one part and delete the parts it was made of.
+
+    A crash between the two, or a batch that is repeated later, only leaves states twice or older ones, of which the
+    largest group_size counts.
+    """
+    if not _exists(spark, changed):
+        return
+    where = spark._jvm.org.apache.hadoop.fs.Path(changed)
+    parts = [s.getPath().toString() for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
+    if len(parts) > MOST_BATCHES:
+        present_state(spark, parts).write.parquet(f"{changed}/batch=merged-{uuid.uuid4().hex}")
+        for part in parts:
+            discard(spark, part)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
@@ -84,7 +111,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def _marked(rows: DataFrame, text_col: str, state_dir: str | None, run: str | None, files_per_batch: int) -> DataFrame:
     """Located rows (doc_id, text, file, place) with keep_id, group_size, digest, and mine: whether this very row is the one to keep."""
     spark = rows.sparkSession
-    state_dir = state_dir or spool_path(spark, "dedup")
+    lasting, state_dir = state_dir is not None, state_dir or spool_path(spark, "dedup")
     fed = f"{state_dir}/fed/run={run or uuid.uuid4().hex}"
     if not _exists(spark, f"{fed}/_SUCCESS"):
         fingerprints(rows).write.mode("overwrite").parquet(fed)
@@ -96,6 +123,10 @@ def _marked(rows: DataFrame, text_col: str, state_dir: str | None, run: str | No
         state = keyed_state(spark, f"{state_dir}/fed", state_dir, files_per_batch)
         hits = spool(state.filter("group_size > 1"), "hits")
         n_hits = hits.count()
+    if not lasting:
+        discard_at_end(spark, state_dir)
+        for part in ("changed", "checkpoint"):
+            discard(spark, f"{state_dir}/{part}")
     few = n_hits <= BROADCAST_ROWS
     flat = hits.select("digest", "group_size", (-F.col("keeper.neg_id")).alias("keep_id"), F.col("keeper.file").alias("keep_file"), (-F.col("keeper.neg_place")).alias("keep_place"))
     if few:
@@ -106,18 +137,22 @@ def _marked(rows: DataFrame, text_col: str, state_dir: str | None, run: str | No
     alone = F.col("group_size").isNull()
     mine = alone | ((F.col("file") == F.col("keep_file")) & (F.col("place") == F.col("keep_place")))
     joined = joined.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "digest", mine.alias("mine"), "file", "place")
-    differ = spool(_different(rows, flat, few, text_col), "differ") if n_hits else None
+    differ = spool(_different(rows, slim, flat, few, text_col), "differ") if n_hits else None
     if differ is None or differ.isEmpty():
         return joined
     return joined.join(differ, "digest", "left_anti").unionByName(by_text(rows, differ))
 
 
-def _different(rows: DataFrame, hits: DataFrame, few: bool, text_col: str) -> DataFrame:
+def _different(rows: DataFrame, slim: DataFrame, hits: DataFrame, few: bool, text_col: str) -> DataFrame:
     """Digests among the hits whose contents are not all the same bytes. Rows to keep from earlier calls are read too."""
     spark = rows.sparkSession
     digests = hits.select("digest")
-    contents = rows.select(digest_of(F.col("text")).alias("digest"), normalised(F.col("text")).alias("bytes"))
-    contents = contents.join(F.broadcast(digests) if few else digests, "digest", "left_semi")
+    places = spool(slim.join(F.broadcast(digests) if few else digests, "digest", "left_semi").select("file", "place", "digest"), "places")
+    if places.count() <= BROADCAST_ROWS:
+        contents = rows.join(F.broadcast(places), ["file", "place"]).select("digest", normalised(F.col("text")).alias("bytes"))
+    else:
+        contents = rows.select(digest_of(F.col("text")).alias("digest"), normalised(F.col("text")).alias("bytes"))
+        contents = contents.join(F.broadcast(digests) if few else digests, "digest", "left_semi")
     here = rows.select("file").distinct()
     earlier = spool(hits.join(here, hits["keep_file"] == here["file"], "left_anti").select("digest", F.col("keep_file").alias("file"), F.col("keep_place").alias("place")), "earlier")
     files = [r.file for r in earlier.select("file").distinct().collect()]  # as many as earlier files

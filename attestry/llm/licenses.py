@@ -143,9 +143,11 @@ def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
     """(index of the first word, label) of each phrase."""
     joined, out = b" " + b" ".join(words) + b" ", []
     for phrase, label in PHRASES:
-        sought, at = f" {phrase} ".encode(), -1
+        sought, at, since, k = f" {phrase} ".encode(), -1, 0, 0
         while (at := joined.find(sought, at + 1)) >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            k += joined.count(b" ", since, at)  # words since the last place
+            since = at
+            out.append((k, label))
     return out
 
 

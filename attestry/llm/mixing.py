@@ -5,17 +5,21 @@ chosen by a hash of their id) and gives every document its domain posteriors. Th
 gradient descent from r = 1, the squared distance between the expected domain token totals and the asked shares of the
 natural total. The projection is lazy: a point y, of any sign, takes the steps, and the rates are max(0, y). As y moves
 along the posteriors only, y = 1 + p * m with one number m per domain, so a step needs one sum over all documents (a
-few numbers per domain reach the driver), and a document's rate follows from its posteriors and m. A step is measured
-by the Gram matrix of the documents whose rate is above 0 and halved until it makes progress; of all rates that meet
-the shares those nearest to 1 come out.
+few numbers per domain reach the driver), and a document's rate follows from its posteriors and m. A step is scaled by
+the inverse of the Gram matrix of the documents whose rate is above 0 (a projected Newton step on the numbers m) and
+halved until it makes progress; of all rates that meet the shares those nearest to 1 come out.
 
-Shares that STEPS steps do not reach are an error. With epochs, a domain's target is at most so many times its natural
-total, no rate is above twice that, and the rates come as near as STEPS steps bring them; a warning then gives the totals where they are not those
-asked for. mix_with_totals returns natural totals, targets and totals reached in any case.
+Where no rates meet the shares, the nearest come out: those with the least squared distance of the shares plus NEAR
+times the mean squared distance of the rates from 1; a warning gives the totals reached, and must_reach makes it an
+error. With epochs, a domain's target is at most so many times its natural total; what it then lacks is asked of the
+other domains by their weights, up to epochs times what their weights ask, so that the targets sum to the natural total
+unless the corpus is mostly of domains that shall be rare; and no rate is above twice epochs.
+mix_with_totals returns natural totals, targets and totals reached in any case.
 
 Defined results: a null text counts as empty, has no tokens and evenly unknown membership (the model's intercept).
 Repeated rows each get their row. Rows with a null id are rated like others but are never trained on. With no usable
-labels all documents are equally likely in each domain. An empty table gives no rows.
+labels all documents are equally likely in each domain and all rates are 1, since no rates change the shares. Labels of
+one kind make the other domains improbable; a single row can only be rated as a whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,8 +43,8 @@ DOMAINS = ("clean", "junk", "toxic")
 WEIGHTS = (0.97, 0.02, 0.01)
 #: Steps after which shares count as out of reach, halvings of a step, and how near to a target a total must come, as a part of it.
 STEPS, HALVINGS, CLOSE = 40, 12, 1e-4
-#: With epochs: how much a rate's distance from 1 counts beside the distance from the targets.
-PULL = 1e-3
+#: With epochs, and where the shares are out of reach: how much a rate's distance from 1 counts beside the distance from the targets.
+PULL, NEAR = 1e-3, 1e-4
 
 
 class Fit(NamedTuple):
@@ -135,8 +139,20 @@ def rate_of(y: Column, most: float | None) -> Column:
     return rate if most is None else F.least(F.lit(float(most)), rate)
 
 
-def fit_rates(rows: DataFrame, weights: tuple[float, ...], epochs: float | None = None) -> Fit:
-    """The m under which every domain's expected tokens come within CLOSE of its target."""
+def reachable(asked: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """asked with no domain above its most; what is cut goes to the other domains in proportion, as far as they can take it."""
+    out, free = np.minimum(asked, most), asked < most
+    while free.any() and (lacking := asked.sum() - out.sum()) > 1e-12 * asked.sum():
+        part = np.where(free, asked, 0.0)
+        if not part.sum():
+            part = free.astype(float)
+        out = np.minimum(out + lacking * part / part.sum(), most)
+        free &= out < most
+    return out
+
+
+def fit_rates(rows: DataFrame, weights: tuple[float, ...], epochs: float | None = None, must_reach: bool = False) -> Fit:
+    """The m under which every domain's expected tokens come within CLOSE of its target, or as near as any rates bring them."""
     kinds = len(weights)
     total = float(rows.agg(F.sum("n_tokens")).first()[0] or 0)
     part = F.col("n_tokens") / F.lit(total or 1.0)
@@ -158,55 +174,70 @@ def fit_rates(rows: DataFrame, weights: tuple[float, ...], epochs: float | None
     value, share, gram = look([m])[0]
     natural, asked = share, np.array(weights, float) / sum(weights) * share.sum()
     if epochs is not None:
-        asked = np.minimum(asked, epochs * natural)
-    # a slight pull of the rates towards 1, which stops a chase after shares out of reach or of a domain that is next to nothing
-    pull = 1e-9 * gram if epochs is None else PULL * (gram + PULL * np.eye(kinds))
-    for _ in range(STEPS):
-        slope = share - asked + pull @ m
-        if np.abs(slope / np.maximum(asked, 1e-12)).max(initial=0) < CLOSE:
-            break
-        step = np.linalg.solve(gram + pull + 1e-12 * np.eye(kinds), -slope)
-        height = value - m @ asked + m @ pull @ m / 2
-        for first in range(0, HALVINGS, 3):
-            points = [m + step / 2**k for k in range(first, first + 3)]
-            tried = [(v - x @ asked + x @ pull @ x / 2, v, s, g, x) for (v, s, g), x in zip(look(points), points)]
-            lowest = min(tried, key=lambda x: x[0])
-            if lowest[0] < height:
-                _, value, share, gram, m = lowest
+        asked = reachable(asked, epochs * np.minimum(natural, asked))
+
+    def descend(state: tuple, pull: np.ndarray) -> tuple:
+        """(value, share, gram, m) at the end of the steps from such a state."""
+        value, share, gram, m = state
+        for _ in range(STEPS):
+            slope = share - asked + pull @ m
+            if np.abs(slope / np.maximum(asked, 1e-12)).max(initial=0) < CLOSE:
                 break
-        else:
-            break
+            step = np.linalg.solve(gram + pull + 1e-12 * np.eye(kinds), -slope)
+            height = value - m @ asked + m @ pull @ m / 2
+            for first in range(0, HALVINGS, 3):
+                points = [m + step / 2**k for k in range(first, first + 3)]
+                tried = [(v - x @ asked + x @ pull @ x / 2, v, s, g, x) for (v, s, g), x in zip(look(points), points)]
+                lowest = min(tried, key=lambda x: x[0])
+                if lowest[0] < height:
+                    _, value, share, gram, m = lowest
+                    break
+            else:
+                break
+        return value, share, gram, m
+
+    start = (value, share, gram, m)
+    # a slight pull of the rates towards 1, which stops a chase after shares out of reach or of a domain that is next to nothing
+    _, share, _, m = descend(start, 1e-9 * gram if epochs is None else PULL * (gram + PULL * np.eye(kinds)))
     off = np.abs((share - asked) / np.maximum(asked, 1e-12)).max(initial=0)
     if off >= 2 * CLOSE and epochs is None:
-        raise ValueError(f"no rates of these documents reach the shares {asked.tolist()} of their tokens; the nearest are {share.tolist()}")
+        _, share, _, m = descend(start, NEAR * np.eye(kinds))
+        if must_reach:
+            raise ValueError(f"no rates of these documents reach the shares {asked.tolist()} of their tokens; the nearest are {share.tolist()}")
     return Fit(m, natural * total, asked * total, share * total)
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", epochs: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", epochs: float | None = None, must_reach: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_tokens, p (posteriors), rate, copies.
 
     copies rounds the rate up or down by a hash of the id and the rate's own fraction, so its mean is the rate.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _mixed(rows, labels, weights, domain, id_col, epochs)[0]
+    return _mixed(rows, labels, weights, domain, id_col, epochs, must_reach)[0]
 
 
-def mix_with_totals(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", epochs: float | None = None) -> tuple[DataFrame, Fit]:
+def mix_with_totals(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", epochs: float | None = None, must_reach: bool = False) -> tuple[DataFrame, Fit]:
     """mix, and the domains' tokens: natural, asked for and reached."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _mixed(rows, labels, weights, domain, id_col, epochs)
+    return _mixed(rows, labels, weights, domain, id_col, epochs, must_reach)
 
 
-def _mixed(rows: DataFrame, labels: DataFrame, weights: tuple[float, ...], domain: Column | None, id_col: str, epochs: float | None) -> tuple[DataFrame, Fit]:
+def _mixed(rows: DataFrame, labels: DataFrame, weights: tuple[float, ...], domain: Column | None, id_col: str, epochs: float | None, must_reach: bool = False) -> tuple[DataFrame, Fit]:
     known = labels.select(F.col(id_col).cast("long").alias("_id"), (label_domain() if domain is None else domain).cast("int").alias("domain")).filter("_id is not null and domain is not null")
     known = known.groupBy("_id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("_id"), "_id").limit(MOST_LABELS)
     chosen = rows.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_id", "domain", "text")
-    model = fit_softmax(*training_rows(chosen), len(weights))
-    found = spool(posteriors(rows, *model), "posteriors")
-    fit = fit_rates(found, weights, epochs)
+    texts, domains = training_rows(chosen)
+    found = spool(posteriors(rows, *fit_softmax(texts, domains, len(weights))), "posteriors")
+    if len(texts) or must_reach:
+        fit = fit_rates(found, weights, epochs, must_reach)
+    else:  # equal posteriors: the shares are the same at all rates
+        total = float(found.agg(F.sum("n_tokens")).first()[0] or 0)
+        even = np.full(len(weights), total / len(weights))
+        fit = Fit(np.zeros(len(weights)), even, np.array(weights, float) / sum(weights) * total, even)
     asked = np.array(weights, float) / sum(weights) * fit.natural.sum()
-    if epochs is not None and (np.abs(fit.reached - asked) > 2 * CLOSE * asked).any():
-        warnings.warn(f"with {epochs} epochs at most the tokens per domain are {fit.reached.tolist()}, not {asked.tolist()}", stacklevel=3)
+    if (np.abs(fit.reached - asked) > 2 * CLOSE * asked).any():
+        bound = "" if epochs is None else f" with {epochs} epochs at most"
+        warnings.warn(f"the nearest tokens per domain{bound} are {fit.reached.tolist()}, not {asked.tolist()}", stacklevel=3)
     chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "n_tokens"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return found.withColumn("rate", rate_of(point_of(fit.m), None if epochs is None else 2 * epochs)).withColumn("copies", F.floor(F.col("rate") + chance).cast("int")), fit
 

@@ -2,11 +2,13 @@
 
 A document's ids are cut into pieces of at most the longest window. Whole windows stand alone. A shorter piece is
 routed to the smallest tier that holds it; tiers are packed from the longest down into sequences of the tier's own
-length, the gap that a sequence's pieces leave being filled by the longest pieces of the shorter tiers that still fit. Only a histogram of piece lengths (no
-more rows than the window has tokens) reaches the driver, which turns it into packing patterns and how often each is
-used. Pieces are then dealt to the patterns' places by their rank among pieces of equal length. A sequence goes out
-padded to its tier. Sequences are numbered tier by tier, each from the longest first pieces down, and dealt to the step
-groups in turn, so that the groups' sequences of each tier differ by one at most and so do all their sequences.
+length, the gap that a sequence's pieces leave being filled by the longest pieces of the shorter tiers that still fit. A
+sequence of a short tier goes out only if it is full; where the pieces left cannot fill one, the longest of them opens a
+sequence of the window's length, with all shorter tiers to fill its gap. So only sequences of the window's length are
+padded. Only a histogram of piece lengths (no more rows than the window has tokens) reaches the driver, which turns it
+into packing patterns and how often each is used. Pieces are then dealt to the patterns' places by their rank among
+pieces of equal length. Sequences are numbered by their length, longest first, and dealt to the step groups in turn, so
+that the groups' sequences of each length differ by one at most and so do all their sequences.
 
 Defined results: a null or empty text has the closing id alone. Every row is packed, repeated rows and rows with a
 null id included; ties are ordered by a row's place in the written pieces. An empty table gives no rows.
@@ -32,7 +34,7 @@ from .shared import literal_table, ranked, spool
 WINDOW = 2048
 CLOSING = 1
 TIERS = (256, 512, 1024, 2048)
-#: Sequences per step group; sequences are numbered from the fullest patterns down and dealt to the groups in turn.
+#: Sequences per step group.
 GROUP = 64
 #: White space of this length is encoded by the JSON tokenizer: the ranks' library overflows its stack on very long runs.
 LONG_SPACE = 20_000
@@ -102,16 +104,18 @@ def tier_of(length: int, window: int = WINDOW) -> int:
 
 
 def plan_patterns(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[list[int], int]]:
-    """(lengths in one sequence, how many such sequences) using up the histogram of lengths.
+    """(lengths in one sequence, how many such sequences) using up the histogram of lengths; longest sequences first.
 
-    The longest piece left opens a sequence of its tier; the gap takes the longest pieces that fit, which come from ever
-    shorter tiers. A pattern is repeated while its pieces last, so each round uses up at least one length.
+    The longest piece left opens a sequence of its tier, or of the window where the gap cannot be filled; the gap takes
+    the longest pieces that fit, which come from ever shorter tiers. A pattern is repeated while its pieces last, so each
+    round uses up at least one length.
     """
     left = {k: n for k, n in histogram.items() if n}
     lengths = sorted(left)
     patterns = []
-    while lengths:
-        gap, used = tier_of(lengths[-1], window), {}
+
+    def filled(gap: int) -> tuple[dict[int, int], int]:
+        used = {}
         at = len(lengths) - 1
         while at >= 0 and gap >= lengths[0]:
             size = lengths[at]
@@ -120,12 +124,24 @@ def plan_patterns(histogram: dict[int, int], window: int = WINDOW) -> list[tuple
                 used[size] = n
                 gap -= n * size
             at -= 1
+        return used, gap
+
+    while lengths:
+        used, gap = filled(tier_of(lengths[-1], window))
+        if gap:
+            used, gap = filled(window)
         times = min(left[size] // n for size, n in used.items())
         patterns.append(([size for size, n in used.items() for _ in range(n)], times))
         for size, n in used.items():
             left[size] -= n * times
         lengths = [x for x in lengths if left[x]]
-    return patterns
+    return sorted(patterns, key=lambda x: -padded_length(x[0], window))
+
+
+def padded_length(lengths: list[int], window: int = WINDOW) -> int:
+    """The tier of a sequence that is full, else the window."""
+    tier = tier_of(max(lengths), window)
+    return tier if sum(lengths) == tier else window
 
 
 def place_runs(patterns: list[tuple[list[int], int]], window: int = WINDOW) -> list[dict]:
@@ -137,7 +153,7 @@ def place_runs(patterns: list[tuple[list[int], int]], window: int = WINDOW) -> l
             each = lengths.count(size)
             lo = ranks.get(size, 0)
             ranks[size] = lo + each * times
-            runs.append({"length": size, "lo": lo, "hi": ranks[size], "first": sequence, "each": each, "offset0": offset, "padded": tier_of(max(lengths), window)})
+            runs.append({"length": size, "lo": lo, "hi": ranks[size], "first": sequence, "each": each, "offset0": offset, "padded": padded_length(lengths, window)})
             offset += each * size
         sequence += times
     return runs

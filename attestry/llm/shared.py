@@ -53,8 +53,7 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     """
     spark, path = df.sparkSession, spool_path(df.sparkSession, name)
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    discard_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +63,12 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def discard_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str):
     """Session settings for one block; keys are written with __ for a dot."""
@@ -88,9 +93,17 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFra
 
 
 def is_file_scan(df: DataFrame) -> bool:
-    """Whether df is columns and filters of files and nothing else, so that a row is one row of one file."""
-    steps = [re.search(r"[A-Z]\w*", line) for line in df._jdf.queryExecution().analyzed().toString().splitlines()]
-    return all(s and s[0] in ("Project", "Filter", "Relation", "SubqueryAlias") for s in steps)
+    """Whether df is columns and filters of Parquet files, each read once, and nothing else: then file and place tell its rows apart.
+
+    Other formats have no places, and rows of a file that is listed twice would share theirs.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    lines = plan.toString().splitlines()
+    steps = [re.search(r"[A-Z]\w*", line) for line in lines]
+    if not all(s and s[0] in ("Project", "Filter", "Relation", "SubqueryAlias") for s in steps) or not lines[-1].endswith("] parquet"):
+        return False
+    listed = plan.collectLeaves().head().relation().location().inputFiles()
+    return len(listed) == len(df._jdf.inputFiles())
 
 
 def located(docs: DataFrame, id_col: str, text_col: str, row: bool = False) -> DataFrame:

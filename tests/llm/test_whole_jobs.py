@@ -1,5 +1,6 @@
 """Places where an operator once did less than its whole job."""
 
+import glob
 import random
 import zlib
 from collections import Counter
@@ -8,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.llm import licenses, mixing, ngram_join, packing, quality
+from attestry.llm import exact_dedup, licenses, mixing, ngram_join, packing, quality, substrings, suffixes
+from attestry.llm.shared import is_file_scan, shared_dir
 
 PLAIN = "doc_id long, text string, place int"
 
@@ -62,10 +64,52 @@ def test_totals_have_the_asked_shares(spark):
     assert np.allclose((r * t) @ p / t.sum(), weights, rtol=1e-3) and (r >= 0).all()
 
 
-def test_shares_out_of_reach_are_an_error(spark):
+def test_shares_out_of_reach(spark):
+    """The nearest rates, by the optimality conditions of their least squares; an error where asked for."""
     docs, labels = mixture(spark, toxic=False)
     with pytest.raises(ValueError, match="no rates"):
-        mixing.mix(docs, labels, (0.1, 0.1, 0.8))
+        mixing.mix(docs, labels, (0.1, 0.1, 0.8), must_reach=True)
+    with pytest.warns(UserWarning, match="nearest"):
+        rows, fit = mixing.mix_with_totals(docs, labels, (0.1, 0.1, 0.8))
+    rows = rows.collect()
+    t, p, r = np.array([x.n_tokens for x in rows], float), np.array([x.p for x in rows]), np.array([x.rate for x in rows])
+    part, asked = t / t.sum(), np.array((0.1, 0.1, 0.8))
+    assert np.allclose((r * t) @ p, fit.reached) and not np.allclose(fit.reached / t.sum(), asked, rtol=0.01)
+    slope = p @ ((r * part) @ p - asked) + mixing.NEAR * (r - 1)
+    assert (slope > -1e-4).all() and np.abs(slope[r > 0]).max() < 1e-4
+
+
+def test_mixing_without_what_it_needs(spark):
+    docs, labels = mixture(spark)
+    one_kind = labels.filter("quality = 1 and toxic = 0")
+    with pytest.warns(UserWarning):
+        for epochs in (None, 1.25):
+            got = mixing.mix(docs, labels.limit(0), epochs=epochs).collect()
+            assert len(got) == 100 and all(r.rate == r.copies == 1 and np.allclose(r.p, 1 / 3) for r in got)
+            for some in (docs.limit(1), docs):
+                kept = mixing.mix(some, one_kind, epochs=epochs).collect()
+                assert len(kept) == some.count() and all(r.rate >= 0 and np.isfinite(r.rate) for r in kept)
+            lone = mixing.mix(docs.limit(1), labels, epochs=epochs).collect()
+            assert len(lone) == 1 and 0 <= lone[0].rate < 2
+        once = mixing.mixed_docs(docs, labels.limit(0), epochs=1.25)
+        assert Counter(map(tuple, once.collect())) == Counter(map(tuple, docs.collect()))
+        nulls = spark.createDataFrame([(1, None, 0), (None, None, 1)], PLAIN)
+        assert mixing.mix(nulls, labels).count() == 2 and mixing.mixed_docs(nulls, labels, epochs=1.25).count() == 2
+
+
+@pytest.mark.parametrize("keep", [(0,), (0, 2), (0, 1, 2)])
+def test_a_scarce_domain_costs_no_tokens(spark, keep):
+    docs, labels = mixture(spark)
+    docs = docs.filter(F.col("place").isin(*keep) & (F.col("place") != 1) | (F.col("place").isin(*keep) & (F.col("doc_id") < 62)))
+    rows, fit = mixing.mix_with_totals(docs, labels, epochs=1.25)
+    assert abs(fit.targets.sum() / fit.natural.sum() - 1) < 1e-6 and abs(fit.reached.sum() / fit.natural.sum() - 1) < 0.01
+    copies = {r.doc_id: r.copies for r in rows.collect()}
+    assert all(copies[k] >= 1 for k in range(60))  # clean documents stay
+
+
+def test_what_a_domain_lacks_goes_to_others():
+    for asked, most, want in (((0.97, 0.02, 0.01), (1.25, 0.001, 0.02), (0.97 + 0.019 * 0.97 / 0.98, 0.001, 0.01 + 0.019 * 0.01 / 0.98)), ((0.5, 0.3, 0.2), (0.6, 0.1, 0.25), (0.6, 0.1, 0.25)), ((0.5, 0.5), (1, 1), (0.5, 0.5)), ((1.0, 0.0), (0.4, 0.5), (0.4, 0.5))):
+        assert np.allclose(mixing.reachable(np.array(asked, float), np.array(most, float)), want)
 
 
 def test_a_hot_label_sends_one_row(spark):
@@ -89,17 +133,20 @@ def test_long_white_space_is_encoded(spark):
 
 
 def test_sequences_are_packed_to_their_tier(spark):
+    """A short tier's sequences are full; the others are padded to the window, and together hardly at all."""
     rnd = random.Random(4)
-    docs = spark.createDataFrame([(k, "word " * rnd.choice([rnd.randint(150, 250)] * 8 + [rnd.randint(300, 500)] * 5 + [rnd.randint(600, 1000)] * 3 + [rnd.randint(1100, 3000)])) for k in range(600)], "doc_id long, text string")
+    docs = spark.createDataFrame([(k, "word " * rnd.choice([rnd.randint(1, 30)] * 24 + [rnd.randint(150, 250)] * 8 + [rnd.randint(300, 500)] * 5 + [rnd.randint(600, 1000)] * 3 + [rnd.randint(1100, 3000)])) for k in range(900)], "doc_id long, text string")
     sequences = {}
     for r in packing.pack(docs).collect():
         sequences.setdefault(r.sequence_id, []).append(r)
-    per_group = {}
+    per_group, ids, padded = {}, 0, 0
     for rows in sequences.values():
-        tier = next(t for t in packing.TIERS if max(r.length for r in rows) <= t)
-        assert {r.sequence_length for r in rows} == {tier} and sum(r.length for r in rows) <= tier
-        per_group.setdefault(rows[0].step_group, Counter())[tier] += 1
-    assert len(per_group) > 1
+        tier, n = next(t for t in packing.TIERS if max(r.length for r in rows) <= t), sum(r.length for r in rows)
+        length = tier if n == tier else packing.WINDOW
+        assert {r.sequence_length for r in rows} == {length} and n <= length
+        per_group.setdefault(rows[0].step_group, Counter())[length] += 1
+        ids, padded = ids + n, padded + (n if n & (n - 1) == 0 else packing.WINDOW)
+    assert len(per_group) > 1 and padded - ids < 0.01 * padded
     for t in packing.TIERS:
         n = [c[t] for c in per_group.values()]
         assert sum(n) and max(n) - min(n) <= 1
@@ -113,3 +160,55 @@ def test_wrapped_statements_are_found(spark):
     texts = [a + "\n" + s + "\n" + a for s in (bsd, mit, gpl) for a in ("", filler)]
     got = [r.labels for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert all(want in labels.split(",") for labels, want in zip(got, [x for w in ("bsd-terms", "mit-grant", "gpl-3") for x in (w, w)]))
+
+
+def test_megabytes_of_phrases(spark):
+    text = "cc by x " * 700_000
+    got = licenses.scan_licenses(spark.createDataFrame([(1, text), (2, "all rights reserved")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert tuple(got[0])[1:6] == (2_100_000, 700_000, 0, 2_099_997, "cc-by") and got[1].n_base == 1
+
+
+@pytest.mark.parametrize("form", ["json", "orc", "csv"])
+def test_rows_of_any_format(spark, tmp_path, form):
+    """Only Parquet tells a row's place in its file; other rows are written to such files first."""
+    rnd = random.Random(9)
+    a, b = prose(rnd), prose(rnd)
+    rows = [(1, a, 0), (2, a, 1), (3, b, 2), (4, b + " end", 3), (5, None, 4)]
+    spark.createDataFrame(rows, PLAIN).repartition(2).write.format(form).save(str(tmp_path / form))
+    docs = spark.read.schema(PLAIN).format(form).load(str(tmp_path / form))
+    assert not is_file_scan(docs)
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert sorted(r.place for r in exact_dedup.drop_copies(docs).collect()) in ([0, 2, 3, 4], [1, 2, 3, 4])
+    assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    assert sorted(r.doc_id for r in ngram_join.keep_representatives(docs).collect()) == [1, 3, 5]
+    assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()} == {1: 60, 2: 60, 3: 60, 4: 60, 5: 0}
+    assert {r.doc_id for r in suffixes.remove_repeated_bytes(docs).collect() if r.n_removed} == {1, 2, 3, 4}
+
+
+def test_a_file_listed_twice(spark, tmp_path):
+    rnd = random.Random(10)
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(k, prose(rnd), k) for k in range(40)], PLAIN).repartition(3).write.parquet(path)
+    assert is_file_scan(spark.read.parquet(path).filter("doc_id > 1").select("doc_id", "text"))
+    docs = spark.read.parquet(path, path)
+    assert docs.count() == 80 and not is_file_scan(docs)
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(docs).collect()) == list(range(40))
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()} == {(k, k, 2) for k in range(40)}
+    assert sorted(r.doc_id for r in ngram_join.keep_representatives(docs).collect()) == list(range(40))
+
+
+def test_a_long_log_of_states_is_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_BATCHES", 2)
+    for k in range(5):
+        path = str(tmp_path / f"feed{k}")
+        spark.createDataFrame([(10 - k, "a b"), (100 + k, f"own {k}")], "doc_id long, text string").write.parquet(path)
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(spark.read.parquet(path), state_dir=str(tmp_path / "state"), run=str(k)).collect()}
+        assert got == {10 - k: (10 - k, k + 1), 100 + k: (100 + k, 1)}
+    assert len(glob.glob(str(tmp_path / "state" / "changed" / "*"))) <= 4
+
+
+def test_a_call_leaves_no_state(spark):
+    before = set(glob.glob(f"{shared_dir(spark)}/dedup-*/*"))
+    exact_dedup.exact_dedup(spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, text string")).collect()
+    left = set(glob.glob(f"{shared_dir(spark)}/dedup-*/*")) - before
+    assert {x.rsplit("/", 1)[1] for x in left} <= {"fed"}
