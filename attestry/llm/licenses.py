@@ -2,12 +2,15 @@
 
 A template of m words is sought in blocks of m + m // 2 consecutive words, one beginning at every word of the text (line
 ends do not matter; a shorter text is one block). A block meets a template when it holds at least THRESHOLD of the
-template's distinct words and all words that the template must have (a name, a version).
-
-The templates' words are ordered by how many texts of the whole table hold them, rarest first (counted in a first
-pass). A block can only meet template T if it holds one of the first |T| - ceil(THRESHOLD * |T|) + 1 of T's words (prefix
-filter), so only blocks around such a word are looked at; a text needs ceil(THRESHOLD * |T|) of T's distinct words
-(length filter), and enough of T's words must follow, in the global order, the first one that the blocks around a
+template's distinct tokens and all words that the template must have (a name, a version). Tokens are the words of a
+license body, whose many words are a mark of their own, and the pairs of neighbouring words of a statement of up to
+STATEMENT_WORDS words: a sentence with a statement's words in another order, or with others between them, says
+something else.
+
+The templates' tokens are ordered by how many texts of the whole table hold them, rarest first (counted in a first
+pass). A block can only meet template T if it holds one of the first |T| - ceil(THRESHOLD * |T|) + 1 of T's tokens (prefix
+filter), so only blocks around such a token are looked at; a text needs ceil(THRESHOLD * |T|) of T's distinct tokens
+(length filter), and enough of T's tokens must follow, in the global order, the first one that the blocks around a
 place share (positional filter). The blocks that are left are compared in full, by a count that slides over the text.
 
 Defined results: a null text counts as empty; an empty text has no words, no labels and score 0. Repeated rows each
@@ -25,11 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: A template of up to so many words is compared by pairs of neighbouring words.
+STATEMENT_WORDS = 20
 #: Phrases that give a label wherever their words stand consecutively.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Fixed values: (label, words that a block must hold, text of the license or of its usual statement).
 TEMPLATES = (
     ("apache-2.0", "apache 2", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "apache 2", "licensed under the apache 2 0 license"),
     ("gpl-3", "gnu 3", "this work is licensed under the gnu general public license version 3"),
     ("mit", "mit", "released under the mit license"),
     ("cc-by-nc", "cc nc", "licensed under cc by nc 4 0"),
@@ -69,19 +75,43 @@ TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61
 VOCABULARY = frozenset(w.encode() for _, _, t in TEMPLATES for w in t.split())
 
 
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: how many texts hold each word of the templates."""
-    n = dict.fromkeys(sorted(VOCABULARY), 0)
+def run_length(text: str) -> int:
+    """Words of a template's token."""
+    return 2 if len(text.split()) <= STATEMENT_WORDS else 1
+
+
+def runs(words: list[bytes], n: int) -> list[bytes]:
+    """All runs of n (1 or 2) consecutive words, in order."""
+    return words if n == 1 else [a + b" " + b for a, b in zip(words, words[1:])]
+
+
+TOKENS = frozenset(x for _, _, t in TEMPLATES for x in runs(t.encode().split(), run_length(t)))
+#: (token, its words) of tokens that are pairs.
+PAIRS = tuple((x, frozenset(x.split())) for x in sorted(TOKENS) if b" " in x)
+
+
+def held_tokens(words: list[bytes]) -> set[bytes]:
+    """The templates' words and pairs that a text holds."""
+    held = set(VOCABULARY.intersection(words))
+    if able := [x for x, both in PAIRS if both <= held]:
+        joined = b" " + b" ".join(words) + b" "
+        held.update(x for x in able if b" " + x + b" " in joined)
+    return held
+
+
+def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per task: how many texts hold each token of the templates."""
+    n = dict.fromkeys(sorted(TOKENS), 0)
     for batch in batches:
         for text in batch.column("text").cast(pa.large_binary()).to_pylist():
-            for w in VOCABULARY.intersection((text or b"").translate(TO_WORDS).split()):
-                n[w] += 1
-    yield pa.RecordBatch.from_pydict({"word": pa.array([w.decode() for w in n]), "n": pa.array(n.values(), pa.int64())})
+            for x in TOKENS & held_tokens((text or b"").translate(TO_WORDS).split()):
+                n[x] += 1
+    yield pa.RecordBatch.from_pydict({"token": pa.array([x.decode() for x in n]), "n": pa.array(n.values(), pa.int64())})
 
 
-def word_counts(texts: DataFrame) -> dict[str, int]:
-    """Texts per template word over the whole table; as many rows as the templates have words."""
-    return {r.word: r.n for r in texts.mapInArrow(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+def token_counts(texts: DataFrame) -> dict[str, int]:
+    """Texts per template token over the whole table; as many rows as the templates have tokens."""
+    return {r.token: r.n for r in texts.mapInArrow(count_tokens, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
 
 
 def block_words(text: str) -> int:
@@ -91,50 +121,51 @@ def block_words(text: str) -> int:
 
 
 class Template:
-    """A template's words in the global order, with what a block needs of them."""
+    """A template's tokens in the global order, with what a block needs of them."""
 
     def __init__(self, label: str, must: str, text: str, counts: dict[str, int]) -> None:
-        self.label, self.must, self.block = label, frozenset(must.encode().split()), block_words(text)
-        self.words = sorted({w.encode() for w in text.split()}, key=lambda w: (counts.get(w.decode(), 0), w))
-        self.place = {w: k for k, w in enumerate(self.words)}
-        self.need = math.ceil(THRESHOLD * len(self.words) - 1e-9)
-        self.prefix = frozenset(self.words[: len(self.words) - self.need + 1])
-
-    def best(self, words: list[bytes], held: frozenset) -> float:
-        """The largest share of the template that a block of these words holds, 0 where none meets it. held: their distinct template words."""
-        if not self.must <= held or self.prefix.isdisjoint(held) or sum(w in held for w in self.words) < self.need:
+        self.label, self.must, self.run = label, frozenset(must.encode().split()), run_length(text)
+        self.block = block_words(text) - self.run + 1  # tokens of a block
+        self.tokens = sorted(set(runs(text.encode().split(), self.run)), key=lambda x: (counts.get(x.decode(), 0), x))
+        self.place = {x: k for k, x in enumerate(self.tokens)}
+        self.need = math.ceil(THRESHOLD * len(self.tokens) - 1e-9)
+        self.prefix = frozenset(self.tokens[: len(self.tokens) - self.need + 1])
+
+    def best(self, words: list[bytes], held: set[bytes]) -> float:
+        """The largest share of the template that a block of these words holds, 0 where none meets it. held: held_tokens of the words."""
+        if not self.must <= held or self.prefix.isdisjoint(held) or sum(x in held for x in self.tokens) < self.need:
             return 0.0
-        best = 0
-        for lo, hi in self.around(words):
-            least = min(self.place.get(w, len(self.words)) for w in words[lo:hi])
-            if len(self.words) - least >= self.need:
-                best = max(best, self.slide(words[lo:hi]))
-        return best / len(self.words)
-
-    def around(self, words: list[bytes]) -> list[tuple[int, int]]:
-        """Stretches of words that hold all blocks with a prefix word."""
+        best, found = 0, runs(words, self.run)
+        for lo, hi in self.around(found):
+            least = min(self.place.get(x, len(self.tokens)) for x in found[lo:hi])
+            if len(self.tokens) - least >= self.need:
+                best = max(best, self.slide(found[lo:hi], words[lo : hi + self.run - 1]))
+        return best / len(self.tokens)
+
+    def around(self, found: list[bytes]) -> list[tuple[int, int]]:
+        """Stretches of tokens that hold all blocks with a prefix token."""
         out: list[tuple[int, int]] = []
-        for k, w in enumerate(words):
-            if w in self.prefix:
-                lo, hi = max(0, k - self.block + 1), min(len(words), k + self.block)
+        for k, x in enumerate(found):
+            if x in self.prefix:
+                lo, hi = max(0, k - self.block + 1), min(len(found), k + self.block)
                 if out and lo <= out[-1][1]:
                     out[-1] = (out[-1][0], hi)
                 else:
                     out.append((lo, hi))
         return out
 
-    def slide(self, words: list[bytes]) -> int:
-        """The most distinct template words of a block among those that meet the template; 0 if none does."""
+    def slide(self, found: list[bytes], words: list[bytes]) -> int:
+        """The most distinct template tokens of a block among those that meet the template; 0 if none does."""
         count, best = {}, 0
-        for k, w in enumerate(words):
-            if w in self.place:
-                count[w] = count.get(w, 0) + 1
-            gone = words[k - self.block] if k >= self.block else None
+        for k, x in enumerate(found):
+            if x in self.place:
+                count[x] = count.get(x, 0) + 1
+            gone = found[k - self.block] if k >= self.block else None
             if gone in count:
                 count[gone] -= 1
                 if not count[gone]:
                     del count[gone]
-            if len(count) > best and len(count) >= self.need and self.must <= count.keys():
+            if len(count) > best and len(count) >= self.need and self.must.issubset(words[max(0, k - self.block + 1) : k + self.run]):
                 best = len(count)
         return best
 
@@ -154,9 +185,8 @@ def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    counts = word_counts(rows.select("text"))
+    counts = token_counts(rows.select("text"))
     templates = [Template(*t, counts) for t in TEMPLATES]
-    starts = frozenset().union(*(t.prefix for t in templates))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -165,10 +195,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for text in batch.column("text").cast(pa.large_binary()).to_pylist():
                 words = (text or b"").translate(TO_WORDS).split()
                 places = phrase_places(words)
-                shares: dict[str, float] = {}
-                if not starts.isdisjoint(words):
-                    held = VOCABULARY.intersection(words)
-                    shares = {t.label: share for t in templates if (share := t.best(words, held))}
+                held, shares = held_tokens(words), {}
+                for t in templates:
+                    if share := t.best(words, held):
+                        shares[t.label] = max(share, shares.get(t.label, 0.0))
                 base = {label for _, label in places}
                 first, last = (min(places)[0], max(places)[0]) if places else (None, None)
                 row = (len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | shares.keys())), 1.0 if base else max(shares.values(), default=0.0))

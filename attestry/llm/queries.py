@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .collocations import collocations
 from .exact_dedup import exact_dedup
-from .licenses import PHRASES, TEMPLATES, block_words, scan_licenses
+from .licenses import PHRASES, TEMPLATES, block_words, run_length, runs, scan_licenses
 from .mixing import DOMAINS, mix
 from .ngram_join import near_duplicates
 from .packing import pack
@@ -77,16 +77,17 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op3_substring_dedup, op4_license_scan, op5_top_k, op6_sharding, op7_packing, op8_mixing, op9_quality, op10_secret_scan, op11_collocations, op12_prefix_trie, op13_suffix_dedup)}
 
 _PLACES = " union all ".join(f"select doc_id, k, i, '{label}' as label from w, range(len(ws)) r(i) where " + " and ".join(f"ws[i + {j + 1}] = '{x}'" for j, x in enumerate(phrase.split())) for phrase, label in PHRASES)
-_TEMPLATES = ", ".join(f"('{name}', string_split('{must}', ' '), list_distinct(string_split('{text}', ' ')), {block_words(text)})" for name, must, text in TEMPLATES)
+_TEMPLATES = ", ".join(f"('{name}', string_split('{must}', ' '), list_distinct(string_split('{b'|'.join(runs(text.encode().split(), run_length(text))).decode()}', '|')), {block_words(text)}, {run_length(text)})" for name, must, text in TEMPLATES)
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _LICENSES = rf"""
     with t as (select row_number() over () as k, doc_id, translate(coalesce(text, ''), '{_LETTERS.upper()}', '{_LETTERS}') as t from documents),
-    w as (select k, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from t),
+    w as materialized (select *, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) as ps from (select k, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from t)),
     places as ({_PLACES}),
     base as (select k, count(*) as n, min(i) as lo, max(i) as hi, list(distinct label) as labels from places group by k),
-    able as (select k, ws, name, must, tw, size from w, (values {_TEMPLATES}) v(name, must, tw, size) where list_has_all(ws, must) and len(list_intersect(ws, tw)) >= ceil(0.8 * len(tw) - 1e-9)),
-    blocks as (select k, name, must, tw, list_slice(ws, p + 1, p + size) as b from able, range(0, greatest(len(ws) - size, 0) + 1) r(p)),
-    met as (select k, name, len(list_intersect(b, tw)) / len(tw) as share from blocks where list_has_all(b, must) and len(list_intersect(b, tw)) >= ceil(0.8 * len(tw) - 1e-9)),
+    able as (select k, ws, case run when 2 then ps else ws end as xs, name, must, tw, size, run from w, (values {_TEMPLATES}) v(name, must, tw, size, run)
+        where list_has_all(ws, must) and len(list_intersect(case run when 2 then ps else ws end, tw)) >= ceil(0.8 * len(tw) - 1e-9)),
+    blocks as (select k, name, must, tw, list_slice(ws, p + 1, p + size) as b, list_slice(xs, p + 1, p + size - run + 1) as x from able, range(0, greatest(len(ws) - size, 0) + 1) r(p)),
+    met as (select k, name, len(list_intersect(x, tw)) / len(tw) as share from blocks where list_has_all(b, must) and len(list_intersect(x, tw)) >= ceil(0.8 * len(tw) - 1e-9)),
     more as (select k, list(distinct name) as labels, max(share) as best from met group by k)
     select w.doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_base, lo::bigint as first_word, hi::bigint as last_word,
         coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') as labels,
