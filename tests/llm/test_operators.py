@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from attestry.llm import exact_dedup, licenses, mixing, ngram_join, packing, quality, secrets, sharding, substrings, topk
@@ -492,6 +496,73 @@ def test_quality(spark, docs, labels, empty):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def plain_statistics(text):
+    """The statistics of a text, word by word and byte by byte."""
+    data = (text or "").encode()
+    ws, n = [w for w in re.split(rb"[\x20\x09-\x0d]+", data) if w], len(data)
+    share = lambda kind: sum(kind(b) for b in data)
+    kinds = [
+        share(lambda b: 65 <= b <= 90), share(lambda b: 97 <= b <= 122), share(lambda b: 48 <= b <= 57), share(lambda b: b >= 128), share(lambda b: chr(b) in "#$%&*+/<=>@[\\]^_`{|}~"),
+        data.count(b"|"), data.count(b"!"), share(lambda b: chr(b) in ".,;:?"), data.count(b"\n"),
+    ]
+    many = max(len(ws), 1)
+    return [
+        math.log1p(len(ws)), sum(map(len, ws)) / many, len(set(ws)) / many, sum(len(w) == 1 for w in ws) / many, sum(len(w) > 12 for w in ws) / many, *(k / max(n, 1) for k in kinds),
+        kinds[0] / max(kinds[0] + kinds[1], 1), len(ws) / (kinds[8] + 1), kinds[7] / many, kinds[4] / many,
+    ]
+
+
+def test_quality_against_plain_code(spark):
+    """Statistics of whole texts, the rules of each tree, the optimum of the lasso, and the compiled score, each recomputed."""
+    rnd = random.Random(12)
+    words = ["the", "house", "walks", "quietly", "a", "é", "buy$$", "now!!", "x|y", "extraordinarily", "A", "HOME", "12"]
+    texts = [" ".join(rnd.choices(words, [9, 5, 5, 5, 5, 1, w, w, w, 2, 1, 1, 1], k=rnd.randint(1, 80))) + rnd.choice([".", "\n", "!\n\n", ""]) for w in (rnd.random() * 4 for _ in range(400))]
+    texts += ["", None, " \t\n", "word " * 30_000]
+    truth = [float(sum(w in (t or "") for w in ("$", "!", "|")) + rnd.random() < 2) for t in texts]
+    rows = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(zip(texts, truth))], "doc_id long, text string, y double").repartition(3)
+    stats = quality.text_statistics(rows, "doc_id", "y").coalesce(1).sortWithinPartitions("doc_id").cache()
+    table = stats.collect()
+    x = np.array([[r[k] for k in quality.STATISTICS] for r in table])
+    assert np.allclose(x, [plain_statistics(t) for t in texts], atol=1e-12)
+
+    train = stats.drop("doc_id")
+    assembled = VectorAssembler(inputCols=list(quality.STATISTICS), outputCol="x").transform(train)
+    forest = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=5, maxDepth=3, seed=1).fit(assembled)
+    holds = lambda rule, r: all(r[k] <= at if sign == "<=" else r[k] > at for k, sign, at in rule)
+    for tree in forest.trees:
+        paths = list(quality.tree_paths(tree._call_java("rootNode")))
+        ends = [p for p in paths if not any(q[: len(p)] == p and q != p for q in paths)]
+        leaf = [str(tree.predictLeaf(Vectors.dense(r))) for r in x]
+        met = [[p for p in ends if holds(p, r)] for r in x]
+        assert len(paths) == tree.numNodes - 1 and all(len(m) == 1 for m in met)  # one leaf's path is met by each row,
+        assert len({(at, m[0]) for at, m in zip(leaf, met)}) == len(set(leaf)) == len({m[0] for m in met})  # that of the leaf it falls into
+        assert all(holds(p, r) == holds(quality.simplified(p), r) for p in paths for r in x)
+
+    intercept, rules = quality.fit_rules(train)
+    assert rules
+    z = intercept + np.array([sum(w for rule, w in rules if holds(rule, r)) for r in x])
+    p = 1 / (1 + np.exp(-z))
+    got = stats.select("doc_id", quality.score_column(intercept, rules).alias("score")).orderBy("doc_id").collect()
+    assert np.allclose([r.score for r in got], p, atol=1e-9)
+    y = np.array(truth)
+    held = np.array([[holds(rule, r) for rule, _ in rules] for r in x], float)
+    spread = held.std(0, ddof=1)  # the lasso weighs rules by their spread
+    held = held / spread
+    cost = lambda z, u: np.mean(np.logaddexp(0, z) - y * z) + quality.LASSO * np.abs(u).sum()
+    u = np.array([w for _, w in rules]) * spread
+    step = 4 / (np.linalg.norm(np.c_[held, np.ones(len(x))], 2) ** 2 / len(x))
+    best, bias, ahead, ahead_bias, t = np.zeros(len(u)), 0.0, np.zeros(len(u)), 0.0, 1.0
+    for _ in range(20_000):  # the same objective by accelerated proximal gradient steps
+        miss = 1 / (1 + np.exp(-(held @ ahead + ahead_bias))) - y
+        new, new_bias = ahead - step * held.T @ miss / len(x), ahead_bias - step * miss.mean()
+        new = np.sign(new) * np.maximum(np.abs(new) - step * quality.LASSO, 0)
+        t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        ahead, ahead_bias = new + (before - 1) / t * (new - best), new_bias + (before - 1) / t * (new_bias - bias)
+        best, bias = new, new_bias
+    least, reached = cost(held @ best + bias, best), cost(z, u)
+    assert reached <= 1.01 * least, (reached, least)
+
+
 BASE_RULES = [(re.compile(r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), 1, 12), (re.compile("AKIA[A-Z0-9]+"), 0, 18), (re.compile("[0-9a-f]+"), 0, 16)]
 
 
