@@ -38,6 +38,8 @@ from .shared import BROADCAST_KEYS, numbered, spool
 
 MOST_LABELS = 6_000
 BUCKETS = 1 << 12
+#: Texts that the fit of the domains takes at a time.
+FIT_ROWS = 500
 #: Domains of the labels table, in order, and the share of the tokens each shall have.
 DOMAINS = ("clean", "junk", "toxic")
 WEIGHTS = (0.97, 0.02, 0.01)
@@ -81,27 +83,41 @@ def training_rows(docs: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
 
     found = docs.select("_id", "domain", "text").mapInArrow(compute, "_id long, domain int, buckets binary")
     rows = found.groupBy("_id").agg(F.max("domain").alias("domain"), F.min("buckets").alias("buckets")).orderBy("_id").collect()
-    return [np.frombuffer(bytes(r.buckets), "<u2").astype(np.int64) for r in rows], np.array([r.domain for r in rows], np.int64)
+    return [np.frombuffer(r.buckets, "<u2") for r in rows], np.array([r.domain for r in rows], np.int64)
 
 
 def fit_softmax(rows: list[np.ndarray], domain: np.ndarray, domains: int, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """(weights by bucket and domain, intercepts) of a softmax regression on word presence, each text scaled to unit length."""
+    """(weights by bucket and domain, intercepts) of a softmax regression on word presence, each text scaled to unit length.
+
+    Texts are taken FIT_ROWS at a time, so the driver holds their buckets (2 bytes each) and no array of all of them.
+    """
     weights, bias = np.zeros((BUCKETS, domains)), np.zeros(domains)
     if not len(rows):
         return weights, bias
-    flat, sizes = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), np.array([len(r) for r in rows])
-    row = np.repeat(np.arange(len(rows)), sizes)
-    scale = (1 / np.sqrt(np.maximum(sizes, 1)))[row]
-    idf = np.log((1 + len(rows)) / (1 + np.bincount(flat, minlength=BUCKETS)))
-    scale = scale * idf[flat]
+    blocks = []
+    for lo in range(0, len(rows), FIT_ROWS):
+        own = rows[lo : lo + FIT_ROWS]
+        blocks.append((lo, np.concatenate([*own, np.empty(0, "<u2")]).astype("<u2"), np.array([len(r) for r in own])))
+    idf = np.log((1 + len(rows)) / (1 + sum(np.bincount(flat, minlength=BUCKETS) for _, flat, _ in blocks)))
+
+    def each() -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per block: first text, how many, and of each word the text within the block, the bucket and the scale."""
+        for lo, flat, sizes in blocks:
+            row, flat = np.repeat(np.arange(len(sizes)), sizes), flat.astype(np.int64)
+            yield lo, len(sizes), row, flat, (1 / np.sqrt(np.maximum(sizes, 1)))[row] * idf[flat]
+
     truth = np.eye(domains)[domain]
     bias = np.log((truth.sum(0) + 0.5) / len(rows))
     squares, b_squares = np.full_like(weights, 1e-8), np.full(domains, 1e-8)
     for _ in range(rounds):  # AdaGrad over all rows
-        z = np.stack([np.bincount(row, weights[flat, k] * scale, len(rows)) for k in range(domains)], 1) + bias
+        z = np.concatenate([np.stack([np.bincount(row, weights[flat, k] * scale, n) for k in range(domains)], 1) for _, n, row, flat, scale in each()]) + bias
         p = np.exp(z - z.max(1, keepdims=True))
         miss = p / p.sum(1, keepdims=True) - truth
-        grad = np.stack([np.bincount(flat, miss[row, k] * scale, BUCKETS) for k in range(domains)], 1) + 0.1 * weights
+        total = np.zeros((domains, BUCKETS))
+        for lo, n, row, flat, scale in each():
+            for k in range(domains):
+                np.add.at(total[k], flat, miss[lo : lo + n, k][row] * scale)
+        grad = total.T + 0.1 * weights
         squares += grad**2
         weights -= 0.3 * grad / np.sqrt(squares)
         b_squares += miss.sum(0) ** 2

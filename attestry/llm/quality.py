@@ -127,7 +127,8 @@ def fit_rules(train: DataFrame) -> tuple[float, list[tuple[Rule, float]]]:
     binary = rows.select("y", F.array(*[F.when(rule_column(r), 1.0).otherwise(0.0) for r in rules]).alias("r"))
     from pyspark.ml.functions import array_to_vector
 
-    model = LogisticRegression(featuresCol="v", labelCol="y", elasticNetParam=1.0, regParam=LASSO, maxIter=80).fit(binary.select("y", array_to_vector("r").alias("v")))
+    # each of the lasso's 100 to 200 passes is a job: over one partition (MOST_LABELS rows at most) it is one task for the driver to keep account of
+    model = LogisticRegression(featuresCol="v", labelCol="y", elasticNetParam=1.0, regParam=LASSO, maxIter=80).fit(binary.select("y", array_to_vector("r").alias("v")).coalesce(1))
     return float(model.intercept), [(r, float(w)) for r, w in zip(rules, model.coefficients.toArray()) if abs(w) > 1e-6]
 
 

@@ -2,6 +2,7 @@
 
 import glob
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -120,6 +121,43 @@ def test_a_hot_label_sends_one_row(spark):
     assert len(rows) == len(domain) == 100
 
 
+def test_the_domains_fit_is_small_on_the_driver():
+    rnd = np.random.default_rng(5)
+    rows = [np.unique(rnd.integers(0, mixing.BUCKETS, 250)).astype("<u2") for _ in range(3000)]
+    domain = rnd.integers(0, 3, len(rows))
+    tracemalloc.start()
+    mixing.fit_softmax(rows, domain, 3, 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10e6
+
+
+def test_blocks_do_not_change_the_domains_fit(monkeypatch):
+    rnd = np.random.default_rng(6)
+    rows = [np.unique(rnd.integers(0, 300, rnd.integers(0, 60))).astype("<u2") for _ in range(90)]
+    domain = rnd.integers(0, 3, len(rows))
+    whole = mixing.fit_softmax(rows, domain, 3)
+    monkeypatch.setattr(mixing, "FIT_ROWS", 7)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, mixing.fit_softmax(rows, domain, 3)))
+
+
+def test_a_pass_of_the_lasso_is_one_task(spark):
+    rnd = np.random.default_rng(7)
+    x = rnd.random((400, len(quality.STATISTICS)))
+    rows = [(float(r[0] + r[1] > 1), *map(float, r)) for r in x]
+    train = spark.createDataFrame(rows, "y double, " + ", ".join(f"{k} double" for k in quality.STATISTICS)).repartition(8)
+    spark.sparkContext.setJobGroup("lasso", "lasso")
+    try:
+        assert quality.fit_rules(train)[1]
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    seen = spark.sparkContext.statusTracker()
+    jobs = [seen.getJobInfo(j) for j in seen.getJobIdsForGroup("lasso")]
+    passes = [[s for k in j.stageIds if (s := seen.getStageInfo(k))] for j in jobs if j]
+    passes = [p for p in passes if any("RDDLossFunction" in s.name for s in p)]
+    assert passes and all([s.numTasks for s in p if "RDDLossFunction" in s.name] == [1] for p in passes)
+
+
 def test_long_white_space_is_encoded(spark):
     texts = ["a" + " " * 1_000_000 + "b <|endoftext|>", "x" + "\n" * 400_000]
     rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
