@@ -3,7 +3,8 @@ object_entity_id, valid_from, valid_to, observed_at, source_document_id ...), ev
 
 Searches go one frontier at a time, for many roots at once. A traversal keeps for each node a bitmap of the roots that
 have reached it, so that a node is expanded once per round for 64 roots; a path search goes from both ends and meets in
-the middle. A hub's edges are dealt in parts, so that they do not stand in one task.
+the middle. A hub's edges are dealt in parts, so that they do not stand in one task. Edges are staged once, each with
+what a search needs of it, and types are asked of the nodes that are reached, not of all edges' ends.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import edge_in_date_range, edge_start, parse_participants
 from ..functions.vocabulary import CAREER_PREDICATES
-from ..sources.staging import in_order, small, stage
+from ..sources.staging import BROADCAST_ROWS, dealt, in_order, n_parts, part_of, small, stage, stage_parts
 
 #: A node with more edges than this is a hub; its edges are dealt in parts of about so many.
 HUB = 50_000
@@ -42,10 +43,10 @@ def filtered_edges(edges: DataFrame, predicates: list[str] | None = None, date_f
     return rows.filter(edge_in_date_range(F.col("valid_from"), F.col("valid_to"), F.col("observed_at"), date_from, date_to))
 
 
-def oriented(edges: DataFrame, direction: str = "both") -> DataFrame:
-    """(src, dst, way, id): each edge as it is walked. A self-loop is walked once, outwards."""
-    out = edges.select(F.col("subject_entity_id").alias("src"), F.col("object_entity_id").alias("dst"), F.lit("out").alias("way"), F.col("id").alias("edge_id"))
-    back = edges.select(F.col("object_entity_id").alias("src"), F.col("subject_entity_id").alias("dst"), F.lit("in").alias("way"), F.col("id").alias("edge_id"))
+def oriented(edges: DataFrame, direction: str = "both", *more: str) -> DataFrame:
+    """(src, dst, way, edge_id, more columns): each edge as it is walked. A self-loop is walked once, outwards."""
+    out = edges.select(F.col("subject_entity_id").alias("src"), F.col("object_entity_id").alias("dst"), F.lit("out").alias("way"), F.col("id").alias("edge_id"), *more)
+    back = edges.select(F.col("object_entity_id").alias("src"), F.col("subject_entity_id").alias("dst"), F.lit("in").alias("way"), F.col("id").alias("edge_id"), *more)
     return out if direction == "out" else back if direction == "in" else out.unionByName(back.filter("src != dst"))
 
 
@@ -91,18 +92,29 @@ def traverse(
     plain = oriented(filtered_edges(edges, predicates, date_from, date_to), direction).select("src", "dst", "edge_id")
     if depth == 1:  # only edges at the roots count
         plain = plain.join(small(start.select(F.col("root").alias("src")), "root-ids"), "src", "left_semi")
-    walk = stage(plain.join(_typed(nodes, entity_types), "dst", "left_semi"), "walk")
-    hubs = hubs_of(walk)
-    pairs = walk.select("src", "dst").distinct()
-    pairs = in_parts(stage(pairs, "pairs") if depth > 1 else pairs, hubs)
+        pairs = stage(plain.select("src", "dst"), "pairs")
+    else:
+        ends = stage(filtered_edges(edges, predicates, date_from, date_to).select(F.lit("").alias("id"), "subject_entity_id", "object_entity_id"), "pairs")
+        pairs = oriented(ends, direction).select("src", "dst")
+    hubs, n, typed = hubs_of(pairs), n_parts(pairs), _typed(nodes, entity_types)
     rounds = [stage(start.select("block", F.col("root").alias("id"), "mask"), "reached")]
     for _ in range(depth):
-        frontier = to_parts(rounds[-1].select("block", F.col("id").alias("src"), "mask"), hubs)
-        near = frontier.join(pairs, ["src", "part"]).groupBy("block", F.col("dst").alias("id")).agg(F.bit_or("mask").alias("mask"))
+        frontier = rounds[-1].select("block", F.col("id").alias("src"), "mask")
+
+        def stepped(k: int, n: int) -> DataFrame:
+            """What part k of the frontier reaches."""
+            steps = to_parts(part_of(frontier, "src", k, n), hubs).join(in_parts(part_of(pairs, "src", k, n), hubs), ["src", "part"])
+            return steps.groupBy("block", "dst").agg(F.bit_or("mask").alias("mask"))
+
+        few = frontier.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        if few:
+            frontier = F.broadcast(frontier)
+        near = stage_parts(stepped, 1 if few else n, "near").join(typed, "dst", "left_semi").groupBy("block", F.col("dst").alias("id")).agg(F.bit_or("mask").alias("mask"))
         had = masks_of(rounds).withColumnRenamed("mask", "had")
         new = near.join(had, ["block", "id"], "left").withColumn("mask", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))))
         rounds.append(stage(new.filter("mask != 0").select("block", "id", "mask"), "reached"))
     inner = stage(masks_of(rounds[:-1]).withColumnRenamed("id", "src"), "inner")
+    walk = plain.join(typed, "dst", "left_semi")
     seen = to_parts(inner, hubs).join(in_parts(walk, hubs), ["src", "part"]).select("block", "edge_id", "mask")
     if entity_types:  # an edge back to the root counts although the root may not match the type filter
         back = plain.join(small(start.select("block", F.col("root").alias("dst"), F.col("mask").alias("own")), "back"), "dst")
@@ -140,33 +152,54 @@ def find_path(
     """(source, target, depth, hop, from_id, to_id, way, edge_id): the hops of a shortest path per pair, or one row without a hop.
 
     Of equally short paths the one first in breadth-first order over edges by rank: the least array of ranks. depth is
-    null where there is no path, 0 where both ends are one. ranks: edge_ranks of the graph, if they are at hand.
+    null where there is no path, 0 where both ends are one. ranks: edge_ranks of the graph, if they are at hand; else an
+    edge's rank is that of its observation, then its id, which needs no order of all edges.
 
     The search goes two steps at most from each end, once per end whatever its number of pairs, and only for pairs
-    without a shorter path. What is kept of a node is the least ranks by which an end reaches it; a path's least ranks
-    are those of its halves. Edges come back by rank when the paths are known.
+    without a shorter path. What is kept of a node is the least steps by which an end reaches it; a path's least steps
+    are those of its halves. The second step is free on one side only, where fewer nodes are known; on the other it goes
+    to nodes that are known from across.
     """
     depth_of(depth)
-    walk = oriented(filtered_edges(edges, predicates, date_from, date_to), direction).join(_typed(nodes, entity_types), "dst", "left_semi").filter("src != dst")
-    walk = walk.join(edge_ranks(edges) if ranks is None else ranks, "edge_id")
-    walk = stage(walk.groupBy("src", "dst").agg(F.min(F.struct("rank", "way", "edge_id")).alias("e")).select("src", "dst", "e.*"), "walk")
-    back = walk.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rank")
+    kept = filtered_edges(edges, predicates, date_from, date_to)
+    if ranks is None:
+        days = small(in_order(edges.select("observed_at").distinct(), [F.desc_nulls_last("observed_at")], "days", "rank").select(F.col("observed_at").alias("_day"), "rank"), "days")
+        kept = kept.join(days, F.col("observed_at").eqNullSafe(F.col("_day")))
+    else:
+        kept = kept.join(ranks.withColumnRenamed("edge_id", "id"), "id")
+    lean = stage(kept.filter("subject_entity_id != object_entity_id").select("id", "subject_entity_id", "object_entity_id", "rank"), "lean")
+    walk = oriented(lean, direction, "rank")
+    step = F.struct("rank", "edge_id", "way", F.col("src").alias("from_id"), F.col("dst").alias("to_id"))
+    typed = _typed(nodes, entity_types).withColumnRenamed("dst", "node")
     asked = stage(pairs.select("source", "target").distinct(), "pairs")
     left, found = asked.filter("source != target"), []
 
-    def near(end: str, left: DataFrame, steps: DataFrame) -> DataFrame:
-        """(end, node, ranks) one step from the ends of the pairs that are left."""
-        ends = small(left.select(F.col(end).alias("src")).distinct(), "ends")
-        return stage(steps.join(ends, "src").select(F.col("src").alias(end), F.col("dst").alias("node"), F.array("rank").alias("ranks")), "near")
-
-    def far(end: str, left: DataFrame, first: DataFrame, steps: DataFrame, ahead: bool) -> DataFrame:
-        """(end, node, ranks) two steps away: the least ranks, in the order of the path."""
-        hubs = hubs_of(steps)
-        open_ends = first.join(small(left.select(end).distinct(), "ends"), end, "left_semi")
-        ranks = F.concat("ranks", F.array("rank")) if ahead else F.concat(F.array("rank"), "ranks")
-        met = to_parts(open_ends.withColumnRenamed("node", "src"), hubs).join(in_parts(steps.select("src", "dst", "rank"), hubs), ["src", "part"]).filter(F.col("dst") != F.col(end))
-        two = met.groupBy(end, F.col("dst").alias("node")).agg(F.min(ranks).alias("ranks"))
-        return stage(two.join(first.select(end, "node"), [end, "node"], "left_anti"), "far")
+    def near(end: str, left: DataFrame, ahead: bool) -> DataFrame:
+        """(end, node, ranks) one step from the ends of the pairs that are left, where both are of the types that count."""
+        at, to = ("src", "dst") if ahead else ("dst", "src")
+        ends = left.select(F.col(end).alias("node")).distinct()
+        ends = small((ends if ahead else ends.join(typed, "node", "left_semi")).withColumnRenamed("node", at), "ends")
+        steps = walk.join(ends, at).groupBy(F.col(at).alias(end), F.col(to).alias("node")).agg(F.min(F.array(step)).alias("ranks"))
+        return stage(steps.join(typed, "node", "left_semi"), "near")
+
+    def far(end: str, left: DataFrame, first: DataFrame, ahead: bool, across: DataFrame | None) -> DataFrame:
+        """(end, node, ranks) two steps away, at nodes of across where it is given: the least steps, in the order of the path."""
+        at, to = ("src", "dst") if ahead else ("dst", "src")
+        open_ends = stage(first.join(small(left.select(end).distinct(), "ends"), end, "left_semi"), "open")
+        steps = walk.join(small(open_ends.select(F.col("node").alias(at)).distinct(), "open-nodes"), at, "left_semi")
+        if across is not None:
+            steps = steps.join(small(across.select(F.col("node").alias(to)).distinct(), "across"), to, "left_semi")
+        steps = stage(steps.select(F.col(at).alias("src"), F.col(to).alias("dst"), F.struct("rank", "edge_id", "way", F.col("src").alias("from_id"), F.col("dst").alias("to_id")).alias("step")), "steps")
+        hubs, n = hubs_of(steps), n_parts(steps)
+        ranks = F.concat("ranks", F.array("step")) if ahead else F.concat(F.array("step"), "ranks")
+
+        def met(k: int, n: int) -> DataFrame:
+            """What is reached at part k of the nodes."""
+            both = to_parts(open_ends.withColumnRenamed("node", "src"), hubs).join(in_parts(part_of(steps, "dst", k, n), hubs), ["src", "part"]).filter(F.col("dst") != F.col(end))
+            return both.groupBy(end, F.col("dst").alias("node")).agg(F.min(ranks).alias("ranks"))
+
+        two = stage_parts(met, n, "far")
+        return two.join(typed, "node", "left_semi") if ahead else two
 
     def settle(left: DataFrame, ahead: DataFrame, behind: DataFrame | None) -> DataFrame:
         """Pairs whose halves meet leave with their path; the others are left."""
@@ -179,26 +212,27 @@ def find_path(
         found.append(met)
         return stage(left.join(met.select("source", "target"), ["source", "target"], "left_anti"), "left")
 
-    ahead = [near("source", left, walk)]
-    left = settle(left, ahead[0], None)
+    def rows_of(first: DataFrame, end: str) -> int:
+        return first.join(left.select(end).distinct(), end, "left_semi").count()
+
+    ahead = near("source", left, True)
+    left = settle(left, ahead, None)
     if depth > 1:
-        behind = [near("target", left, back)]
-        left = settle(left, ahead[0], behind[0])
+        behind = near("target", left, False)
+        left = settle(left, ahead, behind)
     if depth > 2:
-        ahead.append(far("source", left, ahead[0], walk, True))
-        left = settle(left, ahead[1], behind[0])
-    if depth > 3:
-        behind.append(far("target", left, behind[0], back, False))
-        left = settle(left, ahead[1], behind[1])
-    paths = stage(reduce(DataFrame.unionByName, found), "paths")
-    each = small(paths.select("source", "target", F.posexplode("ranks").alias("hop", "rank")), "hops")
-    steps = walk.join(each, "rank").groupBy("source", "target").agg(F.collect_list(F.struct("hop", "src", "dst", "way", "edge_id")).alias("steps"))  # two for each hop at most
-    hop = "named_struct('from_id', s.src, 'to_id', s.dst, 'way', s.way, 'edge_id', s.edge_id)"
-    follow = f"""aggregate(sequence(0, size(ranks) - 1), named_struct('at', source, 'hops', cast(array() as array<struct<from_id:string,to_id:string,way:string,edge_id:string>>)),
-        (acc, k) -> transform(filter(steps, s -> s.hop = k and s.src = acc.at), s -> named_struct('at', s.dst, 'hops', concat(acc.hops, array({hop}))))[0])"""
-    ends = paths.join(steps, ["source", "target"]).select("source", "target", F.size("ranks").alias("depth"), F.expr(follow)["hops"].alias("hops"))
-    same = asked.filter("source = target").select("source", "target", F.lit(0).alias("depth"), F.expr("cast(array() as array<struct<from_id:string,to_id:string,way:string,edge_id:string>>)").alias("hops"))
-    out = asked.join(ends.unionByName(same), ["source", "target"], "left").select("source", "target", "depth", F.posexplode_outer("hops").alias("hop", "h"))
+        left = settle(left, far("source", left, ahead, True, behind), behind)
+    if depth > 3 and not left.isEmpty():
+        if rows_of(ahead, "source") <= rows_of(behind, "target"):
+            ahead = far("source", left, ahead, True, None)
+            behind = far("target", left, behind, False, ahead)
+        else:
+            behind = far("target", left, behind, False, None)
+            ahead = far("source", left, ahead, True, behind)
+        left = settle(left, ahead, behind)
+    paths = reduce(DataFrame.unionByName, found).select("source", "target", F.size("ranks").alias("depth"), F.col("ranks").alias("hops"))
+    same = asked.filter("source = target").select("source", "target", F.lit(0).alias("depth"), F.array().cast(paths.schema["hops"].dataType).alias("hops"))
+    out = asked.join(paths.unionByName(same), ["source", "target"], "left").select("source", "target", "depth", F.posexplode_outer("hops").alias("hop", "h"))
     return out.select("source", "target", "depth", "hop", "h.from_id", "h.to_id", "h.way", "h.edge_id")
 
 
@@ -218,12 +252,22 @@ def timeline(edges: DataFrame, events: DataFrame, participants: DataFrame, date_
 def ranked_timeline(entries: DataFrame) -> DataFrame:
     """Timeline entries with their rank from 1 within the entity: newest first, a day's events before its edges, then by id.
 
-    One sort of all entries, dealt by range, so that an entity with very many is not ranked in one task.
+    Entities are ranked whole, part by part. One with very many entries (over BLOCK) is not ranked in one task: all
+    entries of such entities are numbered in one sort, dealt by range.
     """
     newest = F.desc(F.coalesce("date", F.lit("")))
-    rows = in_order(entries, ["entity_id", newest, "kind", "record_id"], "timeline", "n")
-    first = rows.groupBy("entity_id").agg(F.min("n").alias("_first"))
-    return rows.join(first, "entity_id").withColumn("rank", F.col("n") - F.col("_first") + 1).drop("n", "_first")
+    order = [newest, "kind", "record_id"]
+    parts, out = dealt(entries, "entity_id", n_parts(entries), "entries"), []
+    while parts:
+        rows = parts.pop()
+        many = small(rows.groupBy("entity_id").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("entity_id"), "many")
+        light = rows.join(many, "entity_id", "left_anti").withColumn("rank", F.row_number().over(W.partitionBy("entity_id").orderBy(*order)).cast("long"))
+        if not many.isEmpty():
+            heavy = in_order(rows.join(many, "entity_id", "left_semi"), ["entity_id", *order], "timeline", "n")
+            first = small(heavy.groupBy("entity_id").agg(F.min("n").alias("_first")), "firsts")
+            light = light.unionByName(heavy.join(first, "entity_id").withColumn("rank", F.col("n") - F.col("_first") + 1).drop("n", "_first"))
+        out.append(stage(light, "ranked"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def career_transitions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
